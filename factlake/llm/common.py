@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -45,6 +46,11 @@ class Workspace:
         out._kept_at = at
         return out
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of plans that nothing refers to any more; else they stay until the driver's next collection."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df._kept_at)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

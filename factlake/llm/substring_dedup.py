@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factlake.llm.common import WordHashes, as_bytes, hash_words, mix, rolling, slices
+from factlake.llm.common import WordHashes, Workspace, as_bytes, hash_words, mix, rolling, slices
 
 WINDOW, ANCHOR = 13, 5
 
@@ -63,8 +63,9 @@ def _grouped(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def anchors(docs: DataFrame, size: int) -> DataFrame:
-    """key, doc, tag, anchor, content, met. One row (met: 0, or 1 if other rows of its slice have the anchor) for each anchor of a slice
-    of texts, with the smallest doc; further rows (met: 2, a key of their own) for all docs of an anchor that its slice holds twice."""
+    """key, doc, note (4 * tag + met), content. One row (met: 0, or 1 if other rows of its slice have the anchor) for each anchor of a
+    slice of texts: the anchor, the smallest doc, and its run's hash. Further rows (met: 2) for all docs of an anchor that its slice
+    holds twice: a key of their own, the doc, and the anchor. Four numbers a row, as these rows are most of what is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -84,11 +85,12 @@ def anchors(docs: DataFrame, size: int) -> DataFrame:
             with np.errstate(over="ignore"):
                 own = mix(anchor[again] + mix(doc[again].astype(np.uint64)))
             tag = tags[row]
-            columns = [np.r_[anchor[begin], own].view(np.int64), np.r_[doc[begin], doc[again]], np.r_[tag[begin], tag[again]], np.r_[anchor[begin], anchor[again]].view(np.int64), np.r_[content[begin], content[again]].view(np.int64)]
-            met = np.r_[(many > 1).astype(np.int32), np.full(int(again.sum()), 2, np.int32)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(met)], names=["key", "doc", "tag", "anchor", "content", "met"])
+            met = np.r_[(many > 1).astype(np.int64), np.full(int(again.sum()), 2)]
+            note = np.r_[tag[begin], tag[again]].astype(np.int64) << 2 | met
+            columns = [np.r_[anchor[begin], own].view(np.int64), np.r_[doc[begin], doc[again]], note, np.r_[content[begin], anchor[again]].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["key", "doc", "note", "content"])
 
-    return docs.mapInArrow(run, "key long, doc long, tag int, anchor long, content long, met int")
+    return docs.mapInArrow(run, "key long, doc long, note long, content long")
 
 
 def candidate_windows(docs: DataFrame, size: int, schema_names: list[str]) -> DataFrame:
@@ -143,10 +145,13 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, key: str = "doc_id", tex
     known = source.filter("doc is not null")
 
     window = "over (partition by key)"
-    met = anchors(known.select("doc", "text", "tag"), size).selectExpr("*", f"count(*) {window} as many", f"min(doc) {window} as least", f"min(content) {window} = max(content) {window} as same", f"max(met) {window} as within")
-    met = met.filter("many > 1 or met > 0")
+    met = anchors(known.select("doc", "text", "tag"), size).selectExpr("*", f"count(*) {window} as many", f"min(doc) {window} as least", f"min(content) {window} = max(content) {window} as same", f"max(note & 3) {window} as within")
+    met = met.filter("many > 1 or (note & 3) > 0").selectExpr("doc", "cast(shiftright(note, 2) as int) as tag", "note & 3 as met", "if((note & 3) = 2, content, key) as anchor", "least", "same", "within")
     whole = F.col("same") & (F.col("within") == 0)
     told = met.filter(~(whole & (F.col("doc") == F.col("least")))).filter("met <> 1").groupBy("doc", "tag").agg(F.collect_list(F.when(whole, F.col("anchor"))).alias("gone"), F.collect_list(F.when(~whole, F.col("anchor"))).alias("compare"))
+    work = Workspace(docs.sparkSession, "substring-dedup")
+    told = work.keep(told)
+    work.release()
     joined = known.join(told, ["doc", "tag"], "left").select("doc", "text", "tag", "rest", "gone", "compare")
 
     found = candidate_windows(joined.filter("size(compare) > 0"), size, joined.columns)

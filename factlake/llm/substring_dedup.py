@@ -12,12 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factlake.llm.common import SLICE_BYTES, WordHashes, Workspace, as_bytes, hash_words, mix, rolling, slices
+from factlake.llm.common import WordHashes, Workspace, as_bytes, hash_words, mix, rolling, slices
 
 WINDOW, ANCHOR = 13, 5
 
@@ -56,24 +55,6 @@ class Windows:
             return np.add.reduceat(mix(self.hash + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), self.first)
 
 
-def _squeezed(docs: DataFrame) -> DataFrame:
-    """docs with its second column (text) compressed, as whole texts are shuffled once."""
-    names = docs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(1)
-        for part in slices(batches):
-            small = [packer.compress(t) if t is not None else None for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(small, pa.binary()), *part.columns[2:]], names=names)
-
-    return docs.mapInArrow(run, docs.schema)
-
-
-def _texts(part: pa.RecordBatch) -> list[bytes | None]:
-    unpacker = zstandard.ZstdDecompressor()
-    return [unpacker.decompress(t) if t is not None else None for t in part.column(1).to_pylist()]
-
-
 def _grouped(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order by key, then owner, and where its groups begin."""
     order = np.lexsort((owners, keys))
@@ -119,9 +100,9 @@ def candidate_windows(docs: DataFrame, size: int, schema_names: list[str]) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         ordered = (b.select([schema_names.index(c) for c in ("doc", "text", "compare", "tag")]) for b in batches)
-        for part in slices(ordered, SLICE_BYTES // 2):
+        for part in slices(ordered):
             ids, tags = part.column(0).to_numpy(), part.column(3).to_numpy()
-            w = Windows(_texts(part), cache, size)
+            w = Windows(part.column(1).to_pylist(), cache, size)
             wanted = np.zeros(len(w.at), bool)
             bounds = np.searchsorted(w.doc, np.arange(len(ids) + 1))
             for i, keys in enumerate(part.column(2)):
@@ -159,7 +140,8 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, key: str = "doc_id", tex
     a key are no smaller than each other; a hash of the text tells them apart. Columns named like the results are replaced.
     """
     made = ("n_words", "n_removed", "removed", "kept_text")
-    rest = [c for c in docs.columns if c not in made]
+    shown = [c for c in docs.columns if c not in made]
+    rest = [c for c in shown if c != text]  # the text itself is shuffled once
     source = docs.select(F.col(key).cast("long").alias("doc"), as_bytes(text).alias("text"), F.hash(text).alias("tag"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"))
     known = source.filter("doc is not null")
 
@@ -171,20 +153,20 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, key: str = "doc_id", tex
     work = Workspace(docs.sparkSession, "substring-dedup")
     told = work.keep(told)
     work.release()
-    joined = _squeezed(known.select("doc", "text", "tag", "rest")).join(told, ["doc", "tag"], "left").select("doc", "text", "tag", "rest", "gone", "compare")
+    joined = known.join(told, ["doc", "tag"], "left").select("doc", "text", "tag", "rest", "gone", "compare")
 
     found = candidate_windows(joined.filter("size(compare) > 0"), size, joined.columns)
     found = found.selectExpr("doc", "tag", "start", "stop", "sure", f"min(doc) {window} as least").filter("sure or doc > least")
     spans = found.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     final = joined.join(spans, ["doc", "tag"], "left").select("doc", "text", "rest", "gone", "spans")
-    unkeyed = _squeezed(source.filter("doc is null").select("doc", "text", "tag", "rest")).select("doc", "text", "rest", F.lit(None).cast("array<long>").alias("gone"), F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    unkeyed = source.filter("doc is null").select("doc", "text", "rest", F.lit(None).cast("array<long>").alias("gone"), F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
     interval = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
-    schema = T.StructType([source.schema["rest"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", interval), T.StructField("kept_text", T.StringType())])
+    schema = T.StructType([source.schema["rest"], T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", interval), T.StructField("kept_text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for part in slices(batches, SLICE_BYTES // 2):
-            texts, gone, spans = _texts(part), part.column(3), part.column(4)
+        for part in slices(batches):
+            texts, gone, spans = part.column(1).to_pylist(), part.column(3), part.column(4)
             hit = [i for i in range(len(texts)) if gone[i].is_valid and len(gone[i].values)]
             w = Windows([texts[i] for i in hit], cache, size)
             bounds = np.searchsorted(w.doc, np.arange(len(hit) + 1))
@@ -209,7 +191,7 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, key: str = "doc_id", tex
                 turns = np.flatnonzero(np.diff(np.r_[False, covered, False].astype(np.int8)))
                 intervals.append([{"start": int(x), "stop": int(y)} for x, y in zip(turns[::2], turns[1::2], strict=True)])
                 kept.append((b" ".join([x for x, c in zip(words, covered, strict=True) if not c]) if removed[-1] else b" ".join(words)).decode())
-            yield pa.RecordBatch.from_arrays([part.column(2), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(intervals, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), pa.array(kept, pa.string())], names=["rest", *made])
+            yield pa.RecordBatch.from_arrays([part.column(2), part.column(1).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(intervals, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), pa.array(kept, pa.string())], names=["rest", "text", *made])
 
     out = final.unionByName(unkeyed).mapInArrow(run, schema)
-    return out.select(*[F.col(f"rest.`{c}`").alias(c) for c in rest], *made)
+    return out.select(*[F.col("text" if c == text else f"rest.`{c}`").alias(c) for c in shown], *made)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -48,8 +49,10 @@ class Workspace:
 
     def release(self) -> None:
         """Let Spark delete the shuffle files of plans that nothing refers to any more; else they stay until the driver's next collection."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # the second finds what the first one's finalisers have let go
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.5)
 
     def drop(self, df: DataFrame) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df._kept_at)

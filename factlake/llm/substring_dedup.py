@@ -65,7 +65,8 @@ def _grouped(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def anchors(docs: DataFrame, size: int) -> DataFrame:
     """key, doc, note (4 * tag + met), content. One row (met: 0, or 1 if other rows of its slice have the anchor) for each anchor of a
     slice of texts: the anchor, the smallest doc, and its run's hash. Further rows (met: 2) for all docs of an anchor that its slice
-    holds twice: a key of their own, the doc, and the anchor. Four numbers a row, as these rows are most of what is shuffled."""
+    holds twice: a key of their own, the doc, and the anchor. Four numbers a row, as these rows are most of what is
+    shuffled; a run's hash has 48 bits, as it is compared among the runs of one anchor only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -86,8 +87,8 @@ def anchors(docs: DataFrame, size: int) -> DataFrame:
                 own = mix(anchor[again] + mix(doc[again].astype(np.uint64)))
             tag = tags[row]
             met = np.r_[(many > 1).astype(np.int64), np.full(int(again.sum()), 2)]
-            note = np.r_[tag[begin], tag[again]].astype(np.int64) << 2 | met
-            columns = [np.r_[anchor[begin], own].view(np.int64), np.r_[doc[begin], doc[again]], note, np.r_[content[begin], anchor[again]].view(np.int64)]
+            note = (np.r_[tag[begin], tag[again]].astype(np.int64) & 0xFFFF) << 2 | met
+            columns = [np.r_[anchor[begin], own].view(np.int64), np.r_[doc[begin], doc[again]], note, np.r_[content[begin] >> np.uint64(16), anchor[again]].view(np.int64)]
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["key", "doc", "note", "content"])
 
     return docs.mapInArrow(run, "key long, doc long, note long, content long")
@@ -142,7 +143,7 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, key: str = "doc_id", tex
     made = ("n_words", "n_removed", "removed", "kept_text")
     shown = [c for c in docs.columns if c not in made]
     rest = [c for c in shown if c != text]  # the text itself is shuffled once
-    source = docs.select(F.col(key).cast("long").alias("doc"), as_bytes(text).alias("text"), F.hash(text).alias("tag"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"))
+    source = docs.select(F.col(key).cast("long").alias("doc"), as_bytes(text).alias("text"), F.hash(text).bitwiseAND(F.lit(0xFFFF)).alias("tag"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"))
     known = source.filter("doc is not null")
 
     window = "over (partition by key)"

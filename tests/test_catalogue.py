@@ -1,0 +1,55 @@
+"""Every query of the catalogue against DuckDB over the same tables, and the fusion against hand-made cases."""
+
+import glob
+import os
+from collections import Counter
+
+import duckdb
+import pytest
+
+from factlake.functions import text as T
+from factlake.operators import retrieval as R
+from factlake.plans import catalogue
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="session")
+def duck():
+    con = duckdb.connect()
+    for f in glob.glob(f"{SF}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    return con
+
+
+@pytest.mark.parametrize("name", list(catalogue.queries()))
+def test_same_rows_as_sql(spark, duck, name):
+    got = catalogue.queries()[name](spark, SF)
+    cur = duck.execute(catalogue.oracle_sql()[name])
+    names = sorted(got.columns)
+    order = [[c[0] for c in cur.description].index(n) for n in names]
+    want = Counter(tuple(r[i] for i in order) for r in cur.fetchall())
+    assert Counter(tuple(r[n] for n in names) for r in got.collect()) == want and want
+
+
+def leg(spark, rows):
+    return spark.createDataFrame([(1, i + 1, *r) for i, r in enumerate(rows)], "query_id int, ord int, id string, link_id string, data string, score double")
+
+
+def fused(spark, cos, lex, **options):
+    return [(r.key, round(r.score, 9)) for r in R.fuse(leg(spark, cos), leg(spark, lex), **options).orderBy("rank").collect()]
+
+
+def test_fusion_by_link_text_and_bar(spark):
+    a = 1 / 61
+    assert fused(spark, [("canon", None, "x", 0.6)], [("file", "canon", "other", 0.9)]) == [("canon", round(2 * a, 9))]
+    assert fused(spark, [("pg", None, "nuqs over state", 0.6)], [("f", None, "  nuqs over   state ", 0.9)]) == [("pg", round(2 * a, 9))]
+    assert fused(spark, [], [("file", "absent", "t", 0.8)]) == [("absent", round(a, 9))]
+    assert fused(spark, [("a", None, "ta", 0.9)], [("b", None, "ta", 0.01)]) == [("a", round(a, 9))]
+    assert fused(spark, [("p", None, "tp", 0.9), ("e", None, "te", 0.8)], [("z", None, "te", 0.9), ("y", None, "", 0.9)], gated=True) == [("e", round(1 / 62 + a, 9)), ("p", round(a, 9))]
+
+
+def test_tokens(spark):
+    cases = {"The EMBED embed of a x!": ["the", "embed", "of"], "pg ui x": ["pg", "ui"], "PAPER_MEM_TIMEOUT op-deadline": ["paper_mem_timeout", "op-deadline", "paper", "mem", "timeout", "op", "deadline"], "a b ??": [], "été": []}
+    rows = spark.createDataFrame(list(cases.items()), "q string, want array<string>").select(T.lexical_tokens(T.F.col("q")).alias("got"), "want").collect()
+    assert all(r.got == r.want for r in rows)

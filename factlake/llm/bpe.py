@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from factlake.llm.common import slices
 
 #: Pre-tokens whose ids a worker remembers before it starts afresh.
-PIECE_CACHE = 1 << 18
+PIECE_CACHE = 1 << 17
 _PAIR_CACHE = 1 << 18
 
 # Letters and digits of Unicode 16, which the library knows and Python's tables (15.1) don't.

@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker processes at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Words whose hashes a worker remembers before it starts afresh.
-WORD_CACHE = 1 << 19
+WORD_CACHE = 1 << 18
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 

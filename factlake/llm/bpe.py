@@ -100,6 +100,7 @@ class Model:
         known = {p: i for i, p in enumerate(self.pieces)}
         self.shorter = [next((known[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in known), -1) for p in self.pieces]
         self.sizes = [len(p) for p in self.pieces]
+        self.most = max(self.sizes)
         self._compatible: dict[tuple[int, int], bool] = {}
         self._automaton = self._fast = None
         # For decoding: each id's bytes within one string of bytes.
@@ -154,24 +155,29 @@ class Model:
     def encode_piece(self, piece: str) -> bytes:
         """Little-endian 32-bit ids of one pre-token."""
         data = piece.encode()
-        n, sizes = len(data), self.sizes
-        longest = [-1] * n
-        for end, token in self.automaton.iter(data.decode("latin-1")):  # by their ends: the last for a start is the longest
-            longest[end + 1 - sizes[token]] = token
-        path: list[int] = []
-        dead, at, token = bytearray(n + 1), 0, longest[0]
-        while at < n:
+        text, sizes, most, seams = data.decode("latin-1"), self.sizes, self.most, self._compatible
+        find, path, dead, at, last = self.automaton.iter_long, [], set(), 0, -1
+        greedy = find(text)  # the longest tokens one after another, which serve until two of them don't go together
+        token = next(greedy)[1] if data else -1
+        while at < len(data):
             end = at + sizes[token]
-            if not dead[end] and (not path or self.compatible(path[-1], token)):
+            good = end not in dead
+            if good and path:
+                good = seams.get((last, token))
+                if good is None:
+                    good = self.compatible(last, token)
+            if good:
                 path.append(token)
-                at = end
-                token = longest[at] if at < n else -1
-            elif self.shorter[token] >= 0:
-                token = self.shorter[token]
-            else:
-                dead[at] = 1
+                last, at = token, end
+                if at < len(data):
+                    token = next(greedy or find(text[at : at + most]))[1]
+                continue
+            greedy, token = None, self.shorter[token]
+            if token < 0:
+                dead.add(at)
                 token = path.pop()
                 at -= sizes[token]
+                last = path[-1] if path else -1
         return b"".join([self.coded[t] for t in path])
 
     def merge_piece(self, piece: str) -> bytes:
@@ -266,28 +272,42 @@ def _map(df: DataFrame, column: str, name: str, kind: T.DataType, convert: Calla
     return out.select(*[F.col(f"rest.`{c}`").alias(c) for c in rest], name)
 
 
+def _ids_of(m: Model, known: Pieces, texts: pa.Array) -> pa.ListArray:
+    coded = [m.encode(t, known) if t else b"" for t in texts.to_pylist()]
+    ends = np.cumsum([0, *(len(c) // 4 for c in coded)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<u4").astype(np.int32)))
+
+
+def _texts_of(m: Model, rows: pa.ListArray) -> pa.Array:
+    return pa.array([m.decode(np.array([i for i in r.values.to_pylist() if i is not None] if r.values.null_count else r.values.to_numpy(), np.int64)).decode("utf-8", "replace") if r.is_valid and len(r.values) else "" for r in rows], pa.string())
+
+
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """df with the token ids of each text, as the tokenizers library gives them with add_special_tokens=False.
 
     Null and empty texts have no ids. Texts of any length are encoded whole. A column named `ids` is replaced. No shuffle.
     """
     raw = vocabulary(df.sparkSession, path)
-
-    def convert(texts: pa.Array) -> pa.Array:
-        m, known = model(raw.value), pieces(raw.value)
-        coded = [m.encode(t, known) if t else b"" for t in texts.to_pylist()]
-        ends = np.cumsum([0, *(len(c) // 4 for c in coded)])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<u4").astype(np.int32)))
-
-    return _map(df, text, ids, T.ArrayType(T.IntegerType()), convert)
+    return _map(df, text, ids, T.ArrayType(T.IntegerType()), lambda texts: _ids_of(model(raw.value), pieces(raw.value), texts))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """df with the text of each row's ids, special tokens included; null ids and null arrays have none. No shuffle."""
     raw = vocabulary(df.sparkSession, path)
+    return _map(df, ids, text, T.StringType(), lambda rows: _texts_of(model(raw.value), rows))
+
+
+def transcode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """encode(), then decode() of what it gives, in one pass with one copy of the tables; columns of both names are replaced."""
+    raw = vocabulary(df.sparkSession, path)
+    both = next(f"both{i}" for i in range(len(df.columns) + 1) if f"both{i}" not in df.columns)
 
-    def convert(rows: pa.Array) -> pa.Array:
+    def convert(texts: pa.Array) -> pa.StructArray:
         m = model(raw.value)
-        return pa.array([m.decode(np.array([i for i in r.values.to_pylist() if i is not None] if r.values.null_count else r.values.to_numpy(), np.int64)).decode("utf-8", "replace") if r.is_valid and len(r.values) else "" for r in rows])
+        found = _ids_of(m, pieces(raw.value), texts)
+        return pa.StructArray.from_arrays([found, _texts_of(m, found)], names=["ids", "decoded"])
 
-    return _map(df, ids, text, T.StringType(), convert)
+    kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    out = _map(df, text, both, kind, convert)
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in (ids, decoded)]
+    return out.select(*rest, F.col(f"{both}.ids").alias(ids), F.col(f"{both}.decoded").alias(decoded))

@@ -36,9 +36,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    coded = bpe.encode(_documents(spark, sf_dir).select("doc_id", "text"), path).select("doc_id", "ids")
-    both = bpe.decode(coded, path)
+    both = bpe.transcode(_documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path())
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

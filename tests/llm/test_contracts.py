@@ -159,6 +159,16 @@ def test_bpe_random_text(spark):
     assert [m.decode(np.array(i, np.int64)).decode("utf-8", "replace") for i in ids] == [tok.decode(i, skip_special_tokens=False) for i in ids]
 
 
+def test_transcode_clashing_columns(spark):
+    """One pass gives what encode and decode give; columns of the results' names are replaced, the rest stay."""
+    df = spark.createDataFrame([(1, "ab cd", "x", 7), (2, None, None, 8), (3, "", "y", 9)], "doc_id int, text string, decoded string, both0 int")
+    path = queries.tokenizer_path()
+    got = bpe.transcode(df, path)
+    want = bpe.decode(bpe.encode(df.drop("decoded"), path), path)
+    assert got.columns == ["doc_id", "text", "both0", "ids", "decoded"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.select(got.columns).collect()), key=str)
+
+
 def test_classes_of_all_characters():
     """Pre-tokens of every code point between letters, digits and signs, as the library cuts them."""
     from tokenizers import pre_tokenizers

@@ -149,7 +149,8 @@ def queries() -> dict:
     return {f.__name__: f for f in _ALL}
 
 
-def oracle_sql() -> dict[str, str]:
+def lexical_sql() -> tuple[str, str, str]:
+    """Common table expressions of the text queries' words, their tokens, and the lexical leg (which holds the others)."""
     split = "list_filter(string_split_regex(lower({}), '[^a-z0-9_-]+'), lambda x: length(x) >= 2)"
     parts = "list_filter(flatten(list_transform(list_filter(w, lambda x: regexp_matches(x, '[_-]')), lambda x: string_split_regex(x, '[_-]+'))), lambda x: length(x) >= 2)"
     words = f"asked AS (SELECT item_id AS query_id, text, {split.format('text')} AS w FROM benchmark WHERE item_id % 4 = 0), longer AS (SELECT query_id, list_concat(w, {parts}) AS w FROM asked)"
@@ -158,6 +159,11 @@ def oracle_sql() -> dict[str, str]:
       list_sum(list_transform(tokens, lambda x: CASE WHEN contains(lower(name), x) THEN 3 WHEN contains(lower(data), x) THEN 1 ELSE 0 END)) AS raw
       FROM live f, toks t WHERE f.scope IN ('en','fr') AND len(tokens) > 0),
     lexleg AS (SELECT query_id, scope, id, data, raw / (3.0 * n) AS score FROM pairs WHERE raw > 0 QUALIFY row_number() OVER (PARTITION BY query_id, scope ORDER BY raw DESC, created_at DESC, id) <= 18)"""
+    return words, distinct, lex
+
+
+def oracle_sql() -> dict[str, str]:
+    words, distinct, lex = lexical_sql()
     legs = f"""WITH {FACTS}{lex}, q AS (SELECT b.item_id AS query_id, CAST(e.embedding AS DOUBLE[]) AS v, unnest(['en','fr']) AS scope FROM benchmark b JOIN embeddings e ON b.item_id = e.vec_id WHERE item_id % 4 = 0),
     cosleg AS (SELECT query_id, f.scope, id, data, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), q.v) AS score FROM live f JOIN embeddings e ON f.ord = e.vec_id JOIN q ON q.scope = f.scope
       QUALIFY row_number() OVER (PARTITION BY query_id, f.scope ORDER BY score DESC, id) <= 8),

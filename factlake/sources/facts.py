@@ -34,3 +34,10 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter("item_id % 4 = 0")
     return b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.array(F.lit("en"), F.lit("fr")).alias("scopes"))
+
+
+def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a log of changes of their users' rows: errors close them, purchases delete them, all others write them."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    op = F.when(F.col("event_type") == "error", "invalidate").when(F.col("event_type") == "purchase", "delete").otherwise("upsert")
+    return e.select(F.col("event_id").alias("seq"), op.alias("op"), F.col("user_id").cast("string").alias("id"), F.col("props").alias("payload"), F.col("ts").alias("at"), F.col("event_id").cast("string").alias("by"))

@@ -9,7 +9,7 @@ import pytest
 
 from factlake.functions import text as T
 from factlake.operators import retrieval as R
-from factlake.plans import catalogue
+from factlake.plans import catalogue, store
 
 SF = "/root/testdata/sf0.01"
 
@@ -22,10 +22,13 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", list(catalogue.queries()))
+QUERIES, SQL = catalogue.queries() | store.queries(), catalogue.oracle_sql() | store.oracle_sql()
+
+
+@pytest.mark.parametrize("name", list(SQL))
 def test_same_rows_as_sql(spark, duck, name):
-    got = catalogue.queries()[name](spark, SF)
-    cur = duck.execute(catalogue.oracle_sql()[name])
+    got = QUERIES[name](spark, SF)
+    cur = duck.execute(SQL[name])
     names = sorted(got.columns)
     order = [[c[0] for c in cur.description].index(n) for n in names]
     want = Counter(tuple(r[i] for i in order) for r in cur.fetchall())
@@ -53,3 +56,34 @@ def test_tokens(spark):
     cases = {"The EMBED embed of a x!": ["the", "embed", "of"], "pg ui x": ["pg", "ui"], "PAPER_MEM_TIMEOUT op-deadline": ["paper_mem_timeout", "op-deadline", "paper", "mem", "timeout", "op", "deadline"], "a b ??": [], "été": []}
     rows = spark.createDataFrame(list(cases.items()), "q string, want array<string>").select(T.lexical_tokens(T.F.col("q")).alias("got"), "want").collect()
     assert all(r.got == r.want for r in rows)
+
+
+def test_diverse_against_brute_force(spark):
+    from factlake.operators import rerank
+
+    def grams(t):
+        t = " ".join(t.lower().split())
+        return {t[i : i + 3] for i in range(len(t) - 2)} if len(t) >= 3 else ({t} if t else set())
+
+    rows = [(q, f"k{i}", d, s, i + 1) for q in (1, 2) for i, (d, s) in enumerate([("alpha beta", 0.9), ("alpha beta", 0.9), ("gamma delta", 0.5 * q), ("alpha betas", 0.4), ("", None), ("zz", 0.1)])]
+    for weight in (0.0, 0.3, 0.7):
+        want = {}
+        for q in (1, 2):
+            left, taken = [r for r in rows if r[0] == q], []
+            best = max([0.0, *(r[3] or 0.0 for r in left)]) or 1.0
+            like = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
+            while left:
+                pick = max(left, key=lambda r: (weight * (r[3] or 0.0) / best - (1 - weight) * max([0.0, *(like(grams(r[2]), grams(x[2])) for x in taken)]), -r[4]))
+                left.remove(pick)
+                taken.append(pick)
+                want[q, pick[1]] = len(taken)
+        got = rerank.diverse(spark.createDataFrame(rows, "query_id int, key string, data string, score double, rank int"), weight)
+        assert {(r.query_id, r.key): r.rank for r in got.collect()} == want
+
+
+def test_entity_gate(spark):
+    from factlake.functions import entities
+
+    cases = {"the one-liner in the folder": False, "just before end of": True, "embed job stalled and": True, "so the re": True, "": True, "gate": True, "release gate": False, "the fleet's release gate": True, "user's guide": False, "a genuine removal reds": True, "the current release gate": False, "embedding model": False, "removing models": True, "a|b cd": True, None: True}
+    rows = spark.createDataFrame(list(cases.items()), "e string, want boolean").select(entities.low_quality(T.F.col("e")).alias("got"), "want", "e").collect()
+    assert [r.e for r in rows if r.got != r.want] == []

@@ -21,6 +21,38 @@ def fold(log: DataFrame) -> DataFrame:
     return begun.join(closed, "id", "left").select("id", "payload", "created_at", "invalid_at", "superseded_by")
 
 
+def without_key(payload: Column, key: str) -> Column:
+    """A JSON object without one of its keys; any other text, and objects that don't have the key, as they are."""
+    value = F.try_parse_json(payload)
+    has = F.array_contains(F.map_keys(F.try_variant_get(value, "$", "map<string,variant>")), key)
+    left = F.map_filter(F.try_variant_get(value, "$", "map<string,variant>"), lambda k, v: k != key)
+    return F.when(has, F.to_json(F.to_variant_object(left))).otherwise(payload)
+
+
+def merged(changes: DataFrame) -> DataFrame:
+    """id, payload: the JSON objects of changes (id, seq, op, payload) put together key by key from each id's last upsert on, the latest
+    value of a key winning, nested ones whole and explicit nulls too. An id that only has patches has no row."""
+    base = changes.filter("op = 'upsert'").groupBy("id").agg(F.max("seq").alias("base"))
+    since = changes.filter("op in ('upsert', 'patch')").join(base, "id").filter("seq >= base")
+    keys = since.select("id", "seq", F.explode_outer(F.try_variant_get(F.try_parse_json("payload"), "$", "map<string,variant>")).alias("key", "value"))
+    # A pair is carried as its JSON text, so that it combines on the map side.
+    pair = keys.withColumn("pair", F.when(F.col("key").isNotNull(), F.to_json(F.to_variant_object(F.create_map("key", "value")))))
+    last = pair.groupBy("id", "key").agg(F.max_by("pair", "seq").alias("pair"))
+    inner = F.transform(F.array_sort(F.collect_list("pair")), lambda p: F.substring(p, F.lit(2), F.length(p) - 2))
+    return last.groupBy("id").agg(F.concat(F.lit("{"), F.array_join(inner, ","), F.lit("}")).alias("payload"))
+
+
+def fold_patched(log: DataFrame) -> DataFrame:
+    """fold() of a log that has patches besides: their keys replace those of the payload before them. Payloads without patches stay as
+    they were written; patches of rows that aren't there have no effect."""
+    folded = fold(log.filter("op <> 'patch'"))
+    touched = log.filter("op = 'patch'").select("id").distinct()
+    some = log.join(touched, "id", "left_semi")
+    gone = some.filter("op = 'delete'").groupBy("id").agg(F.max("seq").alias("gone"))
+    rest = some.filter("op <> 'delete'").join(gone, "id", "left").filter("gone is null or seq > gone").drop("gone")
+    return folded.join(merged(rest).withColumnRenamed("payload", "patched"), "id", "left").withColumn("payload", F.coalesce("patched", "payload")).drop("patched")
+
+
 def cascade(vectors: DataFrame, log: DataFrame) -> DataFrame:
     """Vectors (id, ...) of ids that the log has not deleted since they were last written."""
     last = log.filter("op in ('upsert', 'delete')").groupBy("id").agg(F.max_by("op", "seq").alias("op"))
@@ -73,3 +105,11 @@ def truncate_vector(vector: Column, width: int) -> Column:
     head = F.slice(vector, 1, width)
     norm = F.sqrt(F.aggregate(head, F.lit(0.0), lambda s, x: s + x * x))
     return F.when(norm > 0, F.transform(head, lambda x: x / norm)).otherwise(head)
+
+
+def event_counts(results: DataFrame) -> DataFrame:
+    """request, added, stored of the rows (request, id, event, nested) that writing gave back: added are rows of event ADD with
+    a UUID as id, stored those of ADD or UPDATE. An event at the top goes before a nested one; case doesn't matter."""
+    event = F.upper(F.coalesce("event", "nested", F.lit("")))
+    uuid = F.coalesce(F.lower("id").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), F.lit(False))
+    return results.groupBy("request").agg(F.count_if((event == "ADD") & uuid).alias("added"), F.count_if(event.isin("ADD", "UPDATE")).alias("stored"))

@@ -162,8 +162,9 @@ def lexical_sql() -> tuple[str, str, str]:
     return words, distinct, lex
 
 
-def oracle_sql() -> dict[str, str]:
-    words, distinct, lex = lexical_sql()
+def fused_sql(bar=0.3, weight="1.0", join="FULL") -> str:
+    """Both legs of the text queries and their fusion."""
+    _, _, lex = lexical_sql()
     legs = f"""WITH {FACTS}{lex}, q AS (SELECT b.item_id AS query_id, CAST(e.embedding AS DOUBLE[]) AS v, unnest(['en','fr']) AS scope FROM benchmark b JOIN embeddings e ON b.item_id = e.vec_id WHERE item_id % 4 = 0),
     cosleg AS (SELECT query_id, f.scope, id, data, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), q.v) AS score FROM live f JOIN embeddings e ON f.ord = e.vec_id JOIN q ON q.scope = f.scope
       QUALIFY row_number() OVER (PARTITION BY query_id, f.scope ORDER BY score DESC, id) <= 8),
@@ -175,7 +176,12 @@ def oracle_sql() -> dict[str, str]:
       FROM c {{join}} JOIN lk ON c.query_id = lk.query_id AND c.id = lk.key),
     out AS (SELECT query_id, key, cosine_rank, lexical_rank, round(CAST(score AS DOUBLE), 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cosine_rank NULLS LAST, lexical_rank) AS rank FROM f)
     SELECT * FROM out"""
-    fused = lambda bar=0.3, weight="1.0", join="FULL": legs.format(bar=bar, weight=f"CAST({weight} AS DOUBLE)", join=join).replace("coalesce(1.0 /", "coalesce(CAST(1 AS DOUBLE) /")
+    return legs.format(bar=bar, weight=f"CAST({weight} AS DOUBLE)", join=join).replace("coalesce(1.0 /", "coalesce(CAST(1 AS DOUBLE) /")
+
+
+def oracle_sql() -> dict[str, str]:
+    words, distinct, lex = lexical_sql()
+    fused = fused_sql
     return {
         "vec_topk_scoped": f"{VECTOR} SELECT query_id, scope, id, round(score, 6) AS score FROM cosleg",
         "vec_topk_multiscope_merge": f"{VECTOR} SELECT query_id, id, round(max(score), 6) AS score FROM cosleg GROUP BY query_id, id",

@@ -9,7 +9,7 @@ import pytest
 
 from factlake.functions import text as T
 from factlake.operators import retrieval as R
-from factlake.plans import catalogue, store
+from factlake.plans import catalogue, engine, store
 
 SF = "/root/testdata/sf0.01"
 
@@ -22,7 +22,7 @@ def duck():
     return con
 
 
-QUERIES, SQL = catalogue.queries() | store.queries(), catalogue.oracle_sql() | store.oracle_sql()
+QUERIES, SQL = catalogue.queries() | store.queries() | engine.queries(), catalogue.oracle_sql() | store.oracle_sql() | engine.oracle_sql()
 
 
 @pytest.mark.parametrize("name", list(SQL))

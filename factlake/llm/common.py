@@ -9,14 +9,13 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker processes at once.
 SLICE_BYTES = 4 << 20
-#: Words whose hashes a worker remembers before it starts afresh.
-WORD_CACHE = 1 << 18
+#: Bytes whose words are hashed at once; a longer text is a block of its own.
+BLOCK_BYTES = 1 << 19
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -59,16 +58,6 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words (bytes), remembered for a bounded number of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -115,15 +104,53 @@ def slices(batches: Iterator, budget: int = SLICE_BYTES) -> Iterator:
             start = stop
 
 
-def hash_words(texts: list[bytes | None], cache: WordHashes, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts, one after another, and the offsets at which each text begins (one more at the end)."""
-    words: list[bytes] = []
-    starts = np.zeros(len(texts) + 1, np.int64)
+class _Bytes:
+    """Byte values as random 64-bit numbers, and powers of the base of their polynomials, as many as the longest block had bytes."""
+
+    BASE = 0xD6E8FEB86659FD93
+    code = np.arange(256, dtype=np.uint8)
+    space = (code == 32) | ((code >= 9) & (code <= 13))
+    plain = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
+    folded = np.where((code >= 65) & (code <= 90), np.roll(plain, -32), plain)
+    power = np.ones(1, np.uint64)
+
+    @classmethod
+    def powers(cls, n: int) -> np.ndarray:
+        while len(cls.power) < n:
+            cls.power = np.concatenate([cls.power, cls.power * np.uint64(pow(cls.BASE, len(cls.power), 1 << 64))])
+        return cls.power
+
+
+def _block_words(texts: list[bytes | None], fold: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a block of texts, and each text's number of words."""
+    data = np.frombuffer(b" " + b" ".join(t or b"" for t in texts) + b" ", np.uint8)
+    gap = _Bytes.space[data]
+    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    first, end = edge[::2], edge[1::2]
+    with np.errstate(over="ignore"):
+        power = _Bytes.powers(len(data))
+        total = (_Bytes.folded if fold else _Bytes.plain)[data]
+        total *= power[: len(data)]
+        np.cumsum(total, out=total)
+        # Moved to one place: times base^(n - first), and for all by base^-n.
+        back = np.uint64(pow(_Bytes.BASE, -(len(data) - 1), 1 << 64))
+        words = mix((total[end - 1] - total[first - 1]) * power[len(data) - 1 - first] * back)
+    ends = np.cumsum([1 + len(t or b"") for t in texts])
+    return words, np.diff(np.searchsorted(first, ends), prepend=0)
+
+
+def hash_words(texts: list[bytes | None], fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of all texts, one after another, and the offsets at which each text begins (one more at the end).
+    fold: A-Z are lower-cased. A word's hash is a polynomial of its bytes modulo 2^64, so numpy makes those of a block at once."""
+    words, counts, start, held = [], [np.zeros(1, np.int64)], 0, 0
     for i, t in enumerate(texts):
-        if t:
-            words += (t.lower() if fold else t).split()
-        starts[i + 1] = len(words)
-    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)), starts
+        held += len(t or b"")
+        if held >= BLOCK_BYTES or i == len(texts) - 1:
+            w, n = _block_words(texts[start : i + 1], fold)
+            words.append(w)
+            counts.append(n)
+            start, held = i + 1, 0
+    return np.concatenate(words) if words else np.empty(0, np.uint64), np.cumsum(np.concatenate(counts))
 
 
 def as_bytes(column: str = "text") -> Column:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlake.llm.common import WordHashes, as_bytes, hash_words, mix, rolling, slices
+from factlake.llm.common import as_bytes, hash_words, mix, rolling, slices
 
 # N-gram length and the largest share of characters inside n-grams of that length seen before in the text.
 NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -63,8 +63,8 @@ def _windows(words: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np
         return at, mix(rolling(words, n)[at] + doc[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def measure(texts: list[bytes | None], cache: WordHashes) -> dict[str, np.ndarray]:
-    words, offsets = hash_words(texts, cache)
+def measure(texts: list[bytes | None]) -> dict[str, np.ndarray]:
+    words, offsets = hash_words(texts)
     size, docs = len(words), len(texts)
     doc = np.repeat(np.arange(docs), np.diff(offsets))
     per = lambda mask, w=None: np.bincount(doc[mask], None if w is None else w[mask], docs)
@@ -115,9 +115,8 @@ def score_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     source = docs.select(F.lit(0).alias("__row"), as_bytes(text).alias("__text"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__rest"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for part in slices(batches):
-            found = measure(part.column(1).to_pylist(), cache)
+            found = measure(part.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([part.column(2), *(pa.array(found[n]) for n in names)], names=["__rest", *names])
 
     out = source.mapInArrow(run, f"__rest {source.schema['__rest'].dataType.simpleString()}, {COLUMNS}") if rest else source.mapInArrow(lambda it: (pa.RecordBatch.from_arrays(list(b.columns)[1:], names=names) for b in run(it)), COLUMNS)

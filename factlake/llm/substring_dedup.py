@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factlake.llm.common import WordHashes, Workspace, as_bytes, hash_words, mix, rolling, slices
+from factlake.llm.common import Workspace, as_bytes, hash_words, mix, rolling, slices
 
 WINDOW, ANCHOR = 13, 5
 
@@ -24,8 +24,8 @@ WINDOW, ANCHOR = 13, 5
 class Windows:
     """All windows of several texts: hash, text, position, anchor and run of each."""
 
-    def __init__(self, texts: list[bytes | None], cache: WordHashes, size: int):
-        self.words, self.starts = hash_words(texts, cache)
+    def __init__(self, texts: list[bytes | None], size: int):
+        self.words, self.starts = hash_words(texts)
         doc = np.repeat(np.arange(len(texts)), np.diff(self.starts))
         n = max(0, len(self.words) - size + 1)
         self.at = np.flatnonzero(doc[:n] == doc[size - 1 : size - 1 + n])
@@ -69,10 +69,9 @@ def anchors(docs: DataFrame, size: int) -> DataFrame:
     shuffled; a run's hash has 48 bits, as it is compared among the runs of one anchor only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for part in slices(batches):
             ids, tags = part.column(0).to_numpy(), part.column(2).to_numpy()
-            w = Windows(part.column(1).to_pylist(), cache, size)
+            w = Windows(part.column(1).to_pylist(), size)
             if not len(w.at):
                 continue
             row = w.doc[w.first]
@@ -99,11 +98,10 @@ def candidate_windows(docs: DataFrame, size: int, schema_names: list[str]) -> Da
     to go, so that only one row for each hash of a slice remains to be compared; sure ones are merged into intervals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         ordered = (b.select([schema_names.index(c) for c in ("doc", "text", "compare", "tag")]) for b in batches)
         for part in slices(ordered):
             ids, tags = part.column(0).to_numpy(), part.column(3).to_numpy()
-            w = Windows(part.column(1).to_pylist(), cache, size)
+            w = Windows(part.column(1).to_pylist(), size)
             wanted = np.zeros(len(w.at), bool)
             bounds = np.searchsorted(w.doc, np.arange(len(ids) + 1))
             for i, keys in enumerate(part.column(2)):
@@ -165,11 +163,10 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, key: str = "doc_id", tex
     schema = T.StructType([source.schema["rest"], T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", interval), T.StructField("kept_text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for part in slices(batches):
             texts, gone, spans = part.column(1).to_pylist(), part.column(3), part.column(4)
             hit = [i for i in range(len(texts)) if gone[i].is_valid and len(gone[i].values)]
-            w = Windows([texts[i] for i in hit], cache, size)
+            w = Windows([texts[i] for i in hit], size)
             bounds = np.searchsorted(w.doc, np.arange(len(hit) + 1))
             runs: dict[int, np.ndarray] = {}
             for j, i in enumerate(hit):

@@ -13,6 +13,9 @@ differ in so few features that at least one part, or one subset of the parts, ag
 Candidates are not paired within a group. Each signature's most central member, that has the
 fewest features of its own, is compared to the others first; links join groups into
 components, and only members of different components that were not compared yet go on.
+
+Links are counted once the components are known: any two linked sets are in one, so each component's sets are dealt into blocks
+and all pairs of blocks compared, as products of matrices (sets by features). Tables hold a row for each set and block, not for each pair.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ ROUNDS, REMAINING = 3, 8
 PARITY = 1024
 #: How many times finer the parts of the sets that pass the first selection are.
 FINE = 3
+#: Sets and features of a block of a component when links are counted (on average), and features of one product of matrices.
+BLOCK_SETS, BLOCK_FEATURES, PRODUCT = 512, 1 << 19, 1 << 12
 
 
 def shingle_sets(texts: list[bytes | None], n: int = WORDS) -> Iterator[np.ndarray]:
@@ -207,8 +212,60 @@ def parities(sets: DataFrame) -> DataFrame:
     return sets.mapInArrow(run, "rep long, " + ", ".join(f"p{i} long" for i in range(PARITY // 64)))
 
 
+def linked_weights(sizes: np.ndarray, features: np.ndarray, weights: np.ndarray, right: np.ndarray | None, percent: int = PERCENT) -> np.ndarray:
+    """For each set the weight of the other sets that it links with. right: which sets are the second block's, so that only pairs
+    between the two blocks count; None: one block, all of its pairs."""
+    a, b = (np.arange(len(sizes)),) * 2 if right is None else (np.flatnonzero(~right), np.flatnonzero(right))
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    _, which, many = np.unique(features, return_inverse=True, return_counts=True)
+    common = many > 1  # features of one set alone are in no intersection
+    place = np.cumsum(common) - 1
+    owner, which = owner[common[which]], place[which[common[which]]]
+    order = np.argsort(which, kind="stable")
+    owner, which = owner[order], which[order]
+    both = np.zeros((len(a), len(b)), np.float32)
+    total = int(common.sum())
+    for start in range(0, total, PRODUCT):
+        i, j = np.searchsorted(which, [start, start + PRODUCT])
+        m = np.zeros((len(sizes), min(PRODUCT, total - start)), np.float32)
+        m[owner[i:j], which[i:j] - start] = 1
+        both += m[a] @ m[b].T  # whole numbers below 2^24, so exact
+    both = both.astype(np.int64)
+    hit = 100 * both >= percent * (sizes[a][:, None] + sizes[b][None, :] - both)
+    out = np.zeros(len(sizes), np.int64)
+    if right is None:
+        np.fill_diagonal(hit, False)
+        out[:] = hit @ weights
+    else:
+        out[a], out[b] = hit @ weights[b], weights[a] @ hit
+    return out
+
+
+def count_links(work: Workspace, sets: DataFrame, where: DataFrame, copies: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """rep and n_others: rows of the other sets that each set (doc, features) links with. where: node and component of all that
+    are not their component's smallest; copies: rep, n and copies (rows of its set)."""
+    nodes = where.unionByName(where.select(F.col("component").alias("node"), "component").distinct())
+    nodes = work.keep(nodes.withColumnRenamed("node", "rep").join(copies, "rep"))
+    parts = nodes.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_FEATURES)).cast("int").alias("parts"))
+    dealt = nodes.join(parts, "component").selectExpr("rep", "component", "copies", "parts", "cast(pmod(xxhash64(rep), parts) as int) as own")
+    dealt = dealt.selectExpr("*", "explode(sequence(0, parts - 1)) as other").selectExpr("rep", "component", "copies", "own", "least(own, other) as lower", "greatest(own, other) as upper")
+    dealt = dealt.join(sets.withColumnRenamed("doc", "rep"), "rep").select("component", "lower", "upper", "rep", "copies", "own", "features")
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        lists = block.column("features").combine_chunks()
+        own, lower, upper = (block.column(c).to_numpy() for c in ("own", "lower", "upper"))
+        weights = block.column("copies").to_numpy()
+        right = own == upper if lower[0] != upper[0] else None
+        out = linked_weights(np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten().to_numpy(), weights, right, percent)
+        return pa.table({"rep": block.column("rep"), "n_others": pa.array(out)})
+
+    found = dealt.groupBy("component", "lower", "upper").applyInArrow(run, "rep long, n_others long")
+    return work.keep(found.groupBy("rep").agg(F.sum("n_others").alias("n_others")))
+
+
 def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links (verified links of its set that were needed to connect it) of each row.
+    """doc_id, n_shingles, component_id and n_links (other rows that it links with, copies of its own text among them) of each row.
 
     Words are runs of bytes other than space and \\x09-\\x0D, with A-Z lower-cased. A row's set is that of its n-word shingles; the
     whole sequence if it has fewer words; empty without words or text, and then linked with nothing. Rows link when
@@ -220,10 +277,10 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT,
     counted = work.keep(shingle_counts(source, n, percent))
 
     # Rows with one set: the smallest key of each partition's first rows stands for all.
-    firsts = counted.filter("n > 0").groupBy("first", "n", "h1", "h2").agg(F.min("doc").alias("least"), F.min("spare0").alias("spare0"), F.min("spare1").alias("spare1"))
+    firsts = counted.filter("n > 0").groupBy("first", "n", "h1", "h2").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("copies"), F.min("spare0").alias("spare0"), F.min("spare1").alias("spare1"))
     firsts = work.keep(firsts)
-    rep = work.keep(firsts.groupBy("n", "h1", "h2").agg(F.min("least").alias("rep")))
-    named = work.keep(firsts.join(rep, ["n", "h1", "h2"]).select("first", "n", "h1", "h2", "rep", "spare0", "spare1"))
+    rep = work.keep(firsts.groupBy("n", "h1", "h2").agg(F.min("least").alias("rep"), F.sum("copies").alias("copies")))
+    named = work.keep(firsts.drop("copies").join(rep, ["n", "h1", "h2"]).select("first", "n", "h1", "h2", "rep", "copies", "spare0", "spare1"))
 
     # Members of signatures that more than one set has, and of these the rarest that each set needs.
     signed = signature_rows(source, n, percent)
@@ -290,9 +347,9 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT,
             break
         active = active.filter("rep <> centre.rep").select("signature", "rep", "n", "lone")
 
-    degree = links.selectExpr("explode(array(a, b)) as rep").groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    told = named.join(where.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    told = told.select("first", "n", "h1", "h2", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    others = count_links(work, sets, where, rep.select("rep", "n", "copies"), percent)
+    told = named.join(where.withColumnRenamed("node", "rep"), "rep", "left").join(others, "rep", "left")
+    told = told.select("first", "n", "h1", "h2", F.coalesce("component", "rep").alias("component_id"), (F.col("copies") - 1 + F.coalesce("n_others", F.lit(0))).alias("n_links"))
     out = counted.join(told, ["first", "n", "h1", "h2"], "left")
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 

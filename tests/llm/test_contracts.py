@@ -102,6 +102,26 @@ def test_signatures_are_shared(seed):
         assert looked_at(sx, x) & looked_at(sy, y), (a, b)
 
 
+def jaccard_links(docs, words=5):
+    """How many other rows each row links with, by comparing all pairs."""
+    grams = {i: {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if (w := (t or "").lower().split()) else set() for i, t in docs}
+    return {i: sum(1 for j, h in grams.items() if i != j and g and 100 * len(g & h) >= 80 * len(g | h)) for i, g in grams.items()}
+
+
+def test_op1_counts_all_links(spark, monkeypatch):
+    """Members of a group of similar, different texts link with each other, and with each copy; also where blocks are small."""
+    common = [f"c{i}" for i in range(200)]
+    docs = [(i, " ".join([*common, f"x{i}"])) for i in range(30)] + [(100 + i, " ".join([*common, f"x{i % 3}"])) for i in range(7)]
+    docs += [(200 + i, " ".join(f"k{j}" for j in range(i, i + 120))) for i in range(0, 60, 3)] + [(300 + i, t) for i, t in enumerate(["a b", "a b", "a c", "", None])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = jaccard_links(docs)
+    assert want[5] == 36 and want[300] == 1
+    assert {r.doc_id: r.n_links for r in ngram_join.jaccard_components(df).collect()} == want
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 4)
+    monkeypatch.setattr(ngram_join, "PRODUCT", 16)
+    assert {r.doc_id: r.n_links for r in ngram_join.jaccard_components(df).collect()} == want
+
+
 def test_op1_chain_and_false_candidates(spark):
     """Chains of near copies join through their neighbours; sets that share much, but not enough, stay apart."""
     common = [f"c{i}" for i in range(40)]

@@ -145,35 +145,39 @@ def shingle_counts(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> D
 
 
 def signature_rows(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """signature and doc, for the first row of each set in a partition."""
+    """signature, h1 and h2 (the set's hash, as in shingle_counts), once for each set in a partition. No row's name is given, as this
+    scan may be cut and ordered unlike that of shingle_counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(percent), set()
         for part in slices(batches):
             rows, owners = [], []
-            for i, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist(), n), strict=True):
+            for s in shingle_sets(part.column(1).to_pylist(), n):
                 with np.errstate(over="ignore"):
                     k = (int(s.sum(dtype=np.uint64)), int(mix(s).sum(dtype=np.uint64)), len(s))
                 if len(s) and k not in seen:
                     seen.add(k)
                     rows.append(bands.signatures(s))
-                    owners.append(i)
+                    owners.append(k[:2])
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows).view(np.int64)), pa.array(np.repeat(owners, [len(r) for r in rows]).astype(np.int64))], names=["signature", "doc"])
+                own = np.repeat(np.array(owners, np.uint64).view(np.int64), [len(r) for r in rows], axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows).view(np.int64)), *(pa.array(np.ascontiguousarray(own[:, i])) for i in (0, 1))], names=["signature", "h1", "h2"])
 
-    return docs.mapInArrow(run, "signature long, doc long")
+    return docs.mapInArrow(run, "signature long, h1 long, h2 long")
 
 
 def sets_of(docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """doc and features (its shingles' hashes)."""
+    """doc, h1, h2 (as in shingle_counts) and features (its shingles' hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             found = list(shingle_sets(part.column(1).to_pylist(), n))
             ends = np.cumsum([0, *map(len, found)])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found).view(np.int64)))], names=["doc", "features"])
+            with np.errstate(over="ignore"):
+                h1, h2 = (np.array([f(s).sum(dtype=np.uint64) for s in found], np.uint64).view(np.int64) for f in (np.asarray, mix))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(h1), pa.array(h2), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found).view(np.int64)))], names=["doc", "h1", "h2", "features"])
 
-    return docs.mapInArrow(run, "doc long, features array<long>")
+    return docs.mapInArrow(run, "doc long, h1 long, h2 long, features array<long>")
 
 
 def fine_rows(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -279,22 +283,23 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT,
     # Rows with one set: the smallest key of each partition's first rows stands for all.
     firsts = counted.filter("n > 0").groupBy("first", "n", "h1", "h2").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("copies"), F.min("spare0").alias("spare0"), F.min("spare1").alias("spare1"))
     firsts = work.keep(firsts)
-    rep = work.keep(firsts.groupBy("n", "h1", "h2").agg(F.min("least").alias("rep"), F.sum("copies").alias("copies")))
-    named = work.keep(firsts.drop("copies").join(rep, ["n", "h1", "h2"]).select("first", "n", "h1", "h2", "rep", "copies", "spare0", "spare1"))
+    rep = work.keep(firsts.groupBy("n", "h1", "h2").agg(F.min("least").alias("rep"), F.sum("copies").alias("copies"), F.min("spare0").alias("spare0"), F.min("spare1").alias("spare1")))
+    named = work.keep(firsts.select("first", "n", "h1", "h2").join(rep, ["n", "h1", "h2"]).select("first", "n", "h1", "h2", "rep", "copies"))
 
     # Members of signatures that more than one set has, and of these the rarest that each set needs.
     signed = signature_rows(source, n, percent)
-    shared = work.keep(signed.selectExpr("signature", "doc", "count(*) over (partition by signature) as many").filter("many > 1"))
+    shared = signed.selectExpr("*", "count(*) over (partition by signature) as many").filter("many > 1")
+    shared = work.keep(shared.groupBy("signature", "h1", "h2").agg(F.min("many").alias("many")))
     work.release()
-    owners = named.select(F.col("first").alias("doc"), "n", "rep", "spare0", "spare1")
-    members = shared.join(owners, "doc").groupBy("signature", "rep").agg(*[F.min(c).alias(c) for c in ("n", "many", "spare0", "spare1")])
+    members = shared.join(rep.select("h1", "h2", "n", "rep", "spare0", "spare1"), ["h1", "h2"])
     band = "(signature & 63)"
-    members = members.selectExpr("*", f"row_number() over (partition by rep, {band} order by many, signature) as place", f"count(*) over (partition by rep, {band}) as found")
+    members = members.selectExpr("*", f"row_number() over (partition by h1, h2, {band} order by many, signature) as place", f"count(*) over (partition by h1, h2, {band}) as found")
     # A set's own band is the length of its size in base 2, less one.
-    members = members.filter(f"place <= found + if({band} = length(bin(n)) - 1, spare0, spare1)").select("signature", "rep", "n")
-    wanted = work.keep(members.selectExpr("rep as doc", "count(*) over (partition by signature) as many").filter("many > 1").select("doc").distinct())
+    members = members.filter(f"place <= found + if({band} = length(bin(n)) - 1, spare0, spare1)").select("signature", "rep", "h1", "h2")
+    wanted = work.keep(members.selectExpr("rep as doc", "h1", "h2", "count(*) over (partition by signature) as many").filter("many > 1").select("doc", "h1", "h2").distinct())
     work.drop(shared)
-    sets = work.keep(sets_of(source.join(wanted, "doc", "left_semi").select("doc", "text"), n).dropDuplicates(["doc"]))
+    sets = sets_of(source.join(wanted.select("doc"), "doc", "left_semi").select("doc", "text"), n)
+    sets = work.keep(sets.join(wanted, ["doc", "h1", "h2"], "left_semi").select("doc", "features").dropDuplicates(["doc"]))
 
     # The same among these sets alone, by finer parts: that is close to comparing their rarest features, and leaves few false pairs.
     fine = fine_rows(sets, percent).selectExpr("*", "count(*) over (partition by signature) as many").filter("many > 1")

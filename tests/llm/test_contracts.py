@@ -122,6 +122,16 @@ def test_op1_counts_all_links(spark, monkeypatch):
     assert {r.doc_id: r.n_links for r in ngram_join.jaccard_components(df).collect()} == want
 
 
+def test_op1_scans_of_different_order(spark, monkeypatch):
+    """Signatures come from a scan of their own, which may meet the copies of a set in another order."""
+    common = [f"c{i}" for i in range(60)]
+    docs = [(i, " ".join([*common, "x"])) for i in (1, 2)] + [(3, " ".join([*common, "y"])), (4, " ".join([*common, "y"]))]
+    real = ngram_join.signature_rows
+    monkeypatch.setattr(ngram_join, "signature_rows", lambda df, *a: real(df.coalesce(1).sortWithinPartitions(F.desc("doc")), *a))
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    assert {tuple(r)[:3] for r in ngram_join.jaccard_components(df).collect()} == brute.op1(docs)
+
+
 def test_op1_chain_and_false_candidates(spark):
     """Chains of near copies join through their neighbours; sets that share much, but not enough, stay apart."""
     common = [f"c{i}" for i in range(40)]

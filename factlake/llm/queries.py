@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlake.llm import bpe, ngram_join, packing, quality, secret_scan, substring_dedup, token_counts, token_shards, url_rules, vector_blocks
+from factlake.llm.common import shared_folder
 
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
@@ -68,7 +71,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ordered = token_shards.training_order(_documents(spark, sf_dir), tokenizer_path(), ORDER_KEY)
+    at = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    ordered = token_shards.stored_order(_documents(spark, sf_dir), tokenizer_path(), at, ORDER_KEY)
     return ordered.withColumnRenamed("keys", "doc_ids")
 
 

@@ -2,11 +2,13 @@
 
 A Feistel network over the sequence numbers, with cycle-walking into their range, is a permutation that needs no shuffled list:
 every sequence's slot follows from its number, the number of sequences and the key. Each shard holds a range of slots as
-records of equal size, so a reader gets slot s at byte (s % records) * stride of shard s // records, and resumes anywhere.
+records of equal size, so a reader gets slot s at byte (s % records) * stride of shard s // records, and resumes anywhere. In the
+files the stride is a payload and a line feed.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +42,11 @@ def slots(numbers: np.ndarray, total: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def id_code(m: bpe.Model) -> str:
+    """How payloads hold ids."""
+    return "<u2" if len(m.lengths) <= 1 << 16 else "<u4"
+
+
 def token_records(docs: DataFrame, path: str, size: int, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Sequences of `size` ids cut from each partition's documents, one after another, each ended by end_id: part, local (number
     there), n_tokens (fewer than `size` in a partition's last only), keys and lengths of their documents' pieces, and payload
@@ -49,7 +56,7 @@ def token_records(docs: DataFrame, path: str, size: int, end_id: int, key: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known, end = bpe.model(raw.value), bpe.pieces(raw.value, fast=True), end_id.to_bytes(4, "little")
-        code = "<u2" if len(m.lengths) <= 1 << 16 else "<u4"
+        code = id_code(m)
         part, local = TaskContext.get().partitionId(), 0
         rest, keys, lengths, rows = [], [], [], []
         free = size
@@ -88,14 +95,19 @@ def token_records(docs: DataFrame, path: str, size: int, end_id: int, key: str =
 
 
 def training_order(docs: DataFrame, path: str, order_key: int, size: int = 2048, records: int = 4096, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The records of all documents in training order: slot, shard, byte_offset (in its shard), n_tokens, keys, lengths, payload.
+    """The records of all documents in training order: slot, shard, byte_offset (among its shard's payloads; in files of write_shards
+    a line feed follows each, see stored_order), n_tokens, keys, lengths, payload.
 
     Slots are 0 .. number of sequences - 1, each once; partitions hold whole shards, sorted by slot. Null and empty texts have
     one id (end_id), null keys are carried, repeated rows are sequences' parts each for itself, an empty table has no record.
     The ids are written once to the shared folder, so a lost executor costs no second encoding, and shuffled once.
     """
-    spark, work = docs.sparkSession, Workspace(docs.sparkSession, "training-order")
-    kept = work.keep(token_records(docs, path, size, end_id, key, text))
+    kept = Workspace(docs.sparkSession, "training-order").keep(token_records(docs, path, size, end_id, key, text))
+    return _placed(kept, order_key, records)
+
+
+def _placed(kept: DataFrame, order_key: int, records: int) -> DataFrame:
+    spark = kept.sparkSession
     parts = kept.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     counts = sorted((r.part, r.n) for r in parts.collect())  # a pair of numbers for each input partition
     total = sum(n for _, n in counts)
@@ -109,7 +121,7 @@ def training_order(docs: DataFrame, path: str, order_key: int, size: int = 2048,
     width = F.length("payload")
     placed = kept.join(starts, "part").select(slot(F.col("first") + F.col("local")).alias("slot"), "n_tokens", "keys", "lengths", "payload")
     placed = placed.withColumn("shard", F.floor(F.col("slot") / records)).withColumn("byte_offset", (F.col("slot") % records) * width)
-    return placed.repartition("shard").sortWithinPartitions("shard", "slot").select("slot", "shard", "byte_offset", "n_tokens", "keys", "lengths", "payload")
+    return placed.repartitionByRange("shard").sortWithinPartitions("shard", "slot").select("slot", "shard", "byte_offset", "n_tokens", "keys", "lengths", "payload")
 
 
 def write_shards(ordered: DataFrame, path: str) -> None:
@@ -120,6 +132,38 @@ def write_shards(ordered: DataFrame, path: str) -> None:
     ordered.select("shard", F.col("payload").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").mode("overwrite").text(path)
 
 
+def stored_order(docs: DataFrame, path: str, at: str, order_key: int, size: int = 2048, records: int = 4096, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Writes the shards of training_order to the folder `at` and returns its rows with the payloads as the files hold them, and
+    byte_offset as the place in the shard's file. A record that is missing or is not the one of its slot raises an error."""
+    spark, work = docs.sparkSession, Workspace(docs.sparkSession, "training-order")
+    kept = work.keep(token_records(docs, path, size, end_id, key, text))
+    ordered = _placed(kept, order_key, records)
+    write_shards(ordered, at)
+    told = work.keep(ordered.select("slot", "shard", "n_tokens", "keys", "lengths", F.crc32("payload").alias("crc")))
+    work.drop(kept)
+    work.release()
+    code = id_code(bpe.model(bpe.vocabulary(spark, path).value))
+    stride = size * np.dtype(code).itemsize + 1
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(at)
+    files = files.select(F.regexp_extract("path", r"/shard=(\d+)/[^/]*$", 1).cast("long").alias("shard"), "content")
+
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        rows = rows.sort_by("slot")
+        data = found.column("content")[0].as_buffer() if found.num_rows == 1 else b""
+        if len(data) != rows.num_rows * stride:
+            raise ValueError(f"shard {rows.column('shard')[0]}: {found.num_rows} files, {len(data)} bytes for {rows.num_rows} records of {stride}")
+        first = rows.column("shard")[0].as_py() * records
+        index = rows.column("slot").to_numpy() - first
+        payloads = [r.tobytes() for r in read_slots(data, 0, rows.num_rows, size, code)]
+        if not np.array_equal(index, np.arange(rows.num_rows)) or [zlib.crc32(p) for p in payloads] != rows.column("crc").to_pylist():
+            raise ValueError(f"shard {rows.column('shard')[0]}: records are not those of their slots")
+        columns = {c: rows.column(c) for c in ("slot", "shard")} | {"byte_offset": pa.array(index * stride)}
+        return pa.table(columns | {c: rows.column(c) for c in ("n_tokens", "keys", "lengths")} | {"payload": pa.array(payloads, pa.binary())})
+
+    schema = ordered.schema
+    return told.groupBy("shard").cogroup(files.groupBy("shard")).applyInArrow(run, schema)
+
+
 def read_slots(data: bytes, first: int, count: int, size: int, code: str = "<u2") -> np.ndarray:
     """Records first .. first + count - 1 of a shard file's bytes (or of a part of them that begins with a record)."""
     stride = size * np.dtype(code).itemsize + 1

@@ -380,6 +380,24 @@ def test_shard_files(spark, folder, tmp_path):
             assert row.tobytes() == bytes(got[shard * 50 + first + i])
 
 
+def test_op9_reads_its_files(spark, folder, tmp_path):
+    """The stored order has the rows of the training order, and each record stands at its byte_offset of its shard's file."""
+    import glob
+
+    docs, path = spark.read.parquet(f"{folder}/documents.parquet"), queries.tokenizer_path()
+    got = sorted(token_shards.stored_order(docs, path, f"{tmp_path}/s", 5, size=64, records=50).collect(), key=lambda r: r.slot)
+    want = sorted(token_shards.training_order(docs, path, 5, size=64, records=50).collect(), key=lambda r: r.slot)
+    assert len(got) > 100 and [r.asDict() | {"byte_offset": 0} for r in got] == [r.asDict() | {"byte_offset": 0} for r in want]
+    files = {}
+    for r in got:
+        if r.shard not in files:
+            [file] = glob.glob(f"{tmp_path}/s/shard={r.shard}/part-*")
+            files[r.shard] = open(file, "rb").read()
+        assert files[r.shard][r.byte_offset : r.byte_offset + 129] == bytes(r.payload) + b"\n"
+    whole = queries.op9_training_order(spark, folder).collect()
+    assert whole and all(r.byte_offset == r.slot % 4096 * 4097 for r in whole)
+
+
 @pytest.mark.parametrize("total", [1, 2, 3, 5, 64, 65, 1000, 4097])
 def test_slots_are_a_permutation(total):
     import numpy as np

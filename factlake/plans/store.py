@@ -83,7 +83,7 @@ def relink_deletable(spark, d):
 
 
 def topic_slug(spark, d):
-    return S.facts(spark, d).select("id", T.slug(F.substring("data", 1, 200)).alias("slug"))
+    return S.facts(spark, d).select("id", T.slug(F.col("data")).alias("slug"))
 
 
 def trigram_similarity_pairs(spark, d):

@@ -87,3 +87,12 @@ def test_entity_gate(spark):
     cases = {"the one-liner in the folder": False, "just before end of": True, "embed job stalled and": True, "so the re": True, "": True, "gate": True, "release gate": False, "the fleet's release gate": True, "user's guide": False, "a genuine removal reds": True, "the current release gate": False, "embedding model": False, "removing models": True, "a|b cd": True, None: True}
     rows = spark.createDataFrame(list(cases.items()), "e string, want boolean").select(entities.low_quality(T.F.col("e")).alias("got"), "want", "e").collect()
     assert [r.e for r in rows if r.got != r.want] == []
+
+
+def test_topic_slug_of_the_whole_text(spark, tmp_path):
+    """Words count wherever they stand: after 200 signs, and one that begins before and ends after them."""
+    texts = ["!" * 300 + " One two", "x" * 250 + " y", "中" * 400]
+    rows = [(i, t, "src", "en") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.id: r.slug for r in store.queries()["topic_slug"](spark, str(tmp_path)).collect()}
+    assert got == {"0": "one_two", "1": "x" * 250 + "_y", "2": "memory"}

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -15,47 +14,88 @@ from pyspark.sql import functions as F
 #: Text bytes that a Python worker processes at once.
 SLICE_BYTES = 4 << 20
 #: Bytes whose words are hashed at once; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 16
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (local mode)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one in local mode, else an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the executors of {master} share")
         at = tempfile.mkdtemp(prefix="factlake-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
 class Workspace:
-    """Tables written to the shared folder, which cut the lineage; drop() deletes those that no later step reads."""
+    """Tables written to the shared folder, which cut the lineage. finish() deletes those that the result doesn't read; the rest goes when
+    Python exits, or with clear()."""
+
+    roots: dict[str, SparkSession] = {}
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.kept: dict[int, DataFrame] = {}
         self.count = 0
+        Workspace.roots[self.root] = spark
 
     def keep(self, df: DataFrame, compression: str = "zstd") -> DataFrame:
+        """Write a table and read it again. Its shuffle files are deleted as soon as it is written."""
         self.count += 1
         at = f"{self.root}/{self.count}"
-        df.write.option("compression", compression).parquet(at)
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", compression).parquet(at)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._kept_at = at
+        self.kept[self.count] = out
         return out
 
-    def release(self) -> None:
-        """Let Spark delete the shuffle files of plans that nothing refers to any more; else they stay until the driver's next collection."""
-        for _ in range(2):  # the second finds what the first one's finalisers have let go
-            gc.collect()
-            self.spark._jvm.System.gc()
-            time.sleep(0.5)
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            _delete(self.spark, df._kept_at)
+        self.kept = {n: df for n, df in self.kept.items() if df not in tables}
+
+    def finish(self, *read: DataFrame) -> None:
+        """Delete all tables but these, which the operator's result reads."""
+        self.drop(*[df for df in self.kept.values() if not any(df is r for r in read)])
+
+    @classmethod
+    def clear(cls) -> None:
+        """Delete all workspaces of this application. Results not written by then are lost."""
+        for root, spark in cls.roots.items():
+            if spark.sparkContext._jsc is not None:  # stopped: its folder goes with the cluster's own clean-up
+                _delete(spark, root)
+        cls.roots = {}
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
-    def drop(self, df: DataFrame) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._kept_at)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+atexit.register(Workspace.clear)
+
+
+def few_rows(docs: DataFrame, text: str, rows: int) -> DataFrame:
+    """About `rows` distinct texts (all, if there are no more), chosen by a hash of the text alone: the same ones however the table is
+    cut or ordered, copies once. The table is scanned once for the number of distinct texts (HyperLogLog); no row passes a single task."""
+    hashed = docs.select(F.col(text).cast("string").alias("t")).filter("t is not null").withColumn("h", F.xxhash64("t"))
+    different = hashed.agg(F.approx_count_distinct("h", 0.02)).first()[0]
+    if different <= rows:
+        return hashed.groupBy("h").agg(F.min("t").alias("t")).select("t")
+    top = int((1 << 62) * rows / different)
+    return hashed.filter(F.shiftrightunsigned("h", 2) < top).groupBy("h").agg(F.min("t").alias("t")).select("t")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -105,20 +145,13 @@ def slices(batches: Iterator, budget: int = SLICE_BYTES) -> Iterator:
 
 
 class _Bytes:
-    """Byte values as random 64-bit numbers, and powers of the base of their polynomials, as many as the longest block had bytes."""
+    """Bytes that end words, and a random 64-bit number for each byte at each of 64 places of a word."""
 
-    BASE = 0xD6E8FEB86659FD93
+    PLACES = 64
     code = np.arange(256, dtype=np.uint8)
     space = (code == 32) | ((code >= 9) & (code <= 13))
-    plain = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
-    folded = np.where((code >= 65) & (code <= 90), np.roll(plain, -32), plain)
-    power = np.ones(1, np.uint64)
-
-    @classmethod
-    def powers(cls, n: int) -> np.ndarray:
-        while len(cls.power) < n:
-            cls.power = np.concatenate([cls.power, cls.power * np.uint64(pow(cls.BASE, len(cls.power), 1 << 64))])
-        return cls.power
+    plain = mix(np.arange(1, 64 * 256 + 1, dtype=np.uint64) * _ODD)
+    folded = plain.reshape(64, 256)[:, np.where((code >= 65) & (code <= 90), code + 32, code)].ravel()
 
 
 def _block_words(texts: list[bytes | None], fold: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -127,21 +160,24 @@ def _block_words(texts: list[bytes | None], fold: bool) -> tuple[np.ndarray, np.
     gap = _Bytes.space[data]
     edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
     first, end = edge[::2], edge[1::2]
+    ends = np.cumsum([1 + len(t or b"") for t in texts])
+    place = np.arange(len(data), dtype=np.int32)
+    place -= np.repeat(np.r_[0, first].astype(np.int32), np.diff(np.r_[0, first, len(data)]))
     with np.errstate(over="ignore"):
-        power = _Bytes.powers(len(data))
-        total = (_Bytes.folded if fold else _Bytes.plain)[data]
-        total *= power[: len(data)]
+        total = (_Bytes.folded if fold else _Bytes.plain).take(((place & (_Bytes.PLACES - 1)) << 8) | data)
+        if len(first) and (end - first).max() > _Bytes.PLACES:  # each further run of places has a factor of its own
+            row = place // _Bytes.PLACES
+            factor = mix(np.arange(int(row.max()) + 1, dtype=np.uint64)) | np.uint64(1)  # 1 for the first
+            total *= factor.take(row)
         np.cumsum(total, out=total)
-        # Moved to one place: times base^(n - first), and for all by base^-n.
-        back = np.uint64(pow(_Bytes.BASE, -(len(data) - 1), 1 << 64))
-        words = mix((total[end - 1] - total[first - 1]) * power[len(data) - 1 - first] * back)
-    ends = np.cumsum([1 + len(t or b"") for t in texts])
+        words = mix(total[end - 1] - total[first - 1] + (end - first).astype(np.uint64) * _ODD)
     return words, np.diff(np.searchsorted(first, ends), prepend=0)
 
 
 def hash_words(texts: list[bytes | None], fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of all texts, one after another, and the offsets at which each text begins (one more at the end).
-    fold: A-Z are lower-cased. A word's hash is a polynomial of its bytes modulo 2^64, so numpy makes those of a block at once."""
+    fold: A-Z are lower-cased. Each byte at each place of a word has a pseudo-random number, and a word's hash is the mixed sum of
+    these: numpy makes those of a block at once, and no pattern of letters makes long words collide, as it does for polynomials."""
     words, counts, start, held = [], [np.zeros(1, np.int64)], 0, 0
     for i, t in enumerate(texts):
         held += len(t or b"")

@@ -10,12 +10,16 @@ differ in so few features that at least one part, or one subset of the parts, ag
   among these in both, as too few parts differ to push it out. So parts that many texts share by chance, such as those of a common
   passage, are left out without loss.
 
-Candidates are not paired within a group. Each signature's most central member, that has the
-fewest features of its own, is compared to the others first; links join groups into
-components, and only members of different components that were not compared yet go on.
+(In PartEnum's terms: as many first-level parts as features may differ and one more at least, and second-level subsets for small
+sets only.) A set with so few parts that two linked ones could agree on empty parts alone has signatures of these, too.
 
-Links are counted once the components are known: any two linked sets are in one, so each component's sets are dealt into blocks
-and all pairs of blocks compared, as products of matrices (sets by features). Tables hold a row for each set and block, not for each pair.
+Candidates are not paired within a group. Each signature's most central member, that has the fewest features of its own, is
+compared to the others first; links join groups into components, and only members of different components go on. What a few such
+turns leave is dealt into blocks of bounded size and compared as products of matrices (sets by features), block by block.
+
+Links are counted once the components are known: any two linked sets are in one, so each component's sets are compared in blocks, too.
+Tables hold a row for each set and block, not for each pair. Counts by signature are aggregates that combine on the map side, joined
+back to the rows, so that a signature of many sets isn't one task's work.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factlake.llm.common import Workspace, as_bytes, hash_words, mix, rolling, slices
@@ -34,14 +38,14 @@ from factlake.llm.components import components
 WORDS = 5
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Rounds of comparing with one member of each group before the remaining pairs of different components are formed, unless these
-#: are fewer than REMAINING for each member anyway.
+#: Rounds of comparing with one member of each group before what remains is compared in blocks, unless that is fewer than REMAINING
+#: pairs for each member anyway.
 ROUNDS, REMAINING = 3, 8
 #: Cells of the parity tables (a multiple of 64).
 PARITY = 1024
 #: How many times finer the parts of the sets that pass the first selection are.
 FINE = 3
-#: Sets and features of a block of a component when links are counted (on average), and features of one product of matrices.
+#: Sets and features of a block (on average), and features of one product of matrices.
 BLOCK_SETS, BLOCK_FEATURES, PRODUCT = 512, 1 << 19, 1 << 12
 
 
@@ -92,7 +96,8 @@ class Bands:
         out = [0, 0]
         for i, (band, parts, differ) in enumerate(self.scheme(len(features)) if len(features) else []):
             if band >= 4:
-                out[i] = differ + 1 - int(np.count_nonzero(np.bincount((features % np.uint64(parts)).astype(np.int64), minlength=parts)))
+                filled = int(np.count_nonzero(np.bincount((features % np.uint64(parts)).astype(np.int64), minlength=parts)))
+                out[i] = differ + 1 - (filled if filled > differ else parts)
         return out
 
     def signatures(self, features: np.ndarray) -> np.ndarray:
@@ -112,19 +117,21 @@ class Bands:
                     sums = np.array([sums[list(s)].sum(dtype=np.uint64) for s in subsets], np.uint64)
                     names = np.arange(len(subsets), dtype=np.uint64)
                 else:
-                    names = np.flatnonzero(counts).astype(np.uint64)  # all sets agree on empty parts
+                    filled = np.flatnonzero(counts)
+                    # All sets agree on empty parts, so these count only where they may be all that two linked sets agree on.
+                    names = (filled if len(filled) > differ else np.arange(parts)).astype(np.uint64)
                     sums = sums[names]
                 out.append((mix(sums + mix(names + np.uint64((band + 1) << 40))) & ~np.uint64(63)) | np.uint64(band))
         return np.concatenate(out)
 
 
 def _prepare(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("doc"), as_bytes(text).alias("text")).filter("doc is not null")
+    return docs.select(F.col(key).cast("long").alias("doc"), as_bytes(text).alias("text"), F.xxhash64(text).alias("tag")).filter("doc is not null")
 
 
 def shingle_counts(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc, n (distinct shingles), first (a row of this partition with the same set: the first), h1, h2 (the set's hash, 128 bits),
-    spare0, spare1 (see Bands.spare)."""
+    """doc, tag (as given), n (distinct shingles), first (a row of this partition with the same set: the first), h1, h2 (the set's hash,
+    128 bits), spare0, spare1 (see Bands.spare)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, bands = {}, Bands(percent)
@@ -139,9 +146,9 @@ def shingle_counts(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> D
                 h1.append(k[0])
                 h2.append(k[1])
                 spare.append(bands.spare(s) if firsts[-1] == i else (0, 0))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(firsts, pa.int64()), pa.array(np.array(h1, np.uint64).view(np.int64)), pa.array(np.array(h2, np.uint64).view(np.int64)), *(pa.array([x[i] for x in spare], pa.int32()) for i in (0, 1))], names=["doc", "n", "first", "h1", "h2", "spare0", "spare1"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(firsts, pa.int64()), pa.array(np.array(h1, np.uint64).view(np.int64)), pa.array(np.array(h2, np.uint64).view(np.int64)), *(pa.array([x[i] for x in spare], pa.int32()) for i in (0, 1))], names=["doc", "tag", "n", "first", "h1", "h2", "spare0", "spare1"])
 
-    return docs.mapInArrow(run, "doc long, n long, first long, h1 long, h2 long, spare0 int, spare1 int")
+    return docs.mapInArrow(run, "doc long, tag long, n long, first long, h1 long, h2 long, spare0 int, spare1 int")
 
 
 def signature_rows(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -181,7 +188,7 @@ def sets_of(docs: DataFrame, n: int = WORDS) -> DataFrame:
 
 
 def fine_rows(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """signature, rep, n, spare of sets (doc, features), cut into finer parts."""
+    """signature, rep, n, spare of sets (rep, features), cut into finer parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent, FINE)
@@ -216,9 +223,9 @@ def parities(sets: DataFrame) -> DataFrame:
     return sets.mapInArrow(run, "rep long, " + ", ".join(f"p{i} long" for i in range(PARITY // 64)))
 
 
-def linked_weights(sizes: np.ndarray, features: np.ndarray, weights: np.ndarray, right: np.ndarray | None, percent: int = PERCENT) -> np.ndarray:
-    """For each set the weight of the other sets that it links with. right: which sets are the second block's, so that only pairs
-    between the two blocks count; None: one block, all of its pairs."""
+def block_hits(sizes: np.ndarray, features: np.ndarray, right: np.ndarray | None, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indices of the sets of two blocks, and which of their pairs are linked. right: which sets are the second block's; None: both are
+    one block, whose sets are not linked with themselves."""
     a, b = (np.arange(len(sizes)),) * 2 if right is None else (np.flatnonzero(~right), np.flatnonzero(right))
     owner = np.repeat(np.arange(len(sizes)), sizes)
     _, which, many = np.unique(features, return_inverse=True, return_counts=True)
@@ -236,130 +243,203 @@ def linked_weights(sizes: np.ndarray, features: np.ndarray, weights: np.ndarray,
         both += m[a] @ m[b].T  # whole numbers below 2^24, so exact
     both = both.astype(np.int64)
     hit = 100 * both >= percent * (sizes[a][:, None] + sizes[b][None, :] - both)
-    out = np.zeros(len(sizes), np.int64)
     if right is None:
         np.fill_diagonal(hit, False)
+    return a, b, hit
+
+
+def linked_weights(sizes: np.ndarray, features: np.ndarray, weights: np.ndarray, right: np.ndarray | None, percent: int = PERCENT) -> np.ndarray:
+    """For each set the weight of the other sets that it links with; of those of the other block only, if there are two."""
+    a, b, hit = block_hits(sizes, features, right, percent)
+    out = np.zeros(len(sizes), np.int64)
+    if right is None:
         out[:] = hit @ weights
     else:
         out[a], out[b] = hit @ weights[b], weights[a] @ hit
     return out
 
 
+def joining_links(sizes: np.ndarray, features: np.ndarray, components_: np.ndarray, right: np.ndarray | None, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links between sets of different components, as many as join these: fewer than there are sets."""
+    a, b, hit = block_hits(sizes, features, right, percent)
+    hit &= components_[a][:, None] != components_[b][None, :]
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(hit), strict=True):
+        x, y = find(int(components_[a[i]])), find(int(components_[b[j]]))
+        if x != y:
+            root[y] = x
+            out.append((int(a[i]), int(b[j])))
+    return out
+
+
+def blocked(members: DataFrame, group: str, sets: DataFrame) -> DataFrame:
+    """Members (group, rep, n, ...) with their features, dealt into blocks: `lower` and `upper` are the two blocks that meet, `own` that of the
+    row. A group of one block has a task's bucket with others (`bucket`); a larger one is spread by its pairs of blocks."""
+    size = members.groupBy(group).agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_FEATURES)).cast("int").alias("parts"), F.sum("n").alias("total"))
+    buckets = int((size.agg(F.sum(F.when(F.col("parts") == 1, F.col("total")))).first()[0] or 0) // BLOCK_FEATURES + 1)
+    dealt = members.join(size.drop("total"), group).selectExpr("*", "cast(pmod(xxhash64(rep), parts) as int) as own", f"if(parts = 1, pmod(xxhash64({group}), {buckets}), -1 - {group}) as bucket")
+    dealt = dealt.selectExpr("*", "explode(sequence(0, parts - 1)) as other").selectExpr("*", "least(own, other) as lower", "greatest(own, other) as upper").drop("parts", "other")
+    return dealt.join(sets, "rep")
+
+
+def _each_block(table: pa.Table, group: str) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """The groups of a bucket: rows, sizes, features and which are the second block's."""
+    table = table.sort_by(group).combine_chunks()
+    keys = table.column(group).to_numpy()
+    edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
+    for i, j in zip(edge[:-1], edge[1:], strict=True):
+        rows = table.slice(i, j - i)
+        lists = rows.column("features").combine_chunks()
+        own, lower, upper = (rows.column(c).to_numpy() for c in ("own", "lower", "upper"))
+        yield rows, np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten().to_numpy(), own == upper if lower[0] != upper[0] else None
+
+
 def count_links(work: Workspace, sets: DataFrame, where: DataFrame, copies: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """rep and n_others: rows of the other sets that each set (doc, features) links with. where: node and component of all that
+    """rep and n_others: rows of the other sets that each set (rep, features) links with. where: node and component of all that
     are not their component's smallest; copies: rep, n and copies (rows of its set)."""
     nodes = where.unionByName(where.select(F.col("component").alias("node"), "component").distinct())
     nodes = work.keep(nodes.withColumnRenamed("node", "rep").join(copies, "rep"))
-    parts = nodes.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_FEATURES)).cast("int").alias("parts"))
-    dealt = nodes.join(parts, "component").selectExpr("rep", "component", "copies", "parts", "cast(pmod(xxhash64(rep), parts) as int) as own")
-    dealt = dealt.selectExpr("*", "explode(sequence(0, parts - 1)) as other").selectExpr("rep", "component", "copies", "own", "least(own, other) as lower", "greatest(own, other) as upper")
-    dealt = dealt.join(sets.withColumnRenamed("doc", "rep"), "rep").select("component", "lower", "upper", "rep", "copies", "own", "features")
-
-    def run(block: pa.Table) -> pa.Table:
-        block = block.combine_chunks()
-        lists = block.column("features").combine_chunks()
-        own, lower, upper = (block.column(c).to_numpy() for c in ("own", "lower", "upper"))
-        weights = block.column("copies").to_numpy()
-        right = own == upper if lower[0] != upper[0] else None
-        out = linked_weights(np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten().to_numpy(), weights, right, percent)
-        return pa.table({"rep": block.column("rep"), "n_others": pa.array(out)})
-
-    found = dealt.groupBy("component", "lower", "upper").applyInArrow(run, "rep long, n_others long")
+
+    def run(table: pa.Table) -> pa.Table:
+        reps, found = [], []
+        for rows, sizes, features, right in _each_block(table, "component"):
+            reps.append(rows.column("rep").to_numpy())
+            found.append(linked_weights(sizes, features, rows.column("copies").to_numpy(), right, percent))
+        return pa.table({"rep": pa.array(np.concatenate(reps)), "n_others": pa.array(np.concatenate(found))})
+
+    found = blocked(nodes, "component", sets).groupBy("bucket", "lower", "upper").applyInArrow(run, "rep long, n_others long")
     return work.keep(found.groupBy("rep").agg(F.sum("n_others").alias("n_others")))
 
 
-def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links (other rows that it links with, copies of its own text among them) of each row.
+def link_blocks(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """a, b: links of members (signature, rep, n, component) of one signature that join different components."""
 
-    Words are runs of bytes other than space and \\x09-\\x0D, with A-Z lower-cased. A row's set is that of its n-word shingles; the
-    whole sequence if it has fewer words; empty without words or text, and then linked with nothing. Rows link when
-    100 * intersection >= percent * union; component_id is the smallest key that links reach. Rows with a null key are left out;
-    rows that repeat a key repeat in the result, each with its own n_shingles. Sets compare by 64-bit hashes of their shingles.
-    """
-    spark, work = docs.sparkSession, Workspace(docs.sparkSession, "ngram-join")
+    def run(table: pa.Table) -> pa.Table:
+        out: list[tuple[int, int]] = []
+        for rows, sizes, features, right in _each_block(table, "signature"):
+            reps = rows.column("rep").to_numpy()
+            out += [tuple(sorted((int(reps[i]), int(reps[j])))) for i, j in joining_links(sizes, features, rows.column("component").to_numpy(), right, percent)]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return blocked(members, "signature", sets).groupBy("bucket", "lower", "upper").applyInArrow(run, "a long, b long").distinct()
+
+
+def _linked_rows(work: Workspace, docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
+    """doc, tag (a hash of the text), n, component_id and n_links of each row with a key."""
     source = _prepare(docs, key, text)
     counted = work.keep(shingle_counts(source, n, percent))
 
-    # Rows with one set: the smallest key of each partition's first rows stands for all.
+    # Rows with one set are one: a number stands for it, as the same key may stand for several.
     firsts = counted.filter("n > 0").groupBy("first", "n", "h1", "h2").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("copies"), F.min("spare0").alias("spare0"), F.min("spare1").alias("spare1"))
     firsts = work.keep(firsts)
-    rep = work.keep(firsts.groupBy("n", "h1", "h2").agg(F.min("least").alias("rep"), F.sum("copies").alias("copies"), F.min("spare0").alias("spare0"), F.min("spare1").alias("spare1")))
-    named = work.keep(firsts.select("first", "n", "h1", "h2").join(rep, ["n", "h1", "h2"]).select("first", "n", "h1", "h2", "rep", "copies"))
-
-    # Members of signatures that more than one set has, and of these the rarest that each set needs.
-    signed = signature_rows(source, n, percent)
-    shared = signed.selectExpr("*", "count(*) over (partition by signature) as many").filter("many > 1")
-    shared = work.keep(shared.groupBy("signature", "h1", "h2").agg(F.min("many").alias("many")))
-    work.release()
-    members = shared.join(rep.select("h1", "h2", "n", "rep", "spare0", "spare1"), ["h1", "h2"])
+    rep = firsts.groupBy("n", "h1", "h2").agg(F.min("least").alias("least"), F.sum("copies").alias("copies"), F.min("spare0").alias("spare0"), F.min("spare1").alias("spare1"))
+    rep = work.keep(rep.withColumn("rep", F.monotonically_increasing_id()))
+    named = work.keep(firsts.select("first", "n", "h1", "h2").join(rep, ["n", "h1", "h2"]).select("first", "n", "h1", "h2", "rep", "least", "copies"))
+    work.drop(firsts)
+
+    # Members of signatures that more than one set has, and of these the rarest that each set needs. Copies of a set in other
+    # partitions count, too, but don't make a signature shared.
+    signed = work.keep(signature_rows(source, n, percent))
+    many = work.keep(signed.groupBy("signature").agg(F.count(F.lit(1)).alias("many"), F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo <> hi").select("signature", "many"))
+    shared = work.keep(signed.join(many, "signature"))
+    work.drop(signed, many)
+    members = shared.distinct().join(rep.select("h1", "h2", "n", "rep", "spare0", "spare1"), ["h1", "h2"])
     band = "(signature & 63)"
-    members = members.selectExpr("*", f"row_number() over (partition by h1, h2, {band} order by many, signature) as place", f"count(*) over (partition by h1, h2, {band}) as found")
+    members = members.selectExpr("*", f"row_number() over (partition by rep, {band} order by many, signature) as place", f"count(*) over (partition by rep, {band}) as found")
     # A set's own band is the length of its size in base 2, less one.
-    members = members.filter(f"place <= found + if({band} = length(bin(n)) - 1, spare0, spare1)").select("signature", "rep", "h1", "h2")
-    wanted = work.keep(members.selectExpr("rep as doc", "h1", "h2", "count(*) over (partition by signature) as many").filter("many > 1").select("doc", "h1", "h2").distinct())
+    members = work.keep(members.filter(f"place <= found + if({band} = length(bin(n)) - 1, spare0, spare1)").select("signature", "rep"))
     work.drop(shared)
-    sets = sets_of(source.join(wanted.select("doc"), "doc", "left_semi").select("doc", "text"), n)
-    sets = work.keep(sets.join(wanted, ["doc", "h1", "h2"], "left_semi").select("doc", "features").dropDuplicates(["doc"]))
+    again = members.groupBy("signature").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
+    wanted = members.join(again, "signature", "left_semi").select("rep").distinct().join(rep, "rep").select(F.col("least").alias("doc"), "h1", "h2", "rep")
+    wanted = work.keep(wanted)
+    work.drop(members)
+    sets = sets_of(source.join(wanted.select("doc").distinct(), "doc", "left_semi").select("doc", "text"), n)
+    sets = work.keep(sets.join(wanted, ["doc", "h1", "h2"]).select("rep", "features").dropDuplicates(["rep"]))
+    work.drop(wanted)
 
     # The same among these sets alone, by finer parts: that is close to comparing their rarest features, and leaves few false pairs.
-    fine = fine_rows(sets, percent).selectExpr("*", "count(*) over (partition by signature) as many").filter("many > 1")
+    fine = work.keep(fine_rows(sets, percent))
+    fine = fine.join(fine.groupBy("signature").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"), "signature")
     fine = fine.selectExpr("*", f"row_number() over (partition by rep, {band} order by many, signature) as place", f"count(*) over (partition by rep, {band}) as found").filter("place <= found + spare")
     # Features that no other set has differ in every pair, so two sets can be linked only if these are few in both together.
-    lone = sets.select("doc", F.explode("features").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("c"), F.min("doc").alias("rep")).filter("c = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("lone"))
-    fine = fine.join(work.keep(lone), "rep", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
-    central = "min(struct(lone, rep)) over (partition by signature)"
-    members = work.keep(fine.selectExpr("signature", "rep", "n", "lone", "count(*) over (partition by signature) as many", f"{central} as centre").filter("many > 1"))
+    lone = sets.select("rep", F.explode("features").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep")).filter("c = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("lone"))
+    members = work.keep(fine.select("signature", "rep", "n").join(work.keep(lone), "rep", "left").withColumn("lone", F.coalesce("lone", F.lit(0))))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose sets are similar enough."""
-        left, right = sets.select(F.col("doc").alias("a"), F.col("features").alias("fa")), sets.select(F.col("doc").alias("b"), F.col("features").alias("fb"))
+        left, right = sets.select(F.col("rep").alias("a"), F.col("features").alias("fa")), sets.select(F.col("rep").alias("b"), F.col("features").alias("fb"))
         both = F.size(F.array_intersect("fa", "fb"))
         return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * (F.size("fa") + F.size("fb") - both)).select("a", "b")
 
-    fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {100 + percent} * (la + lb) <= {100 - percent} * (na + nb)"
-    side = lambda df, x, *more: df.selectExpr("signature", f"rep as {x}", f"n as n{x}", f"lone as l{x}", *more)
-    ordered = "if(a < b, a, b) as a", "if(a < b, b, a) as b"
-    centred = side(members.filter("rep = centre.rep"), "a").join(side(members.filter("rep <> centre.rep"), "b"), "signature").filter(fits)
-    tried = work.keep(centred.selectExpr(*ordered).distinct())
+    def centred(rows: DataFrame, *more: Column, when: str = "true") -> DataFrame:
+        """Rows of signatures of more than one member, with the most central one of these as `centre`."""
+        centre = rows.groupBy("signature").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("lone", "rep", "n")).alias("centre"), *more).filter("many > 1").filter(when)
+        return rows.join(centre.select("signature", "centre"), "signature")
+
+    fits = f"rep <> centre.rep and 100 * least(n, centre.n) >= {percent} * greatest(n, centre.n) and {100 + percent} * (lone + centre.lone) <= {100 - percent} * (n + centre.n)"
+    ordered = "least(rep, centre.rep) as a", "greatest(rep, centre.rep) as b"
+    active = work.keep(centred(members))
+    tried = work.keep(active.filter(fits).selectExpr(*ordered).distinct())
     links = work.keep(linked(tried))
     where = components(work, links)
-    cells = [f"p{i}" for i in range(PARITY // 64)]
-    unlike = " + ".join(f"bit_count(a{c} ^ b{c})" for c in cells)
-    active = members.filter("rep <> centre.rep").select("signature", "rep", "n", "lone")
     odd = work.keep(parities(sets))
+    words = range(PARITY // 64)
+    unlike = " + ".join(f"bit_count(p{i} ^ q{i})" for i in words)
     for turn in range(ROUNDS):
-        own = active.join(where.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        window = "over (partition by signature)"
-        own = own.selectExpr("*", f"min(component) {window} as lowest", f"max(component) {window} as highest", f"{central} as centre").filter("lowest <> highest")
-        active = work.keep(own.select("signature", "rep", "n", "lone", "component", "centre"))
+        own = active.filter("rep <> centre.rep").drop("centre").join(where.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        active = work.keep(centred(own, F.min("component").alias("lowest"), F.max("component").alias("highest"), when="lowest <> highest").drop("many"))
         size = active.count()
         if not size:
             break
         group = active.groupBy("signature", "component").agg(F.count(F.lit(1)).alias("c"))
         left = group.groupBy("signature").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")).agg(F.sum("pairs")).first()[0]
-        last = left <= REMAINING * size + 10_000 or turn == ROUNDS - 1
-        known = active.join(odd, "rep")
-        others = known if last else known.filter("rep <> centre.rep")
-        x = side(known if last else known.filter("rep = centre.rep"), "a", "component as ca", *[f"{c} as a{c}" for c in cells])
-        y = side(others, "b", "component as cb", *[f"{c} as b{c}" for c in cells])
-        pairs = x.join(y, "signature").filter(f"ca <> cb and {fits} and {100 + percent} * ({unlike}) <= {100 - percent} * (na + nb)" + " and a < b" * last)
-        fresh = work.keep(pairs.selectExpr(*ordered).distinct().join(tried, ["a", "b"], "left_anti"))
+        if left <= REMAINING * size + 10_000 or turn == ROUNDS - 1:
+            found = work.keep(link_blocks(active.select("signature", "rep", "n", "component"), sets, percent))
+            if found.head(1):
+                where = components(work, links.unionByName(found))
+            break
+        other = odd.select(F.col("rep").alias("at"), *[F.col(f"p{i}").alias(f"q{i}") for i in words])
+        pairs = active.filter(fits).join(odd, "rep").withColumn("at", F.col("centre.rep")).join(other, "at")
+        pairs = pairs.filter(f"{100 + percent} * ({unlike}) <= {100 - percent} * (n + centre.n)").selectExpr(*ordered).distinct()
+        fresh = work.keep(pairs.join(tried, ["a", "b"], "left_anti"))
         found = work.keep(linked(fresh))
         if found.head(1):
             tried, links = tried.unionByName(fresh), links.unionByName(found)
             where = components(work, links)
-        if last:
-            break
-        active = active.filter("rep <> centre.rep").select("signature", "rep", "n", "lone")
+        active = active.drop("component")
 
     others = count_links(work, sets, where, rep.select("rep", "n", "copies"), percent)
-    told = named.join(where.withColumnRenamed("node", "rep"), "rep", "left").join(others, "rep", "left")
-    told = told.select("first", "n", "h1", "h2", F.coalesce("component", "rep").alias("component_id"), (F.col("copies") - 1 + F.coalesce("n_others", F.lit(0))).alias("n_links"))
+    inside = where.unionByName(where.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("node", "rep")
+    labels = inside.join(rep.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("component_id"))
+    told = named.join(inside.join(labels, "component").select("rep", "component_id"), "rep", "left").join(others, "rep", "left")
+    told = work.keep(told.select("first", "n", "h1", "h2", F.coalesce("component_id", "least").alias("component_id"), (F.col("copies") - 1 + F.coalesce("n_others", F.lit(0))).alias("n_links")))
+    work.finish(counted, told)
     out = counted.join(told, ["first", "n", "h1", "h2"], "left")
-    return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc", "tag", "n", F.coalesce("component_id", "doc").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links (other rows that it links with, copies of its own text among them) of each row.
+
+    Words are runs of bytes other than space and \\x09-\\x0D, with A-Z lower-cased. A row's set is that of its n-word shingles; the
+    whole sequence if it has fewer words; empty without words or text, and then linked with nothing. Rows link when
+    100 * intersection >= percent * union; component_id is the smallest key that links reach. Rows with a null key are left out;
+    rows that repeat a key are rows each for itself, with links of their own. Other columns are ignored; an empty table has no rows.
+    Sets compare by 64-bit hashes of their shingles.
+    """
+    out = _linked_rows(Workspace(docs.sparkSession, "ngram-join"), docs, n, percent, key, text)
+    return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), "component_id", "n_links")
 
 
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` that are the smallest of their component. Rows with a null key stay."""
-    drop = jaccard_components(docs, key=key, text=text).filter(f"component_id <> {key}").select(key).distinct()
-    return docs.join(drop, key, "left_anti").select(docs.columns)
+    """The rows of `docs` that are the smallest of their component. Rows with a null key stay, and so do repeats of a row that stays."""
+    rows = _linked_rows(Workspace(docs.sparkSession, "ngram-join"), docs, WORDS, PERCENT, key, text)
+    drop = rows.filter("component_id <> doc").select("doc", "tag").distinct()
+    return docs.join(drop, (docs[key].cast("long") == drop["doc"]) & (F.xxhash64(docs[text]) == drop["tag"]), "left_anti")

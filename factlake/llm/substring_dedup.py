@@ -151,7 +151,6 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, key: str = "doc_id", tex
     told = met.filter(~(whole & (F.col("doc") == F.col("least")))).filter("met <> 1").groupBy("doc", "tag").agg(F.collect_list(F.when(whole, F.col("anchor"))).alias("gone"), F.collect_list(F.when(~whole, F.col("anchor"))).alias("compare"))
     work = Workspace(docs.sparkSession, "substring-dedup")
     told = work.keep(told)
-    work.release()
     joined = known.join(told, ["doc", "tag"], "left").select("doc", "text", "tag", "rest", "gone", "compare")
 
     found = candidate_windows(joined.filter("size(compare) > 0"), size, joined.columns)

@@ -141,7 +141,6 @@ def stored_order(docs: DataFrame, path: str, at: str, order_key: int, size: int
     write_shards(ordered, at)
     told = work.keep(ordered.select("slot", "shard", "n_tokens", "keys", "lengths", F.crc32("payload").alias("crc")))
     work.drop(kept)
-    work.release()
     code = id_code(bpe.model(bpe.vocabulary(spark, path).value))
     stride = size * np.dtype(code).itemsize + 1
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(at)

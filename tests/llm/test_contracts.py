@@ -428,3 +428,51 @@ def test_pipeline(spark, folder, rows):
     assert all(brute.op5(r.text)[:3] == (0, 0, 0) for r in masked.collect())
     out = p.run(spark, folder)
     assert out.count() > 0 and {r.doc_id for r in out.select("doc_id").collect()} <= {r[0] for r in rows}
+
+
+def thue_morse():
+    """Two words of 1,024 letters whose polynomials are equal modulo 2^64 for every odd base and all byte values."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_long_words_that_polynomials_confuse(spark, tmp_path):
+    t, u = thue_morse()
+    front = [f"w{i}" for i in range(12)]
+    docs = [(1, t), (2, u), (3, " ".join([*front, t])), (4, " ".join([*front, u])), (5, f"x y {t} q x y {u} z"), (6, t.upper()), (7, f"{t} {t}"), (8, f"{u} {t}")]
+    spark.createDataFrame([(*d, None, None, None) for d in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r)[:3] for r in queries.op1_ngram_join(spark, str(tmp_path)).collect()} == brute.op1(docs)
+    assert Counter(tuple(r) for r in queries.op4_substring_dedup(spark, str(tmp_path)).collect()) == brute.op4(docs)
+    assert {tuple(r)[:7] for r in queries.op8_quality(spark, str(tmp_path)).collect()} == {(i, *brute.op8(x)) for i, x in docs}
+
+
+def test_op1_repeated_keys_with_other_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(90)), " ".join(f"b{i}" for i in range(90))
+    docs = [(5, a), (5, b), (6, a + " end"), (7, b + " end"), (9, "lone words of one row only here"), (9, a + " more")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert Counter((r.doc_id, r.component_id) for r in ngram_join.jaccard_components(df).collect()) == Counter([(5, 5), (5, 5), (6, 5), (7, 5), (9, 9), (9, 5)])
+    assert sorted(tuple(r) for r in ngram_join.keep_one_of_each(df).collect()) == sorted([(5, a), (5, b), docs[4]])
+
+
+def test_signatures_of_sets_with_few_parts():
+    """Linked sets all of whose shared features lie in parts that the differing ones hit, too, share a signature of an empty part."""
+    import numpy as np
+
+    bands = ngram_join.Bands()
+    [(_, parts, differ)] = [x for x in bands.scheme(16) if x[0] == 4]
+    one = lambda part, i: part + parts * (1000 + i)
+    x = np.array(sorted(one(i % 4, i) for i in range(16)), np.uint64)
+    y = np.array(sorted([*(one(i % 4, i) for i in range(16)), *(one(i, 100 + i) for i in range(4))]), np.uint64)
+    assert differ == 4 and len(y) == 20 and set(bands.signatures(x).tolist()) & set(bands.signatures(y).tolist())
+
+
+def test_op1_blocks_after_the_turns(spark, monkeypatch):
+    """Groups that the turns leave are compared in blocks, large and small ones."""
+    monkeypatch.setattr(ngram_join, "ROUNDS", 1)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 4)
+    common = [f"c{i}" for i in range(40)]
+    docs = [(i, " ".join([*common, *(f"x{i // 4}_{j}" for j in range(12 + i % 4))])) for i in range(60)]
+    got = {tuple(r)[:3] for r in ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute.op1(docs) and len({c for _, _, c in got}) == 15

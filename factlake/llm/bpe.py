@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 
 from factlake.llm.common import slices
 
-#: Pre-tokens whose ids a worker remembers before it starts afresh.
-PIECE_CACHE = 1 << 17
+#: Pre-tokens whose ids a worker remembers before it starts afresh, and the length from which on it remembers none.
+PIECE_CACHE, PIECE_CHARS = 1 << 17, 64
 _PAIR_CACHE = 1 << 18
 
 # Letters and digits of Unicode 16, which the library knows and Python's tables (15.1) don't.
@@ -188,9 +188,10 @@ class Model:
         if self._fast is None:
             import tiktoken
 
-            self._fast = tiktoken.Encoding("merges", pat_str=r"[\s\S]", mergeable_ranks={p: i for i, p in enumerate(self.pieces)}, special_tokens={})._core_bpe.encode_single_piece
+            # Its pattern takes a whole pre-token as one piece.
+            self._fast = tiktoken.Encoding("merges", pat_str=r"[\s\S]+", mergeable_ranks={p: i for i, p in enumerate(self.pieces)}, special_tokens={}).encode_ordinary
         coded = self.coded
-        return b"".join([coded[t] for t in self._fast(data)])
+        return b"".join([coded[t] for t in self._fast(piece)])
 
     def cut_text(self, text: str) -> Iterator[tuple[bool, str]]:
         """Special strings (True), and what stands between them."""
@@ -219,15 +220,17 @@ def split(text: str) -> list[str]:
 
 
 class Pieces(dict):
-    """Ids of pre-tokens, remembered for a bounded number of them."""
+    """Ids of pre-tokens, remembered for a bounded number of short ones."""
 
     def __init__(self, encode: Callable[[str], bytes]):
         self.encode = encode
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= PIECE_CACHE:
-            self.clear()
-        out = self[piece] = self.encode(piece)
+        out = self.encode(piece)
+        if len(piece) <= PIECE_CHARS:
+            if len(self) >= PIECE_CACHE:
+                self.clear()
+            self[piece] = out
         return out
 
 

@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +35,17 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+@contextmanager
+def no_shuffle_left(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written inside are deleted when it is written."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 class Workspace:
     """Tables written to the shared folder, which cut the lineage. finish() deletes those that the result doesn't read; the rest goes when
     Python exits, or with clear()."""
@@ -50,12 +62,8 @@ class Workspace:
         """Write a table and read it again. Its shuffle files are deleted as soon as it is written."""
         self.count += 1
         at = f"{self.root}/{self.count}"
-        before = self.spark.conf.get(_CLEANUP, "false")
-        self.spark.conf.set(_CLEANUP, "true")
-        try:
+        with no_shuffle_left(self.spark):
             df.write.option("compression", compression).parquet(at)
-        finally:
-            self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._kept_at = at
         self.kept[self.count] = out

@@ -2,7 +2,8 @@
 
 Two first-order models, of random strings and of ordinary identifiers, are counted from labelled samples. A long token is a secret
 if its log-likelihood ratio speaks for the random model, in all and per character. Positions come from what lies between the
-matches: the lengths of the pieces that a pattern cuts a text into, and of its matches, add up to each match's place.
+matches: the lengths of the pieces that a pattern cuts a text into, and of its matches, add up to each match's place. Such running
+sums and maxima are made by doubling, in n log n steps, so a text may hold very many matches.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factlake.llm.common import few_rows
+
 # Patterns of the base kinds (in this order), the group whose length counts, and its least length.
 BASE = {
     "assign": (r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12),
@@ -22,12 +25,14 @@ MARKOV = "markov"
 KINDS = [*BASE, MARKOV]
 #: Tokens that the models judge.
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
-#: Rows from which the models are counted, at most, and generated random strings.
+#: Distinct texts from which the models are counted, about (a parameter of labelled_samples), and generated random strings.
 SAMPLE_ROWS, SAMPLE_STRINGS = 2_000, 2_000
 #: Least log-likelihood ratio of a token, in all and for each pair of characters (nats).
 LEAST_RATIO, LEAST_MEAN = 15.0, 0.8
 _CLASSES = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 _WIDTH = len(_CLASSES) + 1
+#: Code points of the pieces that a text is cut into where parts of it are taken.
+_PIECE = 1024
 
 # Words of ordinary identifiers.
 IDENTIFIER_WORDS = (
@@ -47,18 +52,18 @@ def _pairs(codes: Column) -> Column:
     return F.zip_with(F.slice(codes, 1, F.greatest(F.size(codes) - 1, F.lit(0))), F.slice(codes, 2, F.greatest(F.size(codes) - 1, F.lit(0))), lambda a, b: a * _WIDTH + b)
 
 
-def labelled_samples(docs: DataFrame, text: str = "text") -> DataFrame:
-    """token, secret: what the base patterns find and generated random strings (true); a bounded sample of the documents' other
-    words and composed identifiers (false)."""
+def labelled_samples(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
+    """token, secret: what the base patterns find and generated random strings (true); the other words of a bounded sample of the texts
+    (about `rows`; see few_rows, so it doesn't depend on how the table is cut) and composed identifiers (false)."""
     spark = docs.sparkSession
-    sample = docs.select(F.col(text).alias("t")).limit(SAMPLE_ROWS)
     found = F.concat(*[F.regexp_extract_all("t", F.lit(p), g) for p, g, _ in BASE.values()])
     rest = F.col("t")
     for p, _, _ in BASE.values():
         rest = F.regexp_replace(rest, p, " ")
     words = F.array_distinct(F.regexp_extract_all(rest, F.lit(r"[A-Za-z0-9+/_-]{4,}"), 0))
     least = max(n for _, _, n in BASE.values())
-    seen = sample.select(F.explode(F.filter(found, lambda x: F.length(x) >= least)).alias("token"), F.lit(True).alias("secret")).unionByName(sample.select(F.explode(words).alias("token"), F.lit(False).alias("secret")))
+    labelled = lambda tokens, secret: F.transform(tokens, lambda x: F.struct(x.alias("token"), F.lit(secret).alias("secret")))
+    seen = few_rows(docs, text, rows).select(F.explode(F.concat(labelled(F.filter(found, lambda x: F.length(x) >= least), True), labelled(words, False))).alias("x")).select("x.token", "x.secret")
     made = spark.range(SAMPLE_STRINGS, numPartitions=1)
     digest = F.sha2(F.col("id").cast("string"), 256)
     random = made.select(F.explode(F.array(F.translate(F.base64(F.unhex(digest)), "=", ""), F.upper(F.conv(F.substring(digest, 1, 15), 16, 36)), F.conv(F.substring(digest, 20, 15), 16, 36))).alias("token"), F.lit(True).alias("secret"))
@@ -89,20 +94,30 @@ def log_ratio(token: Column, model: list[float]) -> Column:
     return F.aggregate(_pairs(_codes(token)), F.lit(0.0), lambda total, pair: total + F.get(table, pair))
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), with value computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _running(values: Column, both) -> Column:
+    """Of an array of long, the sums (or what `both` makes of two) of each element and all before it, by doubling. 0 must be neutral."""
+    shifts = F.array(*[F.lit(1 << i) for i in range(31)])
+
+    def step(acc: Column, s: Column) -> Column:
+        return F.zip_with(acc, F.concat(F.array_repeat(F.lit(0).cast("long"), s), F.slice(acc, F.lit(1), F.size(acc) - s)), both)
+
+    return _let(values, lambda v: F.aggregate(F.filter(shifts, lambda s: s < F.size(v)), v, step))
+
+
 def _spans(text: Column, pattern: str, kind: int, good) -> Column:
-    """Matches of a pattern as structs (start, kind, stop) in code points, of those for which good(match, index) holds."""
-    between, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
-    lengths = F.zip_with(F.slice(between, 1, F.greatest(F.size(between) - 1, F.lit(0))), matches, lambda p, m: F.struct(F.length(p).cast("long").alias("gap"), F.length(m).cast("long").alias("size"), m.alias("match")))
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,kind:int,stop:bigint,match:string>>)").alias("found"))
+    """Matches of a pattern as structs (start, kind, stop, match) in code points, of those for which good(match) holds."""
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        stop = start + x["size"]
-        one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), x["match"].alias("match")))
-        return F.struct(stop.alias("at"), F.concat(acc["found"], one).alias("found"))
+    def placed(matches: Column) -> Column:
+        sizes = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)), matches, lambda p, m: (F.length(p) + F.length(m)).cast("long"))
+        ends = _running(sizes, lambda a, b: a + b)
+        return F.zip_with(ends, matches, lambda e, m: F.struct((e - F.length(m)).alias("start"), F.lit(kind).alias("kind"), e.alias("stop"), m.alias("match")))
 
-    found = F.aggregate(lengths, begin, step, lambda acc: acc["found"])
-    return F.filter(found, good)
+    return F.filter(_let(F.regexp_extract_all(text, F.lit(pattern), 0), placed), good)
 
 
 def _long_enough(pattern: str, group: int, least: int):
@@ -115,35 +130,49 @@ def find_secrets(docs: DataFrame, text: str = "text", model: list[float] | None
     code points, ends are exclusive.
 
     Base kinds are leftmost matches that do not overlap within their kind; matches too short are dropped. Tokens that the models
-    call random are added where no base span touches them. The models are counted from a bounded sample unless given. Null and
-    empty texts have none. Whole texts are scanned; rows are independent. A column named `secrets` is replaced. No Python runs.
+    call random are added unless a base span holds the whole of them. The models are counted from a bounded sample unless given. Null
+    and empty texts have none, an empty table stays empty, repeated rows get equal spans. Whole texts are scanned; rows are
+    independent. A column named `secrets` is replaced, all others stay, whatever their names. No Python runs.
     """
     model = model or fit_markov(labelled_samples(docs, text))
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != "secrets"]
-    t = F.col("__text")
-    none = F.expr("cast(array() as array<struct<start:bigint,kind:int,stop:bigint,match:string>>)")
-    out = docs.select(*rest, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
-    for i, (kind, (pattern, group, least)) in enumerate(BASE.items()):
-        out = out.withColumn(f"__{kind}", F.when(t.rlike(pattern), _spans(t, pattern, i, _long_enough(pattern, group, least))).otherwise(none))
-    ratio = lambda x: log_ratio(x["match"], model)
-    random = lambda x: F.transform(F.array(ratio(x)), lambda r: (r >= LEAST_RATIO) & (r >= LEAST_MEAN * (F.length(x["match"]) - 1)))[0]
-    out = out.withColumn("__markov", F.when(t.rlike(TOKEN), _spans(t, TOKEN, len(BASE), random)).otherwise(none))
-    base = F.concat(*[F.col(f"__{k}") for k in BASE])
-    out = out.withColumn("__base", base)
-    free = F.filter("__markov", lambda x: ~F.exists("__base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
-    spans = F.transform(F.array_sort(F.concat("__base", free)), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["stop"].alias("stop")))
-    return out.select(*rest, spans.alias("secrets"))
+    rest = [c for c in docs.columns if c != "secrets"]
+    kept = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(None).cast("struct<none:int>")
+    out = docs.select(kept.alias("rest"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
+    t, none = F.col("t"), F.expr("cast(array() as array<struct<start:bigint,kind:int,stop:bigint,match:string>>)")
+    found = [F.when(t.rlike(pattern), _spans(t, pattern, i, _long_enough(pattern, group, least))).otherwise(none) for i, (pattern, group, least) in enumerate(BASE.values())]
+    random = lambda x: _let(log_ratio(x["match"], model), lambda r: (r >= LEAST_RATIO) & (r >= LEAST_MEAN * (F.length(x["match"]) - 1)))
+    found.append(F.when(t.rlike(TOKEN), _spans(t, TOKEN, len(BASE), random)).otherwise(none))
+    bare = F.transform(F.concat(*found), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["stop"].alias("stop")))
 
+    def free(spans: Column) -> Column:
+        """Without the models' spans that end inside a base span that begins before them."""
+        covered = _running(F.transform(spans, lambda x: F.when(x["kind"] < len(BASE), x["stop"]).otherwise(F.lit(0).cast("long"))), lambda a, b: F.greatest(a, b))
+        both = F.zip_with(spans, covered, lambda x, c: F.struct(x.alias("span"), ((x["kind"] < len(BASE)) | (x["stop"] > c)).alias("stays")))
+        return F.transform(F.filter(both, lambda x: x["stays"]), lambda x: x["span"])
 
-def redact(docs: DataFrame, text: str = "text", mask: str = "[secret]", model: list[float] | None = None) -> DataFrame:
-    """The columns of `docs`, each secret of the text replaced by `mask`; secrets that overlap become one. Null texts stay null."""
-    found = find_secrets(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(text).alias("t")), "t", model)
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    return out.select("rest", _let(F.array_sort(bare), free).alias("secrets")).select(*[F.col(f"rest.`{c}`").alias(c) for c in rest], "secrets")
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(F.col("t"), (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
-        return F.when(x["start"] < acc["at"], F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(x["stop"].alias("at"), F.concat(acc["out"], gap, F.lit(mask)).alias("out")))
 
-    masked = F.aggregate("secrets", begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col("t"), (acc["at"] + 1).cast("int"), F.length("t"))))
-    new = F.when(F.size("secrets") > 0, masked).otherwise(F.col("t"))
+def redact(docs: DataFrame, text: str = "text", mask: str = "[secret]", model: list[float] | None = None) -> DataFrame:
+    """The columns of `docs`, each secret of the text replaced by `mask`; secrets that overlap become one. Null texts stay null, texts
+    without secrets as they are; an empty table stays empty, other columns may have any names."""
+    found = find_secrets(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{text}`").alias("t")), "t", model)
+    t = F.col("t")
+
+    def masked(pieces: Column, spans: Column, reach: Column) -> Column:
+        """reach: how far the spans up to each one go. What lies between goes through the pieces, so that no place is counted from the
+        text's start."""
+
+        def part(a: Column, b: Column) -> Column:
+            first = F.floor(a / _PIECE).cast("int")
+            some = F.array_join(F.slice(pieces, first + 1, F.floor((b - 1) / _PIECE).cast("int") - first + 1), "")
+            return F.when(b > a, F.substring(some, (a % _PIECE + 1).cast("int"), (b - a).cast("int"))).otherwise("")
+
+        before = F.concat(F.array(F.lit(0).cast("long")), F.slice(reach, F.lit(1), F.size(reach) - 1))
+        gaps = F.filter(F.zip_with(spans, before, lambda x, r: F.struct(r.alias("a"), x["start"].alias("b"))), lambda g: g["b"] >= g["a"])
+        return F.array_join(F.concat(F.transform(gaps, lambda g: part(g["a"], g["b"])), F.array(part(F.element_at(reach, -1), F.length(t).cast("long")))), mask)
+
+    cut = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{_PIECE}}}"), 0)
+    reach = _running(F.transform("secrets", lambda x: x["stop"]), lambda a, b: F.greatest(a, b))
+    new = F.when(F.size("secrets") > 0, _let(cut, lambda p: _let(reach, lambda r: masked(p, F.col("secrets"), r)))).otherwise(t)
     return found.select(*[new.alias(c) if c == text else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

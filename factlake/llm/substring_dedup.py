@@ -4,6 +4,9 @@ Every window's hash is computed; those that can repeat are shuffled and counted.
 5-word windows, so equal windows have equal anchors, and consecutive windows with one anchor form a run. Anchors (about a fifth as
 many as windows) are counted first: where one has a single run, nothing repeats; where its runs are the same everywhere, they repeat
 as wholes; only for other anchors the windows themselves are compared. Removed windows merge into maximal intervals.
+
+Counts by anchor and by window are aggregates that combine on the map side, joined back to the rows of those that repeat, so that a
+passage that many texts share isn't one task's work. For that the texts are hashed again; no table of all anchors is kept.
 """
 
 from __future__ import annotations
@@ -86,7 +89,7 @@ def anchors(docs: DataFrame, size: int) -> DataFrame:
                 own = mix(anchor[again] + mix(doc[again].astype(np.uint64)))
             tag = tags[row]
             met = np.r_[(many > 1).astype(np.int64), np.full(int(again.sum()), 2)]
-            note = (np.r_[tag[begin], tag[again]].astype(np.int64) & 0xFFFF) << 2 | met
+            note = (np.r_[tag[begin], tag[again]].astype(np.int64) << 2) | met
             columns = [np.r_[anchor[begin], own].view(np.int64), np.r_[doc[begin], doc[again]], note, np.r_[content[begin] >> np.uint64(16), anchor[again]].view(np.int64)]
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["key", "doc", "note", "content"])
 
@@ -141,23 +144,30 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, key: str = "doc_id", tex
     made = ("n_words", "n_removed", "removed", "kept_text")
     shown = [c for c in docs.columns if c not in made]
     rest = [c for c in shown if c != text]  # the text itself is shuffled once
-    source = docs.select(F.col(key).cast("long").alias("doc"), as_bytes(text).alias("text"), F.hash(text).bitwiseAND(F.lit(0xFFFF)).alias("tag"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"))
+    source = docs.select(F.col(key).cast("long").alias("doc"), as_bytes(text).alias("text"), F.hash(text).bitwiseAND(F.lit(0x7FFFFFFF)).alias("tag"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"))
     known = source.filter("doc is not null")
 
-    window = "over (partition by key)"
-    met = anchors(known.select("doc", "text", "tag"), size).selectExpr("*", f"count(*) {window} as many", f"min(doc) {window} as least", f"min(content) {window} = max(content) {window} as same", f"max(note & 3) {window} as within")
-    met = met.filter("many > 1 or (note & 3) > 0").selectExpr("doc", "cast(shiftright(note, 2) as int) as tag", "note & 3 as met", "if((note & 3) = 2, content, key) as anchor", "least", "same", "within")
-    whole = F.col("same") & (F.col("within") == 0)
-    told = met.filter(~(whole & (F.col("doc") == F.col("least")))).filter("met <> 1").groupBy("doc", "tag").agg(F.collect_list(F.when(whole, F.col("anchor"))).alias("gone"), F.collect_list(F.when(~whole, F.col("anchor"))).alias("compare"))
     work = Workspace(docs.sparkSession, "substring-dedup")
-    told = work.keep(told)
-    joined = known.join(told, ["doc", "tag"], "left").select("doc", "text", "tag", "rest", "gone", "compare")
-
-    found = candidate_windows(joined.filter("size(compare) > 0"), size, joined.columns)
-    found = found.selectExpr("doc", "tag", "start", "stop", "sure", f"min(doc) {window} as least").filter("sure or doc > least")
-    spans = found.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    final = joined.join(spans, ["doc", "tag"], "left").select("doc", "text", "rest", "gone", "spans")
-    unkeyed = source.filter("doc is null").select("doc", "text", "rest", F.lit(None).cast("array<long>").alias("gone"), F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    found = anchors(known.select("doc", "text", "tag"), size).selectExpr("*", "note & 3 as met")
+    seen = found.filter("met < 2").groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("doc").alias("least"), F.min("content").alias("lo"), F.max("content").alias("hi"), F.max("met").alias("within"))
+    seen = work.keep(seen.filter("many > 1 or within > 0").selectExpr("key", "least", "lo = hi and within = 0 as whole"))
+    # An anchor's only text, its smallest doc where its runs are the same everywhere, and texts that have rows of their own need no row here.
+    met = found.filter("met <> 1").join(seen, "key", "left").filter("met = 2 or whole is not null and not (whole and doc = least)")
+    whole = F.coalesce("whole", F.lit(False))
+    met = met.select("doc", F.expr("cast(shiftright(note, 2) as int)").alias("tag"), whole.alias("whole"), F.when(F.col("met") == 2, F.col("content")).otherwise(F.col("key")).alias("anchor"))
+    told = work.keep(met.groupBy("doc", "tag").agg(F.collect_list(F.when(F.col("whole"), F.col("anchor"))).alias("gone"), F.collect_list(F.when(~F.col("whole"), F.col("anchor"))).alias("compare")))
+    work.drop(seen)
+
+    compared = known.join(told.filter("size(compare) > 0").select("doc", "tag", "compare"), ["doc", "tag"]).select("doc", "text", "tag", "compare")
+    windows = work.keep(candidate_windows(compared, size, compared.columns))
+    least = windows.filter("not sure").groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("last")).filter("least < last").select("key", "least")
+    spans = work.keep(windows.join(least, "key", "left").filter("sure or doc > least").select("doc", "tag", "start", "stop"))
+    work.drop(windows)
+    spans = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    cuts = work.keep(told.join(spans, ["doc", "tag"], "left").filter("size(gone) > 0 or spans is not null").select("doc", "tag", "gone", "spans"))
+    work.finish(cuts)
+    final = known.join(cuts, ["doc", "tag"], "left").select("doc", "text", "rest", "gone", "spans")
+    unkeyed = source.filter("doc is null").select("doc", "text", "rest", F.lit(None).cast("array<long>").alias("gone"), F.lit(None).cast(cuts.schema["spans"].dataType).alias("spans"))
     interval = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
     schema = T.StructType([source.schema["rest"], T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", interval), T.StructField("kept_text", T.StringType())])
 

@@ -2,8 +2,8 @@
 
 A Feistel network over the sequence numbers, with cycle-walking into their range, is a permutation that needs no shuffled list:
 every sequence's slot follows from its number, the number of sequences and the key. Each shard holds a range of slots as
-records of equal size, so a reader gets slot s at byte (s % records) * stride of shard s // records, and resumes anywhere. In the
-files the stride is a payload and a line feed.
+records of equal size, one after another, so a reader gets slot s at byte (s % records) * stride of shard s // records, and resumes
+anywhere. Partitions are ranges of slots, whose bounds are known without a sample. A manifest names each shard's records.
 """
 
 from __future__ import annotations
@@ -15,11 +15,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlake.llm import bpe
-from factlake.llm.common import Workspace, mix, slices
+from factlake.llm.common import Workspace, mix, no_shuffle_left, slices
+from factlake.llm.packing import _arrow
 
 ROUNDS = 6
 
@@ -52,7 +53,8 @@ def token_records(docs: DataFrame, path: str, size: int, end_id: int, key: str =
     there), n_tokens (fewer than `size` in a partition's last only), keys and lengths of their documents' pieces, and payload
     (ids of two little-endian bytes, or four if the vocabulary needs it; filled up with end_id)."""
     raw = bpe.vocabulary(docs.sparkSession, path)
-    kind = docs.schema[key].dataType.simpleString()
+    kind = docs.schema[key].dataType
+    key_type = _arrow(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known, end = bpe.model(raw.value), bpe.pieces(raw.value, fast=True), end_id.to_bytes(4, "little")
@@ -69,9 +71,10 @@ def token_records(docs: DataFrame, path: str, size: int, end_id: int, key: str =
             free, local = size, local + 1
 
         def flush() -> pa.RecordBatch:
-            columns = [pa.array(c) for c in zip(*rows, strict=True)]
+            held = rows[:]
             rows.clear()
-            return pa.RecordBatch.from_arrays([columns[0].cast(pa.int32()), columns[1].cast(pa.int64()), columns[2].cast(pa.int32()), columns[3].cast(pa.list_(pa.string() if kind == "string" else pa.int64() if kind == "bigint" else pa.int32())), columns[4].cast(pa.list_(pa.int32())), columns[5]], names=["part", "local", "n_tokens", "keys", "lengths", "payload"])
+            columns = [pa.array(c) if i != 3 else None for i, c in enumerate(zip(*held, strict=True))]
+            return pa.RecordBatch.from_arrays([columns[0].cast(pa.int32()), columns[1].cast(pa.int64()), columns[2].cast(pa.int32()), pa.array([r[3] for r in held], pa.list_(key_type)), columns[4].cast(pa.list_(pa.int32())), columns[5]], names=["part", "local", "n_tokens", "keys", "lengths", "payload"])
 
         for batch in slices(batches):
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -91,80 +94,120 @@ def token_records(docs: DataFrame, path: str, size: int, end_id: int, key: str =
             emit()
             yield flush()
 
-    return docs.select(key, text).mapInArrow(run, f"part int, local long, n_tokens int, keys array<{kind}>, lengths array<int>, payload binary")
+    return docs.select(key, text).mapInArrow(run, f"part int, local long, n_tokens int, keys array<{kind.simpleString()}>, lengths array<int>, payload binary")
 
 
 def training_order(docs: DataFrame, path: str, order_key: int, size: int = 2048, records: int = 4096, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The records of all documents in training order: slot, shard, byte_offset (among its shard's payloads; in files of write_shards
-    a line feed follows each, see stored_order), n_tokens, keys, lengths, payload.
+    """The records of all documents in training order: slot, shard, byte_offset (in its shard's file), n_tokens, keys, lengths, payload.
 
     Slots are 0 .. number of sequences - 1, each once; partitions hold whole shards, sorted by slot. Null and empty texts have
-    one id (end_id), null keys are carried, repeated rows are sequences' parts each for itself, an empty table has no record.
-    The ids are written once to the shared folder, so a lost executor costs no second encoding, and shuffled once.
+    one id (end_id), null keys are carried, repeated rows are sequences' parts each for itself, an empty table has no record; other
+    columns are ignored. The ids are written once to the shared folder, so a lost executor costs no second encoding, and shuffled once.
     """
-    kept = Workspace(docs.sparkSession, "training-order").keep(token_records(docs, path, size, end_id, key, text))
-    return _placed(kept, order_key, records)
+    placed, total = _placed(Workspace(docs.sparkSession, "training-order").keep(token_records(docs, path, size, end_id, key, text)), order_key)
+    return _ordered(placed, 0, total, records)
 
 
-def _placed(kept: DataFrame, order_key: int, records: int) -> DataFrame:
-    spark = kept.sparkSession
-    parts = kept.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    counts = sorted((r.part, r.n) for r in parts.collect())  # a pair of numbers for each input partition
+def _placed(kept: DataFrame, order_key: int) -> tuple[DataFrame, int]:
+    """The records with their slots, and how many there are."""
+    counts = sorted((r.part, r.n) for r in kept.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())  # two numbers an input partition
     total = sum(n for _, n in counts)
+    parts = np.array([p for p, _ in counts], np.int64)
     first = np.cumsum([0, *(n for _, n in counts)])
-    starts = spark.createDataFrame([(p, int(b)) for (p, _), b in zip(counts, first, strict=False)], "part int, first long")
 
     @F.pandas_udf("long")
-    def slot(numbers: pd.Series) -> pd.Series:
-        return pd.Series(slots(numbers.to_numpy(), total, order_key))
+    def slot(part: pd.Series, local: pd.Series) -> pd.Series:
+        return pd.Series(slots(first[np.searchsorted(parts, part.to_numpy())] + local.to_numpy(), total, order_key))
 
-    width = F.length("payload")
-    placed = kept.join(starts, "part").select(slot(F.col("first") + F.col("local")).alias("slot"), "n_tokens", "keys", "lengths", "payload")
-    placed = placed.withColumn("shard", F.floor(F.col("slot") / records)).withColumn("byte_offset", (F.col("slot") % records) * width)
-    return placed.repartitionByRange("shard").sortWithinPartitions("shard", "slot").select("slot", "shard", "byte_offset", "n_tokens", "keys", "lengths", "payload")
+    return kept.select(slot("part", "local").alias("slot"), "n_tokens", "keys", "lengths", "payload"), total
+
+
+def _ordered(placed: DataFrame, begin: int, end: int, records: int) -> DataFrame:
+    """The records of the slots from begin (a shard's first) to end, in partitions of consecutive whole shards."""
+    shards = max(1, -(-(end - begin) // records))
+    parts = min(shards, 8 * int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shard = F.floor(F.col("slot") / records)
+    where = F.floor((shard - begin // records) * parts / shards).cast("int")
+    out = placed.filter((F.col("slot") >= begin) & (F.col("slot") < end)).withColumn("shard", shard).withColumn("byte_offset", (F.col("slot") % records) * F.length("payload"))
+    return out.repartitionById(parts, where).sortWithinPartitions("slot").select("slot", "shard", "byte_offset", "n_tokens", "keys", "lengths", "payload")
 
 
 def write_shards(ordered: DataFrame, path: str) -> None:
-    """One raw file a shard, in folders shard=N, of fixed stride: each record's payload and a line feed.
+    """One raw file a shard, in folders shard=N: the records' payloads one after another, and one line feed at the end of the file.
 
-    Spark's own committer writes them, so retried tasks leave no halves, on any file system that Spark knows.
+    Spark's own committer writes them, so retried tasks leave no halves, on any file system that Spark knows. Shards of other
+    slots that are in the folder stay.
     """
-    ordered.select("shard", F.col("payload").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").mode("overwrite").text(path)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held = None, []
 
-def stored_order(docs: DataFrame, path: str, at: str, order_key: int, size: int = 2048, records: int = 4096, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes the shards of training_order to the folder `at` and returns its rows with the payloads as the files hold them, and
-    byte_offset as the place in the shard's file. A record that is missing or is not the one of its slot raises an error."""
-    spark, work = docs.sparkSession, Workspace(docs.sparkSession, "training-order")
-    kept = work.keep(token_records(docs, path, size, end_id, key, text))
-    ordered = _placed(kept, order_key, records)
-    write_shards(ordered, at)
-    told = work.keep(ordered.select("slot", "shard", "n_tokens", "keys", "lengths", F.crc32("payload").alias("crc")))
-    work.drop(kept)
-    code = id_code(bpe.model(bpe.vocabulary(spark, path).value))
-    stride = size * np.dtype(code).itemsize + 1
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(at)
+        def whole() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([b"".join(held)], pa.binary())], names=["shard", "content"])
+
+        for batch in batches:
+            for s, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if s != shard:
+                    if held:
+                        yield whole()
+                    shard, held = s, []
+                held.append(payload)
+        if held:
+            yield whole()
+
+    files = ordered.select("shard", "payload").mapInArrow(run, "shard long, content binary")
+    with no_shuffle_left(ordered.sparkSession):
+        files.select("shard", F.col("content").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").mode("append").text(path)
+
+
+def read_back(spark: SparkSession, path: str, stride: int, records: int) -> DataFrame:
+    """slot, shard, byte_offset and ids_crc32 of each record that the files of write_shards hold. A file that ends inside a record is an
+    error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = memoryview(content.as_buffer())
+                n, rest = divmod(len(data) - 1, stride)
+                if rest:
+                    raise ValueError(f"shard {shard}: {len(data)} bytes are no records of {stride}")
+                at = np.arange(n) * stride
+                yield pa.RecordBatch.from_arrays([pa.array(shard * records + np.arange(n)), pa.array(np.full(n, shard)), pa.array(at), pa.array([zlib.crc32(data[a : a + stride]) for a in at.tolist()], pa.int64())], names=["slot", "shard", "byte_offset", "ids_crc32"])
+
+    files = spark.read.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
     files = files.select(F.regexp_extract("path", r"/shard=(\d+)/[^/]*$", 1).cast("long").alias("shard"), "content")
+    return files.mapInArrow(run, "slot long, shard long, byte_offset long, ids_crc32 long")
+
 
-    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
-        rows = rows.sort_by("slot")
-        data = found.column("content")[0].as_buffer() if found.num_rows == 1 else b""
-        if len(data) != rows.num_rows * stride:
-            raise ValueError(f"shard {rows.column('shard')[0]}: {found.num_rows} files, {len(data)} bytes for {rows.num_rows} records of {stride}")
-        first = rows.column("shard")[0].as_py() * records
-        index = rows.column("slot").to_numpy() - first
-        payloads = [r.tobytes() for r in read_slots(data, 0, rows.num_rows, size, code)]
-        if not np.array_equal(index, np.arange(rows.num_rows)) or [zlib.crc32(p) for p in payloads] != rows.column("crc").to_pylist():
-            raise ValueError(f"shard {rows.column('shard')[0]}: records are not those of their slots")
-        columns = {c: rows.column(c) for c in ("slot", "shard")} | {"byte_offset": pa.array(index * stride)}
-        return pa.table(columns | {c: rows.column(c) for c in ("n_tokens", "keys", "lengths")} | {"payload": pa.array(payloads, pa.binary())})
+def stored_order(docs: DataFrame, path: str, at: str, order_key: int, size: int = 2048, records: int = 4096, end_id: int = 1, key: str = "doc_id", text: str = "text", passes: int = 4) -> DataFrame:
+    """Writes the shards of training_order to the folder `at`/shards and returns what they hold: slot, shard, byte_offset, n_tokens,
+    keys, lengths and ids_crc32 (of the payload, as read from the file at byte_offset).
 
-    schema = ordered.schema
-    return told.groupBy("shard").cogroup(files.groupBy("shard")).applyInArrow(run, schema)
+    The shards are written in so many passes, each a range of slots, so no more than that part of the ids is in shuffle files at a
+    time. Every record is then read again: one that is missing, comes twice or is not the one of its slot is an error. Last comes the
+    manifest, `at`/manifest (JSON lines: shard, first_slot, records, stride, bytes), so a folder with a manifest is whole.
+    """
+    spark, work = docs.sparkSession, Workspace(docs.sparkSession, "training-order")
+    kept = work.keep(token_records(docs, path, size, end_id, key, text))
+    placed, total = _placed(kept, order_key)
+    told = work.keep(placed.select("slot", "n_tokens", "keys", "lengths", F.crc32("payload").alias("crc")))
+    shards = -(-total // records)
+    bounds = [records * (shards * i // passes) for i in range(passes)] + [total]
+    for begin, end in zip(bounds[:-1], bounds[1:], strict=True):
+        if begin < end or total == 0:
+            write_shards(_ordered(placed, begin, end, records), f"{at}/shards")
+    work.drop(kept)
+    stride = size * np.dtype(id_code(bpe.model(bpe.vocabulary(spark, path).value))).itemsize
+    stored = work.keep(told.join(read_back(spark, f"{at}/shards", stride, records), "slot", "full").select("slot", "shard", "byte_offset", "n_tokens", "keys", "lengths", F.when(F.col("crc") == F.col("ids_crc32"), F.col("ids_crc32")).otherwise(F.raise_error(F.concat(F.lit("no such record in the files, or another one: slot "), F.col("slot")))).alias("ids_crc32")))
+    found = stored.groupBy("shard").agg(F.min("slot").alias("first_slot"), F.count(F.lit(1)).alias("records"))
+    if stored.count() != total:
+        raise ValueError("a slot is in the files twice")
+    found.select("shard", "first_slot", "records", F.lit(stride).alias("stride"), (F.col("records") * stride + 1).alias("bytes")).write.mode("overwrite").json(f"{at}/manifest")
+    work.finish(stored)
+    return stored
 
 
 def read_slots(data: bytes, first: int, count: int, size: int, code: str = "<u2") -> np.ndarray:
     """Records first .. first + count - 1 of a shard file's bytes (or of a part of them that begins with a record)."""
-    stride = size * np.dtype(code).itemsize + 1
-    rows = np.frombuffer(data[first * stride : (first + count) * stride], np.uint8).reshape(-1, stride)
-    return rows[:, :-1].copy().view(code)
+    stride = size * np.dtype(code).itemsize
+    return np.frombuffer(data[first * stride : (first + count) * stride], np.uint8).reshape(-1, stride).copy().view(code)

@@ -66,14 +66,22 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
 
     salt = F.floor(F.rand(1) * (1 << 20))
     dealt = urls.withColumn("part", part_of("key", salt.cast("int")))
-    wanted = rules.filter("host is not null and host <> ''").groupBy("host", F.coalesce("path", F.lit("")).alias("path")).agg(F.min("verdict").alias("verdict")).withColumn("key", host_key(F.lower("host")))
+    wanted = rules.filter("host is not null and host <> ''").groupBy(F.lower("host").alias("host"), F.coalesce("path", F.lit("")).alias("path")).agg(F.min("verdict").alias("verdict")).withColumn("key", host_key(F.col("host")))
     spread = wanted.withColumn("part", F.explode(parts_of("key")))
     blank = F.lit(None).cast(urls.schema["rest"].dataType)
     both = dealt.select("part", "key", F.lit(False).alias("is_rule"), "host", "path", F.lit(None).cast("string").alias("verdict"), "rest").unionByName(spread.select("part", "key", F.lit(True).alias("is_rule"), "host", "path", "verdict", blank.alias("rest")))
     ordered = both.repartition("part").sortWithinPartitions("part", "key", F.desc("is_rule"))
 
+    def longest(own: dict[str, str], lengths: list[int], host: str, path: str) -> tuple[int, str, str] | None:
+        """Of one host's rules that with the longest path that starts this one: a look-up for each length that occurs."""
+        for n in reversed(lengths[: bisect_right(lengths, len(path))]):
+            if path[:n] in own:
+                return len(host) + n, host + path[:n], own[path[:n]]
+        return None
+
     def sweep(batches: Iterator) -> Iterator:
-        stack: list[tuple[str, list]] = []  # keys of the open rules, each inside the one before, and their paths
+        # Keys of the open hosts, each inside the one before; each one's verdicts by path, these paths' lengths, and its host.
+        stack: list[tuple[str, dict[str, str], list[int], str]] = []
         part = None
         for batch in batches:
             column = {n: batch.column(n) for n in batch.schema.names}
@@ -85,13 +93,17 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
                     stack.pop()
                 if is_rule:
                     if not stack or stack[-1][0] != key:
-                        stack.append((key, []))
-                    stack[-1][1].append((len(host) + len(path), host + path, path, verdict))
+                        stack.append((key, {}, [], host))
+                    own, lengths = stack[-1][1:3]
+                    own[path] = verdict
+                    place = bisect_left(lengths, len(path))
+                    if place == len(lengths) or lengths[place] != len(path):
+                        lengths.insert(place, len(path))
                     continue
-                best = max((r for _, own in stack for r in own if path.startswith(r[2])), default=None)
+                best = max((r for _, own, lengths, at in stack if (r := longest(own, lengths, at, path))), default=None)
                 picked.append(i)
                 found.append(best and best[1])
-                verdicts.append(best[3] if best else default)
+                verdicts.append(best[2] if best else default)
             take = pa.array(picked, pa.int64())
             yield pa.RecordBatch.from_arrays([column["rest"].take(take), column["host"].take(take), column["path"].take(take), pa.array(found, pa.string()), pa.array(verdicts, pa.string())], names=["rest", "host", "path", "rule", "verdict"])
 

@@ -2,12 +2,14 @@
 
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import brute
 import pytest
 from pyspark.sql import functions as F
 
+from factlake.llm.common import few_rows
 from factlake.llm import bpe, ngram_join, packing, quality, queries, secret_scan, substring_dedup, token_counts, token_shards, url_rules, vector_blocks
 
 SF = "/root/testdata/sf0.001"
@@ -217,10 +219,22 @@ def test_decode_odd_ids(spark):
     assert [r.decoded for r in bpe.decode(df, queries.tokenizer_path()).orderBy("k").collect()] == ["", "", "i"]
 
 
-def test_token_counts_do_not_depend_on_the_sample(spark, folder):
+def test_token_counts_do_not_depend_on_the_sample(spark, folder, monkeypatch):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    few = token_counts.frequent_lengths(docs, queries.tokenizer_path(), rows=3, size=5)
-    assert len(few) == 5
+    want = sorted(map(tuple, token_counts.count_tokens(docs, queries.tokenizer_path()).select("doc_id", "n_tokens").collect()))
+    for rows, size in ((40, 5), (0, 0)):
+        few = token_counts.frequent_lengths(docs, queries.tokenizer_path(), rows=rows, size=size)
+        assert len(few) == size
+        monkeypatch.setattr(token_counts, "frequent_lengths", lambda *a, few=few: few)
+        assert sorted(map(tuple, token_counts.count_tokens(docs, queries.tokenizer_path()).select("doc_id", "n_tokens").collect())) == want
+
+
+def test_samples_do_not_depend_on_partitions(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    picked = [sorted(r.t for r in few_rows(df, "text", 60).collect()) for df in (docs, docs.repartition(7), docs.coalesce(1).orderBy("text"))]
+    assert picked[0] == picked[1] == picked[2] and 20 < len(picked[0]) < 120
+    models = [secret_scan.fit_markov(secret_scan.labelled_samples(df, rows=60)) for df in (docs, docs.repartition(7))]
+    assert models[0] == models[1]
 
 
 def test_op4(spark, folder, rows):
@@ -260,6 +274,37 @@ def test_op5_odd_matches(spark):
         assert (n[0], n[1], n[2], brute.sha(",".join(f"{secret_scan.KINDS[x.kind]}:{x.start}:{x.stop}" for x in r.secrets))) == brute.op5(r.text)
 
 
+def test_op5_names_that_clash(spark):
+    names = ["text", "secrets", "__text", "__assign", "__markov", "__base", "rest", "t", "doc", "x.y"]
+    df = spark.createDataFrame([("token=" + "k" * 12, *range(9))], ", ".join(f"`{n}` {'string' if n == 'text' else 'int'}" for n in names))
+    [r] = secret_scan.find_secrets(df, model=[0.0] * 63 * 63).collect()
+    assert r.asDict() | {"secrets": 0} == {"text": "token=" + "k" * 12} | {n: i for i, n in enumerate(names[1:])} | {"secrets": 0}
+    [r] = secret_scan.redact(df, model=[0.0] * 63 * 63).collect()
+    assert r.asDict() == {"text": "[secret]"} | {n: i for i, n in enumerate(names[1:])}
+
+
+def test_op5_many_matches_in_one_text(spark):
+    """100,000 matches of a kind in one text, in time that allows it."""
+    import time
+
+    text = " ".join(f"é{i:020x}" for i in range(100_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    [r] = secret_scan.find_secrets(df, model=[0.0] * 63 * 63).collect()
+    assert [(x.start, x.stop) for x in r.secrets] == [(22 * i + 1, 22 * i + 21) for i in range(100_000)]
+    assert secret_scan.redact(df, model=[0.0] * 63 * 63).first().text == " ".join(["é[secret]"] * 100_000)
+    assert time.time() - began < 120
+
+
+def test_markov_reaches_beyond_base(spark):
+    """A random token with a run of hex digits is masked whole; one inside a base span adds nothing."""
+    hexed, inner = "0123456789abcdef01" + "Zq7Xw9Kd2Lp4Vt8Rm6Yb", "Zq7Xw9Kd2Lp4Vt8Rm6Yb5Hc3"
+    df = spark.createDataFrame([(1, f"a {hexed} b"), (2, f"token={inner} b")], "doc_id long, text string")
+    found = {r.doc_id: [(x.kind, x.start, x.stop) for x in r.secrets] for r in secret_scan.find_secrets(df, model=[1.0] * 63 * 63).collect()}
+    assert found == {1: [(2, 2, 20), (3, 2, 40)], 2: [(0, 0, 30)]}
+    assert [r.text for r in secret_scan.redact(df, model=[1.0] * 63 * 63).orderBy("doc_id").collect()] == ["a [secret] b", "[secret] b"]
+
+
 def test_markov_held_out(spark):
     """Random strings of another source are found, other identifiers are not."""
     import base64
@@ -376,26 +421,48 @@ def test_shard_files(spark, folder, tmp_path):
         [file] = glob.glob(f"{tmp_path}/shards/shard={shard}/part-*")
         data = open(file, "rb").read()
         first = 17 if shard == 0 else 0
-        for i, row in enumerate(token_shards.read_slots(data, first, len(data) // 129 - first, 64)):
+        assert len(data) % 128 == 1
+        for i, row in enumerate(token_shards.read_slots(data, first, len(data) // 128 - first, 64)):
             assert row.tobytes() == bytes(got[shard * 50 + first + i])
 
 
-def test_op9_reads_its_files(spark, folder, tmp_path):
-    """The stored order has the rows of the training order, and each record stands at its byte_offset of its shard's file."""
+def test_op9_reads_its_files(spark, folder, rows, tmp_path):
+    """Each record stands at its byte_offset of its shard's file, documents' ids follow one another in order, and the manifest names
+    all shards. Seeks by the columns alone."""
     import glob
+    import json
+
+    import numpy as np
 
     docs, path = spark.read.parquet(f"{folder}/documents.parquet"), queries.tokenizer_path()
-    got = sorted(token_shards.stored_order(docs, path, f"{tmp_path}/s", 5, size=64, records=50).collect(), key=lambda r: r.slot)
+    got = sorted(token_shards.stored_order(docs, path, f"{tmp_path}/s", 5, size=64, records=50, passes=3).collect(), key=lambda r: r.slot)
     want = sorted(token_shards.training_order(docs, path, 5, size=64, records=50).collect(), key=lambda r: r.slot)
-    assert len(got) > 100 and [r.asDict() | {"byte_offset": 0} for r in got] == [r.asDict() | {"byte_offset": 0} for r in want]
-    files = {}
+    same = lambda r: (r.slot, r.shard, r.byte_offset, r.n_tokens, r.keys, r.lengths)
+    assert len(got) > 100 and list(map(same, got)) == list(map(same, want))
+    pieces = defaultdict(list)
     for r in got:
-        if r.shard not in files:
-            [file] = glob.glob(f"{tmp_path}/s/shard={r.shard}/part-*")
-            files[r.shard] = open(file, "rb").read()
-        assert files[r.shard][r.byte_offset : r.byte_offset + 129] == bytes(r.payload) + b"\n"
+        [file] = glob.glob(f"{tmp_path}/s/shards/shard={r.shard}/part-*")
+        with open(file, "rb") as f:
+            f.seek(r.byte_offset)
+            payload = f.read(128)
+        assert zlib.crc32(payload) == r.ids_crc32
+        ids = np.frombuffer(payload, "<u2")[: r.n_tokens].tolist()
+        for k, n in zip(r.keys, r.lengths):
+            pieces[k].append(tuple(ids[:n]))
+            ids = ids[n:]
+        assert not ids
+    _, whole = library_ids([r[1] for r in rows])
+    for r, ids in zip(rows, whole):
+        ids, own = tuple(ids + [1]), Counter(pieces[r[0]])
+        n = sum(own.values())
+        # Cuts lie 64 apart, so all pieces but the first and the last have 64 ids: the document's in order.
+        firsts = [p for p in own if p == ids[: len(p)] and (n == 1 or (len(ids) - len(p)) % 64 == len(ids[len(p) :]) % 64)]
+        assert any(Counter([ids[: len(p)], *(ids[i : i + 64] for i in range(len(p), len(ids), 64))]) == own for p in firsts)
+    shards = [json.loads(x) for f in glob.glob(f"{tmp_path}/s/manifest/part-*") for x in open(f)]
+    assert sorted(x["shard"] for x in shards) == list(range(got[-1].shard + 1)) and sum(x["records"] for x in shards) == len(got)
+    assert all(x["stride"] == 128 and x["first_slot"] == 50 * x["shard"] and x["bytes"] == 128 * x["records"] + 1 for x in shards)
     whole = queries.op9_training_order(spark, folder).collect()
-    assert whole and all(r.byte_offset == r.slot % 4096 * 4097 for r in whole)
+    assert whole and all(r.byte_offset == r.slot % 4096 * 4096 for r in whole)
 
 
 @pytest.mark.parametrize("total", [1, 2, 3, 5, 64, 65, 1000, 4097])

@@ -35,6 +35,11 @@ LATER_DIGITS = "10d40-10d49 116d0-116e3 11bf0-11bf9 16130-16139 16d70-16d79 1ccf
 SPACES = "\t-\r \x85\xa0  -     　"
 
 
+# Fixed value: what cuts a text into pre-tokens, in the notation of tiktoken's regular expressions.
+MERGED = r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_SEPARATORS, _WHOLE = set("\x1c\x1d\x1e\x1f"), 1 << 20
+
+
 @lru_cache(1)
 def patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
     """What cuts any text into pre-tokens; the same by Python's own classes; what a text must not hold for the latter."""
@@ -102,7 +107,7 @@ class Model:
         self.sizes = [len(p) for p in self.pieces]
         self.most = max(self.sizes)
         self._compatible: dict[tuple[int, int], bool] = {}
-        self._automaton = self._fast = None
+        self._automaton, self._fast, self._codes = None, {}, np.array(self.ids, "<u4")
         # For decoding: each id's bytes within one string of bytes.
         entries = {**dict(zip(self.ids, self.pieces, strict=True)), **{i: self._special_bytes(s, letters) for s, i in self.special.items()}}
         top = max(entries) + 1
@@ -182,16 +187,31 @@ class Model:
 
     def merge_piece(self, piece: str) -> bytes:
         """The same by tiktoken's merge loop, faster for short pre-tokens. Long ones would take it quadratic time."""
-        data = piece.encode()
-        if len(data) > 256:
+        if len(piece) > 256:
             return self.encode_piece(piece)
-        if self._fast is None:
+        coded = self.coded
+        return b"".join([coded[t] for t in self._merged(r"[\s\S]+")(piece)])
+
+    def _merged(self, pattern: str) -> Callable[[str], list[int]]:
+        """tiktoken's encoder of what a pattern cuts a text into; tokens as they are numbered here."""
+        if pattern not in self._fast:
             import tiktoken
 
-            # Its pattern takes a whole pre-token as one piece.
-            self._fast = tiktoken.Encoding("merges", pat_str=r"[\s\S]+", mergeable_ranks={p: i for i, p in enumerate(self.pieces)}, special_tokens={}).encode_ordinary
-        coded = self.coded
-        return b"".join([coded[t] for t in self._fast(piece)])
+            self._fast[pattern] = tiktoken.Encoding("merges", pat_str=pattern, mergeable_ranks={p: i for i, p in enumerate(self.pieces)}, special_tokens={}).encode_ordinary
+        return self._fast[pattern]
+
+    def merge_text(self, text: str, known: Pieces) -> bytes:
+        """Little-endian 32-bit ids of a whole text, special strings included. Parts of up to _WHOLE characters, in
+        letters that every table of classes knows, go through tiktoken at once, others by pre-tokens."""
+        unlike, out = patterns()[2], []
+        for special, x in self.cut_text(text):
+            if special:
+                out.append(self.special[x].to_bytes(4, "little"))
+            elif len(x) <= _WHOLE and (not unlike.search(x) if not x.isascii() else _SEPARATORS.isdisjoint(x)):
+                out.append(self._codes[self._merged(MERGED)(x)].tobytes())
+            else:
+                out.append(b"".join(map(known.__getitem__, split(x))))
+        return b"".join(out)
 
     def cut_text(self, text: str) -> Iterator[tuple[bool, str]]:
         """Special strings (True), and what stands between them."""

@@ -36,14 +36,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def no_shuffle_left(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of what is written inside are deleted when it is written."""
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+def no_shuffle_left(spark: SparkSession, **more: str) -> Iterator[None]:
+    """Shuffle files of what is written inside are deleted when it is written. more: further settings for that time, by the last part
+    of their names under spark.sql.execution.arrow."""
+    wanted = {_CLEANUP: "true"} | {f"spark.sql.execution.arrow.{k}": v for k, v in more.items()}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 class Workspace:

@@ -93,7 +93,7 @@ def pack(docs: DataFrame, path: str, size: int = 2048, windows: int = 64, end_id
         packer = Packer(size, windows, TaskContext.get().partitionId() << 32)
         for part in slices(batches):
             for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                ids = (m.encode(t, known) if t else b"") + end
+                ids = (m.merge_text(t, known) if t else b"") + end
                 packer.add(k, 0, ids, len(ids) // 4)
                 if len(packer.done) >= _FLUSH:
                     yield flush(packer)

@@ -78,7 +78,7 @@ def token_records(docs: DataFrame, path: str, size: int, end_id: int, key: str =
 
         for batch in slices(batches):
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = (m.encode(t, known) if t else b"") + end
+                ids = (m.merge_text(t, known) if t else b"") + end
                 at = 0
                 while at < len(ids):
                     take = min(free, (len(ids) - at) // 4)
@@ -156,7 +156,7 @@ def write_shards(ordered: DataFrame, path: str) -> None:
             yield whole()
 
     files = ordered.select("shard", "payload").mapInArrow(run, "shard long, content binary")
-    with no_shuffle_left(ordered.sparkSession):
+    with no_shuffle_left(ordered.sparkSession, maxRecordsPerBatch="512"):
         files.select("shard", F.col("content").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").mode("append").text(path)
 
 

@@ -188,6 +188,9 @@ def test_bpe_random_text(spark):
 
     for fast in (False, True):
         assert [np.frombuffer(m.encode(t, bpe.pieces(raw, fast)), "<u4").tolist() for t in texts] == ids
+    assert [np.frombuffer(m.merge_text(t, bpe.pieces(raw, True)), "<u4").tolist() for t in texts] == ids
+    latin = ["".join(rnd.choice(letters[:8] + letters[12:24] + "\x85\xa0\u0101\u01c5  ") for _ in range(rnd.randint(0, 90))) for _ in range(3000)]
+    assert [np.frombuffer(m.merge_text(t, bpe.pieces(raw, True)), "<u4").tolist() for t in latin] == library_ids(latin)[1]
     assert [m.decode(np.array(i, np.int64)).decode("utf-8", "replace") for i in ids] == [tok.decode(i, skip_special_tokens=False) for i in ids]
 
 

@@ -152,7 +152,7 @@ def shingle_counts(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> D
 
 
 def signature_rows(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """signature, h1 and h2 (the set's hash, as in shingle_counts), once for each set in a partition. No row's name is given, as this
+    """signature, h1 (the set's first hash, as in shingle_counts), once for each set in a partition. No row's name is given, as this
     scan may be cut and ordered unlike that of shingle_counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,16 +161,16 @@ def signature_rows(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> D
             rows, owners = [], []
             for s in shingle_sets(part.column(1).to_pylist(), n):
                 with np.errstate(over="ignore"):
-                    k = (int(s.sum(dtype=np.uint64)), int(mix(s).sum(dtype=np.uint64)), len(s))
+                    k = int(s.sum(dtype=np.uint64))
                 if len(s) and k not in seen:
                     seen.add(k)
                     rows.append(bands.signatures(s))
-                    owners.append(k[:2])
+                    owners.append(k)
             if rows:
-                own = np.repeat(np.array(owners, np.uint64).view(np.int64), [len(r) for r in rows], axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows).view(np.int64)), *(pa.array(np.ascontiguousarray(own[:, i])) for i in (0, 1))], names=["signature", "h1", "h2"])
+                own = np.repeat(np.array(owners, np.uint64).view(np.int64), [len(r) for r in rows])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows).view(np.int64)), pa.array(own)], names=["signature", "h1"])
 
-    return docs.mapInArrow(run, "signature long, h1 long, h2 long")
+    return docs.mapInArrow(run, "signature long, h1 long")
 
 
 def sets_of(docs: DataFrame, n: int = WORDS) -> DataFrame:
@@ -279,26 +279,52 @@ def joining_links(sizes: np.ndarray, features: np.ndarray, components_: np.ndarr
     return out
 
 
-def blocked(members: DataFrame, group: str, sets: DataFrame) -> DataFrame:
-    """Members (group, rep, n, ...) with their features, dealt into blocks: `lower` and `upper` are the two blocks that meet, `own` that of the
-    row. A group of one block has a task's bucket with others (`bucket`); a larger one is spread by its pairs of blocks."""
+def blocked(members: DataFrame, group: str, more: DataFrame) -> DataFrame:
+    """Members (group, rep, n, ...) with the columns that `more` has for each rep, dealt into blocks: `lower` and `upper` are the two blocks
+    that meet, `own` that of the row. Groups of one block share buckets (`bucket`); a larger one is spread by its pairs of blocks."""
     size = members.groupBy(group).agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_FEATURES)).cast("int").alias("parts"), F.sum("n").alias("total"))
     buckets = int((size.agg(F.sum(F.when(F.col("parts") == 1, F.col("total")))).first()[0] or 0) // BLOCK_FEATURES + 1)
     dealt = members.join(size.drop("total"), group).selectExpr("*", "cast(pmod(xxhash64(rep), parts) as int) as own", f"if(parts = 1, pmod(xxhash64({group}), {buckets}), -1 - {group}) as bucket")
     dealt = dealt.selectExpr("*", "explode(sequence(0, parts - 1)) as other").selectExpr("*", "least(own, other) as lower", "greatest(own, other) as upper").drop("parts", "other")
-    return dealt.join(sets, "rep")
+    return dealt.join(more, "rep")
 
 
-def _each_block(table: pa.Table, group: str) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray | None]]:
-    """The groups of a bucket: rows, sizes, features and which are the second block's."""
+def _each_block(table: pa.Table, group: str) -> Iterator[tuple[pa.Table, np.ndarray | None]]:
+    """The rows of each group of a bucket, and which of them are the second block's."""
     table = table.sort_by(group).combine_chunks()
     keys = table.column(group).to_numpy()
     edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
     for i, j in zip(edge[:-1], edge[1:], strict=True):
         rows = table.slice(i, j - i)
-        lists = rows.column("features").combine_chunks()
         own, lower, upper = (rows.column(c).to_numpy() for c in ("own", "lower", "upper"))
-        yield rows, np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten().to_numpy(), own == upper if lower[0] != upper[0] else None
+        yield rows, own == upper if lower[0] != upper[0] else None
+
+
+def _lists(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and features of the rows' sets."""
+    lists = rows.column("features").combine_chunks()
+    return np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten().to_numpy()
+
+
+def with_partners(members: DataFrame, odd: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Of members (signature, rep, n, lone, component), those that may be linked with one of their signature and another component, as
+    far as sizes, lone features and parities tell."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = []
+        for rows, _ in _each_block(table, "signature"):
+            n, lone, component = (rows.column(c).to_numpy() for c in ("n", "lone", "component"))
+            words = [rows.column(f"p{i}").to_numpy() for i in range(PARITY // 64)]
+            unlike = np.zeros((len(n), len(n)), np.int64)
+            for w in words:
+                unlike += np.bitwise_count(w[:, None] ^ w[None, :])
+            both = n[:, None] + n[None, :]
+            may = (component[:, None] != component[None, :]) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
+            may &= ((100 + percent) * (lone[:, None] + lone[None, :]) <= (100 - percent) * both) & ((100 + percent) * unlike <= (100 - percent) * both)
+            out.append(rows.filter(pa.array(may.any(1))).select(["signature", "rep", "n", "component"]))
+        return pa.concat_tables(out)
+
+    return blocked(members, "signature", odd).groupBy("bucket", "lower", "upper").applyInArrow(run, "signature long, rep long, n long, component long").distinct()
 
 
 def count_links(work: Workspace, sets: DataFrame, where: DataFrame, copies: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -309,7 +335,8 @@ def count_links(work: Workspace, sets: DataFrame, where: DataFrame, copies: Data
 
     def run(table: pa.Table) -> pa.Table:
         reps, found = [], []
-        for rows, sizes, features, right in _each_block(table, "component"):
+        for rows, right in _each_block(table, "component"):
+            sizes, features = _lists(rows)
             reps.append(rows.column("rep").to_numpy())
             found.append(linked_weights(sizes, features, rows.column("copies").to_numpy(), right, percent))
         return pa.table({"rep": pa.array(np.concatenate(reps)), "n_others": pa.array(np.concatenate(found))})
@@ -323,7 +350,8 @@ def link_blocks(members: DataFrame, sets: DataFrame, percent: int = PERCENT) ->
 
     def run(table: pa.Table) -> pa.Table:
         out: list[tuple[int, int]] = []
-        for rows, sizes, features, right in _each_block(table, "signature"):
+        for rows, right in _each_block(table, "signature"):
+            sizes, features = _lists(rows)
             reps = rows.column("rep").to_numpy()
             out += [tuple(sorted((int(reps[i]), int(reps[j])))) for i, j in joining_links(sizes, features, rows.column("component").to_numpy(), right, percent)]
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
@@ -344,13 +372,13 @@ def _linked_rows(work: Workspace, docs: DataFrame, n: int, percent: int, key: st
     named = work.keep(firsts.select("first", "n", "h1", "h2").join(rep, ["n", "h1", "h2"]).select("first", "n", "h1", "h2", "rep", "least", "copies"))
     work.drop(firsts)
 
-    # Members of signatures that more than one set has, and of these the rarest that each set needs. Copies of a set in other
-    # partitions count, too, but don't make a signature shared.
+    # Members of signatures that more than one set has, and of these the rarest that each set needs. (Copies of a set in other
+    # partitions count, too.)
     signed = work.keep(signature_rows(source, n, percent))
-    many = work.keep(signed.groupBy("signature").agg(F.count(F.lit(1)).alias("many"), F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo <> hi").select("signature", "many"))
+    many = work.keep(signed.groupBy("signature").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"))
     shared = work.keep(signed.join(many, "signature"))
     work.drop(signed, many)
-    members = shared.distinct().join(rep.select("h1", "h2", "n", "rep", "spare0", "spare1"), ["h1", "h2"])
+    members = shared.distinct().join(rep.select("h1", "n", "rep", "spare0", "spare1"), "h1")
     band = "(signature & 63)"
     members = members.selectExpr("*", f"row_number() over (partition by rep, {band} order by many, signature) as place", f"count(*) over (partition by rep, {band}) as found")
     # A set's own band is the length of its size in base 2, less one.
@@ -401,7 +429,8 @@ def _linked_rows(work: Workspace, docs: DataFrame, n: int, percent: int, key: st
         group = active.groupBy("signature", "component").agg(F.count(F.lit(1)).alias("c"))
         left = group.groupBy("signature").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")).agg(F.sum("pairs")).first()[0]
         if left <= REMAINING * size + 10_000 or turn == ROUNDS - 1:
-            found = work.keep(link_blocks(active.select("signature", "rep", "n", "component"), sets, percent))
+            left = work.keep(with_partners(active.select("signature", "rep", "n", "lone", "component"), odd, percent))
+            found = work.keep(link_blocks(left, sets, percent))
             if found.head(1):
                 where = components(work, links.unionByName(found))
             break

@@ -15,7 +15,8 @@ sets only.) A set with so few parts that two linked ones could agree on empty pa
 
 Candidates are not paired within a group. Each signature's most central member, that has the fewest features of its own, is
 compared to the others first; links join groups into components, and only members of different components go on. What a few such
-turns leave is dealt into blocks of bounded size and compared as products of matrices (sets by features), block by block.
+turns leave is dealt into blocks of bounded size, where parities tell which pairs may be linked. Few such pairs are compared one by
+one, many as products of matrices (sets by features), block by block.
 
 Links are counted once the components are known: any two linked sets are in one, so each component's sets are compared in blocks, too.
 Tables hold a row for each set and block, not for each pair. Counts by signature are aggregates that combine on the map side, joined
@@ -47,6 +48,8 @@ PARITY = 1024
 FINE = 3
 #: Sets and features of a block (on average), and features of one product of matrices.
 BLOCK_SETS, BLOCK_FEATURES, PRODUCT = 512, 1 << 19, 1 << 12
+#: Pairs for each set of a block up to which these are compared one by one.
+SPARSE = 8
 
 
 def shingle_sets(texts: list[bytes | None], n: int = WORDS) -> Iterator[np.ndarray]:
@@ -307,12 +310,13 @@ def _lists(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def with_partners(members: DataFrame, odd: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Of members (signature, rep, n, lone, component), those that may be linked with one of their signature and another component, as
-    far as sizes, lone features and parities tell."""
+    """What members (signature, rep, n, lone, component) may be linked with one of their signature and another component, as far as
+    sizes, lone features and parities tell: signature, rep, n, component, other. Where a block has few such pairs, a row for each
+    (rep, other); else a row for each member, without other. So there are no more than SPARSE rows for a member of a block."""
 
     def run(table: pa.Table) -> pa.Table:
         out = []
-        for rows, _ in _each_block(table, "signature"):
+        for rows, right in _each_block(table, "signature"):
             n, lone, component = (rows.column(c).to_numpy() for c in ("n", "lone", "component"))
             words = [rows.column(f"p{i}").to_numpy() for i in range(PARITY // 64)]
             unlike = np.zeros((len(n), len(n)), np.int64)
@@ -321,10 +325,17 @@ def with_partners(members: DataFrame, odd: DataFrame, percent: int = PERCENT) ->
             both = n[:, None] + n[None, :]
             may = (component[:, None] != component[None, :]) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
             may &= ((100 + percent) * (lone[:, None] + lone[None, :]) <= (100 - percent) * both) & ((100 + percent) * unlike <= (100 - percent) * both)
-            out.append(rows.filter(pa.array(may.any(1))).select(["signature", "rep", "n", "component"]))
+            may &= np.triu(np.ones_like(may)) if right is None else right[:, None] < right[None, :]
+            rows = rows.select(["signature", "rep", "n", "component"])
+            i, j = np.nonzero(may)
+            if len(i) <= SPARSE * len(n):
+                out.append(rows.take(pa.array(i)).append_column("other", rows.column("rep").take(pa.array(j))))
+            else:
+                rows = rows.filter(pa.array(may.any(0) | may.any(1)))
+                out.append(rows.append_column("other", pa.nulls(len(rows), pa.int64())))
         return pa.concat_tables(out)
 
-    return blocked(members, "signature", odd).groupBy("bucket", "lower", "upper").applyInArrow(run, "signature long, rep long, n long, component long").distinct()
+    return blocked(members, "signature", odd).groupBy("bucket", "lower", "upper").applyInArrow(run, "signature long, rep long, n long, component long, other long")
 
 
 def count_links(work: Workspace, sets: DataFrame, where: DataFrame, copies: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -430,7 +441,8 @@ def _linked_rows(work: Workspace, docs: DataFrame, n: int, percent: int, key: st
         left = group.groupBy("signature").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")).agg(F.sum("pairs")).first()[0]
         if left <= REMAINING * size + 10_000 or turn == ROUNDS - 1:
             left = work.keep(with_partners(active.select("signature", "rep", "n", "lone", "component"), odd, percent))
-            found = work.keep(link_blocks(left, sets, percent))
+            few = left.selectExpr("least(rep, other) as a", "greatest(rep, other) as b").filter("a < b").distinct().join(tried, ["a", "b"], "left_anti")
+            found = work.keep(linked(few).unionByName(link_blocks(left.filter("other is null").drop("other").distinct(), sets, percent)))
             if found.head(1):
                 where = components(work, links.unionByName(found))
             break

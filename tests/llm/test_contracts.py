@@ -539,8 +539,10 @@ def test_signatures_of_sets_with_few_parts():
     assert differ == 4 and len(y) == 20 and set(bands.signatures(x).tolist()) & set(bands.signatures(y).tolist())
 
 
-def test_op1_blocks_after_the_turns(spark, monkeypatch):
-    """Groups that the turns leave are compared in blocks, large and small ones."""
+@pytest.mark.parametrize("sparse", [0, 8])
+def test_op1_blocks_after_the_turns(spark, monkeypatch, sparse):
+    """Groups that the turns leave are compared in blocks, large and small ones, by pairs or products."""
+    monkeypatch.setattr(ngram_join, "SPARSE", sparse)
     monkeypatch.setattr(ngram_join, "ROUNDS", 1)
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", 4)
     common = [f"c{i}" for i in range(40)]

@@ -31,6 +31,18 @@ def field_score(tokens: Column, name: Column, description: Column, data: Column)
     return F.aggregate(tokens, F.lit(0), lambda total, t: total + one(t))
 
 
+def token_words(text: Column) -> Column:
+    """The text's distinct runs of token characters, in lower case, with a blank between: it contains the same tokens, and is shorter."""
+    return F.array_join(F.array_distinct(F.split(_lower(text), "[^a-z0-9_-]+")), " ")
+
+
+def token_scores(tokens: Column, name: Column, description: Column, data: Column) -> Column:
+    """field_score() of each of these tokens by itself. The fields are bound once, or they would be computed again for every token."""
+    fields = F.array(F.struct(name.alias("n"), description.alias("d"), data.alias("t")))
+    one = lambda f, t: F.when(F.contains(f["n"], t), 3).when(F.contains(f["d"], t), 2).when(F.contains(f["t"], t), 1).otherwise(0)
+    return F.get(F.transform(fields, lambda f: F.transform(tokens, lambda t: one(f, t))), F.lit(0))
+
+
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, " "))
 

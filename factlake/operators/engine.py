@@ -58,15 +58,15 @@ def search(queries: DataFrame, facts: DataFrame, vectors: DataFrame, now: str, o
 
 
 def lexical_search(queries: DataFrame, facts: DataFrame, now: str, limit: int = 18, validity: Column | None = None) -> DataFrame:
-    """The same by tokens of query, without floor and recency."""
+    """The same by tokens of query, without floor and recency; link_id, too, if the facts have it."""
     hits = R.merge_scopes(R.lexical_leg(queries, R.memories(facts, R.current(now) if validity is None else validity), limit))
-    return R.ranked(hits.drop("ord"), [F.desc("score"), F.desc("created_at"), F.col("id")], "ord").select("query_id", "id", "ord", "data", "score")
+    return R.ranked(hits.drop("ord"), [F.desc("score"), F.desc("created_at"), F.col("id")], "ord").select("query_id", "id", "ord", "data", "score", *[c for c in facts.columns if c == "link_id"])
 
 
 def hybrid(queries: DataFrame, facts: DataFrame, vectors: DataFrame, now: str, options: SearchOptions = SearchOptions()) -> DataFrame:
     """Fused hits (see retrieval.fuse) of queries (query_id, query, lexical_query, vector, scopes), at most `limit` each.
 
-    The lexical leg asks for lexical_query where that isn't blank; unless forward_temporal is set it sees the current facts, whatever
+    A fact's link_id, if there is one, names the fact that it is a projection of: both are one hit. The lexical leg asks for lexical_query where that isn't blank; unless forward_temporal is set it sees the current facts, whatever
     time the options name. Diversity re-ranks the first three times `limit` hits; the rest follows in order.
     """
     cos, lex = _legs(queries, facts, vectors, now, options)
@@ -101,5 +101,5 @@ def _legs(queries, facts, vectors, now, options):
     when = options.validity(now) if options.forward_temporal else None
     if options.forward_temporal and when is None:
         when = F.lit(True)
-    lex = lexical_search(words, facts, now, deep, when).withColumn("link_id", none)
+    lex = lexical_search(words, facts if "link_id" in facts.columns else facts.withColumn("link_id", none), now, deep, when)
     return cos, lex

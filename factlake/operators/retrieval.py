@@ -35,23 +35,58 @@ def _scoped(queries: DataFrame) -> DataFrame:
     return queries.withColumn("scope", F.explode(wanted)).drop("scopes")
 
 
+#: Queries, with their scopes, up to which their table is broadcast; and parts of a scope's facts where it isn't.
+FEW_QUERIES, SALTS = 1 << 14, 32
+#: Distinct tokens of a query table up to which each fact meets each token once, instead of each query's tokens by themselves.
+MOST_TOKENS = 1 << 16
+
+
+def _meet(rows: DataFrame, asked: DataFrame, many: int) -> DataFrame:
+    """Rows and queries of one scope. Few queries go to the rows; for many, each scope's rows are dealt into parts that all of its queries meet."""
+    if many <= FEW_QUERIES:
+        return rows.join(F.broadcast(asked), "scope")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    return salted.join(asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["scope", "salt"]).drop("salt")
+
+
+def _unit(vector: Column) -> Column:
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))
+    return F.when(norm > 0, F.transform(vector, lambda x: x / norm))
+
+
 def vector_leg(queries: DataFrame, facts: DataFrame, vectors: DataFrame, limit: int) -> DataFrame:
-    """query_id, scope, id, ord, data, created_at, score: each query's `limit` nearest facts of each of its scopes."""
-    rows = facts.join(vectors.withColumnRenamed("memory_id", "id"), "id").withColumnRenamed("vector", "own")
-    pairs = rows.join(_scoped(queries), "scope").withColumn("score", cosine(F.col("own"), F.col("vector")))
+    """query_id, scope, id, ord, data, created_at, score: each query's `limit` nearest facts of each of its scopes. Lengths are made 1 once
+    a vector, so a pair costs one product; zero vectors have no score."""
+    asked = _scoped(queries).withColumn("vector", _unit(F.col("vector")))
+    rows = facts.join(vectors.select(F.col("memory_id").alias("id"), _unit(F.col("vector")).alias("own")), "id")
+    dot = F.aggregate(F.zip_with("own", "vector", lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+    pairs = _meet(rows, asked, asked.count()).withColumn("score", dot)
     order = Window.partitionBy("query_id", "scope").orderBy(F.desc_nulls_last("score"), "id")
     return pairs.select("query_id", "scope", "id", "ord", "data", "created_at", "score").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= limit).drop("r")
 
 
 def lexical_leg(queries: DataFrame, facts: DataFrame, limit: int) -> DataFrame:
-    """The same by tokens: the score is the sum of field scores over three times the number of tokens."""
-    rows = facts.select("scope", "id", "ord", "data", "created_at", F.lower("name").alias("nm"), F.lit(None).cast("string").alias("ds"), F.lower("data").alias("dt"))
+    """The same by tokens, with link_id if the facts have it: the score is the sum of field scores over three times the number of tokens.
+
+    A fact is searched once for each distinct token of all queries; a query then adds up its tokens' scores.
+    """
+    link = [c for c in facts.columns if c == "link_id"]
     asked = _scoped(queries).withColumn("tokens", T.lexical_tokens(F.col("query"))).filter(F.size("tokens") > 0)
-    pairs = rows.join(asked, "scope").withColumn("raw", T.field_score(F.col("tokens"), F.col("nm"), F.col("ds"), F.col("dt")))
+    tokens = [r.t for r in asked.select(F.explode("tokens").alias("t")).distinct().limit(MOST_TOKENS + 1).collect()]
+    rows = facts.select("scope", "id", "ord", "data", "created_at", *link, F.lower("name").alias("nm"), F.lit(None).cast("string").alias("ds"), T.token_words(F.col("data")).alias("dt"))
+    if len(tokens) <= MOST_TOKENS:
+        all_tokens = F.split(F.lit(" ".join(sorted(tokens))), " ")
+        # Through a generator, as a plain projection is computed again for each row that it meets in the join.
+        rows = rows.withColumn("scores", F.explode(F.array(T.token_scores(all_tokens, F.col("nm"), F.col("ds"), F.col("dt"))))).drop("nm", "ds", "dt")
+        asked = asked.withColumn("places", F.transform("tokens", lambda t: F.array_position(all_tokens, t).cast("int") - 1))
+        raw = F.aggregate("places", F.lit(0), lambda total, i: total + F.get("scores", i))
+    else:
+        raw = T.field_score(F.col("tokens"), F.col("nm"), F.col("ds"), F.col("dt"))
+    pairs = _meet(rows, asked, asked.count()).withColumn("raw", raw)
     order = Window.partitionBy("query_id", "scope").orderBy(F.desc("raw"), F.desc("created_at"), "id")
     # The rank comes first: a filter on the score right above it would be pushed down and compute it twice.
-    top = pairs.select("query_id", "scope", "id", "ord", "data", "created_at", "raw", F.size("tokens").alias("n")).withColumn("r", F.row_number().over(order)).filter((F.col("r") <= limit) & (F.col("raw") > 0))
-    return top.select("query_id", "scope", "id", "ord", "data", "created_at", (F.col("raw") / (3 * F.col("n"))).alias("score"))
+    top = pairs.select("query_id", "scope", "id", "ord", "data", "created_at", *link, "raw", F.size("tokens").alias("n")).withColumn("r", F.row_number().over(order)).filter((F.col("r") <= limit) & (F.col("raw") > 0))
+    return top.select("query_id", "scope", "id", "ord", "data", "created_at", *link, (F.col("raw") / (3 * F.col("n"))).alias("score"))
 
 
 def merge_scopes(hits: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ facts AS (SELECT doc_id AS ord, CAST(doc_id AS VARCHAR) AS id, text AS data, sou
   CASE WHEN doc_id % 13 = 0 THEN 'archived' ELSE 'active' END AS state, CASE WHEN doc_id % 11 = 0 THEN 'COMPOUND' END AS entity_type FROM documents),
 memories AS (SELECT * FROM facts WHERE entity_type IS NULL AND state <> 'archived'),
 live AS (SELECT * FROM memories WHERE invalid_at IS NULL OR invalid_at > TIMESTAMP '2024-03-01')"""
-VECTOR = f"""WITH {FACTS}, q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v, unnest(['en','fr']) AS scope FROM embeddings WHERE vec_id % 100 = 7),
+VECTOR = f"""WITH {FACTS}, q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v, unnest(['en','fr']) AS scope FROM embeddings WHERE vec_id % 100 = 0),
 scored AS (SELECT query_id, f.scope, id, ord, data, created_at, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), q.v) AS score
   FROM live f JOIN embeddings e ON f.ord = e.vec_id JOIN q ON q.scope = f.scope),
 cosleg AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id, scope ORDER BY score DESC, id) <= 8)"""
@@ -67,15 +67,16 @@ def lex_score_topk(spark, d):
     return R.lexical_leg(S.text_queries(spark, d), _live(spark, d), 18).select("query_id", "scope", "id", F.round("score", 6).alias("score"))
 
 
-def _legs(spark, d):
-    """Both legs for the text queries; a query's vector is that of the same number."""
+def _legs(spark, d, linked=False):
+    """Both legs for the text queries; a query's vector is that of the same number. linked: the lexical leg's facts have links."""
     asked = S.text_queries(spark, d)
     v = S.vectors(spark, d)
     with_vector = asked.join(v.select(F.col("memory_id").cast("long").alias("query_id"), "vector"), "query_id")
     order = [F.desc(F.round("score", 9)), F.col("id")]
     none = F.lit(None).cast("string")
     cos = R.ranked(R.vector_leg(with_vector, _live(spark, d), v, 8), order, "place").drop("ord").withColumnRenamed("place", "ord").withColumn("link_id", none)
-    lex = R.ranked(R.lexical_leg(asked, _live(spark, d), 18), order, "place").drop("ord").withColumnRenamed("place", "ord").withColumn("link_id", none)
+    facts = R.memories(S.linked_facts(spark, d), R.current(S.NOW)) if linked else _live(spark, d).withColumn("link_id", none)
+    lex = R.ranked(R.lexical_leg(asked, facts, 18), order, "place").drop("ord").withColumnRenamed("place", "ord")
     return cos, lex
 
 
@@ -95,6 +96,12 @@ def fuse_lex_weight(spark, d):
     return _fused(spark, d, weight=2.0, least_lexical=0.1)
 
 
+def fuse_links(spark, d):
+    """Projections count for the facts that they are linked to, under whatever text."""
+    out = R.fuse(*_legs(spark, d, linked=True), least_lexical=0.1)
+    return out.select("query_id", "key", "cosine_rank", "lexical_rank", F.round("score", 9).alias("score"), "rank")
+
+
 def hybrid_topk(spark, d):
     return _fused(spark, d).filter("rank <= 6")
 
@@ -142,7 +149,7 @@ def latency_percentiles(spark, d):
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.expr("percentile_disc(0.5) within group (order by value)").alias("p50"), F.expr("percentile_disc(0.95) within group (order by value)").alias("p95"), F.max("value").alias("top"))
 
 
-_ALL = (vec_topk_scoped, vec_topk_multiscope_merge, vec_floor_abs, vec_floor_ratio, vec_decay_order, lex_tokens, lex_tokens_file, lex_score_topk, fuse_floored_union, fuse_cosine_gated, fuse_lex_weight, hybrid_topk, list_page, list_total, asof_snapshot, include_superseded, archived_exclusion, kind_segregation, reembed_delta, kind_to_type, embed_dedupe, latency_percentiles)
+_ALL = (vec_topk_scoped, vec_topk_multiscope_merge, vec_floor_abs, vec_floor_ratio, vec_decay_order, lex_tokens, lex_tokens_file, lex_score_topk, fuse_floored_union, fuse_cosine_gated, fuse_lex_weight, fuse_links, hybrid_topk, list_page, list_total, asof_snapshot, include_superseded, archived_exclusion, kind_segregation, reembed_delta, kind_to_type, embed_dedupe, latency_percentiles)
 
 
 def queries() -> dict:
@@ -153,7 +160,7 @@ def lexical_sql() -> tuple[str, str, str]:
     """Common table expressions of the text queries' words, their tokens, and the lexical leg (which holds the others)."""
     split = "list_filter(string_split_regex(lower({}), '[^a-z0-9_-]+'), lambda x: length(x) >= 2)"
     parts = "list_filter(flatten(list_transform(list_filter(w, lambda x: regexp_matches(x, '[_-]')), lambda x: string_split_regex(x, '[_-]+'))), lambda x: length(x) >= 2)"
-    words = f"asked AS (SELECT item_id AS query_id, text, {split.format('text')} AS w FROM benchmark WHERE item_id % 4 = 0), longer AS (SELECT query_id, list_concat(w, {parts}) AS w FROM asked)"
+    words = f"asked AS (SELECT item_id AS query_id, text, {split.format('text')} AS w FROM benchmark), longer AS (SELECT query_id, list_concat(w, {parts}) AS w FROM asked)"
     distinct = "toks AS (SELECT query_id, list_filter(w, lambda x, i: list_position(w, x) = i)[1:32] AS tokens FROM longer)"
     lex = f""", {words}, {distinct}, pairs AS (SELECT t.query_id, f.scope, id, created_at, data, len(tokens) AS n,
       list_sum(list_transform(tokens, lambda x: CASE WHEN contains(lower(name), x) THEN 3 WHEN contains(lower(data), x) THEN 1 ELSE 0 END)) AS raw
@@ -165,7 +172,7 @@ def lexical_sql() -> tuple[str, str, str]:
 def fused_sql(bar=0.3, weight="1.0", join="FULL") -> str:
     """Both legs of the text queries and their fusion."""
     _, _, lex = lexical_sql()
-    legs = f"""WITH {FACTS}{lex}, q AS (SELECT b.item_id AS query_id, CAST(e.embedding AS DOUBLE[]) AS v, unnest(['en','fr']) AS scope FROM benchmark b JOIN embeddings e ON b.item_id = e.vec_id WHERE item_id % 4 = 0),
+    legs = f"""WITH {FACTS}{lex}, q AS (SELECT b.item_id AS query_id, CAST(e.embedding AS DOUBLE[]) AS v, unnest(['en','fr']) AS scope FROM benchmark b JOIN embeddings e ON b.item_id = e.vec_id),
     cosleg AS (SELECT query_id, f.scope, id, data, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), q.v) AS score FROM live f JOIN embeddings e ON f.ord = e.vec_id JOIN q ON q.scope = f.scope
       QUALIFY row_number() OVER (PARTITION BY query_id, f.scope ORDER BY score DESC, id) <= 8),
     c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS o, trim(regexp_replace(data, '\\s+', ' ', 'g')) AS nt FROM cosleg),
@@ -181,7 +188,7 @@ def fused_sql(bar=0.3, weight="1.0", join="FULL") -> str:
 
 def oracle_sql() -> dict[str, str]:
     words, distinct, lex = lexical_sql()
-    fused = fused_sql
+    fused, link = fused_sql, "CASE WHEN CAST(l.id AS BIGINT) % 3 = 0 THEN CAST(CAST(l.id AS BIGINT) + 3 - CAST(l.id AS BIGINT) % 6 * 2 AS VARCHAR) END"
     return {
         "vec_topk_scoped": f"{VECTOR} SELECT query_id, scope, id, round(score, 6) AS score FROM cosleg",
         "vec_topk_multiscope_merge": f"{VECTOR} SELECT query_id, id, round(max(score), 6) AS score FROM cosleg GROUP BY query_id, id",
@@ -189,11 +196,12 @@ def oracle_sql() -> dict[str, str]:
         "vec_floor_ratio": f"{VECTOR} SELECT query_id, id, round(score, 6) AS score FROM cosleg QUALIFY score >= 0.6 * max(score) OVER (PARTITION BY query_id)",
         "vec_decay_order": f"{VECTOR}, w AS (SELECT query_id, id, round(score * (0.9 + 0.1 * pow(0.5, greatest(0, (epoch_us(TIMESTAMP '2024-03-01') - epoch_us(created_at)) / 86400000000.0) / 30.0)), 9) AS weighted FROM cosleg) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY weighted DESC, id) AS rank, round(weighted, 6) AS weighted FROM w",
         "lex_tokens": f"WITH {words}, {distinct} SELECT query_id, CAST(unnest(range(len(tokens))) AS INT) AS place, unnest(tokens) AS token FROM toks",
-        "lex_tokens_file": "SELECT DISTINCT query_id, token FROM (SELECT item_id AS query_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS token FROM benchmark WHERE item_id % 4 = 0) WHERE length(token) >= 2",
+        "lex_tokens_file": "SELECT DISTINCT query_id, token FROM (SELECT item_id AS query_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS token FROM benchmark) WHERE length(token) >= 2",
         "lex_score_topk": f"WITH {FACTS}{lex} SELECT query_id, scope, id, round(CAST(score AS DOUBLE), 6) AS score FROM lexleg",
         "fuse_floored_union": fused(),
         "fuse_cosine_gated": fused(join="LEFT"),
         "fuse_lex_weight": fused(0.1, "2.0"),
+        "fuse_links": fused(0.1).replace("LEFT JOIN alias a ON a.query_id = l.query_id AND a.nt = l.nt WHERE coalesce(target, l.nt)", f"LEFT JOIN alias a ON a.query_id = l.query_id AND a.nt = l.nt LEFT JOIN (SELECT query_id AS cq, id AS ci FROM c) k ON cq = l.query_id AND ci = {link} WHERE coalesce(ci, target, {link}, l.nt)").replace("coalesce(target, l.nt) AS key, min(o)", f"coalesce(ci, target, {link}, l.nt) AS key, min(o)"),
         "hybrid_topk": fused() + " WHERE rank <= 6",
         "list_page": f"WITH {FACTS} SELECT scope, id, row_number() OVER (PARTITION BY scope ORDER BY created_at DESC, id) AS rank FROM memories QUALIFY rank <= 100",
         "list_total": f"WITH {FACTS} SELECT scope, count(*) AS total FROM memories GROUP BY scope",

@@ -103,11 +103,17 @@ def conversation_windows(spark, d):
     return lines.select("conv_id", "window", F.size("lines").cast("long").alias("n"), F.sha2(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), 256).alias("text_key"))
 
 
+def _holding(facts, asked):
+    """query_id, key of the facts of a query's scopes that hold its whole text."""
+    held = R._meet(facts.select("scope", "id", "data"), R._scoped(asked), asked.count())
+    return held.filter(F.contains("data", F.col("query"))).select("query_id", F.col("id").alias("key"))
+
+
 def _judged(spark, d):
     """Gold queries, what they expect (live facts of their scopes that hold their whole text), and the lexical leg's ranking."""
     asked, live = S.text_queries(spark, d), C._live(spark, d)
-    gold = asked.select("query_id", F.get(F.array(*map(F.lit, ["lexical-gap", "exact-identifier"])), (F.col("query_id") / 4 % 2).cast("int")).alias("class"))
-    expected = live.filter(F.col("scope").isin("en", "fr")).join(F.broadcast(asked.select("query_id", "query")), F.contains("data", "query")).select("query_id", F.col("id").alias("key"))
+    gold = asked.select("query_id", F.get(F.array(*map(F.lit, ["lexical-gap", "exact-identifier"])), (F.col("query_id") % 2).cast("int")).alias("class"))
+    expected = _holding(live, asked)
     hits = R.ranked(R.lexical_leg(asked, live, 18), [F.desc(F.round("score", 9)), F.col("id")]).select("query_id", F.col("id").alias("key"), "rank", "score")
     return gold, expected, hits
 
@@ -127,12 +133,28 @@ def floor_sweep(spark, d):
     return out.select("floor", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
+def floor_sweep_legs(spark, d):
+    """The floor cuts the cosine leg before ranks and fusion, in both fusion modes; the lexical leg keeps its own bar."""
+    gold, expected, _ = _judged(spark, d)
+    cos, lex = C._legs(spark, d)
+    at = lambda df: df.withColumn("floor", F.explode(F.array(*map(F.lit, FLOORS)))).withColumn("query_id", F.struct("query_id", "floor"))
+    cut = R.ranked(at(cos).filter("score >= floor"), [F.col("ord")], "place").drop("ord").withColumnRenamed("place", "ord")
+    tables = []
+    for mode in ("floored-union", "cosine-gated"):
+        hits = R.fuse(cut, at(lex), gated=mode == "cosine-gated").filter("rank <= 10").select("query_id", "key", "rank", "score")
+        rows = E.outcomes(at(gold).drop("floor"), at(expected).select("query_id", "key"), hits).withColumn("floor", F.col("query_id.floor"))
+        more = rows.groupBy("floor").agg(F.coalesce(F.avg(F.when(F.col("n_expected") > 0, F.col("r10"))), F.lit(0.0)).alias("r10"), F.coalesce(F.avg(F.when(F.col("n_expected") > 0, F.col("rr"))), F.lit(0.0)).alias("mrr"), F.count_if(F.expr("n_expected > 0 and raw_hits = 0")).alias("emptied"))
+        tables.append(E.precision_recall(rows, "floor").join(more, "floor").withColumn("mode", F.lit(mode)))
+    out = tables[0].unionByName(tables[1])
+    return out.select("mode", "floor", "tp", "fp", "fn", "emptied", *[F.round(c, 6).alias(c) for c in ("f1", "r10", "mrr")])
+
+
 def mmr_rerank(spark, d):
     hits = R.ranked(C._vectors(spark, d, 6), [F.desc(F.round("score", 9)), F.col("id")]).withColumnRenamed("id", "key")
     return rerank.diverse(hits.select("query_id", "key", "data", "score", "rank"), 0.5).select("query_id", "key", "rank", F.round("score", 6).alias("score"))
 
 
-_ALL = (upsert_fold, delete_cascade, validity_fold, payload_equality, get_by_id, list_kind_after_cap, reembed_outcomes, mrl_truncate, entity_quality, relink_affected, relink_deletable, topic_slug, trigram_similarity_pairs, upper_median, conversation_windows, gold_outcomes, gold_metrics_by_class, floor_sweep, mmr_rerank)
+_ALL = (upsert_fold, delete_cascade, validity_fold, payload_equality, get_by_id, list_kind_after_cap, reembed_outcomes, mrl_truncate, entity_quality, relink_affected, relink_deletable, topic_slug, trigram_similarity_pairs, upper_median, conversation_windows, gold_outcomes, gold_metrics_by_class, floor_sweep, floor_sweep_legs, mmr_rerank)
 
 
 def queries() -> dict:
@@ -159,7 +181,7 @@ def oracle_sql() -> dict[str, str]:
       OR (n >= 3 AND f IN ({vague}) AND len(list_filter(w[2:], lambda x: length(x) >= 5 AND regexp_matches(x, '{entities.NOMINAL}'))) > 0 AND l LIKE '%s' AND NOT regexp_matches(l, '{entities.NO_PLURAL}'))
       OR len(list_filter(w, lambda x: length(x) >= 3 AND x NOT IN ({stop}) AND regexp_matches(x, '[a-z]'))) = 0 AS junk FROM parts"""
     gram = "CASE WHEN length(s) = 0 THEN [] WHEN length(s) < 3 THEN [s] ELSE list_distinct(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3))) END"
-    judged = f"""WITH {facts}{lex}, gold AS (SELECT item_id AS query_id, text, ['lexical-gap','exact-identifier'][CAST(item_id / 4 % 2 + 1 AS INT)] AS class FROM benchmark WHERE item_id % 4 = 0),
+    judged = f"""WITH {facts}{lex}, gold AS (SELECT item_id AS query_id, text, ['lexical-gap','exact-identifier'][CAST(item_id % 2 + 1 AS INT)] AS class FROM benchmark),
     expected AS (SELECT query_id, id AS key FROM gold JOIN live ON scope IN ('en','fr') AND contains(data, text)),
     hits AS (SELECT query_id, id AS key, CAST(score AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(CAST(score AS DOUBLE), 9) DESC, id) AS rank FROM lexleg),
     outs AS (SELECT query_id, class, (SELECT count(*) FROM expected e WHERE e.query_id = gold.query_id) AS n_expected,
@@ -167,6 +189,17 @@ def oracle_sql() -> dict[str, str]:
       (SELECT count(*) FROM hits SEMI JOIN expected USING (query_id, key) WHERE query_id = gold.query_id AND rank <= 10) AS far,
       coalesce((SELECT 1.0::DOUBLE / min(rank) FROM hits SEMI JOIN expected USING (query_id, key) WHERE query_id = gold.query_id), 0) AS rr,
       (SELECT count(*) FROM hits h WHERE h.query_id = gold.query_id) AS raw_hits, (SELECT max(score) FROM hits h WHERE h.query_id = gold.query_id) AS top_score FROM gold)"""
+    gold_of = judged[judged.index("gold AS") : judged.index("hits AS")].rstrip().rstrip(",")
+    by_floor = []
+    for mode, join in (("floored-union", "FULL"), ("cosine-gated", "LEFT")):
+        for x in FLOORS:
+            legs = C.fused_sql(join=join).replace("AS nt FROM cosleg)", f"AS nt FROM cosleg WHERE score >= {x})").replace("SELECT * FROM out", "")
+            by_floor.append(f"""SELECT * FROM ({legs}, {gold_of}, top AS (SELECT * FROM out WHERE rank <= 10),
+              o AS (SELECT query_id, (SELECT count(*) FROM expected e WHERE e.query_id = gold.query_id) AS n, (SELECT count(*) FROM top t SEMI JOIN expected USING (query_id, key) WHERE t.query_id = gold.query_id AND rank <= 5) > 0 AS hit,
+                (SELECT count(*) FROM top t SEMI JOIN expected USING (query_id, key) WHERE t.query_id = gold.query_id) AS far, (SELECT min(rank) FROM top t SEMI JOIN expected USING (query_id, key) WHERE t.query_id = gold.query_id) AS first,
+                (SELECT count(*) FROM top t WHERE t.query_id = gold.query_id) AS raw FROM gold),
+              s AS (SELECT count(*) FILTER (n > 0 AND hit) AS tp, count(*) FILTER (n = 0 AND raw > 0) AS fp, count(*) FILTER (n > 0 AND NOT hit) AS fn, count(*) FILTER (n > 0 AND raw = 0) AS emptied, coalesce(avg(far / n::DOUBLE) FILTER (n > 0), 0) AS r10, coalesce(avg(coalesce(1.0::DOUBLE / first, 0)) FILTER (n > 0), 0) AS mrr FROM o)
+              SELECT '{mode}' AS mode, {x}::DOUBLE AS floor, tp, fp, fn, emptied, round(CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn)::DOUBLE ELSE 0 END, 6) AS f1, round(r10, 6) AS r10, round(mrr, 6) AS mrr FROM s)""")
     metrics = """count(*) AS n, round(coalesce(avg(near / 5.0::DOUBLE) FILTER (n_expected > 0), 0), 6) AS p5, round(coalesce(avg(far / n_expected::DOUBLE) FILTER (n_expected > 0), 0), 6) AS r10,
       round(coalesce(avg(rr) FILTER (n_expected > 0), 0), 6) AS mrr, round(avg((raw_hits > 0)::INT::DOUBLE) FILTER (n_expected = 0), 6) AS fp, round(-quantile_disc(-top_score, 0.5), 6) AS median_top_score"""
     return {
@@ -181,10 +214,11 @@ def oracle_sql() -> dict[str, str]:
         "entity_quality": junk,
         "relink_affected": f"{edges} SELECT memory FROM affected",
         "relink_deletable": f"{edges} SELECT id FROM edges GROUP BY id HAVING bool_and(memory IN (SELECT memory FROM affected))",
-        "topic_slug": f"WITH {facts}, s AS (SELECT id, array_to_string(list_filter(string_split_regex(regexp_replace(lower(substr(data, 1, 200)), '[^a-z0-9\\s_-]', ' ', 'g'), '[\\s_-]+'), lambda w: w <> '')[1:7], '_') AS slug FROM facts) SELECT id, CASE WHEN slug = '' THEN 'memory' ELSE slug END AS slug FROM s",
+        "topic_slug": f"WITH {facts}, s AS (SELECT id, array_to_string(list_filter(string_split_regex(regexp_replace(lower(data), '[^a-z0-9\\s_-]', ' ', 'g'), '[\\s_-]+'), lambda w: w <> '')[1:7], '_') AS slug FROM facts) SELECT id, CASE WHEN slug = '' THEN 'memory' ELSE slug END AS slug FROM s",
         "trigram_similarity_pairs": f"WITH s AS (SELECT item_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS s FROM benchmark), g AS (SELECT item_id, {gram} AS g FROM s) SELECT a.item_id, round(len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))::DOUBLE, 6) AS similarity FROM g a JOIN g b ON b.item_id = a.item_id + 1",
         "upper_median": "SELECT event_type, -quantile_disc(-value, 0.5) AS median FROM events GROUP BY event_type",
         "conversation_windows": "SELECT conv_id, turn // 10 AS \"window\", count(*) AS n, sha256(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS text_key FROM conversations GROUP BY 1, 2",
+        "floor_sweep_legs": " UNION ALL ".join(by_floor),
         "gold_outcomes": f"{judged} SELECT query_id, class, n_expected, round(near / 5.0::DOUBLE, 6) AS p5, CASE WHEN n_expected > 0 THEN round(far / n_expected::DOUBLE, 6) END AS r10, round(rr, 6) AS rr, round(top_score, 6) AS top_score, near > 0 AS hit, raw_hits FROM outs",
         "gold_metrics_by_class": f"{judged} SELECT class, {metrics} FROM outs GROUP BY class UNION ALL SELECT 'overall', {metrics} FROM outs WHERE n_expected > 0",
         "floor_sweep": f"""{judged}, fl AS (SELECT unnest({FLOORS})::DOUBLE AS floor), o AS (SELECT floor, n_expected,

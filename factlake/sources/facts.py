@@ -21,18 +21,23 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def linked_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts, every third of them a projection of another one that link_id names."""
+    return facts(spark, sf_dir).withColumn("link_id", F.when(F.col("ord") % 3 == 0, (F.col("ord") + 3 - F.col("ord") % 6 * 2).cast("string")))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("memory_id"), F.col("embedding").cast("array<double>").alias("vector"))
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query vectors: every hundredth vector, asked in two scopes."""
-    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("vec_id % 100 = 7")
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("vec_id % 100 = 0")
     return v.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector"), F.array(F.lit("en"), F.lit("fr")).alias("scopes"))
 
 
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter("item_id % 4 = 0")
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.array(F.lit("en"), F.lit("fr")).alias("scopes"))
 
 

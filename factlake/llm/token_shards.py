@@ -188,9 +188,10 @@ def stored_order(docs: DataFrame, path: str, at: str, order_key: int, size: int
     manifest, `at`/manifest (JSON lines: shard, first_slot, records, stride, bytes), so a folder with a manifest is whole.
     """
     spark, work = docs.sparkSession, Workspace(docs.sparkSession, "training-order")
-    kept = work.keep(token_records(docs, path, size, end_id, key, text))
-    placed, total = _placed(kept, order_key)
-    told = work.keep(placed.select("slot", "n_tokens", "keys", "lengths", F.crc32("payload").alias("crc")))
+    with no_shuffle_left(spark, maxRecordsPerBatch="1024"):
+        kept = work.keep(token_records(docs, path, size, end_id, key, text))
+        placed, total = _placed(kept, order_key)
+        told = work.keep(placed.select("slot", "n_tokens", "keys", "lengths", F.crc32("payload").alias("crc")))
     shards = -(-total // records)
     bounds = [records * (shards * i // passes) for i in range(passes)] + [total]
     for begin, end in zip(bounds[:-1], bounds[1:], strict=True):
@@ -198,7 +199,8 @@ def stored_order(docs: DataFrame, path: str, at: str, order_key: int, size: int
             write_shards(_ordered(placed, begin, end, records), f"{at}/shards")
     work.drop(kept)
     stride = size * np.dtype(id_code(bpe.model(bpe.vocabulary(spark, path).value))).itemsize
-    stored = work.keep(told.join(read_back(spark, f"{at}/shards", stride, records), "slot", "full").select("slot", "shard", "byte_offset", "n_tokens", "keys", "lengths", F.when(F.col("crc") == F.col("ids_crc32"), F.col("ids_crc32")).otherwise(F.raise_error(F.concat(F.lit("no such record in the files, or another one: slot "), F.col("slot")))).alias("ids_crc32")))
+    with no_shuffle_left(spark, maxRecordsPerBatch="1"):  # a row is a whole file
+        stored = work.keep(told.join(read_back(spark, f"{at}/shards", stride, records), "slot", "full").select("slot", "shard", "byte_offset", "n_tokens", "keys", "lengths", F.when(F.col("crc") == F.col("ids_crc32"), F.col("ids_crc32")).otherwise(F.raise_error(F.concat(F.lit("no such record in the files, or another one: slot "), F.col("slot")))).alias("ids_crc32")))
     found = stored.groupBy("shard").agg(F.min("slot").alias("first_slot"), F.count(F.lit(1)).alias("records"))
     if stored.count() != total:
         raise ValueError("a slot is in the files twice")

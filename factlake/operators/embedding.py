@@ -10,6 +10,20 @@ from pyspark.sql import functions as F
 #: Characters of a text that reach an embedder.
 MOST_CHARS = 32_000
 
+# What the models' cards put before queries and documents.
+TASK = "Given a web search query, retrieve relevant passages that answer the query"
+PROMPTS = {
+    ("gemma", "query"): "task: search result | query: ",
+    ("gemma", "document"): "title: none | text: ",
+    ("qwen3", "query"): f"Instruct: {TASK}\nQuery:",
+    ("harrier", "query"): f"Instruct: {TASK}\nQuery: ",
+}
+
+
+def prompt(model: str, kind: str, text: Column) -> Column:
+    """A text as a model wants it for its kind (query or document); as it is where the model asks for nothing."""
+    return F.concat(F.lit(PROMPTS.get((model, kind), "")), text)
+
 
 def hashed(text: Column, width: int) -> Column:
     """A deterministic unit vector of a text's tokens, for use where no model is at hand: the sum of hashed token vectors."""

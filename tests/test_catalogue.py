@@ -9,7 +9,7 @@ import pytest
 
 from factlake.functions import text as T
 from factlake.operators import retrieval as R
-from factlake.plans import catalogue, engine, store
+from factlake.plans import catalogue, engine, store, writing
 
 SF = "/root/testdata/sf0.01"
 
@@ -22,7 +22,8 @@ def duck():
     return con
 
 
-QUERIES, SQL = catalogue.queries() | store.queries() | engine.queries(), catalogue.oracle_sql() | store.oracle_sql() | engine.oracle_sql()
+QUERIES = catalogue.queries() | store.queries() | engine.queries() | writing.queries()
+SQL = catalogue.oracle_sql() | store.oracle_sql() | engine.oracle_sql() | writing.oracle_sql()
 
 
 @pytest.mark.parametrize("name", list(SQL))

@@ -58,8 +58,11 @@ def project(facts: DataFrame, id_: Column) -> DataFrame:
 def forget_projections(projections: DataFrame, facts: DataFrame, gone: DataFrame) -> DataFrame:
     """projections without those that are linked with a fact among `gone` (id) and in its scope. A fact that goes and has no scope is an error:
     its copies couldn't be found, and would stay readable."""
-    scope = F.when(F.coalesce("scope", F.lit("")) == "", F.raise_error(F.concat(F.lit("no scope to find the copies of fact "), F.col("id")))).otherwise(F.col("scope"))
-    named = facts.join(gone.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("link_id"), scope.alias("scope"))
+    named = facts.join(gone.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("link_id"), "scope")
+    # A job of its own, as an error inside the plan comes early, late or never, however the plan's filters are moved.
+    lost = named.filter(F.coalesce("scope", F.lit("")) == "").first()
+    if lost is not None:
+        raise ValueError(f"no scope to find the copies of fact {lost.link_id}")
     return projections.join(named, ["link_id", "scope"], "left_anti")
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlake.llm import bpe, ngram_join, packing, quality, secret_scan, substring_dedup, token_counts, token_shards, url_rules, vector_blocks
+from factlake.llm import bpe, exact_dedup, ngram_join, packing, quality, secret_scan, substring_dedup, token_counts, token_shards, url_rules, vector_blocks
 from factlake.llm.common import shared_folder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -82,12 +82,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", size.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_join, op2_url_filter, op3_bpe, op4_substring_dedup, op5_secret_scan, op6_nearest, op7_packing, op8_quality, op9_training_order, op10_token_counts)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_url_filter, op3_bpe, op4_substring_dedup, op5_secret_scan, op6_nearest, op7_packing, op8_quality, op9_training_order, op10_token_counts, op13_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": _URLS, "op6_nearest": _NEAREST}
+    return {"op2_url_filter": _URLS, "op6_nearest": _NEAREST, "op13_exact_dedup": _COPIES}
 
 
 _URLS = """
@@ -116,3 +120,12 @@ WITH pairs AS (
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
+
+_COPIES = """
+WITH bare AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS t FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER g AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       row_number() OVER g = 1 AS kept, sha256(t) AS text_sha256
+FROM bare WINDOW g AS (PARTITION BY t ORDER BY chars DESC, doc_id)
+"""

@@ -95,7 +95,7 @@ def _duplicates(messages: DataFrame, bits: int, owner_bits: int, cell_bits: int)
         return pa.table({"owner": table.column(0)[:1], "cells": pa.array([np.packbits(cells).tobytes()], pa.binary())})
 
     full = bytearray(1 << (cell_bits - 3))
-    for r in messages.groupBy("owner").applyInArrow(answer, "owner int, cells binary").toLocalIterator():
+    for r in messages.groupBy("owner").applyInArrow(answer, "owner int, cells binary").collect():
         full[r.owner * wide >> 3 : (r.owner + 1) * wide >> 3] = r.cells
     return bytes(full)
 

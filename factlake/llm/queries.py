@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlake.llm import bpe, exact_dedup, ngram_join, packing, quality, secret_scan, substring_dedup, token_counts, token_shards, url_rules, vector_blocks
+from factlake.llm import bpe, collocations, exact_dedup, ngram_join, packing, quality, secret_scan, spelling, substring_dedup, token_counts, token_shards, url_rules, vector_blocks
 from factlake.llm.common import shared_folder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -82,16 +83,35 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", size.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def _slip(run: bytes, start: int) -> bytes:
+    """The run, without one of its characters where 31 divides the CRC-32 of the document's number, a colon and the run."""
+    h = zlib.crc32(run, start)
+    if h % 31:
+        return run
+    t = run.decode()
+    at = h % len(t)
+    return (t[:at] + t[at + 1 :]).encode()
+
+
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(_documents(spark, sf_dir).select("doc_id", "text"), slip=_slip)
+    return spelling.variants(words.filter("n >= 2"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(_documents(spark, sf_dir).select("doc_id", "text", "lang"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_join, op2_url_filter, op3_bpe, op4_substring_dedup, op5_secret_scan, op6_nearest, op7_packing, op8_quality, op9_training_order, op10_token_counts, op13_exact_dedup)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_url_filter, op3_bpe, op4_substring_dedup, op5_secret_scan, op6_nearest, op7_packing, op8_quality, op9_training_order, op10_token_counts, op11_spelling, op12_phrases, op13_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": _URLS, "op6_nearest": _NEAREST, "op13_exact_dedup": _COPIES}
+    return {"op2_url_filter": _URLS, "op6_nearest": _NEAREST, "op12_phrases": _PHRASES, "op13_exact_dedup": _COPIES}
 
 
 _URLS = """
@@ -121,6 +141,39 @@ WITH pairs AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
+_PHRASES = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+), split AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces
+), grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, greatest(len(w) - k + 2, 1)), lambda i: w[i:i + k - 1])) AS p
+  FROM split, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k
+), f AS (
+  SELECT lang, p, k, count(*) AS a FROM grams GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang
+), often AS (
+  SELECT * FROM f WHERE a >= 30
+), parts AS (
+  SELECT lang, p, a, unnest(range(1, k)) AS cut FROM often WHERE k > 1
+), cuts AS (
+  SELECT c.lang, c.p, c.a, cut, h.a AS l, t.a AS r, (CAST(2000000 AS HUGEINT) * c.a) // (h.a + t.a) AS score
+  FROM parts c JOIN often h ON h.lang = c.lang AND h.p = c.p[1:cut] JOIN often t ON t.lang = c.lang AND t.p = c.p[cut + 1:]
+), worst AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1
+), inside AS (
+  SELECT lang, p[o:o + j - 1] AS p, max(a) AS longer
+  FROM often, (SELECT unnest([1, 2, 3]) AS o), (SELECT unnest([2, 3]) AS j) WHERE j < k AND o + j - 1 <= k GROUP BY ALL
+), left_ AS (
+  SELECT w.lang, array_to_string(w.p, ' ') AS phrase, a, l, r, score FROM worst w LEFT JOIN inside i ON i.lang = w.lang AND i.p = w.p
+  WHERE longer IS NULL OR CAST(100 AS HUGEINT) * longer < CAST(80 AS HUGEINT) * a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM left_
+)
+SELECT r.lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked r JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 _COPIES = """
 WITH bare AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS t FROM documents

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factlake.functions.text import WHITE, slug, squeeze, type_for_kind
 
-# The memory types, and files of a folder that hold no topic.
+# The types, and files of a folder that hold no topic.
 TYPES = ["user", "feedback", "reference", "project"]
 INDEX_FILES = ["MEMORY.md", "MEMORY-overflow.md"]
 _HEAD = "^---\\n((?s:.*?))\\n---"

@@ -42,14 +42,20 @@ class SearchOptions:
         return None if self.include_superseded else R.current(now)
 
 
+def last_change(rows: DataFrame) -> Column:
+    """When facts last changed: updated_at, or created_at where there is none."""
+    return F.coalesce(*[c for c in ("updated_at", "created_at") if c in rows.columns])
+
+
 def search(queries: DataFrame, facts: DataFrame, vectors: DataFrame, now: str, options: SearchOptions = SearchOptions()) -> DataFrame:
     """query_id, id, ord (place by score times recency), data, score: the nearest facts of all scopes of a query (query_id, vector, scopes).
 
-    The floor's ratio is to the query's best score over all scopes, and the score returned isn't weighted by recency.
+    The floor's ratio is to the query's best score over all scopes, and the score returned isn't weighted by recency, which goes by
+    updated_at where the facts have one, else by created_at.
     """
-    pulled = R.vector_leg(queries, R.memories(facts, options.validity(now)), vectors, options.limit or 8)
+    pulled = R.vector_leg(queries, R.readable(facts, options.validity(now)), vectors, options.limit or 8)
     kept = R.floor(R.merge_scopes(pulled), options.least_score, options.least_ratio)
-    weighted = kept.withColumn("w", F.round(F.col("score") * R.recency(F.col("created_at"), now), 12))
+    weighted = kept.withColumn("w", F.round(F.col("score") * R.recency(last_change(kept), now), 12))
     out = R.ranked(weighted.drop("ord"), [F.desc_nulls_last("w"), F.col("id")], "ord").select("query_id", "id", "ord", "data", "score")
     if options.diversity >= 1:
         return out
@@ -59,7 +65,7 @@ def search(queries: DataFrame, facts: DataFrame, vectors: DataFrame, now: str, o
 
 def lexical_search(queries: DataFrame, facts: DataFrame, now: str, limit: int = 18, validity: Column | None = None) -> DataFrame:
     """The same by tokens of query, without floor and recency; link_id, too, if the facts have it."""
-    hits = R.merge_scopes(R.lexical_leg(queries, R.memories(facts, R.current(now) if validity is None else validity), limit))
+    hits = R.merge_scopes(R.lexical_leg(queries, R.readable(facts, R.current(now) if validity is None else validity), limit))
     return R.ranked(hits.drop("ord"), [F.desc("score"), F.desc("created_at"), F.col("id")], "ord").select("query_id", "id", "ord", "data", "score", *[c for c in facts.columns if c == "link_id"])
 
 

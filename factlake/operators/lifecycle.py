@@ -92,11 +92,11 @@ def reembed_outcomes(facts: DataFrame, source: DataFrame, target: DataFrame, wid
 
 
 def relink(entities: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """From entities (id, junk, links): the first `limit` memories that junk entities link to, and the junk entities that link to
+    """From entities (id, junk, links): the first `limit` facts that junk entities link to, and the junk entities that link to
     nothing else (those without links stay)."""
-    edges = entities.filter("junk").select("id", F.explode("links").alias("memory"))
-    affected = edges.select("memory").distinct().orderBy("memory").limit(limit)
-    known = edges.join(affected.withColumn("inside", F.lit(True)), "memory", "left")
+    edges = entities.filter("junk").select("id", F.explode("links").alias("fact"))
+    affected = edges.select("fact").distinct().orderBy("fact").limit(limit)
+    known = edges.join(affected.withColumn("inside", F.lit(True)), "fact", "left")
     return affected, known.groupBy("id").agg(F.bool_and(F.coalesce("inside", F.lit(False))).alias("all_inside")).filter("all_inside").select("id")
 
 

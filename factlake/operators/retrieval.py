@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factlake.functions import text as T
+from factlake.operators import index as X
 
 
 def current(now: str) -> Column:
@@ -19,74 +20,83 @@ def as_of(at: str) -> Column:
     return (F.coalesce("valid_at", "created_at") <= t) & (F.col("invalid_at").isNull() | (F.col("invalid_at") > t))
 
 
-def memories(facts: DataFrame, validity: Column | None = None) -> DataFrame:
+def readable(facts: DataFrame, validity: Column | None = None) -> DataFrame:
     """Rows that are no entities and not archived; a null state counts as archived."""
     out = facts.filter(F.col("entity_type").isNull() & (F.col("state") != "archived"))
     return out if validity is None else out.filter(validity)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
 def _scoped(queries: DataFrame) -> DataFrame:
     wanted = F.array_distinct(F.filter("scopes", lambda s: s != ""))
     return queries.withColumn("scope", F.explode(wanted)).drop("scopes")
 
 
-#: Queries, with their scopes, up to which their table is broadcast; and parts of a scope's facts where it isn't.
-FEW_QUERIES, SALTS = 1 << 14, 32
-#: Distinct tokens of a query table up to which each fact meets each token once, instead of each query's tokens by themselves.
-MOST_TOKENS = 1 << 16
+#: Queries, with their scopes, up to which their table is broadcast; bytes that it may have then; and parts of a scope's facts where it isn't.
+FEW_QUERIES, FEW_BYTES, SALTS = 1 << 14, 1 << 26, 32
+#: Hits up to which they are broadcast to the facts, to fetch their texts.
+FEW_HITS = 1 << 18
+
+
+def _small(asked: DataFrame, many: int) -> bool:
+    """Whether a query table of so many rows may be broadcast. Its bytes are measured, as vectors and texts have any length."""
+    if many > FEW_QUERIES:
+        return False
+    sizes = [F.size(f.name) * 8 if f.dataType.typeName() == "array" else F.octet_length(f.name) for f in asked.schema if f.dataType.typeName() in ("array", "string")]
+    return (asked.agg(F.sum(sum(F.coalesce(s, F.lit(0)) for s in sizes))).first()[0] or 0) <= FEW_BYTES
 
 
-def _meet(rows: DataFrame, asked: DataFrame, many: int) -> DataFrame:
+def _meet(rows: DataFrame, asked: DataFrame) -> DataFrame:
     """Rows and queries of one scope. Few queries go to the rows; for many, each scope's rows are dealt into parts that all of its queries meet."""
-    if many <= FEW_QUERIES:
+    if _small(asked, asked.count()):
         return rows.join(F.broadcast(asked), "scope")
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     return salted.join(asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["scope", "salt"]).drop("salt")
 
 
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+
+
 def _unit(vector: Column) -> Column:
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(vector, lambda x: x / norm))
+    # Bound by the outer array, as the norm would be summed again for each component.
+    return F.get(F.transform(F.array(norm), lambda n: F.when(n > 0, F.transform(vector, lambda x: x / n))), F.lit(0))
 
 
 def vector_leg(queries: DataFrame, facts: DataFrame, vectors: DataFrame, limit: int) -> DataFrame:
-    """query_id, scope, id, ord, data, created_at, score: each query's `limit` nearest facts of each of its scopes. Lengths are made 1 once
-    a vector, so a pair costs one product; zero vectors have no score."""
-    asked = _scoped(queries).withColumn("vector", _unit(F.col("vector")))
-    rows = facts.join(vectors.select(F.col("memory_id").alias("id"), _unit(F.col("vector")).alias("own")), "id")
-    dot = F.aggregate(F.zip_with("own", "vector", lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    pairs = _meet(rows, asked, asked.count()).withColumn("score", dot)
+    """query_id, scope, id, ord, data, created_at (updated_at too, if the facts have it), score: each query's `limit` nearest facts of each
+    of its scopes. Lengths are made 1 once a vector, so a pair costs one product; zero vectors have no score. Ids are distinct within a
+    scope; texts join once the hits are known."""
+    when = ["created_at", *(c for c in facts.columns if c == "updated_at")]
+    asked = _scoped(queries.select("query_id", "vector", "scopes")).withColumn("vector", _unit(F.col("vector")))
+    rows = facts.select("scope", "id", "ord", *when).join(vectors.select(F.col("fact_id").alias("id"), _unit(F.col("vector")).alias("own")), "id")
+    pairs = _meet(rows, asked).withColumn("score", dot(F.col("own"), F.col("vector")))
     order = Window.partitionBy("query_id", "scope").orderBy(F.desc_nulls_last("score"), "id")
-    return pairs.select("query_id", "scope", "id", "ord", "data", "created_at", "score").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= limit).drop("r")
+    top = pairs.select("query_id", "scope", "id", "ord", *when, "score").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= limit).drop("r")
+    return with_texts(top, facts, ["data"], asked.count() * limit).select("query_id", "scope", "id", "ord", "data", *when, "score")
+
+
+def with_texts(hits: DataFrame, facts: DataFrame, columns: list[str], most: int) -> DataFrame:
+    """hits (scope, id, ...) with these columns of their facts; at most `most` hits there are."""
+    own = facts.select("scope", "id", *columns)
+    return own.join(F.broadcast(hits) if most <= FEW_HITS else hits, ["scope", "id"])
 
 
 def lexical_leg(queries: DataFrame, facts: DataFrame, limit: int) -> DataFrame:
     """The same by tokens, with link_id if the facts have it: the score is the sum of field scores over three times the number of tokens.
 
-    A fact is searched once for each distinct token of all queries; a query then adds up its tokens' scores.
+    Facts are found through an inverted index (see operators.index); ids are distinct within a scope. Texts join once the hits are known.
     """
     link = [c for c in facts.columns if c == "link_id"]
-    asked = _scoped(queries).withColumn("tokens", T.lexical_tokens(F.col("query"))).filter(F.size("tokens") > 0)
-    tokens = [r.t for r in asked.select(F.explode("tokens").alias("t")).distinct().limit(MOST_TOKENS + 1).collect()]
-    rows = facts.select("scope", "id", "ord", "data", "created_at", *link, F.lower("name").alias("nm"), F.lit(None).cast("string").alias("ds"), T.token_words(F.col("data")).alias("dt"))
-    if len(tokens) <= MOST_TOKENS:
-        all_tokens = F.split(F.lit(" ".join(sorted(tokens))), " ")
-        # Through a generator, as a plain projection is computed again for each row that it meets in the join.
-        rows = rows.withColumn("scores", F.explode(F.array(T.token_scores(all_tokens, F.col("nm"), F.col("ds"), F.col("dt"))))).drop("nm", "ds", "dt")
-        asked = asked.withColumn("places", F.transform("tokens", lambda t: F.array_position(all_tokens, t).cast("int") - 1))
-        raw = F.aggregate("places", F.lit(0), lambda total, i: total + F.get("scores", i))
-    else:
-        raw = T.field_score(F.col("tokens"), F.col("nm"), F.col("ds"), F.col("dt"))
-    pairs = _meet(rows, asked, asked.count()).withColumn("raw", raw)
+    asked = _scoped(queries).select("query_id", "scope", T.lexical_tokens(F.col("query")).alias("tokens")).filter(F.size("tokens") > 0)
+    many, keys = asked.count(), ["scope", "id", "ord", "created_at"]
+    scopes = asked.select("scope").distinct()
+    here = facts.join(F.broadcast(scopes) if many <= FEW_QUERIES else scopes, "scope", "left_semi")
+    found = X.hits(here, keys, {"name": 3, "data": 1}, asked.select(F.explode("tokens").alias("token")).distinct())
+    pairs = X.totals(found, keys, asked, ["scope"], many)
     order = Window.partitionBy("query_id", "scope").orderBy(F.desc("raw"), F.desc("created_at"), "id")
-    # The rank comes first: a filter on the score right above it would be pushed down and compute it twice.
-    top = pairs.select("query_id", "scope", "id", "ord", "data", "created_at", *link, "raw", F.size("tokens").alias("n")).withColumn("r", F.row_number().over(order)).filter((F.col("r") <= limit) & (F.col("raw") > 0))
-    return top.select("query_id", "scope", "id", "ord", "data", "created_at", *link, (F.col("raw") / (3 * F.col("n"))).alias("score"))
+    top = pairs.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= limit).select("query_id", "scope", "id", "ord", "created_at", (F.col("raw") / (3 * F.col("n"))).alias("score"))
+    return with_texts(top, facts, ["data", *link], many * limit).select("query_id", "scope", "id", "ord", "data", "created_at", *link, "score")
 
 
 def merge_scopes(hits: DataFrame) -> DataFrame:

@@ -35,19 +35,19 @@ def temporal_controls(filters: dict | None) -> tuple[str | None, bool, dict]:
 
 
 def upsert_vectors(vectors: DataFrame, made: DataFrame, facts: DataFrame, width: int) -> DataFrame:
-    """vectors (memory_id, vector) with those of made (at most one a fact) in their places. Null vectors, those of another width and those of
+    """vectors (fact_id, vector) with those of made (at most one a fact) in their places. Null vectors, those of another width and those of
     ids that facts don't have change nothing; the facts' texts stay as they are."""
-    good = made.filter(F.size("vector") == width).join(facts.select(F.col("id").alias("memory_id")), "memory_id", "left_semi")
-    return vectors.join(good.withColumnRenamed("vector", "new"), "memory_id", "full").select("memory_id", F.coalesce("new", "vector").alias("vector"))
+    good = made.filter(F.size("vector") == width).join(facts.select(F.col("id").alias("fact_id")), "fact_id", "left_semi")
+    return vectors.join(good.withColumnRenamed("vector", "new"), "fact_id", "full").select("fact_id", F.coalesce("new", "vector").alias("vector"))
 
 
 def reembed(facts: DataFrame, source: DataFrame, target: DataFrame, by: Callable[[Column], Column], width: int) -> DataFrame:
-    """target (memory_id, vector) with vectors of the facts (id, data) that source has and target lacks. Each distinct text is embedded once;
+    """target (fact_id, vector) with vectors of the facts (id, data) that source has and target lacks. Each distinct text is embedded once;
     empty texts, failures (null) and vectors of another width are left out, so a later pass tries them again."""
-    rows = facts.select(F.col("id").alias("memory_id"), F.col("data").alias("text"))
-    todo = rows.join(source.select("memory_id"), "memory_id", "left_semi").join(target.select("memory_id"), "memory_id", "left_anti")
-    made = embed(todo.withColumnRenamed("memory_id", "id"), by).filter(F.size("vector") == width)
-    return target.select("memory_id", "vector").unionByName(made.select(F.col("id").alias("memory_id"), "vector"))
+    rows = facts.select(F.col("id").alias("fact_id"), F.col("data").alias("text"))
+    todo = rows.join(source.select("fact_id"), "fact_id", "left_semi").join(target.select("fact_id"), "fact_id", "left_anti")
+    made = embed(todo.withColumnRenamed("fact_id", "id"), by).filter(F.size("vector") == width)
+    return target.select("fact_id", "vector").unionByName(made.select(F.col("id").alias("fact_id"), "vector"))
 
 
 def project(facts: DataFrame, id_: Column) -> DataFrame:

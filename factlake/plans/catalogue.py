@@ -14,20 +14,21 @@ FACTS = """
 facts AS (SELECT doc_id AS ord, CAST(doc_id AS VARCHAR) AS id, text AS data, source AS name, lang AS scope,
   ['project','feedback','reference','user'][CAST(doc_id % 4 + 1 AS INT)] AS kind,
   TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id AS INT)) AS created_at,
+  CASE WHEN doc_id % 3 = 0 THEN TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id + doc_id % 29 * 24 AS INT)) END AS updated_at,
   CASE WHEN doc_id % 5 = 0 THEN TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id AS INT) - 24) END AS valid_at,
   CASE WHEN doc_id % 7 = 0 THEN TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id AS INT) + 720) END AS invalid_at,
   CASE WHEN doc_id % 7 = 0 THEN CAST(doc_id + 1 AS VARCHAR) END AS superseded_by,
   CASE WHEN doc_id % 13 = 0 THEN 'archived' ELSE 'active' END AS state, CASE WHEN doc_id % 11 = 0 THEN 'COMPOUND' END AS entity_type FROM documents),
-memories AS (SELECT * FROM facts WHERE entity_type IS NULL AND state <> 'archived'),
-live AS (SELECT * FROM memories WHERE invalid_at IS NULL OR invalid_at > TIMESTAMP '2024-03-01')"""
-VECTOR = f"""WITH {FACTS}, q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v, unnest(['en','fr']) AS scope FROM embeddings WHERE vec_id % 100 = 0),
+readable AS (SELECT * FROM facts WHERE entity_type IS NULL AND state <> 'archived'),
+live AS (SELECT * FROM readable WHERE invalid_at IS NULL OR invalid_at > TIMESTAMP '2024-03-01')"""
+VECTOR = f"""WITH {FACTS}, q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v, unnest(['en','fr','de','es']) AS scope FROM embeddings WHERE vec_id % 100 = 0),
 scored AS (SELECT query_id, f.scope, id, ord, data, created_at, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), q.v) AS score
   FROM live f JOIN embeddings e ON f.ord = e.vec_id JOIN q ON q.scope = f.scope),
 cosleg AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id, scope ORDER BY score DESC, id) <= 8)"""
 
 
 def _live(spark, d):
-    return R.memories(S.facts(spark, d), R.current(S.NOW))
+    return R.readable(S.facts(spark, d), R.current(S.NOW))
 
 
 def _vectors(spark, d, limit=8):
@@ -71,11 +72,11 @@ def _legs(spark, d, linked=False):
     """Both legs for the text queries; a query's vector is that of the same number. linked: the lexical leg's facts have links."""
     asked = S.text_queries(spark, d)
     v = S.vectors(spark, d)
-    with_vector = asked.join(v.select(F.col("memory_id").cast("long").alias("query_id"), "vector"), "query_id")
+    with_vector = asked.join(v.select(F.col("fact_id").cast("long").alias("query_id"), "vector"), "query_id")
     order = [F.desc(F.round("score", 9)), F.col("id")]
     none = F.lit(None).cast("string")
     cos = R.ranked(R.vector_leg(with_vector, _live(spark, d), v, 8), order, "place").drop("ord").withColumnRenamed("place", "ord").withColumn("link_id", none)
-    facts = R.memories(S.linked_facts(spark, d), R.current(S.NOW)) if linked else _live(spark, d).withColumn("link_id", none)
+    facts = R.readable(S.linked_facts(spark, d), R.current(S.NOW)) if linked else _live(spark, d).withColumn("link_id", none)
     lex = R.ranked(R.lexical_leg(asked, facts, 18), order, "place").drop("ord").withColumnRenamed("place", "ord")
     return cos, lex
 
@@ -107,20 +108,20 @@ def hybrid_topk(spark, d):
 
 
 def list_page(spark, d):
-    rows = R.memories(S.facts(spark, d)).withColumn("query_id", F.col("scope"))
+    rows = R.readable(S.facts(spark, d)).withColumn("query_id", F.col("scope"))
     return R.ranked(rows, [F.desc("created_at"), F.col("id")]).filter("rank <= 100").select("scope", "id", "rank")
 
 
 def list_total(spark, d):
-    return R.memories(S.facts(spark, d)).groupBy("scope").agg(F.count(F.lit(1)).alias("total"))
+    return R.readable(S.facts(spark, d)).groupBy("scope").agg(F.count(F.lit(1)).alias("total"))
 
 
 def asof_snapshot(spark, d):
-    return R.memories(S.facts(spark, d), R.as_of(AS_OF)).select("id", "kind")
+    return R.readable(S.facts(spark, d), R.as_of(AS_OF)).select("id", "kind")
 
 
 def include_superseded(spark, d):
-    return R.memories(S.facts(spark, d)).select("id", "superseded_by")
+    return R.readable(S.facts(spark, d)).select("id", "superseded_by")
 
 
 def archived_exclusion(spark, d):
@@ -133,7 +134,7 @@ def kind_segregation(spark, d):
 
 def reembed_delta(spark, d):
     facts = S.facts(spark, d)
-    return facts.join(S.vectors(spark, d).select(F.col("memory_id").alias("id")), "id", "left_anti").select("id")
+    return facts.join(S.vectors(spark, d).select(F.col("fact_id").alias("id")), "id", "left_anti").select("id")
 
 
 def kind_to_type(spark, d):
@@ -164,7 +165,7 @@ def lexical_sql() -> tuple[str, str, str]:
     distinct = "toks AS (SELECT query_id, list_filter(w, lambda x, i: list_position(w, x) = i)[1:32] AS tokens FROM longer)"
     lex = f""", {words}, {distinct}, pairs AS (SELECT t.query_id, f.scope, id, created_at, data, len(tokens) AS n,
       list_sum(list_transform(tokens, lambda x: CASE WHEN contains(lower(name), x) THEN 3 WHEN contains(lower(data), x) THEN 1 ELSE 0 END)) AS raw
-      FROM live f, toks t WHERE f.scope IN ('en','fr') AND len(tokens) > 0),
+      FROM live f, toks t WHERE f.scope IN ('en','fr','de','es') AND len(tokens) > 0),
     lexleg AS (SELECT query_id, scope, id, data, raw / (3.0 * n) AS score FROM pairs WHERE raw > 0 QUALIFY row_number() OVER (PARTITION BY query_id, scope ORDER BY raw DESC, created_at DESC, id) <= 18)"""
     return words, distinct, lex
 
@@ -172,7 +173,7 @@ def lexical_sql() -> tuple[str, str, str]:
 def fused_sql(bar=0.3, weight="1.0", join="FULL") -> str:
     """Both legs of the text queries and their fusion."""
     _, _, lex = lexical_sql()
-    legs = f"""WITH {FACTS}{lex}, q AS (SELECT b.item_id AS query_id, CAST(e.embedding AS DOUBLE[]) AS v, unnest(['en','fr']) AS scope FROM benchmark b JOIN embeddings e ON b.item_id = e.vec_id),
+    legs = f"""WITH {FACTS}{lex}, q AS (SELECT b.item_id AS query_id, CAST(e.embedding AS DOUBLE[]) AS v, unnest(['en','fr','de','es']) AS scope FROM benchmark b JOIN embeddings e ON b.item_id = e.vec_id),
     cosleg AS (SELECT query_id, f.scope, id, data, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), q.v) AS score FROM live f JOIN embeddings e ON f.ord = e.vec_id JOIN q ON q.scope = f.scope
       QUALIFY row_number() OVER (PARTITION BY query_id, f.scope ORDER BY score DESC, id) <= 8),
     c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS o, trim(regexp_replace(data, '\\s+', ' ', 'g')) AS nt FROM cosleg),
@@ -203,10 +204,10 @@ def oracle_sql() -> dict[str, str]:
         "fuse_lex_weight": fused(0.1, "2.0"),
         "fuse_links": fused(0.1).replace("LEFT JOIN alias a ON a.query_id = l.query_id AND a.nt = l.nt WHERE coalesce(target, l.nt)", f"LEFT JOIN alias a ON a.query_id = l.query_id AND a.nt = l.nt LEFT JOIN (SELECT query_id AS cq, id AS ci FROM c) k ON cq = l.query_id AND ci = {link} WHERE coalesce(ci, target, {link}, l.nt)").replace("coalesce(target, l.nt) AS key, min(o)", f"coalesce(ci, target, {link}, l.nt) AS key, min(o)"),
         "hybrid_topk": fused() + " WHERE rank <= 6",
-        "list_page": f"WITH {FACTS} SELECT scope, id, row_number() OVER (PARTITION BY scope ORDER BY created_at DESC, id) AS rank FROM memories QUALIFY rank <= 100",
-        "list_total": f"WITH {FACTS} SELECT scope, count(*) AS total FROM memories GROUP BY scope",
-        "asof_snapshot": f"WITH {FACTS} SELECT id, kind FROM memories WHERE coalesce(valid_at, created_at) <= TIMESTAMP '{AS_OF}' AND (invalid_at IS NULL OR invalid_at > TIMESTAMP '{AS_OF}')",
-        "include_superseded": f"WITH {FACTS} SELECT id, superseded_by FROM memories",
+        "list_page": f"WITH {FACTS} SELECT scope, id, row_number() OVER (PARTITION BY scope ORDER BY created_at DESC, id) AS rank FROM readable QUALIFY rank <= 100",
+        "list_total": f"WITH {FACTS} SELECT scope, count(*) AS total FROM readable GROUP BY scope",
+        "asof_snapshot": f"WITH {FACTS} SELECT id, kind FROM readable WHERE coalesce(valid_at, created_at) <= TIMESTAMP '{AS_OF}' AND (invalid_at IS NULL OR invalid_at > TIMESTAMP '{AS_OF}')",
+        "include_superseded": f"WITH {FACTS} SELECT id, superseded_by FROM readable",
         "archived_exclusion": f"WITH {FACTS} SELECT kind, count(*) AS n FROM facts WHERE state <> 'archived' GROUP BY kind",
         "kind_segregation": f"WITH {FACTS} SELECT entity_type IS NOT NULL AS is_entity, count(*) AS n FROM facts GROUP BY 1",
         "reembed_delta": f"WITH {FACTS} SELECT id FROM facts WHERE ord NOT IN (SELECT vec_id FROM embeddings)",

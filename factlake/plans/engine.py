@@ -18,8 +18,8 @@ BARS = [0.1, 0.3, 0.5]
 
 def _query_table(spark, d):
     """The text queries with the vector of the same number, and no lexical query of their own."""
-    v = S.vectors(spark, d).select(F.col("memory_id").cast("long").alias("query_id"), "vector")
-    return S.text_queries(spark, d).join(v, "query_id").withColumn("lexical_query", F.lit("  "))
+    v = S.vectors(spark, d).select(F.col("fact_id").cast("long").alias("query_id"), "vector")
+    return S.text_queries(spark, d).join(v, "query_id", "left").withColumn("lexical_query", F.lit("  "))
 
 
 def hybrid_search(spark, d):
@@ -126,16 +126,15 @@ def oracle_sql() -> dict[str, str]:
     legs = legs[: legs.rindex("SELECT * FROM out")]
     best = "SELECT query_id, id, arg_max(data, score) AS data, max(score) AS score, any_value(created_at) AS created_at FROM {} GROUP BY query_id, id"
     decay = "round(score * (0.9 + 0.1 * pow(0.5, greatest(0, (epoch_us(TIMESTAMP '2024-03-01') - epoch_us(created_at)) / 86400000000.0) / 30.0)), 12)"
-    whole = legs.replace("list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), q.v) AS score FROM live", "list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), q.v) AS score, created_at FROM live")
+    whole = legs.replace("list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), q.v) AS score FROM live", "list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), q.v) AS score, coalesce(updated_at, created_at) AS created_at FROM live")
     whole = whole.replace("SELECT query_id, scope, id, data, raw / (3.0 * n) AS score FROM pairs", "SELECT query_id, scope, id, data, created_at, raw / (3.0 * n) AS score FROM pairs")
     whole = whole.replace("SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS o, trim(regexp_replace(data, '\\s+', ' ', 'g')) AS nt FROM cosleg", f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {decay} DESC, id) AS o, trim(regexp_replace(data, '\\s+', ' ', 'g')) AS nt FROM ({best.format('cosleg')}) WHERE score >= 0.1")
-    asked = "(SELECT query_id FROM toks SEMI JOIN q USING (query_id))"
-    whole = whole.replace("SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS o, trim(regexp_replace(data, '\\s+', ' ', 'g')) AS nt FROM lexleg WHERE score >= 0.3", f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, created_at DESC, id) AS o, trim(regexp_replace(data, '\\s+', ' ', 'g')) AS nt FROM ({best.format('lexleg')}) WHERE score >= 0.3 AND query_id IN {asked}")
+    whole = whole.replace("SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS o, trim(regexp_replace(data, '\\s+', ' ', 'g')) AS nt FROM lexleg WHERE score >= 0.3", f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, created_at DESC, id) AS o, trim(regexp_replace(data, '\\s+', ' ', 'g')) AS nt FROM ({best.format('lexleg')}) WHERE score >= 0.3")
     lines = "list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, E' \\t\\r\\n\\f\\v')), lambda x: x <> '' AND NOT starts_with(x, '#') AND NOT starts_with(x, '---'))"
     topic = f"""WITH {C.FACTS}, firsts AS (SELECT ord, id, data AS text, kind, name, scope, created_at, coalesce(({lines.replace('text', 'data')})[1], '') AS line FROM facts),
     flat AS (SELECT *, trim(regexp_replace(CASE WHEN regexp_matches(line || ' ', '^.{{10,}}?[.!?]\\s') THEN regexp_extract(line || ' ', '^(.{{10,}}?[.!?])\\s', 1) ELSE line END, '\\s+', ' ', 'g')) AS s FROM firsts),
     topics AS (SELECT ord, id, 'f_' || id AS name, CASE WHEN length(s) <= 140 THEN s ELSE rtrim(s[1:139]) || '…' END AS description, kind, CASE WHEN ord % 5 <> 0 THEN scope END AS scope, trim(text, E' \\t\\r\\n\\f\\v') AS body, created_at FROM flat)"""
-    pairs = """, asked AS (SELECT item_id AS query_id, list_filter(list_distinct(string_split_regex(lower(text), '[^a-z0-9]+')), lambda x: length(x) >= 2) AS tokens, unnest(['en', 'fr']) AS scope, unnest([0, 1]) AS place FROM benchmark),
+    pairs = """, asked AS (SELECT item_id AS query_id, list_filter(list_distinct(string_split_regex(lower(text), '[^a-z0-9]+')), lambda x: length(x) >= 2) AS tokens, unnest(['en', 'fr', 'de', 'es']) AS scope, unnest([0, 1, 2, 3]) AS place FROM benchmark),
     scored AS (SELECT query_id, a.scope, place, id, created_at, list_sum(list_transform(tokens, lambda x: CASE WHEN contains(id || '.md ' || name, x) THEN 3 WHEN contains(lower(description), x) THEN 2 WHEN contains(lower(body), x) THEN 1 ELSE 0 END)) / (3.0 * len(tokens)) AS score
       FROM topics t JOIN asked a ON (t.scope = a.scope OR t.scope IS NULL) WHERE len(tokens) > 0),
     top AS (SELECT * FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id, scope ORDER BY score DESC, created_at DESC, id) <= 10)"""
@@ -148,7 +147,7 @@ def oracle_sql() -> dict[str, str]:
     u AS (SELECT ord, list(CAST(xor(v, v >> 14) AS DOUBLE) / 4294967296.0::DOUBLE ORDER BY j) AS u FROM v2 GROUP BY ord)"""
     return {
         "hybrid_search": f"{whole} SELECT query_id, key, cosine_rank, lexical_rank, score, rank FROM out WHERE rank <= 8",
-        "hybrid_leg_stats": f"{whole}, ids AS (SELECT DISTINCT query_id FROM q) SELECT query_id, (SELECT count(*) FROM c WHERE c.query_id = ids.query_id) AS cosine, (SELECT count(DISTINCT id) FROM lexleg x WHERE x.query_id = ids.query_id) AS lexical, (SELECT count(*) FROM l WHERE l.query_id = ids.query_id) AS qualifying, (SELECT count(*) FROM out WHERE out.query_id = ids.query_id) AS fused FROM ids",
+        "hybrid_leg_stats": f"{whole}, ids AS (SELECT item_id AS query_id FROM benchmark) SELECT query_id, (SELECT count(*) FROM c WHERE c.query_id = ids.query_id) AS cosine, (SELECT count(DISTINCT id) FROM lexleg x WHERE x.query_id = ids.query_id) AS lexical, (SELECT count(*) FROM l WHERE l.query_id = ids.query_id) AS qualifying, (SELECT count(*) FROM out WHERE out.query_id = ids.query_id) AS fused FROM ids",
         "fuse_provenance": f"{legs}, ls AS (SELECT l.query_id, coalesce(target, l.nt) AS key, arg_min(score, o) AS s FROM l LEFT JOIN alias a ON a.query_id = l.query_id AND a.nt = l.nt GROUP BY ALL) SELECT out.query_id, out.key, cosine_rank, lexical_rank, round(c.score, 6) AS cosine_score, round(CAST(ls.s AS DOUBLE), 6) AS lexical_score FROM out LEFT JOIN c ON c.query_id = out.query_id AND c.id = out.key AND cosine_rank IS NOT NULL LEFT JOIN ls ON ls.query_id = out.query_id AND ls.key = out.key AND lexical_rank IS NOT NULL",
         "fuse_min_lex_sweep": " UNION ALL ".join(f"SELECT * FROM ({C.fused_sql(bar).replace('SELECT * FROM out', f'SELECT CAST({bar} AS DOUBLE) AS bar, count(*) AS n, count(lexical_rank) AS with_lexical FROM out')})" for bar in BARS),
         "topic_parse": f"""{topic} SELECT id, name, description, kind AS type, scope, kind, '{{"ord":' || ord || '}}' AS extra, sha256(body) AS body_key FROM topics""",

@@ -25,7 +25,7 @@ def upsert_fold(spark, d):
 
 
 def delete_cascade(spark, d):
-    vectors = S.vectors(spark, d).select(F.col("memory_id").alias("id"))
+    vectors = S.vectors(spark, d).select(F.col("fact_id").alias("id"))
     return L.cascade(vectors, S.change_log(spark, d))
 
 
@@ -43,19 +43,19 @@ def get_by_id(spark, d):
 
 
 def list_kind_after_cap(spark, d):
-    return L.capped(R.memories(S.facts(spark, d)), 100, "feedback").select("scope", "id")
+    return L.capped(R.readable(S.facts(spark, d)), 100, "feedback").select("scope", "id")
 
 
 def reembed_outcomes(spark, d):
-    v = S.vectors(spark, d).withColumnRenamed("memory_id", "id")
+    v = S.vectors(spark, d).withColumnRenamed("fact_id", "id")
     facts = S.facts(spark, d).join(v.withColumnRenamed("vector", "made"), "id", "left")
     facts = facts.withColumn("made", F.when(F.col("ord") % 6 != 0, F.col("made")))
     return L.reembed_outcomes(facts, v, v.filter("cast(id as long) % 3 = 1"), 64)
 
 
 def mrl_truncate(spark, d):
-    v = S.vectors(spark, d).select("memory_id", F.posexplode(L.truncate_vector(F.col("vector"), 16)).alias("place", "x"))
-    return v.select("memory_id", "place", F.round("x", 6).alias("x"))
+    v = S.vectors(spark, d).select("fact_id", F.posexplode(L.truncate_vector(F.col("vector"), 16)).alias("place", "x"))
+    return v.select("fact_id", "place", F.round("x", 6).alias("x"))
 
 
 def _entities(spark, d):
@@ -105,7 +105,7 @@ def conversation_windows(spark, d):
 
 def _holding(facts, asked):
     """query_id, key of the facts of a query's scopes that hold its whole text."""
-    held = R._meet(facts.select("scope", "id", "data"), R._scoped(asked), asked.count())
+    held = R._meet(facts.select("scope", "id", "data"), R._scoped(asked))
     return held.filter(F.contains("data", F.col("query"))).select("query_id", F.col("id").alias("key"))
 
 
@@ -154,7 +154,7 @@ def oracle_sql() -> dict[str, str]:
     span = """ents AS (SELECT id, ord, ['the ','','genuine ','of '][CAST(ord % 4 + 1 AS INT)] ||
       array_to_string(list_filter(string_split_regex(data, '[ \\t-\\r]+'), lambda w: w <> '')[1:CAST(ord % 4 + 1 AS INT)], ' ') AS entity,
       CASE WHEN ord % 5 = 0 THEN [] ELSE [ord, ord + 1, ord + ord % 50] END AS links FROM facts)"""
-    edges = f"WITH {facts}, {span}, edges AS (SELECT DISTINCT id, unnest(links) AS memory FROM ents WHERE ord % 3 = 0), affected AS (SELECT DISTINCT memory FROM edges ORDER BY memory LIMIT 200)"
+    edges = f"WITH {facts}, {span}, edges AS (SELECT DISTINCT id, unnest(links) AS fact FROM ents WHERE ord % 3 = 0), affected AS (SELECT DISTINCT fact FROM edges ORDER BY fact LIMIT 200)"
     quoted = lambda words: ",".join(f"'{w}'" for w in words)
     stop, clause, gerund, vague = (quoted(w) for w in (entities.STOP, entities.CLAUSE, entities.GERUNDS, entities.VAGUE))
     junk = f"""WITH {facts}, {span}, low AS (SELECT id, entity, regexp_replace(trim(lower(entity)), '^(?:the|a|an)\\s+', '') AS t FROM ents),
@@ -166,7 +166,7 @@ def oracle_sql() -> dict[str, str]:
       OR len(list_filter(w, lambda x: length(x) >= 3 AND x NOT IN ({stop}) AND regexp_matches(x, '[a-z]'))) = 0 AS junk FROM parts"""
     gram = "CASE WHEN length(s) = 0 THEN [] WHEN length(s) < 3 THEN [s] ELSE list_distinct(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3))) END"
     judged = f"""WITH {facts}{lex}, gold AS (SELECT item_id AS query_id, text, ['lexical-gap','exact-identifier'][CAST(item_id % 2 + 1 AS INT)] AS class FROM benchmark),
-    expected AS (SELECT query_id, id AS key FROM gold JOIN live ON scope IN ('en','fr') AND contains(data, text)),
+    expected AS (SELECT query_id, id AS key FROM gold JOIN live ON scope IN ('en','fr','de','es') AND contains(data, text)),
     hits AS (SELECT query_id, id AS key, CAST(score AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(CAST(score AS DOUBLE), 9) DESC, id) AS rank FROM lexleg),
     outs AS (SELECT query_id, class, (SELECT count(*) FROM expected e WHERE e.query_id = gold.query_id) AS n_expected,
       (SELECT count(*) FROM hits SEMI JOIN expected USING (query_id, key) WHERE query_id = gold.query_id AND rank <= 5) AS near,
@@ -181,12 +181,12 @@ def oracle_sql() -> dict[str, str]:
         "validity_fold": f"WITH {facts} SELECT id, valid_at, invalid_at, superseded_by, CASE WHEN coalesce(CAST(valid_at AS VARCHAR), CAST(invalid_at AS VARCHAR), superseded_by) IS NOT NULL THEN CASE WHEN invalid_at <= TIMESTAMP '2024-03-01' THEN 'superseded' ELSE 'current' END END AS status FROM facts",
         "payload_equality": f"WITH {facts} SELECT id, kind, scope FROM facts WHERE kind = 'feedback' AND scope = 'fr'",
         "get_by_id": f"WITH {facts} SELECT id, state, kind, entity_type, superseded_by FROM facts WHERE id = '77'",
-        "list_kind_after_cap": f"WITH {facts}, capped AS (SELECT * FROM memories QUALIFY row_number() OVER (PARTITION BY scope ORDER BY created_at DESC, id) <= 100) SELECT scope, id FROM capped WHERE kind = 'feedback'",
+        "list_kind_after_cap": f"WITH {facts}, capped AS (SELECT * FROM readable QUALIFY row_number() OVER (PARTITION BY scope ORDER BY created_at DESC, id) <= 100) SELECT scope, id FROM capped WHERE kind = 'feedback'",
         "reembed_outcomes": f"WITH {facts} SELECT CASE WHEN coalesce(data, '') = '' THEN 'skipped' WHEN ord % 6 = 0 OR len(embedding) <> 64 THEN 'error' ELSE 'reembedded' END AS outcome, count(*) AS n FROM facts JOIN embeddings ON ord = vec_id WHERE vec_id % 3 <> 1 GROUP BY 1",
-        "mrl_truncate": "WITH h AS (SELECT vec_id, CAST(embedding[1:16] AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM h) SELECT CAST(vec_id AS VARCHAR) AS memory_id, CAST(unnest(range(len(v))) AS INT) AS place, round(unnest(list_transform(v, lambda x: x / norm)), 6) AS x FROM s",
+        "mrl_truncate": "WITH h AS (SELECT vec_id, CAST(embedding[1:16] AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM h) SELECT CAST(vec_id AS VARCHAR) AS fact_id, CAST(unnest(range(len(v))) AS INT) AS place, round(unnest(list_transform(v, lambda x: x / norm)), 6) AS x FROM s",
         "entity_quality": junk,
-        "relink_affected": f"{edges} SELECT memory FROM affected",
-        "relink_deletable": f"{edges} SELECT id FROM edges GROUP BY id HAVING bool_and(memory IN (SELECT memory FROM affected))",
+        "relink_affected": f"{edges} SELECT fact FROM affected",
+        "relink_deletable": f"{edges} SELECT id FROM edges GROUP BY id HAVING bool_and(fact IN (SELECT fact FROM affected))",
         "topic_slug": f"WITH {facts}, s AS (SELECT id, array_to_string(list_filter(string_split_regex(regexp_replace(lower(data), '[^a-z0-9\\s_-]', ' ', 'g'), '[\\s_-]+'), lambda w: w <> '')[1:7], '_') AS slug FROM facts) SELECT id, CASE WHEN slug = '' THEN 'memory' ELSE slug END AS slug FROM s",
         "trigram_similarity_pairs": f"WITH s AS (SELECT item_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS s FROM benchmark), g AS (SELECT item_id, {gram} AS g FROM s) SELECT a.item_id, round(len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))::DOUBLE, 6) AS similarity FROM g a JOIN g b ON b.item_id = a.item_id + 1",
         "upper_median": "SELECT event_type, -quantile_disc(-value, 0.5) AS median FROM events GROUP BY event_type",

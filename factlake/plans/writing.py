@@ -14,12 +14,12 @@ MODELS = ["gemma", "qwen3", "harrier", "granite"]
 
 
 def _vector_rows(vectors):
-    return vectors.select("memory_id", F.size("vector").alias("width"), F.round(F.element_at("vector", 1), 6).alias("x"))
+    return vectors.select("fact_id", F.size("vector").alias("width"), F.round(F.element_at("vector", 1), 6).alias("x"))
 
 
 def vector_upsert(spark, d):
     """Every third vector written again backwards, every seventh of these too short."""
-    v, n = S.vectors(spark, d), F.col("memory_id").cast("long")
+    v, n = S.vectors(spark, d), F.col("fact_id").cast("long")
     made = v.filter(n % 3 == 0).withColumn("vector", F.when(n % 7 == 0, F.slice("vector", 2, 3)).otherwise(F.reverse("vector")))
     return _vector_rows(W.upsert_vectors(v, made, S.facts(spark, d), 64))
 
@@ -29,7 +29,7 @@ def reembed_vectors(spark, d):
     v = S.vectors(spark, d)
     size = lambda t: F.length(t).cast("double")
     made = lambda t: F.when(F.length(t) % 6 != 0, F.array(size(t), F.lit(1.0)))
-    return _vector_rows(W.reembed(S.facts(spark, d), v, v.filter("cast(memory_id as long) % 3 = 1"), made, 2))
+    return _vector_rows(W.reembed(S.facts(spark, d), v, v.filter("cast(fact_id as long) % 3 = 1"), made, 2))
 
 
 def projection_write(spark, d):
@@ -102,7 +102,7 @@ def gold_ranked_keys(spark, d):
 def get_by_ids(spark, d):
     """Facts that the benchmark's items name by number, entities and archived ones left out."""
     wanted = S.text_queries(spark, d).select(F.col("query_id").cast("string").alias("id"))
-    return R.memories(S.facts(spark, d)).join(wanted, "id", "left_semi").select("id", "kind", "scope")
+    return R.readable(S.facts(spark, d)).join(wanted, "id", "left_semi").select("id", "kind", "scope")
 
 
 _ALL = (vector_upsert, reembed_vectors, projection_write, projection_cleanup, seed_manifest, unseed_corpus, entry_projection, payload_filter, payload_times, embed_prompts, gold_ranked_keys, get_by_ids)
@@ -119,8 +119,8 @@ def oracle_sql() -> dict[str, str]:
     before = {("gemma", "query"): "task: search result | query: ", ("gemma", "document"): "title: none | text: ", ("qwen3", "query"): f"Instruct: {M.TASK}\nQuery:", ("harrier", "query"): f"Instruct: {M.TASK}\nQuery: "}
     shapes = ", ".join(f"('{m}', '{k}', '{before.get((m, k), '')}')" for m in MODELS for k in ("query", "document"))
     return {
-        "vector_upsert": "SELECT CAST(vec_id AS VARCHAR) AS memory_id, CAST(len(embedding) AS INT) AS width, round(CAST(CASE WHEN vec_id % 3 = 0 AND vec_id % 7 <> 0 AND vec_id IN (SELECT doc_id FROM documents) THEN embedding[len(embedding)] ELSE embedding[1] END AS DOUBLE), 6) AS x FROM embeddings",
-        "reembed_vectors": """SELECT CAST(vec_id AS VARCHAR) AS memory_id, CAST(len(embedding) AS INT) AS width, round(CAST(embedding[1] AS DOUBLE), 6) AS x FROM embeddings WHERE vec_id % 3 = 1
+        "vector_upsert": "SELECT CAST(vec_id AS VARCHAR) AS fact_id, CAST(len(embedding) AS INT) AS width, round(CAST(CASE WHEN vec_id % 3 = 0 AND vec_id % 7 <> 0 AND vec_id IN (SELECT doc_id FROM documents) THEN embedding[len(embedding)] ELSE embedding[1] END AS DOUBLE), 6) AS x FROM embeddings",
+        "reembed_vectors": """SELECT CAST(vec_id AS VARCHAR) AS fact_id, CAST(len(embedding) AS INT) AS width, round(CAST(embedding[1] AS DOUBLE), 6) AS x FROM embeddings WHERE vec_id % 3 = 1
           UNION ALL SELECT CAST(doc_id AS VARCHAR), CAST(2 AS INT), CAST(length(left(text, 32000)) AS DOUBLE) FROM documents JOIN embeddings ON doc_id = vec_id WHERE vec_id % 3 <> 1 AND text <> '' AND length(left(text, 32000)) % 6 <> 0""",
         "projection_write": f"WITH {facts} SELECT 'p_' || id AS id, id AS link_id, scope, kind FROM facts",
         "projection_cleanup": f"""WITH {facts}, p AS (SELECT *, CAST(ord + 3 - ord % 6 * 2 AS VARCHAR) AS link_id FROM facts WHERE ord % 3 = 0)
@@ -134,5 +134,5 @@ def oracle_sql() -> dict[str, str]:
         "embed_prompts": f"SELECT item_id AS query_id, model, kind, sha256(lead || text) AS text_key FROM benchmark, (VALUES {shapes}) v(model, kind, lead)",
         "gold_ranked_keys": f"""{C.VECTOR}, h AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM cosleg),
           k AS (SELECT query_id, name AS key, min(rank) AS place FROM h JOIN facts USING (id) WHERE ord % 6 > 0 AND name IS NOT NULL GROUP BY ALL) SELECT query_id, key, CAST(row_number() OVER (PARTITION BY query_id ORDER BY place) AS INT) AS rank FROM k""",
-        "get_by_ids": f"WITH {facts} SELECT id, kind, scope FROM memories WHERE ord IN (SELECT item_id FROM benchmark)",
+        "get_by_ids": f"WITH {facts} SELECT id, kind, scope FROM readable WHERE ord IN (SELECT item_id FROM benchmark)",
     }

@@ -9,13 +9,22 @@ from pyspark.sql import functions as F
 NOW = "2024-03-01 00:00:00"
 
 
+#: The scopes that facts have, all of which queries ask.
+SCOPES = ["en", "fr", "de", "es"]
+
+
+def _scopes():
+    return F.array(*map(F.lit, SCOPES))
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     hours = lambda n: F.expr(f"timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, {n})")
     return d.select(
         F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("id"), F.col("text").alias("data"), F.col("source").alias("name"),
         F.col("lang").alias("scope"), F.expr("element_at(array('project', 'feedback', 'reference', 'user'), cast(doc_id % 4 + 1 as int))").alias("kind"),
-        hours("cast(doc_id as int)").alias("created_at"), F.when(F.col("doc_id") % 5 == 0, hours("cast(doc_id as int) - 24")).alias("valid_at"),
+        hours("cast(doc_id as int)").alias("created_at"), F.when(F.col("doc_id") % 3 == 0, hours("cast(doc_id + doc_id % 29 * 24 as int)")).alias("updated_at"),
+        F.when(F.col("doc_id") % 5 == 0, hours("cast(doc_id as int) - 24")).alias("valid_at"),
         F.when(F.col("doc_id") % 7 == 0, hours("cast(doc_id as int) + 720")).alias("invalid_at"), F.when(F.col("doc_id") % 7 == 0, (F.col("doc_id") + 1).cast("string")).alias("superseded_by"),
         F.when(F.col("doc_id") % 13 == 0, "archived").otherwise("active").alias("state"), F.when(F.col("doc_id") % 11 == 0, "COMPOUND").alias("entity_type"),
     )
@@ -27,18 +36,18 @@ def linked_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("memory_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("fact_id"), F.col("embedding").cast("array<double>").alias("vector"))
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query vectors: every hundredth vector, asked in two scopes."""
+    """Query vectors: every hundredth vector, asked in all scopes."""
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("vec_id % 100 = 0")
-    return v.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector"), F.array(F.lit("en"), F.lit("fr")).alias("scopes"))
+    return v.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector"), _scopes().alias("scopes"))
 
 
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.array(F.lit("en"), F.lit("fr")).alias("scopes"))
+    return b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), _scopes().alias("scopes"))
 
 
 def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:

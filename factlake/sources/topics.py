@@ -12,10 +12,7 @@ from pyspark.sql.window import Window
 
 from factlake.functions import text as T
 from factlake.functions import topics as P
-
-#: Scopes that one set of queries may name where files without a scope match any of them.
-MOST_SCOPES = 10_000
-
+from factlake.operators import index as X
 
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
     """file, id, modified and the parsed fields of every topic file right in a folder; index files and sub-folders are left out."""
@@ -97,26 +94,25 @@ def archive(uri: str, name: str) -> bool:
 
 def search(topics: DataFrame, queries: DataFrame, limit: int = 10, unscoped_anywhere: bool = True, unscoped: str = "local") -> DataFrame:
     """query_id, scope, id, score, rank of each query (query_id, query, scopes) by tokens: the best `limit` of each scope, newest first
-    among equals; a file found in several scopes counts for the first. Files without a scope match any scope, or only `unscoped`."""
+    among equals; a file found in several scopes counts for the first. Files without a scope match any scope, or only `unscoped`.
+
+    Files are found through an inverted index. Those that match any scope are scored once for a query; its best `limit` of them then go to
+    each of its scopes, as no other can be among a scope's best.
+    """
     asked = queries.select("query_id", T.file_tokens(F.col("query")).alias("tokens"), F.posexplode(F.array_distinct(F.filter("scopes", lambda s: s != ""))).alias("place", "scope")).filter(F.size("tokens") > 0)
-    f = topics.select("id", "modified", F.col("scope").alias("own"), F.lower(F.concat_ws(" ", "file", "name")).alias("nm"), F.lower("description").alias("ds"), F.lower("body").alias("dt"))
-    homeless = f.filter("own is null")
-    scoped = f.filter("own is not null").withColumn("scope", F.col("own"))
-    cols = ["query_id", "place", "asked_scope", "tokens", "id", "modified", "nm", "ds", "dt"]
-    a = asked.withColumn("asked_scope", F.col("scope"))
-    known = [r.scope for r in asked.select("scope").distinct().limit(MOST_SCOPES + 1).collect()] if unscoped_anywhere else []
-    if len(known) > MOST_SCOPES:
-        raise ValueError(f"more than {MOST_SCOPES} scopes in one set of queries")
-    pairs = a.join(scoped, "scope").select(cols)
-    # A file without a scope is met by every scope that is asked for: it takes each one as its own, so the join stays one by equality.
-    if unscoped_anywhere:
-        homeless = homeless.withColumn("scope", F.explode(F.lit(known) if known else F.array().cast("array<string>")))
-    else:
-        homeless = homeless.withColumn("scope", F.lit(unscoped))
-    pairs = pairs.unionByName(a.join(homeless, "scope").select(cols))
-    scored = pairs.withColumn("score", T.field_score(F.col("tokens"), F.col("nm"), F.col("ds"), F.col("dt")) / (3 * F.size("tokens")))
+    many, keys, fields = asked.count(), ["scope", "id", "modified"], {"nm": 3, "ds": 2, "dt": 1}
+    own = F.col("scope") if unscoped_anywhere else F.coalesce("scope", F.lit(unscoped))
+    files = topics.select(own.alias("scope"), "id", "modified", F.concat_ws(" ", "file", "name").alias("nm"), F.col("description").alias("ds"), F.col("body").alias("dt"))
+    found = X.hits(files, keys, fields, asked.select(F.explode("tokens").alias("token")).distinct(), X.FILE_WORDS)
+    mine = X.totals(found.filter("scope is not null"), keys, asked, ["scope"], many)
+    best = [F.desc(F.col("raw") / (3 * F.col("n"))), F.desc("modified"), F.col("id")]
+    homeless = X.totals(found.filter("scope is null"), keys, asked.select("query_id", "tokens").distinct(), [], many)
+    homeless = homeless.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).filter(F.col("r") <= limit).drop("r", "scope")
+    places = asked.select("query_id", "scope", "place")
+    rows = mine.join(places, ["query_id", "scope"]).unionByName(homeless.join(places, "query_id"))
+    scored = rows.withColumn("score", F.col("raw") / (3 * F.col("n")))
     order = Window.partitionBy("query_id", "scope").orderBy(F.desc("score"), F.desc("modified"), "id")
-    top = scored.select("query_id", "place", F.col("asked_scope").alias("scope"), "id", "score", "modified").withColumn("r", F.row_number().over(order)).filter((F.col("r") <= limit) & (F.col("score") > 0))
+    top = scored.select("query_id", "place", "scope", "id", "score", "modified").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= limit)
     first = top.withColumn("w", F.row_number().over(Window.partitionBy("query_id", "id").orderBy("place"))).filter("w = 1")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "place", "r"))
     return first.withColumn("rank", rank.cast("long")).select("query_id", "scope", "id", "score", "rank")

@@ -21,19 +21,19 @@ def test_active_space():
 
 
 def test_upsert_vectors(spark):
-    table = lambda rows: spark.createDataFrame(rows, "memory_id string, vector array<double>")
+    table = lambda rows: spark.createDataFrame(rows, "fact_id string, vector array<double>")
     facts = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
     old, made = table([("a", [1.0, 2.0]), ("b", [3.0, 4.0])]), table([("a", [5.0, 6.0]), ("b", [1.0]), ("b", None), ("c", [7.0, 8.0]), ("x", [9.0, 9.0]), (None, [0.0, 0.0])])
-    out = {r.memory_id: r.vector for r in W.upsert_vectors(old, made, facts, 2).collect()}
+    out = {r.fact_id: r.vector for r in W.upsert_vectors(old, made, facts, 2).collect()}
     assert out == {"a": [5.0, 6.0], "b": [3.0, 4.0], "c": [7.0, 8.0]}
     assert W.upsert_vectors(old, table([]), facts, 2).count() == 2 and W.upsert_vectors(table([]), made, facts, 2).count() == 2
 
 
 def test_reembed_embeds_each_text_once(spark):
     facts = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", ""), ("d", None), ("e", "long"), ("f", "y")], "id string, data string")
-    table = lambda ids: spark.createDataFrame([(i, [0.0]) for i in ids], "memory_id string, vector array<double>")
+    table = lambda ids: spark.createDataFrame([(i, [0.0]) for i in ids], "fact_id string, vector array<double>")
     out = W.reembed(facts, table("abcde"), table("a"), lambda t: F.when(F.length(t) < 3, F.array(F.length(t).cast("double"))), 1)
-    assert sorted((r.memory_id, r.vector[0]) for r in out.collect()) == [("a", 0.0), ("b", 1.0)]
+    assert sorted((r.fact_id, r.vector[0]) for r in out.collect()) == [("a", 0.0), ("b", 1.0)]
 
 
 def test_forget_projections(spark):

@@ -25,6 +25,8 @@ SPACE = b" \t\n\x0b\x0c\r"
 HELD, OWNED = 1 << 20, 1 << 20
 #: Bits of a fingerprint, and of a cell's number, beyond those that number the rows; and most bits of a cell's number (a bitmap of 128 MB).
 SPARE, CELL_SPARE, MOST_CELL_BITS = 12, 4, 30
+#: Rows of a group, and parts of the table, from which a group is joined by a broadcast; so there are at most PARTS of them.
+LARGE, PARTS = 1000, 100_000
 
 
 def golomb(values: np.ndarray) -> tuple[int, bytes, bytes]:
@@ -110,7 +112,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: list
     """
     spark = docs.sparkSession
     work = Workspace(spark, "exact")
-    rows = max(1, docs.count().bit_length())
+    count = docs.count()
+    rows = max(1, count.bit_length())
     bits = min(60, max(6, rows + spare))
     owner_bits = min(bits - 3, max(5, rows - OWNED.bit_length() + 1))
     cell_bits = min(bits, max(owner_bits + 3, min(rows + CELL_SPARE, MOST_CELL_BITS)))
@@ -133,14 +136,17 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: list
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), part.column(4), pa.array(sha, pa.binary()), pa.array(suspect), pa.array(sent, pa.binary())], names=[f.name for f in schema])
 
     known = work.keep(source.mapInArrow(run, schema))
-    work.finish(known)
     suspects = known.filter("suspect")
     different = suspects.filter("bare is not null").select("sha", "bare").distinct().groupBy("sha").agg(F.count(F.lit(1)).alias("texts"))
     best = suspects.groupBy("sha").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct((-F.col("chars")).alias("shorter"), F.col("key").isNull().alias("none"), "key", "at")).alias("best"))
-    checked = best.join(different, "sha").withColumn("size", F.when(F.col("texts") == 1, F.col("size")).otherwise(F.raise_error(F.lit("two texts of one SHA-256"))))
+    checked = work.keep(best.join(different, "sha").withColumn("size", F.when(F.col("texts") == 1, F.col("size")).otherwise(F.raise_error(F.lit("two texts of one SHA-256")))))
+    work.finish(known, checked)
     digest = F.lower(F.hex("sha")).alias("text_sha256")
     alone = known.filter("not suspect").select("row", "key", F.col("key").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), digest)
-    met = suspects.select("row", "key", "at", "sha").join(checked, "sha").select("row", "key", F.col("best.key").alias("keep_id"), F.col("size").alias("group_size"), (F.col("best.at") == F.col("at")).alias("kept"), digest)
+    large = F.col("size") >= max(LARGE, count // PARTS)
+    near = suspects.select("row", "key", "at", "sha").join(F.broadcast(checked.filter(large).select("sha", F.struct("size", "best").alias("group"))), "sha", "left")
+    rest = near.filter("group is null").drop("group").join(checked.filter(~large).select("sha", "size", "best"), "sha")
+    met = near.filter("group is not null").select("row", "key", "at", "sha", "group.size", "group.best").unionByName(rest).select("row", "key", F.col("best.key").alias("keep_id"), F.col("size").alias("group_size"), (F.col("best.at") == F.col("at")).alias("kept"), digest)
     return alone.unionByName(met).select(F.col("key").alias(key), "keep_id", "group_size", "kept", "text_sha256", *(["row"] if carry else []))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factlake.functions.text import WHITE
+
 # Function words, words of clauses, gerunds that modify nouns, vague leading words.
 STOP = "the a an of in on at to for and or but so is was are were be been being it its this that these those with as by from just else before after nothing something anything one mid re ve ll no not than then up out off over per via their there here when while into onto about above below against through during without between among because although though if until unless whether which who whom whose what where why how has have had do does did will would could should may might must".split()
 CLAUSE = "against and or but so because although though if when while until unless then than whether which who whom whose what where why how is was are were be been being has have had do does did will would could should may might must".split()
@@ -17,8 +19,10 @@ NOMINAL, PLURAL, NO_PLURAL = "(?:tion|sion|ment|ance|ence|ity|ness|al)$", "s$",
 
 def low_quality(entity: Column) -> Column:
     """Whether a compound entity is a fragment of a sentence rather than a noun phrase; null and empty ones are."""
-    text = F.regexp_replace(F.trim(F.lower(F.coalesce(entity, F.lit("")))), "^(?:the|a|an)\\s+", "")
-    words = F.filter(F.transform(F.split(text, "\\s+"), lambda w: F.regexp_replace(w, "^[^a-z0-9]+|[^a-z0-9]+$", "")), lambda w: w != "")
+    # White space is Unicode's, not only ASCII's.
+    low = F.regexp_replace(F.lower(F.coalesce(entity, F.lit(""))), f"^{WHITE}|{WHITE}$", "")
+    text = F.regexp_replace(low, f"^(?:the|a|an){WHITE}", "")
+    words = F.filter(F.transform(F.split(text, WHITE), lambda w: F.regexp_replace(w, "^[^a-z0-9]+|[^a-z0-9]+$", "")), lambda w: w != "")
     size, first, last = F.size(words), F.get(words, F.lit(0)), F.get(words, F.size(words) - 1)
     tail = F.slice(words, 2, F.greatest(size - 1, F.lit(0)))
     return (

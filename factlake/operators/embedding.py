@@ -31,7 +31,7 @@ def hashed(text: Column, width: int) -> Column:
     unit = lambda t, i: F.xxhash64(t, i) / F.lit(2.0**63)
     total = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.aggregate(tokens, F.lit(0.0), lambda s, t: s + unit(t, i)))
     norm = F.sqrt(F.aggregate(total, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(total, lambda x: x / norm)).otherwise(total)
+    return F.get(F.transform(F.array(norm), lambda n: F.when(n > 0, F.transform(total, lambda x: x / n)).otherwise(total)), F.lit(0))
 
 
 def embed(texts: DataFrame, by: Callable[[Column], Column], known: DataFrame | None = None) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factlake.functions import text as T
 from factlake.operators import rerank
 from factlake.operators import retrieval as R
 
@@ -88,6 +90,57 @@ def hybrid(queries: DataFrame, facts: DataFrame, vectors: DataFrame, now: str, o
     return fused if options.limit is None else fused.filter(F.col("rank") <= options.limit)
 
 
+def hit_ids(fused: DataFrame, cos: DataFrame, lex: DataFrame) -> DataFrame:
+    """fused hits (see retrieval.fuse) with the id of the fact that stands for each: the cosine leg's, else the lexical leg's first of that key."""
+    key = F.coalesce(F.when(F.col("link_id") != "", F.col("link_id")), T.squeeze(F.col("data")))
+    first = lex.select("query_id", key.alias("key"), "id", "ord").groupBy("query_id", "key").agg(F.min_by("id", "ord").alias("lexical_id"))
+    return fused.join(first, ["query_id", "key"], "left").withColumn("id", F.when(F.col("cosine_rank").isNotNull(), F.col("key")).otherwise(F.col("lexical_id"))).drop("lexical_id")
+
+
+def at_floors(queries: DataFrame, facts: DataFrame, vectors: DataFrame, now: str, floors: list[float], options: SearchOptions = SearchOptions()) -> DataFrame:
+    """query_id, floor, id and the columns of hybrid(): its hits at each of the floors, from one evaluation of both legs.
+
+    A floor cuts the cosine leg before recency, ranks and fusion, so each hit is taken to all floors that it reaches and ranked among
+    those that do; the lexical leg is the same at all. A floor of 0 or less cuts nothing. least_ratio, if set, holds at all floors.
+    """
+    if options.diversity < 1:
+        raise ValueError("floors are swept without diversity")
+    none = F.lit(None).cast("string")
+    pulled = R.vector_leg(queries.filter("vector is not null"), R.readable(facts, options.validity(now)), vectors, options.limit or 8)
+    kept = R.floor(R.merge_scopes(pulled), None, options.least_ratio)
+    weighted = kept.withColumn("w", F.round(F.col("score") * R.recency(last_change(kept), now), 12)).drop("ord")
+    reached = F.filter(F.array(*map(F.lit, floors)), lambda f: (f <= 0) | F.col("score").isNull() | (F.col("score") >= f))
+    each = lambda df, f: df.withColumn("floor", F.explode(f)).withColumn("query_id", F.struct("query_id", "floor")).drop("floor")
+    cos = R.ranked(each(weighted, reached), [F.desc_nulls_last("w"), F.col("id")], "ord").select("query_id", "id", "ord", "data", "score").withColumn("link_id", none)
+    lex = each(_lexical(queries, facts, now, options), F.array(*map(F.lit, floors)))
+    fused = hit_ids(R.fuse(cos, lex, least_lexical=options.least_lexical, weight=options.lexical_weight, gated=options.fusion_mode == "cosine-gated"), cos, lex)
+    out = fused if options.limit is None else fused.filter(F.col("rank") <= options.limit)
+    return out.select("query_id.query_id", "query_id.floor", *[c for c in out.columns if c != "query_id"])
+
+
+def refused(queries: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """query_id, error: the first rule (its name) that holds for a query, null for queries that may run. A leg's failures are rows, so that they are told by query."""
+    return queries.select("query_id", F.coalesce(*[F.when(c, F.lit(name)) for name, c in rules.items()], F.lit(None).cast("string")).alias("error"))
+
+
+def first_that_answers(queries: DataFrame, legs: dict[str, Callable[[DataFrame], tuple[DataFrame, DataFrame]]]) -> tuple[DataFrame, DataFrame]:
+    """(query_id, id, score, rank, leg) and (query_id, error): each query by the first leg that doesn't fail for it.
+
+    A leg makes of queries their hits (query_id, id, score, rank) and a status (query_id, error), in which null means an answer, if an empty one, and
+    a query without a row has failed. Only failed queries go to the next leg; those that all legs fail keep the last one's error.
+    """
+    hits, status, left = None, None, queries
+    for name, leg in legs.items():
+        found, told = leg(left)
+        told = left.select("query_id").join(told.withColumn("told", F.lit(True)), "query_id", "left").select("query_id", F.when(F.col("told").isNull(), F.lit("no answer")).otherwise(F.col("error")).alias("error"))
+        done = told.filter("error is null")
+        mine = found.join(done.select("query_id"), "query_id", "left_semi").select("query_id", "id", "score", "rank", F.lit(name).alias("leg"))
+        hits, status = (mine, done) if hits is None else (hits.unionByName(mine), status.unionByName(done))
+        failed = told.filter("error is not null")
+        left = left.join(failed.select("query_id"), "query_id", "left_semi")
+    return hits, status.unionByName(failed)
+
+
 def leg_stats(queries: DataFrame, facts: DataFrame, vectors: DataFrame, now: str, options: SearchOptions = SearchOptions()) -> DataFrame:
     """query_id, cosine and lexical candidates, lexical ones that reach the bar, and fused hits before the limit."""
     cos, lex = _legs(queries, facts, vectors, now, options)
@@ -100,12 +153,15 @@ def leg_stats(queries: DataFrame, facts: DataFrame, vectors: DataFrame, now: str
 
 def _legs(queries, facts, vectors, now, options):
     none = F.lit(None).cast("string")
-    deep = options.depth or 3 * (options.limit or 6)
     cosine_options = replace(options, diversity=1.0)
     cos = search(queries.filter("vector is not null"), facts, vectors, now, cosine_options).withColumn("link_id", none)
+    return cos, _lexical(queries, facts, now, options)
+
+
+def _lexical(queries, facts, now, options):
     words = queries.withColumn("query", F.when(F.trim("lexical_query") != "", F.col("lexical_query")).otherwise(F.col("query")))
     when = options.validity(now) if options.forward_temporal else None
     if options.forward_temporal and when is None:
         when = F.lit(True)
-    lex = lexical_search(words, facts if "link_id" in facts.columns else facts.withColumn("link_id", none), now, deep, when)
-    return cos, lex
+    linked = facts if "link_id" in facts.columns else facts.withColumn("link_id", F.lit(None).cast("string"))
+    return lexical_search(words, linked, now, options.depth or 3 * (options.limit or 6), when)

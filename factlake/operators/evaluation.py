@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factlake.operators.ranking import at_places
+
 
 def outcomes(gold: DataFrame, expected: DataFrame, hits: DataFrame, k: int = 5, deep: int = 10) -> DataFrame:
     """One row a gold query (query_id, class): n_expected, p5, r10, rr, hit, raw_hits, top_score.
@@ -19,16 +21,22 @@ def outcomes(gold: DataFrame, expected: DataFrame, hits: DataFrame, k: int = 5,
     return all_of.select("query_id", "class", "n_expected", (F.col("near") / k).alias("p5"), F.try_divide("far", "n_expected").alias("r10"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"), (F.col("near") > 0).alias("hit"), "raw_hits", "top_score")
 
 
-def upper_median(x: str) -> Column:
-    """The element at half the count, counted from 0 in ascending order."""
-    return F.expr(f"percentile_disc(0.5) within group (order by {x} desc)")
+def upper_medians(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """by and the element at half the count, counted from 0 in ascending order."""
+    return at_places(rows, by, value, {name: lambda n: F.floor(n / 2) + 1})
+
+
+def percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """by and, for each name, the nearest-rank percentile: the smallest value that this share of the values doesn't exceed."""
+    return at_places(rows, by, value, {name: (lambda n, p=p: F.greatest(F.ceil(n * F.lit(p)), F.lit(1))) for name, p in shares.items()})
 
 
 def metrics(rows: DataFrame, *by: str) -> DataFrame:
     """n, p5, r10, mrr (over queries that expect something; 0 without any), fp (share of the others with a hit) and the median top score."""
     positive = F.col("n_expected") > 0
     mean = lambda c: F.coalesce(F.avg(F.when(positive, F.col(c))), F.lit(0.0))
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), mean("p5").alias("p5"), mean("r10").alias("r10"), mean("rr").alias("mrr"), F.avg(F.when(~positive, F.when(F.col("raw_hits") > 0, 1.0).otherwise(0.0))).alias("fp"), upper_median("top_score").alias("median_top_score"))
+    out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), mean("p5").alias("p5"), mean("r10").alias("r10"), mean("rr").alias("mrr"), F.avg(F.when(~positive, F.when(F.col("raw_hits") > 0, 1.0).otherwise(0.0))).alias("fp"))
+    return out.join(upper_medians(rows, list(by), "top_score", "median_top_score"), list(by), "left")
 
 
 def by_class(rows: DataFrame) -> DataFrame:
@@ -51,3 +59,26 @@ def sweep(gold: DataFrame, expected: DataFrame, hits: DataFrame, floors: list[fl
     keyed = lambda df: df.withColumn("query_id", ids)
     rows = outcomes(keyed(at(gold)), keyed(at(expected)).select("query_id", "key"), keyed(at(hits).filter("score >= floor")).select("query_id", "key", "rank", "score"))
     return precision_recall(rows.withColumn("floor", F.col("query_id.floor")), "floor")
+
+
+def floor_points(gold: DataFrame, expected: DataFrame, hits: DataFrame, floors: list[float], exact: str = "exact-identifier") -> DataFrame:
+    """floor, n, fp, r10, mrr, exact_mrr, emptied, tp, fp_queries, fn, precision, recall, f1 of a whole engine's hits at each floor (query_id, floor, key, rank, score).
+
+    fp: the share of queries that expect nothing and get a hit. exact_mrr: the mean reciprocal rank of that class. emptied: queries that expect something
+    and get nothing. The hits are those at the floor, as it may change more than a ranking's end.
+    """
+    at = lambda df: df.withColumn("floor", F.explode(F.array(*map(F.lit, floors))))
+    keyed = lambda df: df.withColumn("query_id", F.struct("query_id", "floor")).drop("floor")
+    rows = outcomes(keyed(at(gold)), keyed(at(expected)).select("query_id", "key"), keyed(hits).select("query_id", "key", "rank", "score")).withColumn("floor", F.col("query_id.floor"))
+    wants = F.col("n_expected") > 0
+    mean = lambda c, when: F.coalesce(F.avg(F.when(when, F.col(c))), F.lit(0.0))
+    points = rows.groupBy("floor").agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.when(~wants, (F.col("raw_hits") > 0).cast("double"))), F.lit(0.0)).alias("fp"), mean("r10", wants).alias("r10"), mean("rr", wants).alias("mrr"),
+        mean("rr", wants & (F.col("class") == exact)).alias("exact_mrr"), F.count_if(wants & (F.col("raw_hits") == 0)).alias("emptied"),
+    )
+    return points.join(precision_recall(rows, "floor").withColumnRenamed("fp", "fp_queries"), "floor")
+
+
+def best_floor(points: DataFrame) -> DataFrame:
+    """The point of the highest f1, of equal ones that of the lowest floor."""
+    return points.orderBy(F.desc("f1"), "floor").limit(1)

@@ -21,6 +21,16 @@ def fold(log: DataFrame) -> DataFrame:
     return begun.join(closed, "id", "left").select("id", "payload", "created_at", "invalid_at", "superseded_by")
 
 
+def fold_vectors(log: DataFrame) -> DataFrame:
+    """id, vector, embedded_at that a log's changes leave: the last vector of an upsert or an embed (a vector alone) counts. A delete takes
+    the vector with the fact, and an embed of a fact that isn't there has no effect."""
+    gone = log.filter("op = 'delete'").groupBy("id").agg(F.max("seq").alias("gone"))
+    since = log.filter("op in ('upsert', 'embed')").join(gone, "id", "left").filter("gone is null or seq > gone").drop("gone")
+    begun = since.filter("op = 'upsert'").groupBy("id").agg(F.min("seq").alias("begun"))
+    last = since.filter("vector is not null").join(begun, "id").filter("seq >= begun").groupBy("id").agg(F.max_by(F.struct("vector", "at"), "seq").alias("last"))
+    return last.select("id", "last.vector", F.col("last.at").alias("embedded_at"))
+
+
 def without_key(payload: Column, key: str) -> Column:
     """A JSON object without one of its keys; any other text, and objects that don't have the key, as they are."""
     value = F.try_parse_json(payload)
@@ -74,12 +84,17 @@ def having(facts: DataFrame, **wanted: object) -> DataFrame:
     return facts
 
 
-def capped(facts: DataFrame, cap: int, kind: str | None = None) -> DataFrame:
-    """Each scope's newest `cap` rows; the kind is filtered after that, so fewer may be left."""
+def first_rows(rows: DataFrame, by: str, order: list[Column], most: int, parts: int = 64) -> DataFrame:
+    """Each group's first `most` rows. Those of parts of a group are taken first, so that no task sorts a whole one, however large `most` is."""
     from pyspark.sql.window import Window
 
-    newest = Window.partitionBy("scope").orderBy(F.desc("created_at"), "id")
-    out = facts.withColumn("r", F.row_number().over(newest)).filter(F.col("r") <= cap).drop("r")
+    top = lambda df, *keys: df.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("r") <= most).drop("r")
+    return top(top(rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))), by, "part").drop("part"), by)
+
+
+def capped(facts: DataFrame, cap: int, kind: str | None = None) -> DataFrame:
+    """Each scope's newest `cap` rows; the kind is filtered after that, so fewer may be left."""
+    out = first_rows(facts, "scope", [F.desc("created_at"), F.col("id")], cap)
     return out if kind is None else out.filter(F.col("kind") == kind)
 
 
@@ -104,7 +119,7 @@ def truncate_vector(vector: Column, width: int) -> Column:
     """The first `width` components, of length 1 again; zero vectors stay."""
     head = F.slice(vector, 1, width)
     norm = F.sqrt(F.aggregate(head, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(head, lambda x: x / norm)).otherwise(head)
+    return F.get(F.transform(F.array(norm), lambda n: F.when(n > 0, F.transform(head, lambda x: x / n)).otherwise(head)), F.lit(0))
 
 
 def event_counts(results: DataFrame) -> DataFrame:

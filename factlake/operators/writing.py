@@ -16,9 +16,10 @@ from factlake.operators.embedding import embed
 WIDTHS = {"openai": 768, "local": 384, "gemma": 768, "harrier": 1024}
 
 
-def active_space(mode: str | None) -> tuple[str, int] | None:
-    """The vector space that recall reads, and its width; None where embedding is off or the mode has none."""
-    return (mode, WIDTHS[mode]) if mode in WIDTHS else None
+def active_space(mode: str | None, widths: dict[str, int] | None = None) -> tuple[str, int] | None:
+    """The vector space that recall reads, and its width; None where embedding is off or the mode has none. widths: other spaces than WIDTHS."""
+    known = WIDTHS if widths is None else widths
+    return (mode, known[mode]) if mode in known else None
 
 
 def temporal_controls(filters: dict | None) -> tuple[str | None, bool, dict]:
@@ -35,15 +36,20 @@ def temporal_controls(filters: dict | None) -> tuple[str | None, bool, dict]:
 
 
 def upsert_vectors(vectors: DataFrame, made: DataFrame, facts: DataFrame, width: int) -> DataFrame:
-    """vectors (fact_id, vector) with those of made (at most one a fact) in their places. Null vectors, those of another width and those of
-    ids that facts don't have change nothing; the facts' texts stay as they are."""
+    """vectors (fact_id, vector) with those of made in their places. Null vectors, those of another width and those of ids that facts don't have
+    change nothing; the facts' texts stay as they are. Of several vectors for one fact, the one of the latest `at` counts if made has
+    that column, else the greatest, so that the result doesn't depend on the rows' order."""
     good = made.filter(F.size("vector") == width).join(facts.select(F.col("id").alias("fact_id")), "fact_id", "left_semi")
+    latest = F.struct(*[c for c in ("at", "vector") if c in made.columns])
+    good = good.groupBy("fact_id").agg(F.max_by("vector", latest).alias("vector"))
     return vectors.join(good.withColumnRenamed("vector", "new"), "fact_id", "full").select("fact_id", F.coalesce("new", "vector").alias("vector"))
 
 
 def reembed(facts: DataFrame, source: DataFrame, target: DataFrame, by: Callable[[Column], Column], width: int) -> DataFrame:
     """target (fact_id, vector) with vectors of the facts (id, data) that source has and target lacks. Each distinct text is embedded once;
-    empty texts, failures (null) and vectors of another width are left out, so a later pass tries them again."""
+    empty texts, failures (null) and vectors of another width are left out, so a later pass tries them again. One table as source and target is an error."""
+    if source is target:
+        raise ValueError("source and target are the same vectors")
     rows = facts.select(F.col("id").alias("fact_id"), F.col("data").alias("text"))
     todo = rows.join(source.select("fact_id"), "fact_id", "left_semi").join(target.select("fact_id"), "fact_id", "left_anti")
     made = embed(todo.withColumnRenamed("fact_id", "id"), by).filter(F.size("vector") == width)
@@ -90,12 +96,18 @@ def _at(value: Column, key: str, kind: str = "variant") -> Column:
     return F.try_variant_get(value, f"$.{key}", kind)
 
 
+def _told(value: object) -> str:
+    """A value as JSON's text has it: whole numbers without a fraction."""
+    return str(int(value)) if isinstance(value, float) and value.is_integer() else str(value)
+
+
 def having_payload(facts: DataFrame, payload: str = "payload", **wanted: object) -> DataFrame:
     """Rows whose JSON payload has these values, as text, at its keys (of which only letters, digits and _ count). None, truth values and
-    containers are skipped."""
+    containers are skipped; a key of which nothing counts is had by no row."""
     for name, value in wanted.items():
         if isinstance(value, str | int | float) and not isinstance(value, bool):
-            facts = facts.filter(_at(F.try_parse_json(payload), re.sub("[^A-Za-z0-9_]", "", name), "string") == str(value))
+            key = re.sub("[^A-Za-z0-9_]", "", name)
+            facts = facts.filter(_at(F.try_parse_json(payload), key, "string") == _told(value)) if key else facts.limit(0)
     return facts
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factlake.functions import text as T
+from factlake.operators import evaluation as E
 from factlake.operators import retrieval as R
 from factlake.sources import facts as S
 
@@ -147,7 +148,8 @@ def embed_dedupe(spark, d):
 
 def latency_percentiles(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
-    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.expr("percentile_disc(0.5) within group (order by value)").alias("p50"), F.expr("percentile_disc(0.95) within group (order by value)").alias("p95"), F.max("value").alias("top"))
+    counts = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top"))
+    return counts.join(E.percentiles(e, ["event_type"], "value", {"p50": 0.5, "p95": 0.95}), "event_type")
 
 
 _ALL = (vec_topk_scoped, vec_topk_multiscope_merge, vec_floor_abs, vec_floor_ratio, vec_decay_order, lex_tokens, lex_tokens_file, lex_score_topk, fuse_floored_union, fuse_cosine_gated, fuse_lex_weight, fuse_links, hybrid_topk, list_page, list_total, asof_snapshot, include_superseded, archived_exclusion, kind_segregation, reembed_delta, kind_to_type, embed_dedupe, latency_percentiles)

@@ -121,15 +121,25 @@ def queries() -> dict:
     return {f.__name__: f for f in _ALL}
 
 
-def oracle_sql() -> dict[str, str]:
-    legs = C.fused_sql()
-    legs = legs[: legs.rindex("SELECT * FROM out")]
+def hybrid_sql(least: str = "score >= 0.1") -> str:
+    """Common table expressions of a whole search of the text queries: both legs over all scopes, the cosine leg's floor, recency, and fusion (out)."""
+    legs = _legs_sql()
     best = "SELECT query_id, id, arg_max(data, score) AS data, max(score) AS score, any_value(created_at) AS created_at FROM {} GROUP BY query_id, id"
     decay = "round(score * (0.9 + 0.1 * pow(0.5, greatest(0, (epoch_us(TIMESTAMP '2024-03-01') - epoch_us(created_at)) / 86400000000.0) / 30.0)), 12)"
     whole = legs.replace("list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), q.v) AS score FROM live", "list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), q.v) AS score, coalesce(updated_at, created_at) AS created_at FROM live")
     whole = whole.replace("SELECT query_id, scope, id, data, raw / (3.0 * n) AS score FROM pairs", "SELECT query_id, scope, id, data, created_at, raw / (3.0 * n) AS score FROM pairs")
-    whole = whole.replace("SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS o, trim(regexp_replace(data, '\\s+', ' ', 'g')) AS nt FROM cosleg", f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {decay} DESC, id) AS o, trim(regexp_replace(data, '\\s+', ' ', 'g')) AS nt FROM ({best.format('cosleg')}) WHERE score >= 0.1")
+    whole = whole.replace("SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS o, trim(regexp_replace(data, '\\s+', ' ', 'g')) AS nt FROM cosleg", f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {decay} DESC, id) AS o, trim(regexp_replace(data, '\\s+', ' ', 'g')) AS nt FROM ({best.format('cosleg')}) WHERE {least}")
     whole = whole.replace("SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS o, trim(regexp_replace(data, '\\s+', ' ', 'g')) AS nt FROM lexleg WHERE score >= 0.3", f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, created_at DESC, id) AS o, trim(regexp_replace(data, '\\s+', ' ', 'g')) AS nt FROM ({best.format('lexleg')}) WHERE score >= 0.3")
+    return whole
+
+
+def _legs_sql() -> str:
+    legs = C.fused_sql()
+    return legs[: legs.rindex("SELECT * FROM out")]
+
+
+def topic_sql() -> tuple[str, str]:
+    """Common table expressions of the facts as topic files, and of their scores for the text queries."""
     lines = "list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, E' \\t\\r\\n\\f\\v')), lambda x: x <> '' AND NOT starts_with(x, '#') AND NOT starts_with(x, '---'))"
     topic = f"""WITH {C.FACTS}, firsts AS (SELECT ord, id, data AS text, kind, name, scope, created_at, coalesce(({lines.replace('text', 'data')})[1], '') AS line FROM facts),
     flat AS (SELECT *, trim(regexp_replace(CASE WHEN regexp_matches(line || ' ', '^.{{10,}}?[.!?]\\s') THEN regexp_extract(line || ' ', '^(.{{10,}}?[.!?])\\s', 1) ELSE line END, '\\s+', ' ', 'g')) AS s FROM firsts),
@@ -138,6 +148,12 @@ def oracle_sql() -> dict[str, str]:
     scored AS (SELECT query_id, a.scope, place, id, created_at, list_sum(list_transform(tokens, lambda x: CASE WHEN contains(id || '.md ' || name, x) THEN 3 WHEN contains(lower(description), x) THEN 2 WHEN contains(lower(body), x) THEN 1 ELSE 0 END)) / (3.0 * len(tokens)) AS score
       FROM topics t JOIN asked a ON (t.scope = a.scope OR t.scope IS NULL) WHERE len(tokens) > 0),
     top AS (SELECT * FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id, scope ORDER BY score DESC, created_at DESC, id) <= 10)"""
+    return topic, pairs
+
+
+def oracle_sql() -> dict[str, str]:
+    whole, legs = hybrid_sql(), _legs_sql()
+    topic, pairs = topic_sql()
     m, w = "CAST({} AS HUGEINT)", "4294967295"
     low = lambda x: f"(({x}) & {m.format(w)})"
     words = lambda ws: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in ws) + "]"
@@ -152,6 +168,9 @@ def oracle_sql() -> dict[str, str]:
         "fuse_min_lex_sweep": " UNION ALL ".join(f"SELECT * FROM ({C.fused_sql(bar).replace('SELECT * FROM out', f'SELECT CAST({bar} AS DOUBLE) AS bar, count(*) AS n, count(lexical_rank) AS with_lexical FROM out')})" for bar in BARS),
         "topic_parse": f"""{topic} SELECT id, name, description, kind AS type, scope, kind, '{{"ord":' || ord || '}}' AS extra, sha256(body) AS body_key FROM topics""",
         "lex_score_file": f"{topic}{pairs} SELECT query_id, scope, id, round(CAST(score AS DOUBLE), 6) AS score FROM top QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY place) = 1",
+        "topic_new_ids": f"""WITH {C.FACTS}, taken AS (SELECT unnest(['user_src0', 'user_src0_3', 'user_src1_2']) AS id), f AS (SELECT ord, kind || '_' || name AS base, row_number() OVER (PARTITION BY kind || '_' || name ORDER BY ord) AS n FROM facts),
+          forms AS (SELECT base, unnest(range(1, count(*) + 4)) AS i FROM f GROUP BY base), named AS (SELECT base, i, CASE WHEN i = 1 THEN base ELSE base || '_' || i END AS id FROM forms),
+          free AS (SELECT base, id, row_number() OVER (PARTITION BY base ORDER BY i) AS n FROM named WHERE id NOT IN (SELECT id FROM taken) AND (i = 1 OR id NOT IN (SELECT base FROM f))) SELECT id FROM f JOIN free USING (base, n)""",
         "synthetic_corpus": f"""{draws}, f AS (SELECT ord, {pick(0, synthetic.SUBSYSTEMS)} AS s, {pick(1, synthetic.COMPONENTS)} AS c, {pick(2, synthetic.FAILURES)} AS f, {pick(3, synthetic.FIXES)} AS x, {pick(4, synthetic.TOOLS)} AS t, 1000 + CAST(floor(u[6] * 9000) AS BIGINT) AS e, 1024 + CAST(floor(u[7] * 60000) AS BIGINT) AS p FROM u)
           SELECT ord, 'syn_1337_' || ord AS key, sha256(format('The {{}}''s {{}} {{}}. Fix: {{}}. Diagnosed via {{}} on :{{}}; the failing call returns E{{}}. (synthetic distractor syn_1337_{{}})', s, c, f, x, t, p, e, ord)) AS text_key, s || ' ' || c || ' — ' || f[1:60] AS description FROM f""",
         "payload_merge": """WITH e AS (SELECT user_id AS id, event_id AS seq, CASE WHEN event_type IN ('view', 'click') THEN 1 ELSE 0 END AS put, json_extract_string(props, '$.k') AS k, CASE WHEN event_id % 3 = 0 THEN CAST(event_id AS VARCHAR) END AS third, CASE WHEN event_id % 2 = 0 THEN event_type END AS even FROM events),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from factlake.functions import entities
 from factlake.functions import text as T
 from factlake.operators import evaluation as E
+from factlake.operators import extraction as X
 from factlake.operators import lifecycle as L
 from factlake.operators import rerank
 from factlake.operators import retrieval as R
@@ -93,14 +94,12 @@ def trigram_similarity_pairs(spark, d):
 
 
 def upper_median(spark, d):
-    return spark.read.parquet(f"{d}/events.parquet").groupBy("event_type").agg(E.upper_median("value").alias("median"))
+    return E.upper_medians(spark.read.parquet(f"{d}/events.parquet"), ["event_type"], "value", "median")
 
 
 def conversation_windows(spark, d):
     """Each conversation's messages in order, as the extractor gets them: whole windows of ten turns."""
-    c = spark.read.parquet(f"{d}/conversations.parquet").withColumn("window", F.floor(F.col("turn") / 10))
-    lines = c.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", "text").alias("line")))).alias("lines"))
-    return lines.select("conv_id", "window", F.size("lines").cast("long").alias("n"), F.sha2(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), 256).alias("text_key"))
+    return X.windows(spark.read.parquet(f"{d}/conversations.parquet")).select("conv_id", "window", "n", F.sha2("text", 256).alias("text_key"))
 
 
 def _holding(facts, asked):
@@ -189,6 +188,16 @@ def oracle_sql() -> dict[str, str]:
         "relink_deletable": f"{edges} SELECT id FROM edges GROUP BY id HAVING bool_and(fact IN (SELECT fact FROM affected))",
         "topic_slug": f"WITH {facts}, s AS (SELECT id, array_to_string(list_filter(string_split_regex(regexp_replace(lower(data), '[^a-z0-9\\s_-]', ' ', 'g'), '[\\s_-]+'), lambda w: w <> '')[1:7], '_') AS slug FROM facts) SELECT id, CASE WHEN slug = '' THEN 'memory' ELSE slug END AS slug FROM s",
         "trigram_similarity_pairs": f"WITH s AS (SELECT item_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS s FROM benchmark), g AS (SELECT item_id, {gram} AS g FROM s) SELECT a.item_id, round(len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))::DOUBLE, 6) AS similarity FROM g a JOIN g b ON b.item_id = a.item_id + 1",
+        "mmr_rerank": f"""{C.VECTOR.replace("<= 8)", "<= 6)")}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM cosleg),
+          flat AS (SELECT *, lower(trim(regexp_replace(data, '\\s+', ' ', 'g'))) AS s FROM ranked), hits AS (SELECT query_id, id, score, rank, {gram} AS g, greatest(max(score) OVER (PARTITION BY query_id), 0) AS top FROM flat),
+          sims AS (SELECT a.query_id, a.rank AS rank, b.rank AS other, len(list_intersect(a.g, b.g)) AS shared, len(a.g) + len(b.g) AS total FROM hits a JOIN hits b ON a.query_id = b.query_id AND a.rank <> b.rank),
+          near AS (SELECT query_id, rank, other, coalesce(shared / nullif(total - shared, 0)::DOUBLE, 0) AS sim FROM sims),
+          chosen AS (WITH RECURSIVE steps AS (SELECT DISTINCT query_id, CAST([] AS BIGINT[]) AS taken FROM hits
+            UNION ALL SELECT query_id, list_append(taken, rank) FROM (SELECT query_id, taken, rank, row_number() OVER (PARTITION BY query_id ORDER BY 0.5::DOUBLE * score / CASE WHEN top = 0 THEN 1 ELSE top END - 0.5::DOUBLE * nearest DESC, rank) AS o
+              FROM (SELECT s.query_id, s.taken, h.rank, h.score, h.top, coalesce(max(n.sim), 0) AS nearest FROM steps s JOIN hits h ON h.query_id = s.query_id AND NOT list_contains(s.taken, h.rank)
+                LEFT JOIN near n ON n.query_id = h.query_id AND n.rank = h.rank AND list_contains(s.taken, n.other) GROUP BY ALL)) WHERE o = 1)
+            SELECT query_id, arg_max(taken, len(taken)) AS taken FROM steps GROUP BY query_id)
+          SELECT query_id, id AS key, CAST(list_position(taken, rank) AS BIGINT) AS rank, round(score, 6) AS score FROM hits JOIN chosen USING (query_id)""",
         "upper_median": "SELECT event_type, -quantile_disc(-value, 0.5) AS median FROM events GROUP BY event_type",
         "conversation_windows": "SELECT conv_id, turn // 10 AS \"window\", count(*) AS n, sha256(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS text_key FROM conversations GROUP BY 1, 2",
         "gold_outcomes": f"{judged} SELECT query_id, class, n_expected, round(near / 5.0::DOUBLE, 6) AS p5, CASE WHEN n_expected > 0 THEN round(far / n_expected::DOUBLE, 6) END AS r10, round(rr, 6) AS rr, round(top_score, 6) AS top_score, near > 0 AS hit, raw_hits FROM outs",

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from factlake.functions import text as T
 from factlake.functions import topics as P
 from factlake.operators import index as X
+from factlake.operators.ranking import numbered, running
 
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
     """file, id, modified and the parsed fields of every topic file right in a folder; index files and sub-folders are left out."""
@@ -26,20 +27,19 @@ def new_topics(facts: DataFrame, taken: DataFrame) -> DataFrame:
     """id, content of topic files for facts (ord, text, kind, scope, description, extra), beside the ids of `taken`.
 
     The n-th fact of a base name gets its n-th free form: base, base_2, base_3, ... A fact's own base goes before another's form that
-    looks alike. Numbers come from windows, so no set of names is gathered.
+    looks alike. Numbers are running sums over parts of a base (see operators.ranking), so no task has a whole base and no set of names is gathered.
     """
     said = F.when(P.strip(F.col("description")) != "", F.col("description")).otherwise(F.col("text"))
     rows = facts.withColumn("description", P.describe(said)).withColumn("base", P.base_id(F.col("kind"), F.col("description")))
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("base").orderBy("ord")))
+    rows = numbered(rows.withColumn("ord", F.col("ord").cast("long")), ["base"], "ord", "n")
     names = taken.select(F.col("id")).unionByName(rows.select(F.col("base").alias("id"))).distinct()
     # As another's numbered form every name counts as used; as a base itself only the names there already.
     forms = names.select(F.regexp_extract("id", "^(.*)_([2-9]|[1-9][0-9]{1,8})$", 1).alias("base"), F.regexp_extract("id", "_([0-9]{1,9})$", 1).alias("i")).filter("base <> ''")
     used = forms.select("base", F.col("i").cast("int").alias("i")).unionByName(taken.select(F.col("id").alias("base"), F.lit(1).alias("i"))).distinct().join(rows.select("base").distinct(), "base", "left_semi")
     # The n-th free number is n plus the used numbers t_j, the j-th of all, with t_j - j < n.
-    used = used.withColumn("at", F.col("i") - F.row_number().over(Window.partitionBy("base").orderBy("i")))
+    used = numbered(used, ["base"], "i", "j").withColumn("at", F.col("i") - F.col("j"))
     slots = used.select("base", "at", F.lit(None).cast("long").alias("ord"), F.lit(1).alias("is_used")).unionByName(rows.select("base", (F.col("n") - 1).alias("at"), F.col("ord").cast("long"), F.lit(0).alias("is_used")))
-    before = F.sum("is_used").over(Window.partitionBy("base").orderBy("at", F.desc("is_used")).rowsBetween(Window.unboundedPreceding, 0))
-    number = slots.withColumn("before", before).filter("is_used = 0").select("ord", (F.col("at") + 1 + F.col("before")).alias("number"))
+    number = running(slots, ["base"], "at", F.col("is_used"), "before", [F.desc("is_used")]).filter("is_used = 0").select("ord", (F.col("at") + 1 + F.col("before")).alias("number"))
     named = rows.join(number, "ord").withColumn("id", F.when(F.col("number") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("number").cast("string"))))
     return named.select("id", P.serialize(F.col("id"), F.col("description"), T.type_for_kind(F.col("kind")), F.col("scope"), F.col("kind"), F.col("extra"), F.col("text")).alias("content"))
 

@@ -22,8 +22,8 @@ MOST_CHARS = 300
 
 def ann_hits(spark, d, limit=8):
     vectors = S.vectors(spark, d)
-    centres = ann.fit(vectors)
-    return ann.search(S.vector_queries(spark, d), C._live(spark, d), ann.assign(vectors, centres), centres, limit)
+    index = ann.fit(vectors)
+    return ann.search(S.vector_queries(spark, d), C._live(spark, d), ann.assign(vectors, index), index, limit)
 
 
 def ann_topk_scoped(spark, d):

@@ -267,7 +267,7 @@ def model(raw: bytes) -> Model:
 
 
 def pieces(raw: bytes, fast: bool = False) -> Pieces:
-    """The worker's memory of pre-tokens, which its tasks share."""
+    """The worker's known pre-tokens, which its tasks share."""
     key = (hashlib.sha1(raw).digest(), fast)
     if key not in _PIECES:
         m = model(raw)

@@ -370,8 +370,8 @@ def link_blocks(members: DataFrame, sets: DataFrame, percent: int = PERCENT) ->
     return blocked(members, "signature", sets).groupBy("bucket", "lower", "upper").applyInArrow(run, "a long, b long").distinct()
 
 
-def _linked_rows(work: Workspace, docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
-    """doc, tag (a hash of the text), n, component_id and n_links of each row with a key."""
+def _linked_rows(work: Workspace, docs: DataFrame, n: int, percent: int, key: str, text: str, count: bool = True) -> DataFrame:
+    """doc, tag (a hash of the text), n, component_id and, if they are to be counted, n_links of each row with a key."""
     source = _prepare(docs, key, text)
     counted = work.keep(shingle_counts(source, n, percent))
 
@@ -456,14 +456,17 @@ def _linked_rows(work: Workspace, docs: DataFrame, n: int, percent: int, key: st
             where = components(work, links)
         active = active.drop("component")
 
-    others = count_links(work, sets, where, rep.select("rep", "n", "copies"), percent)
     inside = where.unionByName(where.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("node", "rep")
     labels = inside.join(rep.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("component_id"))
-    told = named.join(inside.join(labels, "component").select("rep", "component_id"), "rep", "left").join(others, "rep", "left")
-    told = work.keep(told.select("first", "n", "h1", "h2", F.coalesce("component_id", "least").alias("component_id"), (F.col("copies") - 1 + F.coalesce("n_others", F.lit(0))).alias("n_links")))
+    told = named.join(inside.join(labels, "component").select("rep", "component_id"), "rep", "left")
+    links = []
+    if count:
+        told = told.join(count_links(work, sets, where, rep.select("rep", "n", "copies"), percent), "rep", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("n_others", F.lit(0)))
+        links = ["n_links"]
+    told = work.keep(told.select("first", "n", "h1", "h2", F.coalesce("component_id", "least").alias("component_id"), *links))
     work.finish(counted, told)
     out = counted.join(told, ["first", "n", "h1", "h2"], "left")
-    return out.select("doc", "tag", "n", F.coalesce("component_id", "doc").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc", "tag", "n", F.coalesce("component_id", "doc").alias("component_id"), *[F.coalesce(c, F.lit(0)).alias(c) for c in links])
 
 
 def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -480,7 +483,8 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT,
 
 
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` that are the smallest of their component. Rows with a null key stay, and so do repeats of a row that stays."""
-    rows = _linked_rows(Workspace(docs.sparkSession, "ngram-join"), docs, WORDS, PERCENT, key, text)
+    """The rows of `docs` that are the smallest of their component. Rows with a null key stay, and so do repeats of a row that stays.
+    Links are not counted."""
+    rows = _linked_rows(Workspace(docs.sparkSession, "ngram-join"), docs, WORDS, PERCENT, key, text, count=False)
     drop = rows.filter("component_id <> doc").select("doc", "tag").distinct()
     return docs.join(drop, (docs[key].cast("long") == drop["doc"]) & (F.xxhash64(docs[text]) == drop["tag"]), "left_anti")

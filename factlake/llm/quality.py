@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factlake.llm.common import as_bytes, hash_words, mix, rolling, slices
 
@@ -119,11 +120,13 @@ def score_quality(docs: DataFrame, text: str = "text") -> DataFrame:
             found = measure(part.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([part.column(2), *(pa.array(found[n]) for n in names)], names=["__rest", *names])
 
-    out = source.mapInArrow(run, f"__rest {source.schema['__rest'].dataType.simpleString()}, {COLUMNS}") if rest else source.mapInArrow(lambda it: (pa.RecordBatch.from_arrays(list(b.columns)[1:], names=names) for b in run(it)), COLUMNS)
+    schema = T.StructType([source.schema["__rest"], *(T.StructField(n, T.DoubleType() if k == "double" else T.BooleanType() if k == "boolean" else T.LongType()) for n, k in (x.split() for x in COLUMNS.split(", ")))])
+    out = source.mapInArrow(run, schema) if rest else source.mapInArrow(lambda it: (pa.RecordBatch.from_arrays(list(b.columns)[1:], names=names) for b in run(it)), COLUMNS)
     return out.select(*([F.col(f"__rest.`{c}`").alias(c) for c in rest]), *names)
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows whose text passes, with the columns of `docs`."""
-    scored = score_quality(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(text).alias("__t")), "__t")
+    """The rows whose text passes, with the columns of `docs`, whatever their names. Null and empty texts fail; repeated rows pass or fail together; an
+    empty table stays empty."""
+    scored = score_quality(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(f"`{text}`").alias("__t")), "__t")
     return scored.filter("kept").select("__doc.*")

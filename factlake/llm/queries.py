@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlake.llm import bpe, collocations, exact_dedup, ngram_join, packing, quality, secret_scan, spelling, substring_dedup, token_counts, token_shards, url_rules, vector_blocks
-from factlake.llm.common import shared_folder
+from factlake.llm.common import Workspace
 
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
@@ -72,7 +71,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    at = Workspace(spark, "shards").root  # gone when Python exits, or with Workspace.clear()
     ordered = token_shards.stored_order(_documents(spark, sf_dir), tokenizer_path(), at, ORDER_KEY)
     return ordered.withColumnRenamed("keys", "doc_ids")
 

@@ -549,3 +549,28 @@ def test_op1_blocks_after_the_turns(spark, monkeypatch, sparse):
     docs = [(i, " ".join([*common, *(f"x{i // 4}_{j}" for j in range(12 + i % 4))])) for i in range(60)]
     got = {tuple(r)[:3] for r in ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
     assert got == brute.op1(docs) and len({c for _, _, c in got}) == 15
+
+
+def test_stages_with_columns_of_any_name(spark):
+    """Columns with dots, blanks and the stages' own names come through every stage; n_chars follows the text."""
+    import corpus_pipeline as cp
+
+    passage = " ".join(f"p{i}" for i in range(60))
+    own = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(1, f"{own('a')} {passage}", 0), (2, f"{own('b')} {passage}", 0), (3, f"{own('c')} password: abcdefghijkl1", 0), (4, None, 0), (5, "too short", 0), (6, f"{own('a')} {passage} z", 0), (7, f"{own('a')} {passage}", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").select("*", F.col("doc_id").alias("a.b"), F.lit(1).alias("my col"), F.lit(99).alias("__n"), F.lit(98).alias("kept0"), F.lit(97).alias("n_words"), F.lit(96).alias("doc"))
+    first = docs
+    for _, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == first.columns
+    got = {r.doc_id: r for r in docs.collect()}
+    assert set(got) == {1, 2, 3} and all((r["a.b"], r["my col"], r["__n"], r.kept0, r.n_words, r.doc) == (i, 1, 99, 98, 97, 96) for i, r in got.items())
+    assert got[1].n_chars == 0 and got[2].text == own("b") and got[2].n_chars == len(own("b")) and "abcdefghijkl1" not in got[3].text and got[3].n_chars == len(got[3].text)
+    scored = quality.score_quality(first.drop("n_words"))
+    assert {r["a.b"]: r["my col"] for r in scored.collect()} == {i: 1 for i in range(1, 8)}
+
+
+def test_one_of_each_counts_no_links(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "count_links", None)
+    df = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x y z")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in ngram_join.keep_one_of_each(df).collect()) == [1, 3]

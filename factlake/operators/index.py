@@ -3,15 +3,23 @@
 A token of [a-z0-9_-] lies inside a text exactly if it lies inside one of the text's runs of such characters. So tokens are matched once
 with the distinct words of all texts, by way of their three-character grams, and a text is found through the words that it has: no text is searched
 for a token, and only texts with a hit meet a query.
+
+Where the matched words and the queries are few, both go to the texts: each text's scores are made in its own task, and nothing is shuffled
+but what a ranking keeps. Else postings are joined by word, and hits by token.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Distinct tokens up to which they are broadcast; pairs of a word and a token up to which the words' table is (some 20 MB); and
-#: queries, with their scopes and at most 32 tokens each, up to which their table is. Beyond these the joins shuffle.
+#: Distinct tokens up to which they are broadcast; pairs of a word and a token up to which they are (some 20 MB); and queries, with
+#: their scopes and at most 32 tokens each, up to which they are. Beyond these the joins shuffle.
 MOST_TOKENS, MOST_PAIRS, FEW_QUERIES = 1 << 16, 1 << 19, 1 << 14
 #: Parts of a token's texts where many queries meet them.
 SALTS = 32
@@ -19,10 +27,14 @@ SALTS = 32
 FACT_WORDS, FILE_WORDS = "[^a-z0-9_-]+", "[^a-z0-9]+"
 
 
+def _words(field: Column, pattern: str) -> Column:
+    """The distinct words of two characters or more of a field, lower-cased; a null field has none."""
+    return F.filter(F.array_distinct(F.split(F.lower(F.coalesce(field, F.lit(""))), pattern)), lambda w: F.length(w) >= 2)
+
+
 def postings(rows: DataFrame, keys: list[str], fields: dict[str, int], pattern: str = FACT_WORDS) -> DataFrame:
-    """keys, word, weight: the distinct words of two characters or more of each field, lower-cased, with the field's weight. Null fields have none."""
-    words = lambda c: F.filter(F.array_distinct(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), pattern)), lambda w: F.length(w) >= 2)
-    found = [F.transform(words(c), _with(F.lit(n), "word")) for c, n in fields.items()]
+    """keys, word, weight: the words of each field, with the field's weight."""
+    found = [F.transform(_words(F.col(c), pattern), _with(F.lit(n), "word")) for c, n in fields.items()]
     return rows.select(*keys, F.inline(F.concat(*found)))
 
 
@@ -43,19 +55,94 @@ def matches(words: DataFrame, tokens: DataFrame) -> DataFrame:
     return own.join(wanted, "gram").filter(F.contains("word", F.col("token"))).select("word", "token")
 
 
-def hits(rows: DataFrame, keys: list[str], fields: dict[str, int], tokens: DataFrame, pattern: str = FACT_WORDS) -> DataFrame:
-    """keys, found: for each row with a hit, the tokens that its fields contain with the largest weight of a field that does.
+def scores(rows: DataFrame, keys: list[str], fields: dict[str, int], asked: DataFrame, pattern: str = FACT_WORDS) -> DataFrame:
+    """query_id, keys, n, raw: for each query and each row with one of its tokens, the sum over its tokens of the largest weight of a field that has it.
 
-    rows are distinct by keys. tokens: distinct. The words' table goes to the rows where it is small; else both are shuffled by word.
+    rows: distinct by keys, of which `scope` is one; a row meets the queries of its scope, and one with a null scope meets every query, once. asked:
+    query_id, scope, tokens (distinct, n of them).
     """
-    found = postings(rows, keys, fields, pattern)
-    known = matches(found.select("word").distinct(), tokens)
+    many = asked.count()
+    tokens = asked.select(F.explode("tokens").alias("token")).distinct()
+    known = matches(postings(rows, [], fields, pattern).select("word").distinct(), tokens)
     few = known.limit(MOST_PAIRS + 1).toArrow()
-    if few.num_rows <= MOST_PAIRS:
-        known = F.broadcast(rows.sparkSession.createDataFrame(few).groupBy("word").agg(F.collect_list("token").alias("tokens")))
-    else:
-        known = known.groupBy("word").agg(F.collect_list("token").alias("tokens"))
-    met = found.join(known, "word").select(*keys, "weight", F.explode("tokens").alias("token"))
+    if few.num_rows <= MOST_PAIRS and many <= FEW_QUERIES:
+        return _in_place(rows, keys, fields, asked, few, pattern)
+    found = _hits(rows, keys, fields, known, pattern)
+    every = asked.select("query_id", "tokens").distinct()
+    return _totals(found.filter("scope is not null"), keys, asked, ["scope"], many).unionByName(_totals(found.filter("scope is null"), keys, every, [], many))
+
+
+class _Asked:
+    """Tokens by word, and queries by scope and token, as arrays."""
+
+    def __init__(self, pairs: pa.Table, asked: pa.Table):
+        tokens = asked.column("tokens").to_pylist()
+        number = {t: i for i, t in enumerate(sorted({t for ts in tokens for t in ts}))}
+        self.size = len(number)
+        by_word: dict[str, list[int]] = {}
+        for w, t in zip(pairs.column("word").to_pylist(), pairs.column("token").to_pylist()):
+            by_word.setdefault(w, []).append(number[t])
+        self.by_word = {w: np.array(ts, np.int32) for w, ts in by_word.items()}
+        self.query_ids = asked.column("query_id").combine_chunks()
+        rows: dict[object, list[int]] = {None: []}  # by scope; without one, each query once
+        seen: set[str] = set()
+        for i, (q, scope) in enumerate(zip(self.query_ids.to_pylist(), asked.column("scope").to_pylist())):
+            rows.setdefault(scope, []).append(i)
+            if str(q) not in seen:
+                seen.add(str(q))
+                rows[None].append(i)
+        self.rows = {scope: np.array(own, np.int64) for scope, own in rows.items()}
+        self.lengths = np.array([len(ts) for ts in tokens], np.int64)
+        self.starts, self.lists = {}, {}
+        for scope, own in rows.items():
+            at = np.array([(number[t], j) for j, i in enumerate(own) for t in tokens[i]], np.int32).reshape(-1, 2)
+            at = at[np.argsort(at[:, 0], kind="stable")]
+            self.starts[scope], self.lists[scope] = np.searchsorted(at[:, 0], np.arange(self.size + 1)), at[:, 1]
+
+    def met(self, scope: str | None, fields: list[tuple[int, list[str]]]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of a scope's queries that a text has tokens of, and their sums. fields: weights, ascending, and words."""
+        if scope not in self.rows:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        best = np.zeros(self.size, np.int64)
+        for weight, words in fields:
+            for w in words:
+                if (ts := self.by_word.get(w)) is not None:
+                    best[ts] = weight
+        hit = np.flatnonzero(best)
+        first, size = self.starts[scope][hit], np.diff(self.starts[scope])[hit]
+        place = np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(hit) else np.empty(0, np.int64)
+        sums = np.bincount(self.lists[scope][place], np.repeat(best[hit], size), len(self.rows[scope])).astype(np.int64)
+        at = np.flatnonzero(sums)
+        return self.rows[scope][at], sums[at]
+
+
+def _in_place(rows: DataFrame, keys: list[str], fields: dict[str, int], asked: DataFrame, pairs: pa.Table, pattern: str) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast((pairs, asked.select("query_id", "scope", "tokens").toArrow()))  # FEW_QUERIES at most
+    order = sorted(fields.items(), key=lambda x: x[1])
+    source = rows.select(*keys, *[_words(F.col(c), pattern).alias(f"words{i}") for i, (c, _) in enumerate(order)])
+    schema = T.StructType([asked.schema["query_id"], *[source.schema[k] for k in keys], T.StructField("n", T.LongType()), T.StructField("raw", T.LongType())])
+    own, scope_at = len(keys), keys.index("scope")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = None
+        for b in batches:
+            q = q or _Asked(*shared.value)
+            at, met, sums = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            words = [b.column(own + i).to_pylist() for i in range(len(order))]
+            for i, scope in enumerate(b.column(scope_at).to_pylist()):
+                found, total = q.met(scope, [(w, words[j][i]) for j, (_, w) in enumerate(order)])
+                at.append(np.full(len(found), i))
+                met.append(found)
+                sums.append(total)
+            index, rows_ = pa.array(np.concatenate(at)), np.concatenate(met)
+            yield pa.RecordBatch.from_arrays([q.query_ids.take(pa.array(rows_)), *(b.column(i).take(index) for i in range(own)), pa.array(q.lengths[rows_]), pa.array(np.concatenate(sums))], names=schema.names)
+
+    return source.mapInArrow(run, schema)
+
+
+def _hits(rows: DataFrame, keys: list[str], fields: dict[str, int], known: DataFrame, pattern: str) -> DataFrame:
+    """keys, found: for each row with a hit, the tokens that its fields contain with the largest weight of a field that does."""
+    met = postings(rows, keys, fields, pattern).join(known.groupBy("word").agg(F.collect_list("token").alias("tokens")), "word").select(*keys, "weight", F.explode("tokens").alias("token"))
     # A row a text goes through the shuffle; its tokens are made distinct before it. A token counts for its best field.
     weights = sorted(set(fields.values()), reverse=True)
     sets = met.groupBy(*keys).agg(*[F.collect_set(F.when(F.col("weight") == w, F.col("token"))).alias(f"of_{w}") for w in weights])
@@ -67,8 +154,8 @@ def hits(rows: DataFrame, keys: list[str], fields: dict[str, int], tokens: DataF
     return sets.select(*keys, F.concat(*found).alias("found"))
 
 
-def totals(found: DataFrame, keys: list[str], asked: DataFrame, on: list[str], many: int) -> DataFrame:
-    """query_id, keys, n, raw: the sum of the weights of each query's tokens in each row of hits() that has one of them.
+def _totals(found: DataFrame, keys: list[str], asked: DataFrame, on: list[str], many: int) -> DataFrame:
+    """query_id, keys, n, raw: the sum of the weights of each query's tokens in each row of _hits() that has one of them.
 
     asked: query_id, tokens (distinct), and what else `on` joins by. many: its rows.
     """
@@ -79,4 +166,4 @@ def totals(found: DataFrame, keys: list[str], asked: DataFrame, on: list[str], m
     else:
         salt = F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int").alias("salt")
         met = rows.select("*", salt).join(each.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*on, "token", "salt"])
-    return met.groupBy("query_id", *keys).agg(F.first("n").alias("n"), F.sum("weight").alias("raw"))
+    return met.groupBy("query_id", *keys).agg(F.first("n").cast("long").alias("n"), F.sum("weight").alias("raw"))

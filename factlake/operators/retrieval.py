@@ -92,8 +92,7 @@ def lexical_leg(queries: DataFrame, facts: DataFrame, limit: int) -> DataFrame:
     many, keys = asked.count(), ["scope", "id", "ord", "created_at"]
     scopes = asked.select("scope").distinct()
     here = facts.join(F.broadcast(scopes) if many <= FEW_QUERIES else scopes, "scope", "left_semi")
-    found = X.hits(here, keys, {"name": 3, "data": 1}, asked.select(F.explode("tokens").alias("token")).distinct())
-    pairs = X.totals(found, keys, asked, ["scope"], many)
+    pairs = X.scores(here, keys, {"name": 3, "data": 1}, asked)
     order = Window.partitionBy("query_id", "scope").orderBy(F.desc("raw"), F.desc("created_at"), "id")
     top = pairs.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= limit).select("query_id", "scope", "id", "ord", "created_at", (F.col("raw") / (3 * F.col("n"))).alias("score"))
     return with_texts(top, facts, ["data", *link], many * limit).select("query_id", "scope", "id", "ord", "data", "created_at", *link, "score")

@@ -100,14 +100,13 @@ def search(topics: DataFrame, queries: DataFrame, limit: int = 10, unscoped_anyw
     each of its scopes, as no other can be among a scope's best.
     """
     asked = queries.select("query_id", T.file_tokens(F.col("query")).alias("tokens"), F.posexplode(F.array_distinct(F.filter("scopes", lambda s: s != ""))).alias("place", "scope")).filter(F.size("tokens") > 0)
-    many, keys, fields = asked.count(), ["scope", "id", "modified"], {"nm": 3, "ds": 2, "dt": 1}
+    keys, fields = ["scope", "id", "modified"], {"nm": 3, "ds": 2, "dt": 1}
     own = F.col("scope") if unscoped_anywhere else F.coalesce("scope", F.lit(unscoped))
     files = topics.select(own.alias("scope"), "id", "modified", F.concat_ws(" ", "file", "name").alias("nm"), F.col("description").alias("ds"), F.col("body").alias("dt"))
-    found = X.hits(files, keys, fields, asked.select(F.explode("tokens").alias("token")).distinct(), X.FILE_WORDS)
-    mine = X.totals(found.filter("scope is not null"), keys, asked, ["scope"], many)
+    found = X.scores(files, keys, fields, asked.select("query_id", "scope", "tokens"), X.FILE_WORDS)
+    mine = found.filter("scope is not null")
     best = [F.desc(F.col("raw") / (3 * F.col("n"))), F.desc("modified"), F.col("id")]
-    homeless = X.totals(found.filter("scope is null"), keys, asked.select("query_id", "tokens").distinct(), [], many)
-    homeless = homeless.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).filter(F.col("r") <= limit).drop("r", "scope")
+    homeless = found.filter("scope is null").withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).filter(F.col("r") <= limit).drop("r", "scope")
     places = asked.select("query_id", "scope", "place")
     rows = mine.join(places, ["query_id", "scope"]).unionByName(homeless.join(places, "query_id"))
     scored = rows.withColumn("score", F.col("raw") / (3 * F.col("n")))

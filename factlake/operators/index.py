@@ -14,13 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Distinct tokens up to which they are broadcast; pairs of a word and a token up to which they are (some 20 MB); and queries, with
+#: Distinct tokens up to which they are broadcast; pairs of a word and a token up to which they are (some 50 MB); and queries, with
 #: their scopes and at most 32 tokens each, up to which they are. Beyond these the joins shuffle.
-MOST_TOKENS, MOST_PAIRS, FEW_QUERIES = 1 << 16, 1 << 19, 1 << 14
+MOST_TOKENS, MOST_PAIRS, FEW_QUERIES = 1 << 16, 1 << 21, 1 << 14
 #: Parts of a token's texts where many queries meet them.
 SALTS = 32
 # What separates words of facts, and those of topic files.
@@ -77,12 +78,15 @@ class _Asked:
 
     def __init__(self, pairs: pa.Table, asked: pa.Table):
         tokens = asked.column("tokens").to_pylist()
-        number = {t: i for i, t in enumerate(sorted({t for ts in tokens for t in ts}))}
-        self.size = len(number)
-        by_word: dict[str, list[int]] = {}
-        for w, t in zip(pairs.column("word").to_pylist(), pairs.column("token").to_pylist()):
-            by_word.setdefault(w, []).append(number[t])
-        self.by_word = {w: np.array(ts, np.int32) for w, ts in by_word.items()}
+        names = sorted({t for ts in tokens for t in ts})
+        number = {t: i for i, t in enumerate(names)}
+        self.size = len(names)
+        words = pairs.column("word").combine_chunks().dictionary_encode()
+        held = pc.index_in(pairs.column("token"), pa.array(names, pa.string())).to_numpy()
+        code = words.indices.to_numpy()
+        order = np.argsort(code, kind="stable")
+        parts = np.split(held[order].astype(np.int32), np.flatnonzero(np.diff(code[order])) + 1)
+        self.by_word = dict(zip(words.dictionary.to_pylist(), parts))
         self.query_ids = asked.column("query_id").combine_chunks()
         rows: dict[object, list[int]] = {None: []}  # by scope; without one, each query once
         seen: set[str] = set()

@@ -76,7 +76,8 @@ def topic_new_ids(spark, d):
 
 
 def synthetic_corpus(spark, d):
-    return synthetic.corpus(spark, 2000).select("ord", "key", F.sha2("text", 256).alias("text_key"), "description")
+    """As many made facts as there are documents."""
+    return synthetic.corpus(spark, spark.read.parquet(f"{d}/documents.parquet").count()).select("ord", "key", F.sha2("text", 256).alias("text_key"), "description")
 
 
 def payload_merge(spark, d):
@@ -98,11 +99,13 @@ def event_counts(spark, d):
 
 
 def embedder_widths(spark, d):
-    rows = [
-        ("small", 384, "none", [384], 384, None, None), ("large", 1536, "continuous", [1536], 768, None, None), ("nested", 768, "discrete", [768, 512, 256, 128], 384, None, None),
-        ("excused", 768, "none", [768], 384, "kept columns", "issue 1"), ("stale", 768, "discrete", [768, 384], 384, "old", " "), ("wrong", 0, "none", [384, 5], 12, None, None),
-    ]
-    specs = spark.createDataFrame(rows, "mode string, native int, mrl string, trained array<int>, target int, reason string, tracked_by string")
+    """What is wrong with declarations of widths, one for each vector, made of its width and number."""
+    n, width = F.col("vec_id"), F.size("embedding")
+    specs = spark.read.parquet(f"{d}/embeddings.parquet").select(
+        n.alias("mode"), F.when(n % 11 == 0, 0).otherwise(width).alias("native"), F.get(F.array(*map(F.lit, ["none", "discrete", "continuous"])), (n % 3).cast("int")).alias("mrl"),
+        F.when(n % 2 == 0, F.array(width, F.lit(32))).otherwise(F.array(width)).alias("trained"), (n % 6 * 16).cast("int").alias("target"),
+        F.when(n % 5 == 0, F.when(n % 4 == 0, " ").otherwise("kept columns")).alias("reason"), F.when(n % 7 == 0, F.when(n % 4 == 1, "").otherwise("issue 1")).alias("tracked_by"),
+    )
     return specs.select("mode", F.concat_ws("; ", M.width_problems()).alias("problems"))
 
 
@@ -158,7 +161,7 @@ def oracle_sql() -> dict[str, str]:
     low = lambda x: f"(({x}) & {m.format(w)})"
     words = lambda ws: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in ws) + "]"
     pick = lambda j, ws: f"({words(ws)})[CAST(floor(u[{j + 1}] * {len(ws)}) AS INT) + 1]"
-    draws = f"""WITH i AS (SELECT range AS ord, unnest(range(1, 8)) AS j FROM range(2000)), a AS (SELECT ord, j, {low(f"1337 + CAST(ord * 7 + j AS HUGEINT) * {synthetic.STEP}")} AS a FROM i),
+    draws = f"""WITH i AS (SELECT range AS ord, unnest(range(1, 8)) AS j FROM (SELECT unnest(range((SELECT count(*) FROM documents))) AS range)), a AS (SELECT ord, j, {low(f"1337 + CAST(ord * 7 + j AS HUGEINT) * {synthetic.STEP}")} AS a FROM i),
     t AS (SELECT ord, j, {low("xor(a, a >> 15) * (a | CAST(1 AS HUGEINT))")} AS t FROM a), v AS (SELECT ord, j, xor({low("t + xor(t, t >> 7) * (t | CAST(61 AS HUGEINT))")}, t) AS v FROM t), v2 AS (SELECT ord, j, {low("v")} AS v FROM v),
     u AS (SELECT ord, list(CAST(xor(v, v >> 14) AS DOUBLE) / 4294967296.0::DOUBLE ORDER BY j) AS u FROM v2 GROUP BY ord)"""
     return {
@@ -176,6 +179,12 @@ def oracle_sql() -> dict[str, str]:
         "payload_merge": """WITH e AS (SELECT user_id AS id, event_id AS seq, CASE WHEN event_type IN ('view', 'click') THEN 1 ELSE 0 END AS put, json_extract_string(props, '$.k') AS k, CASE WHEN event_id % 3 = 0 THEN CAST(event_id AS VARCHAR) END AS third, CASE WHEN event_id % 2 = 0 THEN event_type END AS even FROM events),
           b AS (SELECT id, max(seq) AS base FROM e WHERE put = 1 GROUP BY id) SELECT id, arg_max(k, seq) FILTER (k IS NOT NULL) AS k, arg_max(third, seq) FILTER (third IS NOT NULL) AS third, arg_max(even, seq) FILTER (even IS NOT NULL) AS even FROM e JOIN b USING (id) WHERE seq >= base GROUP BY id""",
         "event_counts": "SELECT user_id AS request, count(*) FILTER (event_type = 'view' AND event_id % 4 > 0) AS added, count(*) FILTER (event_type IN ('view', 'click')) AS stored FROM events GROUP BY user_id",
-        "embedder_widths": "SELECT * FROM (VALUES ('small', ''), ('large', ''), ('nested', 'untrained target without reason'), ('excused', ''), ('stale', 'stale reason; empty tracked_by'), ('wrong', 'native not positive; target over native; native not trained; several widths trained without mrl; untrained target without reason')) v(mode, problems)",
+        "embedder_widths": """WITH s AS (SELECT vec_id AS mode, CASE WHEN vec_id % 11 = 0 THEN 0 ELSE len(embedding) END AS native, ['none','discrete','continuous'][CAST(vec_id % 3 + 1 AS INT)] AS mrl,
+            CASE WHEN vec_id % 2 = 0 THEN [len(embedding), 32] ELSE [len(embedding)] END AS trained, vec_id % 6 * 16 AS target,
+            CASE WHEN vec_id % 5 = 0 THEN CASE WHEN vec_id % 4 = 0 THEN ' ' ELSE 'kept columns' END END AS reason, CASE WHEN vec_id % 7 = 0 THEN CASE WHEN vec_id % 4 = 1 THEN '' ELSE 'issue 1' END END AS tracked FROM embeddings),
+          k AS (SELECT *, target = native OR (target > 0 AND target < native AND (mrl = 'continuous' OR (mrl = 'discrete' AND list_contains(trained, target)))) AS fits, reason IS NOT NULL OR tracked IS NOT NULL AS excused FROM s)
+          SELECT mode, concat_ws('; ', CASE WHEN native <= 0 THEN 'native not positive' END, CASE WHEN target <= 0 THEN 'target not positive' END, CASE WHEN target > native THEN 'target over native' END,
+            CASE WHEN NOT list_contains(trained, native) THEN 'native not trained' END, CASE WHEN mrl = 'none' AND len(trained) <> 1 THEN 'several widths trained without mrl' END, CASE WHEN NOT fits AND NOT excused THEN 'untrained target without reason' END,
+            CASE WHEN fits AND excused THEN 'stale reason' END, CASE WHEN excused AND trim(coalesce(reason, '')) = '' THEN 'empty reason' END, CASE WHEN excused AND trim(coalesce(tracked, '')) = '' THEN 'empty tracked_by' END) AS problems FROM k""",
         "embed_known": f"WITH {C.FACTS} SELECT id, CAST(CASE WHEN coalesce(data, '') <> '' THEN 2 END AS INT) AS width, CASE WHEN coalesce(data, '') <> '' THEN sha256(left(data, 32000)) < '8' END AS was_known FROM facts",
     }

@@ -192,3 +192,10 @@ def test_entities_in_any_white_space(spark):
     rows = ["\tthe one-liner in the folder", "the one-liner in the folder", " the release gate x", "the release gate x", "the release gate", " ", "release of\tgate", " release gate　", None, ""]
     got = [r.junk for r in spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").select("i", entities.low_quality(F.col("t")).alias("junk")).orderBy("i").collect()]
     assert got == [False, False, False, False, False, True, False, False, True, True]
+
+
+def test_queries_without_tokens_and_empty_tables(spark):
+    facts = _facts(spark, [(1, "a", "s", "n", "alpha", None)])
+    asked = spark.createDataFrame([(1, "!", ["s"]), (2, None, ["s"]), (3, "alpha", [])], "query_id long, query string, scopes array<string>")
+    assert R.lexical_leg(asked, facts, 3).count() == R.lexical_leg(asked.filter("false"), facts, 3).count() == 0
+    assert R.lexical_leg(spark.createDataFrame([(1, "alpha beta", ["s", "t"])], "query_id long, query string, scopes array<string>"), facts.filter("false"), 3).count() == 0

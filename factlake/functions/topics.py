@@ -89,7 +89,7 @@ def base_id(kind: Column, description: Column) -> Column:
 
 def safe_id(name: Column) -> Column:
     """Whether a name can't leave its folder."""
-    return name.rlike("^[A-Za-z0-9][A-Za-z0-9._-]*$") & ~name.contains("..")
+    return name.rlike("^[A-Za-z0-9][A-Za-z0-9._-]*\\z") & ~name.contains("..")
 
 
 def distinctive_token(text: Column) -> Column:

@@ -79,6 +79,14 @@ def floor_points(gold: DataFrame, expected: DataFrame, hits: DataFrame, floors:
     return points.join(precision_recall(rows, "floor").withColumnRenamed("fp", "fp_queries"), "floor")
 
 
+def measures(calls: DataFrame) -> DataFrame:
+    """store, call, n, p50, p95 (nearest rank, of ms) and cost_per_1k of calls (store, call, ms, cost). Null and NaN times count for no percentile; costs
+    that are null are none, and a kind of call without any cost has null."""
+    cost = F.try_divide(F.sum("cost") * 1000, F.count(F.lit(1))).alias("cost_per_1k")
+    total = calls.groupBy("store", "call").agg(F.count(F.lit(1)).alias("n"), cost)
+    return total.join(percentiles(calls, ["store", "call"], "ms", {"p50": 0.5, "p95": 0.95}), ["store", "call"], "left").select("store", "call", "n", "p50", "p95", "cost_per_1k")
+
+
 def best_floor(points: DataFrame) -> DataFrame:
     """The point of the highest f1, of equal ones that of the lowest floor."""
     return points.orderBy(F.desc("f1"), "floor").limit(1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factlake.operators.ranking import previous
+
 
 def fold(log: DataFrame) -> DataFrame:
     """id, payload, created_at, invalid_at, superseded_by of the rows that a change log leaves.
@@ -31,6 +33,30 @@ def fold_vectors(log: DataFrame) -> DataFrame:
     return last.select("id", "last.vector", F.col("last.at").alias("embedded_at"))
 
 
+def history(log: DataFrame) -> DataFrame:
+    """id, seq, event (ADD, UPDATE, DELETE), old, new, at of a log's upserts, patches and deletes (seq: a number).
+
+    `old` is the payload of the last upsert since the last delete, `new` what the change brings: only its keys if it is a patch. What changes a row that
+    isn't there, other than an upsert, is no event.
+    """
+    rows = log.filter("op in ('upsert', 'patch', 'delete')").select("id", "seq", "op", "payload", "at")
+    whole = F.when(F.col("op") != "patch", F.struct("op", "payload"))
+    seen = previous(rows, ["id"], "seq", whole, "before")
+    there = F.coalesce(F.col("before.op") == "upsert", F.lit(False))
+    event = F.when(~there & (F.col("op") == "upsert"), "ADD").when(there & (F.col("op") == "delete"), "DELETE").when(there, "UPDATE")
+    told = seen.select("id", "seq", event.alias("event"), F.when(there, F.col("before.payload")).alias("old"), F.when(F.col("op") != "delete", F.col("payload")).alias("new"), "at")
+    return told.filter("event is not null")
+
+
+def forgotten_scope(facts: DataFrame, scope: str | None, at: Column) -> DataFrame:
+    """Changes that delete all facts (id, scope) of a scope, their vectors with them once the log is folded. Without a scope this is an error, as it would
+    delete everybody's facts."""
+    if not scope:
+        raise ValueError("no scope to forget")
+    none = F.lit(None).cast("string")
+    return facts.filter(F.col("scope") == scope).select(F.lit(0).cast("long").alias("n"), F.lit("delete").alias("op"), "id", none.alias("payload"), at.alias("at"), none.alias("by"))
+
+
 def without_key(payload: Column, key: str) -> Column:
     """A JSON object without one of its keys; any other text, and objects that don't have the key, as they are."""
     value = F.try_parse_json(payload)

@@ -1,4 +1,4 @@
-"""Running sums, row numbers and values at a place, of groups of any size: no group is sorted by one task."""
+"""Running sums, row numbers, values before a row and values at a place, of groups of any size: no group is sorted by one task."""
 
 from __future__ import annotations
 
@@ -14,15 +14,33 @@ from factlake.sources.folders import keep, scratch
 PARTS, CELLS, FEW_GROUPS = 64, 4096, 1 << 16
 
 
+def _parts(rows: DataFrame, order: str) -> Column:
+    """The part of PARTS that a row lies in, cut at quantiles of `order`."""
+    splits = sorted(set(rows.approxQuantile(order, [i / PARTS for i in range(1, PARTS)], 0.005)))
+    return F.size(F.filter(F.array(*map(F.lit, splits)), lambda s: s <= F.col(order))) if splits else F.lit(0)
+
+
+def previous(rows: DataFrame, by: list[str], order: str, value: Column, name: str) -> DataFrame:
+    """rows with the last `value` that isn't null of those before them in their group, by a number `order` that no two rows of a group share.
+
+    Each part of a group looks back by itself; what the parts before it leave comes from one value a part.
+    """
+    cut = rows.withColumn("__part", _parts(rows, order)).withColumn("__value", value)
+    lasts = cut.filter("__value is not null").groupBy(*by, "__part").agg(F.max_by("__value", order).alias("__last"))
+    places = cut.select(*by, "__part").distinct().join(lasts, [*by, "__part"], "left")
+    back = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    carried = places.select(*by, "__part", F.last("__last", True).over(back(Window.partitionBy(*by).orderBy("__part"))).alias("__carried"))
+    own = F.last("__value", True).over(back(Window.partitionBy(*by, "__part").orderBy(order)))
+    return cut.withColumn("__own", own).join(carried, [*by, "__part"]).withColumn(name, F.coalesce("__own", "__carried")).select(*rows.columns, name)
+
+
 def running(rows: DataFrame, by: list[str], order: str, value: Column, name: str, tie: list[Column] = []) -> DataFrame:
     """rows with the sum of `value` over the rows of their group up to and with their own, by a number `order`, then `tie`.
 
     Rows are cut at quantiles of `order` into PARTS parts; each part of a group is summed and numbered by itself, and what lies before a part comes from
     the sums. Without ties in all of the order, rows that tie are numbered in any order.
     """
-    splits = sorted(set(rows.approxQuantile(order, [i / PARTS for i in range(1, PARTS)], 0.005)))
-    part = F.size(F.filter(F.array(*map(F.lit, splits)), lambda s: s <= F.col(order))) if splits else F.lit(0)
-    cut = rows.withColumn("__part", part).withColumn("__value", value)
+    cut = rows.withColumn("__part", _parts(rows, order)).withColumn("__value", value)
     sums = cut.groupBy(*by, "__part").agg(F.sum("__value").alias("__sum"))
     before = F.coalesce(F.sum("__sum").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     own = F.sum("__value").over(Window.partitionBy(*by, "__part").orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, 0))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factlake.functions import topics as P
 from factlake.operators import retrieval as R
+from factlake.sources import folders
 from factlake.sources import log as G
 
 
@@ -17,6 +18,11 @@ def round_trips(specs: DataFrame, path: str, limit: int = 5) -> DataFrame:
     All specs go through a log at `path` together, a batch for each step; each has a scope of its own, so that none sees another's facts.
     """
     spark = specs.sparkSession
+    steps = folders.scratch(spark, "trips")
+
+    def step(df, name):  # what a step finds, before the next one changes the log
+        return folders.keep(df, f"{steps}/{name}")
+
     scope = F.col("spec_id").cast("string")
     key = lambda tail: F.concat(scope, F.lit(tail))
 
@@ -34,17 +40,17 @@ def round_trips(specs: DataFrame, path: str, limit: int = 5) -> DataFrame:
     marker = F.lower(F.coalesce("marker", P.distinctive_token(F.col("fact"))))
     everything = F.lit("")
     change("upsert", "/fact", F.col("fact"))
-    stored = has("/fact", everything, "stored").checkpoint()
+    stored = step(has("/fact", everything, "stored"), "stored")
     asked = specs.select(F.col("spec_id").alias("query_id"), F.col("paraphrase").alias("query"), F.array(scope).alias("scopes"))
     hits = R.ranked(R.lexical_leg(asked, now(), limit), [F.desc("score"), F.col("id")])
-    found = hits.join(specs.select(F.col("spec_id").alias("query_id"), marker.alias("marker")), "query_id").filter(F.contains(F.lower("data"), F.col("marker"))).groupBy(F.col("query_id").alias("spec_id")).agg(F.min("rank").alias("paraphrase_rank")).checkpoint()
+    found = step(hits.join(specs.select(F.col("spec_id").alias("query_id"), marker.alias("marker")), "query_id").filter(F.contains(F.lower("data"), F.col("marker"))).groupBy(F.col("query_id").alias("spec_id")).agg(F.min("rank").alias("paraphrase_rank")), "found")
     change("patch", "/fact", F.col("updated"))
-    updated = has("/fact", P.distinctive_token(F.col("updated")), "update_honored").checkpoint()
-    before = now().groupBy("scope").agg(F.count(F.lit(1)).alias("before")).checkpoint()
+    updated = step(has("/fact", P.distinctive_token(F.col("updated")), "update_honored"), "updated")
+    before = step(now().groupBy("scope").agg(F.count(F.lit(1)).alias("before")), "before")
     change("upsert", "/near", F.col("near_dup"))
-    after = now().groupBy("scope").agg(F.count(F.lit(1)).alias("after")).join(before, "scope", "left").select("scope", (F.col("after") - F.coalesce("before", F.lit(0))).alias("near_dup_new")).checkpoint()
+    after = step(now().groupBy("scope").agg(F.count(F.lit(1)).alias("after")).join(before, "scope", "left").select("scope", (F.col("after") - F.coalesce("before", F.lit(0))).alias("near_dup_new")), "after")
     change("delete", "/fact", F.col("fact"))
-    left = has("/fact", everything, "left").checkpoint()
+    left = step(has("/fact", everything, "left"), "left")
     change("delete", "/near", F.col("fact"))
     out = stored.join(found, "spec_id", "left").join(updated, "spec_id").join(left, "spec_id").withColumn("scope", scope).join(after, "scope", "left")
     rank = F.coalesce("paraphrase_rank", F.lit(0)).cast("long")
@@ -56,8 +62,12 @@ def fractions(trips: DataFrame) -> DataFrame:
     return trips.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c)).alias(c) for c in ("stored", "paraphrase_found", "update_honored", "forget_honored")], F.count_if(F.expr("stored and near_dup_new = 0")).alias("merged"))
 
 
-def scorecard(names: list[str], metrics: list[DataFrame], trips: list[DataFrame]) -> str:
-    """A Markdown table of stores: each one's metrics (evaluation.by_class) and fractions()."""
+def _money(x: float | None) -> str:
+    return "—" if x is None else "$0" if x == 0 else f"${x:.4f}" if x < 0.01 else f"${x:.2f}"
+
+
+def scorecard(names: list[str], metrics: list[DataFrame], trips: list[DataFrame], calls: DataFrame | None = None) -> str:
+    """A Markdown table of stores: each one's metrics (evaluation.by_class), fractions() and, of evaluation.measures(), latencies and costs of its calls."""
     cells: dict[str, dict[str, str]] = {}
     share = lambda x: "—" if x is None else f"{100 * x:.0f}%"
     for name, rows, trip in zip(names, metrics, trips):
@@ -72,6 +82,11 @@ def scorecard(names: list[str], metrics: list[DataFrame], trips: list[DataFrame]
         for label, c in (("write stored", "stored"), ("paraphrase recall (top 3)", "paraphrase_found"), ("update honored", "update_honored"), ("forget honored", "forget_honored")):
             put(label, f"{t[c]}/{t.n}")
         put("near copies", f"{t.merged}/{t.stored} merged" if t.stored else "—")
+    for r in sorted(calls.collect(), key=lambda r: r.call, reverse=True) if calls is not None else ():
+        if r.store in names:
+            for label, text in ((f"{r.call} p50", r.p50), (f"{r.call} p95", r.p95)):
+                cells.setdefault(label, {})[r.store] = "—" if text is None else f"{text:.0f}ms"
+            cells.setdefault(f"cost / 1k {r.call} calls", {})[r.store] = _money(r.cost_per_1k)
     lines = [["metric", *names], ["---"] * (1 + len(names)), *[[label, *[row.get(n, "—") for n in names]] for label, row in cells.items()]]
     return "\n".join(f"| {' | '.join(line)} |" for line in lines)
 

@@ -35,6 +35,22 @@ def temporal_controls(filters: dict | None) -> tuple[str | None, bool, dict]:
     return at, wide in (True, "1", "true"), rest
 
 
+def controls(filters: Column) -> Column:
+    """temporal_controls() of a table's filters, each the JSON text of an object: a struct of as_of (null: now), include_superseded, rest (a JSON object of
+    the other filters; null if there are none) and failed, which says that as_of is no time: such a request must not be answered for another time.
+
+    Numbers are milliseconds since 1970. Null, and what is no JSON object, are filters without anything in them.
+    """
+    value = F.try_parse_json(filters)
+    wide = _at(value, "include_superseded")
+    kind, text = F.schema_of_variant(_at(value, "as_of")), _at(value, "as_of", "string")
+    moment = F.when(kind == "STRING", F.try_to_timestamp(text)).when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.timestamp_millis(text.try_cast("double").cast("long")))
+    asked = F.coalesce(kind != "VOID", F.lit(False))
+    yes = F.coalesce(F.schema_of_variant(wide).rlike("^(BOOLEAN|BIGINT|STRING|DOUBLE|DECIMAL)") & _at(value, "include_superseded", "string").isin("true", "1"), F.lit(False))
+    rest = F.map_filter(F.try_variant_get(value, "$", "map<string,variant>"), lambda k, v: ~k.isin("as_of", "include_superseded"))
+    return F.struct(moment.alias("as_of"), yes.alias("include_superseded"), F.when(F.size(rest) > 0, F.to_json(F.to_variant_object(rest))).alias("rest"), (asked & moment.isNull()).alias("failed"))
+
+
 def upsert_vectors(vectors: DataFrame, made: DataFrame, facts: DataFrame, width: int) -> DataFrame:
     """vectors (fact_id, vector) with those of made in their places. Null vectors, those of another width and those of ids that facts don't have
     change nothing; the facts' texts stay as they are. Of several vectors for one fact, the one of the latest `at` counts if made has
@@ -131,6 +147,15 @@ def entries(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.coalesce(_at(value, "data", "string"), F.lit("")).alias("text"), kind.alias("kind"), "scope", F.when(F.size(rest) > 0, F.to_json(F.to_variant_object(rest))).alias("metadata"))
 
 
+def client_entries(rows: DataFrame) -> DataFrame:
+    """id, text, kind, scope, score and metadata of a client's own rows (id, text, scope, score, metadata as JSON): a missing text is empty, `kind` of the
+    metadata counts if it is a string, and metadata that are no JSON or null are none."""
+    value = F.try_parse_json("metadata")
+    there = F.schema_of_variant(value) != "VOID"
+    kind = F.when(F.schema_of_variant(_at(value, "kind")) == "STRING", _at(value, "kind", "string"))
+    return rows.select("id", F.coalesce("text", F.lit("")).alias("text"), kind.alias("kind"), "scope", F.col("score").cast("double").alias("score"), F.when(there, F.col("metadata")).alias("metadata"))
+
+
 def ranked_keys(hits: DataFrame) -> DataFrame:
     """query_id, key, rank, score of hits (the same) by the first place of each key; hits without a key go, and ranks close up. Only a
     query's own hits meet in its window."""

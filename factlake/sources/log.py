@@ -71,6 +71,17 @@ def vectors(spark: SparkSession, path: str) -> DataFrame:
     return L.fold_vectors(read(spark, path))
 
 
+def history(spark: SparkSession, path: str) -> DataFrame:
+    """lifecycle.history() of the log; seq is a number that grows with batch and place (a place is below 2^40)."""
+    return L.history(read(spark, path).withColumn("seq", F.col("seq.batch") * (1 << 40) + F.col("seq.n")))
+
+
+def forget_scope(spark: SparkSession, path: str, scope: str | None, at: Column) -> int:
+    """Delete all facts whose payload's user_id is this scope, and their vectors: the number of the batch that says so."""
+    facts = state(spark, path).select("id", F.get_json_object("payload", "$.user_id").alias("scope"))
+    return append(L.forgotten_scope(facts, scope, at), path)
+
+
 def compact(spark: SparkSession, path: str, to: str) -> None:
     """Write the folded table as a new log of one batch of upserts, and the closes and vectors of its rows as the next one."""
     now = state(spark, path)

@@ -6,7 +6,7 @@ import time
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -75,6 +75,34 @@ def write_folder(files: DataFrame, uri: str) -> int:
     return files.filter(P.safe_id(F.col("id"))).mapInPandas(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+def _move(where, at: str, name: str) -> bool:
+    """Move a file of a folder into its archive, under another name if it is there already; false if there is none."""
+    from pyarrow import fs
+
+    if where.get_file_info(f"{at}/{name}.md").type == fs.FileType.NotFound:
+        return False
+    to = f"{at}/archive/{name}.md"
+    if where.get_file_info(to).type != fs.FileType.NotFound:
+        to = f"{at}/archive/{name}.{time.time_ns() // 1_000_000:x}.md"
+    where.move(f"{at}/{name}.md", to)
+    return True
+
+
+def archive_all(names: DataFrame, uri: str) -> None:
+    """Move the files of names (id) into the folder's archive, in the tasks. Unsafe ids and ids without a file are left out, so a task that runs again finds
+    nothing more to do."""
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        where, at = fs.FileSystem.from_uri(uri)
+        where.create_dir(f"{at}/archive")
+        for batch in batches:
+            yield pd.DataFrame({"n": [sum(_move(where, at, name) for name in batch["id"])]})
+
+    names.filter(P.safe_id(F.col("id"))).select("id").distinct().mapInPandas(put, "n long").agg(F.sum("n")).first()
+
+
 def archive(uri: str, name: str) -> bool:
     """Move one file into the folder's archive, under another name if it is there already; false if there is none or the id is unsafe."""
     import re
@@ -82,14 +110,23 @@ def archive(uri: str, name: str) -> bool:
     from pyarrow import fs
 
     where, at = fs.FileSystem.from_uri(uri)
-    if not re.fullmatch("[A-Za-z0-9][A-Za-z0-9._-]*", name) or ".." in name or where.get_file_info(f"{at}/{name}.md").type == fs.FileType.NotFound:
+    if not re.fullmatch("[A-Za-z0-9][A-Za-z0-9._-]*", name) or ".." in name:
         return False
     where.create_dir(f"{at}/archive")
-    to = f"{at}/archive/{name}.md"
-    if where.get_file_info(to).type != fs.FileType.NotFound:
-        to = f"{at}/archive/{name}.{time.time_ns() // 1_000_000:x}.md"
-    where.move(f"{at}/{name}.md", to)
-    return True
+    return _move(where, at, name)
+
+
+def entries(topics: DataFrame, asked: Column, unscoped_anywhere: bool = True, unscoped: str = "local") -> DataFrame:
+    """id, text, kind, scope, metadata of topics (read_folder()): the text is the body or else the description, the kind the type if there is none, the scope
+    the one asked (or `unscoped`) if the file has none; metadata is a JSON object of type, description, file and modified_ms, with the keys of extra over these."""
+    base = F.struct("type", "description", "file", F.unix_millis(F.col("modified").cast("timestamp")).alias("modified_ms"))
+    as_map = lambda c: F.coalesce(F.try_variant_get(F.try_parse_json(c), "$", "map<string,variant>"), F.expr("cast(map() as map<string,variant>)"))
+    more, body = as_map(F.col("extra")), P.strip(F.coalesce("body", F.lit("")))
+    own = F.map_filter(as_map(F.to_json(base)), lambda k, v: ~F.array_contains(F.map_keys(more), k))
+    return topics.select(
+        "id", F.when(body != "", body).otherwise(F.col("description")).alias("text"), F.coalesce("kind", "type").alias("kind"),
+        F.coalesce("scope", asked if unscoped_anywhere else F.lit(unscoped)).alias("scope"), F.to_json(F.to_variant_object(F.map_concat(own, more))).alias("metadata"),
+    )
 
 
 def search(topics: DataFrame, queries: DataFrame, limit: int = 10, unscoped_anywhere: bool = True, unscoped: str = "local") -> DataFrame:

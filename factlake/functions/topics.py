@@ -94,7 +94,11 @@ def safe_id(name: Column) -> Column:
 
 def distinctive_token(text: Column) -> Column:
     """The longest token of six characters or more, the first of those; else the text's first twelve characters."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    tokens = F.filter(F.split(low, "[^a-z0-9-]+"), lambda t: F.length(t) >= 6)
-    longest = F.array_max(F.transform(tokens, F.length))
-    return F.coalesce(F.get(F.filter(tokens, lambda t: F.length(t) == longest), F.lit(0)), F.left(low, F.lit(12)))
+
+    def first_longest(low: Column) -> Column:
+        # One pass: of what was seen so far, the first of the longest.
+        tokens = F.filter(F.split(low, "[^a-z0-9-]+"), lambda t: F.length(t) >= 6)
+        best = F.aggregate(tokens, F.lit(""), lambda best, t: F.when(F.length(t) > F.length(best), t).otherwise(best))
+        return _with(best, lambda t: F.when(t != "", t).otherwise(F.left(low, F.lit(12))))
+
+    return _with(F.lower(F.coalesce(text, F.lit(""))), first_longest)

@@ -145,7 +145,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     topic, _ = G.topic_sql()
-    token = lambda t: f"coalesce(list_filter(list_filter(string_split_regex(lower({t}), '[^a-z0-9-]+'), lambda x: length(x) >= 6), lambda x: length(x) = list_max(list_transform(list_filter(string_split_regex(lower({t}), '[^a-z0-9-]+'), lambda y: length(y) >= 6), lambda y: length(y))))[1], left(lower({t}), 12))"
+    words = lambda t: f"list_filter(string_split_regex(lower({t}), '[^a-z0-9-]+'), lambda x: length(x) >= 6)"
+    token = lambda t: f"coalesce(nullif(list_reduce(list_concat([''], {words(t)}), lambda best, x: CASE WHEN length(x) > length(best) THEN x ELSE best END), ''), left(lower({t}), 12))"
     safe = lambda t: f"regexp_matches({t}, '^[A-Za-z0-9][A-Za-z0-9._-]*$') AND NOT contains({t}, '..')"
     trips = f"""t AS (SELECT item_id, lower(text) AS low, {token("text")} AS own, {token("'exchanged ' || reverse(text)")} AS changed, 'exchanged ' || reverse(lower(text)) AS later FROM benchmark WHERE text IS NOT NULL),
       trips AS (SELECT item_id AS spec_id, true AS stored, CAST(CASE WHEN item_id % 5 = 0 OR item_id % 7 = 0 THEN 0 ELSE 1 END AS BIGINT) AS paraphrase_rank, item_id % 5 > 0 AND item_id % 7 > 0 AS paraphrase_found,

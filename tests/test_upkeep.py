@@ -121,3 +121,9 @@ def test_measures_in_the_scorecard(spark):
     assert {(r.store, r.call): (r.n, r.p50, r.p95, r.cost_per_1k and round(r.cost_per_1k, 9)) for r in m.collect()} == {("s", "search"): (100, 50.0, 95.0, 1.0), ("s", "remember"): (1, None, None, None), ("t", "search"): (1, 7.0, 7.0, 0.0)}
     text = scorecard.scorecard(["s", "t"], [], [], m)
     assert "| search p95 | 95ms | 7ms |" in text and "| cost / 1k search calls | $1.00 | $0 |" in text and "| remember p50 | — | — |" in text
+
+
+def test_distinctive_tokens(spark):
+    cases = {None: "", "": "", "One two": "one two", "Relays relay-x a": "relay-x", "abcdef uvwxyz": "abcdef", "Short words only, no more": "short words ", "word " * 20000 + "singular": "singular"}
+    rows = spark.createDataFrame(list(cases.items()), "t string, want string").select("want", P.distinctive_token(F.col("t")).alias("got")).collect()
+    assert [tuple(r) for r in rows if r.got != r.want] == []

@@ -1,8 +1,10 @@
 """Nearest neighbours by a block matrix join.
 
-Vectors are rounded to int8, each with its own scale and the exact length of its rounding error. Blocks of queries meet blocks of
-candidates; a tile of integer products gives all distances, wrong by no more than the two errors. Only pairs that the bounds leave
-open are computed again in double precision, from the vectors as they are, and merged by a heap for each query. Exact.
+Queries are dealt into groups of bounded size and candidates into groups, too; a task has one of each. It keeps the blocks of its
+queries and streams its candidates past them, so a vector reaches Python once for each group that it meets, not for each block.
+Vectors are rounded to int8, each with its own scale and the exact length of its rounding error. A tile of integer products gives
+all distances of two blocks, wrong by no more than the two errors. Only pairs that the bounds leave open are computed again in
+double precision, from the vectors as they are, and merged by a heap for each query. Exact.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from pyspark.sql.window import Window
 
 #: Rows of a block of candidates and of queries.
 CANDIDATES, QUERIES = 2048, 256
+#: Components of a group of queries (on average), which a task keeps.
+KEPT = 1 << 22
 #: Dimensions up to which a product of int8 vectors is exact in float32 (127 * 127 * 1040 < 2^24).
 _EXACT = 1040
 
@@ -28,39 +32,64 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & fine & F.exists(vector, lambda x: x != 0)
 
 
-def blocks(vectors: DataFrame, rows: int) -> DataFrame:
-    """dims, n, and as bytes: ids, originals (double), codes (int8), scales and errors of up to `rows` vectors (columns id, vector)."""
+class Block:
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        self.ids, self.x, dims = ids, x, x.shape[1]
+        top = np.abs(x).max(1)
+        self.scales = top / 127
+        codes = np.rint(x / np.where(self.scales > 0, self.scales, 1)[:, None]).clip(-127, 127).astype(np.int8)
+        self.errors = np.sqrt(((x - codes * self.scales[:, None]) ** 2).sum(1))
+        self.codes = codes.astype(np.float32 if dims <= _EXACT else np.float64)
+        self.squares = (self.codes.astype(np.float64) ** 2).sum(1) * self.scales**2
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[int, list[tuple[int, np.ndarray]]] = {}
 
-        def block(dims: int) -> pa.RecordBatch:
-            own = waiting.pop(dims)
-            ids, x = np.array([i for i, _ in own], np.int64), np.stack([v for _, v in own]).astype(np.float64)
-            scale = np.abs(x).max(1) / 127
-            codes = np.rint(x / np.where(scale > 0, scale, 1)[:, None]).clip(-127, 127).astype(np.int8)
-            error = np.sqrt(((x - codes * scale[:, None]) ** 2).sum(1))
-            return pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), pa.array([len(ids)], pa.int32()), *(pa.array([a.tobytes()], pa.binary()) for a in (ids, x, codes, scale, error))], names=["dims", "n", "ids", "originals", "codes", "scales", "errors"])
+def by_length(batch: pa.RecordBatch) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+    """Whether they are candidates, ids and vectors (as a matrix) of the rows (candidate, id, vector) of each kind and length."""
+    kind, ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(), batch.column(2)
+    starts = lists.offsets.to_numpy()
+    sizes, values = np.diff(starts), lists.values.to_numpy()
+    for candidate in (False, True):
+        for dims in np.unique(sizes[kind == candidate]):
+            at = np.flatnonzero((kind == candidate) & (sizes == dims))
+            yield candidate, ids[at], values[starts[at][:, None] + np.arange(dims)]
 
-        for batch in batches:
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                v = v.values.to_numpy()
-                own = waiting.setdefault(len(v), [])
-                own.append((i, v))
-                if len(own) >= rows:
-                    yield block(len(v))
-        for dims in list(waiting):
-            yield block(dims)
 
-    return vectors.mapInArrow(run, "dims int, n int, ids binary, originals binary, codes binary, scales binary, errors binary")
+class Met:
+    """The queries of a task, of one length, and their candidates so far."""
 
+    def __init__(self, k: int):
+        self.k, self.asked, self.waiting, self.many = k, [], [], 0
+        self.blocks: list[tuple[Block, list[list]]] = []
 
-class Block:
-    def __init__(self, dims: int, n: int, ids: bytes, originals: bytes, codes: bytes, scales: bytes, errors: bytes):
-        self.ids, self.x = np.frombuffer(ids, np.int64), np.frombuffer(originals, np.float64).reshape(n, dims)
-        self.codes = np.frombuffer(codes, np.int8).reshape(n, dims).astype(np.float32 if dims <= _EXACT else np.float64)
-        self.scales, self.errors = np.frombuffer(scales, np.float64), np.frombuffer(errors, np.float64)
-        self.squares = (self.codes.astype(np.float64) ** 2).sum(1) * self.scales**2
+    def ask(self, ids: np.ndarray, x: np.ndarray) -> None:
+        self.asked.append((ids, x))
+
+    def offer(self, ids: np.ndarray, x: np.ndarray) -> None:
+        self.waiting.append((ids, x))
+        self.many += len(ids)
+        if self.many >= CANDIDATES:
+            self.meet()
+
+    def meet(self) -> None:
+        """All candidates that wait meet all queries."""
+        for block in _cut(self.asked, QUERIES):
+            self.blocks.append((block, [[] for _ in block.ids]))
+        for block in _cut(self.waiting, CANDIDATES):
+            for asked, heaps in self.blocks:
+                tile(asked, block, heaps, self.k)
+        self.asked, self.waiting, self.many = [], [], 0
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        for block, heaps in self.blocks:
+            rows = [(int(block.ids[i]), int(-v), float(-d)) for i, h in enumerate(heaps) for d, v in h]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+
+
+def _cut(parts: list[tuple[np.ndarray, np.ndarray]], rows: int) -> Iterator[Block]:
+    if parts:
+        ids, x = np.concatenate([i for i, _ in parts]), np.concatenate([x for _, x in parts])
+        for i in range(0, len(ids), rows):
+            yield Block(ids[i : i + rows], x[i : i + rows])
 
 
 def tile(q: Block, c: Block, heaps: list[list], k: int) -> None:
@@ -89,40 +118,41 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec
 
     Rows with the query's own key are no candidates; ties go to the smaller key; all candidates if there are fewer than k.
     Unusable vectors (see `usable`) and null keys take no part, nor do vectors of other lengths than the query's. Rows that repeat a key
-    are candidates each for itself. Queries are copied once to each group of candidate blocks; neither side is broadcast as a whole
-    unless Spark finds it small.
+    are candidates each for itself; other columns are ignored; an empty table gives no rows.
+
+    There are about as many tasks as shuffle partitions: one for each group of queries (about KEPT components) and of candidates. So a
+    candidate is sent once for each group of queries, which is one group up to some ten thousand queries, and a query once for each
+    group of candidates. Neither side is broadcast. Groups follow from keys alone, so a task that runs again has the same rows.
     """
-    spark = vectors.sparkSession
-    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def clean(df: DataFrame) -> DataFrame:
-        return df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector")).filter(F.col("id").isNotNull() & usable(F.col("vector")))
+        return df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector")).filter(F.col("id").isNotNull() & usable(F.col("vector")))
+
+    asked, all_ = clean(queries), clean(vectors)
+    kept = asked.agg(F.sum(F.size("vector").cast("long"))).first()[0] or 0
+    groups = max(1, -(-kept // KEPT))
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    crowds = max(1, -(-tasks // groups))
+
+    def dealt(df: DataFrame, candidate: bool) -> DataFrame:
+        """The rows, once for each task that needs them."""
+        own = F.pmod(F.xxhash64("id"), F.lit(crowds if candidate else groups))
+        others = F.explode(F.sequence(F.lit(0), F.lit((groups if candidate else crowds) - 1))).alias("other")
+        at = F.col("other") * crowds + F.col("own") if candidate else F.col("own") * crowds + F.col("other")
+        return df.select("*", own.alias("own"), others).select(at.cast("int").alias("task"), F.lit(candidate).alias("candidate"), "id", "vector")
 
-    asked = clean(queries)
-    q = blocks(asked.repartition(max(1, -(-asked.count() // QUERIES)), "id"), QUERIES)
-    q = q.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "dims", *[F.col(c).alias(f"q_{c}") for c in q.columns[1:]])
-    c = blocks(clean(vectors), CANDIDATES).withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
-    pairs = q.join(c, ["group", "dims"]).select("dims", *q.columns[2:], *c.columns[1:-1])
+    met = dealt(asked, False).unionByName(dealt(all_, True)).repartitionById(groups * crowds, "task").sortWithinPartitions("candidate").drop("task")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, heaps, asked_key = None, [], None
-
-        def flush() -> pa.RecordBatch:
-            rows = [(int(current.ids[i]), -int(v), -float(d)) for i, h in enumerate(heaps) for d, v in h]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
-
-        for batch in batches:
-            for row in range(batch.num_rows):
-                dims, *rest = (batch.column(i)[row].as_py() for i in range(13))
-                if asked_key != (dims, rest[1]):  # another block of queries
-                    if current is not None:
-                        yield flush()
-                    asked_key, current = (dims, rest[1]), Block(dims, *rest[:6])
-                    heaps = [[] for _ in current.ids]
-                tile(current, Block(dims, *rest[6:]), heaps, k)
-        if current is not None:
-            yield flush()
-
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
+        lengths: dict[int, Met] = {}
+        for batch in batches:  # queries come first
+            for candidate, ids, x in by_length(batch):
+                own = lengths.setdefault(x.shape[1], Met(k))
+                (own.offer if candidate else own.ask)(ids, x)
+        for own in lengths.values():
+            own.meet()
+            yield from own.found()
+
+    found = met.mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

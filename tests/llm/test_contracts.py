@@ -338,7 +338,9 @@ def brute_nearest(vectors, asked, k=10):
     return out
 
 
-def test_op6(spark, tmp_path):
+@pytest.mark.parametrize("kept", [1 << 22, 16])
+def test_op6(spark, tmp_path, monkeypatch, kept):
+    monkeypatch.setattr(vector_blocks, "KEPT", kept)  # one group of queries, and several
     rnd = random.Random(2)
     vec = lambda: [rnd.gauss(0, 1) for _ in range(8)]
     same = vec()
@@ -349,6 +351,13 @@ def test_op6(spark, tmp_path):
     assert got == brute_nearest(rows, [r for r in rows if r[0] % 100 == 0])
 
 
+def test_nearest_of_empty_tables_and_repeated_rows(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [0.0, 1.0], 2), (2, [0.0, 1.0], 3), (None, [1.0, 1.0], 4)], "vec_id long, embedding array<float>, `a.b` int")
+    rows = lambda df: sorted((r.query_id, r.rank, r.vec_id) for r in df.collect())
+    assert rows(vector_blocks.nearest(v, v.filter("vec_id = 1"))) == [(1, 1, 2), (1, 2, 2)]
+    assert rows(vector_blocks.nearest(v.limit(0), v)) == rows(vector_blocks.nearest(v, v.limit(0))) == []
+
+
 def check_pieces(pieces, rows, size=2048):
     """Pieces (doc_id, start, length, crc, doc_tokens, sequence_id, offset) hold each id once; sequences have no gaps."""
     _, ids = library_ids([r[1] for r in rows])

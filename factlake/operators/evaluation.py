@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from factlake.operators.ranking import at_places
 
@@ -79,6 +80,36 @@ def floor_points(gold: DataFrame, expected: DataFrame, hits: DataFrame, floors:
     return points.join(precision_recall(rows, "floor").withColumnRenamed("fp", "fp_queries"), "floor")
 
 
+def at_sizes(hits: DataFrame, sizes: list[int], k: int = 10) -> DataFrame:
+    """query_id, size, key, rank, score: each query's k best hits in a store of each size, from one search of the largest.
+
+    hits: query_id, key, score and place: null for a store's own facts; for those layered around them the number of others before, so that a store of
+    size s has those of places below s. Ties go by key. A hit's rank in a size is among hits of that size and the smaller ones, so each of these keeps
+    k hits of a query before they are copied to the larger sizes.
+    """
+    steps = sorted(set(sizes))
+    least = F.when(F.col("place").isNull(), F.lit(steps[0])).otherwise(F.array_min(F.filter(F.array(*map(F.lit, steps)), lambda s: s > F.col("place"))))
+    best = lambda *by: F.row_number().over(Window.partitionBy("query_id", *by).orderBy(F.desc(F.round("score", 9)), "key"))
+    own = hits.select("query_id", "key", "score", least.cast("long").alias("least")).filter("least is not null").withColumn("r", best("least")).filter(F.col("r") <= k).drop("r")
+    grown = own.withColumn("size", F.explode(F.array(*[F.lit(s).cast("long") for s in steps]))).filter("size >= least").withColumn("rank", best("size").cast("long"))
+    return grown.filter(F.col("rank") <= k).select("query_id", "size", "key", "rank", "score")
+
+
+def scale_curve(gold: DataFrame, expected: DataFrame, hits: DataFrame, sizes: list[int], times: DataFrame | None = None) -> DataFrame:
+    """size, n, p5, r10, mrr, fp, median_top_score and p50 of the gold queries in a store of each size.
+
+    hits as for at_sizes(), which should hold ten of each query and size at least. times: size and ms of searches; without any, p50 is null.
+    """
+    steps = sorted(set(sizes))
+    at = lambda df: df.withColumn("size", F.explode(F.array(*[F.lit(s).cast("long") for s in steps])))
+    keyed = lambda df: df.withColumn("query_id", F.struct("query_id", "size")).drop("size")
+    rows = outcomes(keyed(at(gold)), keyed(at(expected)).select("query_id", "key"), keyed(at_sizes(hits, steps)).select("query_id", "key", "rank", "score"))
+    points = metrics(rows.withColumn("size", F.col("query_id.size")), "size")
+    if times is None:
+        return points.withColumn("p50", F.lit(None).cast("double"))
+    return points.join(percentiles(times, ["size"], "ms", {"p50": 0.5}), "size", "left")
+
+
 def measures(calls: DataFrame) -> DataFrame:
     """store, call, n, p50, p95 (nearest rank, of ms) and cost_per_1k of calls (store, call, ms, cost). Null and NaN times count for no percentile; costs
     that are null are none, and a kind of call without any cost has null."""

@@ -66,10 +66,20 @@ def _money(x: float | None) -> str:
     return "—" if x is None else "$0" if x == 0 else f"${x:.4f}" if x < 0.01 else f"${x:.2f}"
 
 
-def scorecard(names: list[str], metrics: list[DataFrame], trips: list[DataFrame], calls: DataFrame | None = None) -> str:
-    """A Markdown table of stores: each one's metrics (evaluation.by_class), fractions() and, of evaluation.measures(), latencies and costs of its calls."""
+def scorecard(
+    names: list[str], metrics: list[DataFrame], trips: list[DataFrame], calls: DataFrame | None = None, scale: DataFrame | None = None, reach: dict[str, dict[str, str]] | None = None, seeded: DataFrame | None = None
+) -> str:
+    """A Markdown table of stores: each one's metrics (evaluation.by_class), fractions() and, of evaluation.measures(), latencies and costs of its calls.
+
+    scale: evaluation.scale_curve() of the stores, by `store`. reach: what each store can and cannot do, by what is asked. seeded: store, n and failed
+    of the facts that it was to take. Stores that aren't among the names are left out; what is not known is a dash.
+    """
     cells: dict[str, dict[str, str]] = {}
     share = lambda x: "—" if x is None else f"{100 * x:.0f}%"
+    took = lambda x: "—" if x is None else f"{x:.0f}ms"
+    ours = lambda df: [] if df is None else [r for r in df.collect() if r.store in names]
+    for r in ours(seeded):
+        cells.setdefault("seeded (of corpus)", {})[r.store] = f"{r.n - r.failed}/{r.n}"
     for name, rows, trip in zip(names, metrics, trips):
         put = lambda label, text, name=name: cells.setdefault(label, {}).__setitem__(name, text)
         for r in sorted(rows.collect(), key=lambda r: (r["class"] != "overall", r["class"])):
@@ -78,15 +88,19 @@ def scorecard(names: list[str], metrics: list[DataFrame], trips: list[DataFrame]
             put(f"MRR {r['class']}", f"{r.mrr:.2f}")
             if r.fp is not None:
                 put(f"FP {r['class']}", share(r.fp))
+                put(f"median top score {r['class']}", "—" if r.median_top_score is None else f"{r.median_top_score:.3f}")
         t = fractions(trip).first()
         for label, c in (("write stored", "stored"), ("paraphrase recall (top 3)", "paraphrase_found"), ("update honored", "update_honored"), ("forget honored", "forget_honored")):
             put(label, f"{t[c]}/{t.n}")
         put("near copies", f"{t.merged}/{t.stored} merged" if t.stored else "—")
-    for r in sorted(calls.collect(), key=lambda r: r.call, reverse=True) if calls is not None else ():
-        if r.store in names:
-            for label, text in ((f"{r.call} p50", r.p50), (f"{r.call} p95", r.p95)):
-                cells.setdefault(label, {})[r.store] = "—" if text is None else f"{text:.0f}ms"
-            cells.setdefault(f"cost / 1k {r.call} calls", {})[r.store] = _money(r.cost_per_1k)
+    for r in sorted(ours(calls), key=lambda r: r.call, reverse=True):
+        for label, ms in ((f"{r.call} p50", r.p50), (f"{r.call} p95", r.p95)):
+            cells.setdefault(label, {})[r.store] = took(ms)
+        cells.setdefault(f"cost / 1k {r.call} calls", {})[r.store] = _money(r.cost_per_1k)
+    for r in sorted(ours(scale), key=lambda r: r["size"]):
+        cells.setdefault(f"P@5 / search p50 at {r['size']}", {})[r.store] = f"{share(r.p5)} / {took(r.p50)}"
+    for asked in dict.fromkeys(k for n in names for k in (reach or {}).get(n, {})):
+        cells[f"reach: {asked}"] = {n: reach[n][asked] for n in names if asked in reach.get(n, {})}
     lines = [["metric", *names], ["---"] * (1 + len(names)), *[[label, *[row.get(n, "—") for n in names]] for label, row in cells.items()]]
     return "\n".join(f"| {' | '.join(line)} |" for line in lines)
 

@@ -108,13 +108,17 @@ def _holding(facts, asked):
     return held.filter(F.contains("data", F.col("query"))).select("query_id", F.col("id").alias("key"))
 
 
-def _judged(spark, d):
-    """Gold queries, what they expect (live facts of their scopes that hold their whole text), and the lexical leg's ranking."""
-    asked, live = S.text_queries(spark, d), C._live(spark, d)
+def _gold(spark, d):
+    """Gold queries, and what they expect: live facts of their scopes that hold their whole text."""
+    asked = S.text_queries(spark, d)
     gold = asked.select("query_id", F.get(F.array(*map(F.lit, ["lexical-gap", "exact-identifier"])), (F.col("query_id") % 2).cast("int")).alias("class"))
-    expected = _holding(live, asked)
-    hits = R.ranked(R.lexical_leg(asked, live, 18), [F.desc(F.round("score", 9)), F.col("id")]).select("query_id", F.col("id").alias("key"), "rank", "score")
-    return gold, expected, hits
+    return gold, _holding(C._live(spark, d), asked)
+
+
+def _judged(spark, d):
+    """Gold queries, what they expect, and the lexical leg's ranking."""
+    hits = R.ranked(R.lexical_leg(S.text_queries(spark, d), C._live(spark, d), 18), [F.desc(F.round("score", 9)), F.col("id")])
+    return *_gold(spark, d), hits.select("query_id", F.col("id").alias("key"), "rank", "score")
 
 
 def gold_outcomes(spark, d):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from factlake.functions import topics as P
 from factlake.operators import evaluation as E
 from factlake.operators import lifecycle as L
+from factlake.operators import retrieval as R
 from factlake.operators import scorecard
 from factlake.operators import writing as W
 from factlake.plans import catalogue as C
@@ -136,7 +137,29 @@ def best_floor(spark, d):
     return E.best_floor(E.sweep(*store._judged(spark, d), store.FLOORS)).select("floor", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-_ALL = (change_history, scope_forgotten, validity_not_stored, topic_folder, file_entries, client_entries, filter_controls, distinctive_tokens, safe_ids, write_round_trips, round_trip_counts, call_measures, best_floor)
+def _crowd(spark, d):
+    """The live facts, and turns of conversations layered around them; sizes are a tenth of the conversations and all of them."""
+    turns = spark.read.parquet(f"{d}/conversations.parquet")
+    many = (turns.agg(F.max("conv_id")).first()[0] or 0) + 1
+    sizes = [0, many // 10, many]
+    step = F.when(F.col("conv_id") < sizes[1], "tenth").otherwise("rest")
+    others = turns.select(step.alias("scope"), F.concat(F.lit("turn-"), F.col("conv_id"), F.lit("-"), F.col("turn")).alias("id"), F.col("conv_id").alias("ord"), F.lit(S.NOW).cast("timestamp").alias("created_at"), F.col("role").alias("name"), F.col("text").alias("data"), F.col("conv_id").alias("place"))
+    own = C._live(spark, d).select("scope", "id", "ord", "created_at", "name", "data", F.lit(None).cast("long").alias("place"))
+    return own.unionByName(others), sizes
+
+
+def scale_curve(spark, d):
+    """How the lexical leg's quality holds as conversations crowd the store: one search asks all layers, and the sizes come from its hits."""
+    rows, sizes = _crowd(spark, d)
+    gold, expected = store._gold(spark, d)
+    asked = S.text_queries(spark, d).withColumn("scopes", F.array(*map(F.lit, [*S.SCOPES, "tenth", "rest"])))
+    hits = R.lexical_leg(asked, rows, 18)
+    place = F.when(F.col("scope").isin("tenth", "rest"), F.col("ord"))
+    out = E.scale_curve(gold, expected, hits.select("query_id", F.col("id").alias("key"), "score", place.alias("place")), sizes)
+    return out.select("size", "n", *[F.round(c, 6).alias(c) for c in ("p5", "r10", "mrr", "fp", "median_top_score")])
+
+
+_ALL = (scale_curve, change_history, scope_forgotten, validity_not_stored, topic_folder, file_entries, client_entries, filter_controls, distinctive_tokens, safe_ids, write_round_trips, round_trip_counts, call_measures, best_floor)
 
 
 def queries() -> dict:
@@ -148,6 +171,8 @@ def oracle_sql() -> dict[str, str]:
     words = lambda t: f"list_filter(string_split_regex(lower({t}), '[^a-z0-9-]+'), lambda x: length(x) >= 6)"
     token = lambda t: f"coalesce(nullif(list_reduce(list_concat([''], {words(t)}), lambda best, x: CASE WHEN length(x) > length(best) THEN x ELSE best END), ''), left(lower({t}), 12))"
     safe = lambda t: f"regexp_matches({t}, '^[A-Za-z0-9][A-Za-z0-9._-]*$') AND NOT contains({t}, '..')"
+    layers = """, crowd AS (SELECT scope, id, created_at, name, data FROM live UNION ALL SELECT CASE WHEN conv_id < (SELECT (max(conv_id) + 1) // 10 FROM conversations) THEN 'tenth' ELSE 'rest' END, 'turn-' || conv_id || '-' || turn, TIMESTAMP '2024-03-01', role, text FROM conversations)"""
+    crowd = layers + C.lexical_sql()[2].replace("live f", "crowd f").replace("'es')", "'es','tenth','rest')")
     trips = f"""t AS (SELECT item_id, lower(text) AS low, {token("text")} AS own, {token("'exchanged ' || reverse(text)")} AS changed, 'exchanged ' || reverse(lower(text)) AS later FROM benchmark WHERE text IS NOT NULL),
       trips AS (SELECT item_id AS spec_id, true AS stored, CAST(CASE WHEN item_id % 5 = 0 OR item_id % 7 = 0 THEN 0 ELSE 1 END AS BIGINT) AS paraphrase_rank, item_id % 5 > 0 AND item_id % 7 > 0 AS paraphrase_found,
         contains(later, changed) AS update_honored, true AS forget_honored, CAST(1 AS BIGINT) AS near_dup_new FROM t)"""
@@ -171,5 +196,14 @@ def oracle_sql() -> dict[str, str]:
         "round_trip_counts": f"WITH {trips} SELECT count(*) AS n, count(*) FILTER (stored) AS stored, count(*) FILTER (paraphrase_found) AS paraphrase_found, count(*) FILTER (update_honored) AS update_honored, count(*) FILTER (forget_honored) AS forget_honored, count(*) FILTER (stored AND near_dup_new = 0) AS merged FROM trips",
         "call_measures": """WITH calls AS (SELECT CAST(user_id % 3 AS VARCHAR) AS store, event_type AS call, value AS ms, CASE WHEN event_id % 3 > 0 AND event_type <> 'view' THEN (event_id % 8) / 8.0::DOUBLE END AS cost FROM events)
           SELECT store, call, count(*) AS n, quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.95) AS p95, sum(cost) * 1000 / count(*) AS cost_per_1k FROM calls GROUP BY store, call""",
+        "scale_curve": f"""WITH {C.FACTS}{crowd}, n AS (SELECT max(conv_id) + 1 AS many FROM conversations), sizes AS (SELECT unnest([0, many // 10, many]) AS size FROM n),
+          gold AS (SELECT item_id AS query_id, text FROM benchmark), expected AS (SELECT query_id, id AS key FROM gold JOIN live ON scope IN ('en','fr','de','es') AND contains(data, text)),
+          placed AS (SELECT query_id, id AS key, CAST(score AS DOUBLE) AS score, CASE WHEN scope IN ('tenth', 'rest') THEN CAST(split_part(id, '-', 2) AS BIGINT) END AS place FROM lexleg),
+          hits AS (SELECT query_id, size, key, score, row_number() OVER (PARTITION BY query_id, size ORDER BY round(score, 9) DESC, key) AS rank FROM placed JOIN sizes ON place IS NULL OR place < size QUALIFY rank <= 10),
+          found AS (SELECT query_id, size, count(*) FILTER (rank <= 5) AS near, count(*) AS far, min(rank) AS first FROM hits SEMI JOIN expected USING (query_id, key) GROUP BY ALL),
+          tops AS (SELECT query_id, size, max(score) AS top_score FROM hits GROUP BY ALL), wanted AS (SELECT query_id, count(*) AS n_expected FROM expected GROUP BY ALL),
+          outs AS (SELECT size, coalesce(n_expected, 0) AS n_expected, coalesce(near, 0) AS near, coalesce(far, 0) AS far, coalesce(1 / first::DOUBLE, 0) AS rr, top_score FROM gold CROSS JOIN sizes LEFT JOIN wanted USING (query_id) LEFT JOIN found USING (query_id, size) LEFT JOIN tops USING (query_id, size))
+          SELECT size, count(*) AS n, round(coalesce(avg(near / 5.0::DOUBLE) FILTER (n_expected > 0), 0), 6) AS p5, round(coalesce(avg(far / n_expected::DOUBLE) FILTER (n_expected > 0), 0), 6) AS r10, round(coalesce(avg(rr) FILTER (n_expected > 0), 0), 6) AS mrr,
+            round(avg((top_score IS NOT NULL)::INT::DOUBLE) FILTER (n_expected = 0), 6) AS fp, round(-quantile_disc(-top_score, 0.5), 6) AS median_top_score FROM outs GROUP BY size""",
         "best_floor": f"SELECT * FROM ({store.oracle_sql()['floor_sweep']}) ORDER BY f1 DESC, floor LIMIT 1",
     }

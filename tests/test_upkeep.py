@@ -2,6 +2,7 @@
 
 import glob
 import os
+import random
 from collections import Counter
 
 import duckdb
@@ -123,6 +124,35 @@ def test_measures_in_the_scorecard(spark):
     assert "| search p95 | 95ms | 7ms |" in text and "| cost / 1k search calls | $1.00 | $0 |" in text and "| remember p50 | — | — |" in text
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_sizes_equal_a_search_each(spark, seed):
+    """Ranks of every size are those of the hits that it has, whatever layer they come from."""
+    rnd = random.Random(seed)
+    rows = [(q, f"k{i:03}", rnd.randrange(5) / 4, rnd.choice([None, rnd.randrange(40)])) for q in range(4) for i in range(60)]
+    hits = spark.createDataFrame(rows, "query_id int, key string, score double, place long")
+    sizes = [30, 0, 10, 10]
+    want = set()
+    for q in range(4):
+        for s in set(sizes):
+            there = sorted((-score, key) for i, key, score, place in rows if i == q and (place is None or place < s))
+            want |= {(q, s, key, n + 1) for n, (_, key) in enumerate(there[:7])}
+    assert {(r.query_id, r["size"], r.key, r["rank"]) for r in E.at_sizes(hits, sizes, 7).collect()} == want
+
+
+def test_scale_and_reach_in_the_scorecard(spark):
+    gold = spark.createDataFrame([(1, "a"), (2, "a"), (3, "none")], "query_id int, class string")
+    expected = spark.createDataFrame([(1, "x"), (2, "y")], "query_id int, key string")
+    hits = spark.createDataFrame([(1, "x", 0.5, None), (2, "y", 0.5, None), (2, "far", 0.9, 50), (3, "far", 0.2, 150)] + [(1, f"n{i}", 0.8, i) for i in range(5)], "query_id int, key string, score double, place long")
+    times = spark.createDataFrame([(0, 3.0), (0, 4.0), (0, None), (100, 9.0)], "size long, ms double")
+    curve = E.scale_curve(gold, expected, hits, [0, 100, 1000], times)
+    got = {r["size"]: (r.n, round(r.p5, 3), round(r.r10, 3), round(r.mrr, 3), r.fp, r.p50) for r in curve.collect()}
+    assert got == {0: (3, 0.2, 1.0, 1.0, 0.0, 3.0), 100: (3, 0.1, 1.0, round((1 / 6 + 1 / 2) / 2, 3), 0.0, 9.0), 1000: (3, 0.1, 1.0, round((1 / 6 + 1 / 2) / 2, 3), 1.0, None)}
+    assert {r["size"]: r.p50 for r in E.scale_curve(gold, expected, hits.limit(0), [5]).collect()} == {5: None}
+    seeds = spark.createDataFrame([("s", 10, 2), ("other", 1, 0)], "store string, n long, failed long")
+    text = scorecard.scorecard(["s", "t"], [], [], scale=curve.withColumn("store", F.lit("s")), reach={"t": {"history": "yes"}, "s": {"spaces": "by mode", "history": "no"}, "other": {"x": "y"}}, seeded=seeds)
+    assert text.splitlines()[2:] == ["| seeded (of corpus) | 8/10 | — |", "| P@5 / search p50 at 0 | 20% / 3ms | — |", "| P@5 / search p50 at 100 | 10% / 9ms | — |", "| P@5 / search p50 at 1000 | 10% / — | — |", "| reach: spaces | by mode | — |", "| reach: history | no | yes |"]
+
+
 def test_distinctive_tokens(spark):
     cases = {None: "", "": "", "One two": "one two", "Relays relay-x a": "relay-x", "abcdef uvwxyz": "abcdef", "Short words only, no more": "short words ", "word " * 20000 + "singular": "singular"}
     rows = spark.createDataFrame(list(cases.items()), "t string, want string").select("want", P.distinctive_token(F.col("t")).alias("got")).collect()

@@ -30,6 +30,11 @@ def keep(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """keep() in a new folder."""
+    return keep(df, scratch(df.sparkSession, name))
+
+
 def _clear() -> None:
     for path, spark in _MADE.items():
         if spark.sparkContext._jsc is not None:  # stopped: its folder goes with the cluster's own clean-up

@@ -14,6 +14,7 @@ from factlake.functions import text as T
 from factlake.functions import topics as P
 from factlake.operators import index as X
 from factlake.operators.ranking import numbered, running
+from factlake.sources.folders import kept
 
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
     """file, id, modified and the parsed fields of every topic file right in a folder; index files and sub-folders are left out."""
@@ -133,14 +134,15 @@ def search(topics: DataFrame, queries: DataFrame, limit: int = 10, unscoped_anyw
     """query_id, scope, id, score, rank of each query (query_id, query, scopes) by tokens: the best `limit` of each scope, newest first
     among equals; a file found in several scopes counts for the first. Files without a scope match any scope, or only `unscoped`.
 
-    Files are found through an inverted index. Those that match any scope are scored once for a query; its best `limit` of them then go to
+    Files are found by their words (see operators.index). Those that match any scope are scored once for a query; its best `limit` of them then go to
     each of its scopes, as no other can be among a scope's best.
     """
     asked = queries.select("query_id", T.file_tokens(F.col("query")).alias("tokens"), F.posexplode(F.array_distinct(F.filter("scopes", lambda s: s != ""))).alias("place", "scope")).filter(F.size("tokens") > 0)
     keys, fields = ["scope", "id", "modified"], {"nm": 3, "ds": 2, "dt": 1}
     own = F.col("scope") if unscoped_anywhere else F.coalesce("scope", F.lit(unscoped))
     files = topics.select(own.alias("scope"), "id", "modified", F.concat_ws(" ", "file", "name").alias("nm"), F.col("description").alias("ds"), F.col("body").alias("dt"))
-    found = X.scores(files, keys, fields, asked.select("query_id", "scope", "tokens"), X.FILE_WORDS)
+    found = X.scores(files, keys, fields, asked.select("query_id", "scope", "tokens"), X.FILE_WORDS, (limit, {"modified": True, "id": False}))
+    found = kept(found, "file-hits")
     mine = found.filter("scope is not null")
     best = [F.desc(F.col("raw") / (3 * F.col("n"))), F.desc("modified"), F.col("id")]
     homeless = found.filter("scope is null").withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).filter(F.col("r") <= limit).drop("r", "scope")

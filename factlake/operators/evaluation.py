@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factlake.operators.ranking import at_places
+from factlake.sources.folders import kept
 
 
 def outcomes(gold: DataFrame, expected: DataFrame, hits: DataFrame, k: int = 5, deep: int = 10) -> DataFrame:
@@ -15,10 +16,14 @@ def outcomes(gold: DataFrame, expected: DataFrame, hits: DataFrame, k: int = 5,
     expected: query_id, key. hits: query_id, key, rank (from 1, a query's keys distinct), score. Precision divides by k, not by the
     hits returned.
     """
-    found = hits.join(expected, ["query_id", "key"]).groupBy("query_id").agg(F.count_if(F.col("rank") <= k).alias("near"), F.count_if(F.col("rank") <= deep).alias("far"), F.min("rank").alias("first"))
-    wanted = expected.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_expected"))
-    raw = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("raw_hits"), F.max("score").alias("top_score"))
-    all_of = gold.join(wanted, "query_id", "left").join(found, "query_id", "left").join(raw, "query_id", "left").fillna(0, ["n_expected", "near", "far", "raw_hits"])
+    # One join and one sum, so that neither ranking nor expectation is made twice.
+    wanted = expected.groupBy("query_id", "key").agg(F.count(F.lit(1)).alias("wanted"))
+    near = lambda most: F.coalesce(F.sum(F.when(F.col("rank") <= most, F.col("wanted"))), F.lit(0))
+    met = hits.select("query_id", "key", "rank", "score", F.lit(1).alias("hit")).join(wanted, ["query_id", "key"], "full").groupBy("query_id").agg(
+        F.coalesce(F.sum("wanted"), F.lit(0)).alias("n_expected"), F.count("hit").alias("raw_hits"), F.max("score").alias("top_score"),
+        near(k).alias("near"), near(deep).alias("far"), F.min(F.when(F.col("wanted").isNotNull(), F.col("rank"))).alias("first"),
+    )
+    all_of = gold.join(met, "query_id", "left").fillna(0, ["n_expected", "near", "far", "raw_hits"])
     return all_of.select("query_id", "class", "n_expected", (F.col("near") / k).alias("p5"), F.try_divide("far", "n_expected").alias("r10"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"), (F.col("near") > 0).alias("hit"), "raw_hits", "top_score")
 
 
@@ -42,6 +47,7 @@ def metrics(rows: DataFrame, *by: str) -> DataFrame:
 
 def by_class(rows: DataFrame) -> DataFrame:
     """metrics() of every class, and of all queries that expect something as class `overall`."""
+    rows = kept(rows, "outcomes")  # medians take several passes
     return metrics(rows, "class").unionByName(metrics(rows.filter("n_expected > 0").withColumn("class", F.lit("overall")), "class"))
 
 
@@ -104,7 +110,7 @@ def scale_curve(gold: DataFrame, expected: DataFrame, hits: DataFrame, sizes: li
     at = lambda df: df.withColumn("size", F.explode(F.array(*[F.lit(s).cast("long") for s in steps])))
     keyed = lambda df: df.withColumn("query_id", F.struct("query_id", "size")).drop("size")
     rows = outcomes(keyed(at(gold)), keyed(at(expected)).select("query_id", "key"), keyed(at_sizes(hits, steps)).select("query_id", "key", "rank", "score"))
-    points = metrics(rows.withColumn("size", F.col("query_id.size")), "size")
+    points = metrics(kept(rows.withColumn("size", F.col("query_id.size")), "outcomes"), "size")
     if times is None:
         return points.withColumn("p50", F.lit(None).cast("double"))
     return points.join(percentiles(times, ["size"], "ms", {"p50": 0.5}), "size", "left")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factlake.functions import entities
 from factlake.functions import text as T
+from factlake.operators import blocks as B
 from factlake.operators import evaluation as E
 from factlake.operators import extraction as X
 from factlake.operators import lifecycle as L
@@ -104,7 +105,10 @@ def conversation_windows(spark, d):
 
 def _holding(facts, asked):
     """query_id, key of the facts of a query's scopes that hold its whole text."""
-    held = R._meet(facts.select("scope", "id", "data"), R._scoped(asked))
+    asked = R._scoped(asked)
+    if R._small(asked, asked.count()):
+        return B.holding(facts, asked)
+    held = R._meet(facts.select("scope", "id", "data"), asked)
     return held.filter(F.contains("data", F.col("query"))).select("query_id", F.col("id").alias("key"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from factlake.functions import text as T
 from factlake.operators import rerank
 from factlake.operators import retrieval as R
+from factlake.sources.folders import kept
 
 
 @dataclass(frozen=True)
@@ -107,12 +108,13 @@ def at_floors(queries: DataFrame, facts: DataFrame, vectors: DataFrame, now: str
         raise ValueError("floors are swept without diversity")
     none = F.lit(None).cast("string")
     pulled = R.vector_leg(queries.filter("vector is not null"), R.readable(facts, options.validity(now)), vectors, options.limit or 8)
-    kept = R.floor(R.merge_scopes(pulled), None, options.least_ratio)
-    weighted = kept.withColumn("w", F.round(F.col("score") * R.recency(last_change(kept), now), 12)).drop("ord")
+    over = R.floor(R.merge_scopes(pulled), None, options.least_ratio)
+    weighted = over.withColumn("w", F.round(F.col("score") * R.recency(last_change(over), now), 12)).drop("ord")
     reached = F.filter(F.array(*map(F.lit, floors)), lambda f: (f <= 0) | F.col("score").isNull() | (F.col("score") >= f))
     each = lambda df, f: df.withColumn("floor", F.explode(f)).withColumn("query_id", F.struct("query_id", "floor")).drop("floor")
     cos = R.ranked(each(weighted, reached), [F.desc_nulls_last("w"), F.col("id")], "ord").select("query_id", "id", "ord", "data", "score").withColumn("link_id", none)
-    lex = each(_lexical(queries, facts, now, options), F.array(*map(F.lit, floors)))
+    cos = kept(cos, "cosine")
+    lex = each(kept(_lexical(queries, facts, now, options), "lexical"), F.array(*map(F.lit, floors)))
     fused = hit_ids(R.fuse(cos, lex, least_lexical=options.least_lexical, weight=options.lexical_weight, gated=options.fusion_mode == "cosine-gated"), cos, lex)
     out = fused if options.limit is None else fused.filter(F.col("rank") <= options.limit)
     return out.select("query_id.query_id", "query_id.floor", *[c for c in out.columns if c != "query_id"])
@@ -155,7 +157,7 @@ def _legs(queries, facts, vectors, now, options):
     none = F.lit(None).cast("string")
     cosine_options = replace(options, diversity=1.0)
     cos = search(queries.filter("vector is not null"), facts, vectors, now, cosine_options).withColumn("link_id", none)
-    return cos, _lexical(queries, facts, now, options)
+    return kept(cos, "cosine"), kept(_lexical(queries, facts, now, options), "lexical")  # fusion reads either several times
 
 
 def _lexical(queries, facts, now, options):

@@ -8,6 +8,7 @@ from factlake.functions import text as T
 from factlake.operators import evaluation as E
 from factlake.operators import retrieval as R
 from factlake.sources import facts as S
+from factlake.sources import folders
 
 AS_OF = "2024-01-20 12:00:00"
 
@@ -79,7 +80,7 @@ def _legs(spark, d, linked=False):
     cos = R.ranked(R.vector_leg(with_vector, _live(spark, d), v, 8), order, "place").drop("ord").withColumnRenamed("place", "ord").withColumn("link_id", none)
     facts = R.readable(S.linked_facts(spark, d), R.current(S.NOW)) if linked else _live(spark, d).withColumn("link_id", none)
     lex = R.ranked(R.lexical_leg(asked, facts, 18), order, "place").drop("ord").withColumnRenamed("place", "ord")
-    return cos, lex
+    return folders.kept(cos, "cosine"), folders.kept(lex, "lexical")
 
 
 def _fused(spark, d, **options):

@@ -13,7 +13,7 @@ from factlake.plans import catalogue as C
 from factlake.plans import engine as G
 from factlake.plans import store as L
 from factlake.sources import facts as S
-from factlake.sources import topics
+from factlake.sources import folders, topics
 
 FLOORS = [0.0, 0.1, 0.2, 0.3]
 #: Characters of a query beyond which the store's leg refuses it.
@@ -38,7 +38,7 @@ def _options(floor=None):
 def _gold(spark, d):
     """Gold queries by class, and the live facts that hold a query's whole text, which it expects."""
     asked = S.text_queries(spark, d)
-    expected = L._holding(C._live(spark, d), asked)
+    expected = folders.kept(L._holding(C._live(spark, d), asked), "expected")
     some = expected.select("query_id").distinct().withColumn("some", F.lit(True))
     kinds = F.get(F.array(*map(F.lit, ["lexical-gap", "exact-identifier"])), (F.col("query_id") % 2).cast("int"))
     return asked.select("query_id").join(some, "query_id", "left").select("query_id", F.when(F.col("some"), kinds).otherwise("hard-negative").alias("class")), expected

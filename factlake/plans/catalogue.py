@@ -8,7 +8,6 @@ from factlake.functions import text as T
 from factlake.operators import evaluation as E
 from factlake.operators import retrieval as R
 from factlake.sources import facts as S
-from factlake.sources import folders
 
 AS_OF = "2024-01-20 12:00:00"
 
@@ -71,20 +70,26 @@ def lex_score_topk(spark, d):
 
 
 def _legs(spark, d, linked=False):
-    """Both legs for the text queries; a query's vector is that of the same number. linked: the lexical leg's facts have links."""
+    """Both legs for the text queries, with names for texts, and their texts; a query's vector is that of the same number. linked: the lexical leg's facts have links."""
     asked = S.text_queries(spark, d)
     v = S.vectors(spark, d)
     with_vector = asked.join(v.select(F.col("fact_id").cast("long").alias("query_id"), "vector"), "query_id")
     order = [F.desc(F.round("score", 9)), F.col("id")]
     none = F.lit(None).cast("string")
-    cos = R.ranked(R.vector_leg(with_vector, _live(spark, d), v, 8), order, "place").drop("ord").withColumnRenamed("place", "ord").withColumn("link_id", none)
+    cos = R.ranked(R.vector_leg(with_vector, _live(spark, d), v, 8, texts=False), order, "place").drop("ord").withColumnRenamed("place", "ord").withColumn("link_id", none)
     facts = R.readable(S.linked_facts(spark, d), R.current(S.NOW)) if linked else _live(spark, d).withColumn("link_id", none)
-    lex = R.ranked(R.lexical_leg(asked, facts, 18), order, "place").drop("ord").withColumnRenamed("place", "ord")
-    return folders.kept(cos, "cosine"), folders.kept(lex, "lexical")
+    lex = R.ranked(R.lexical_leg(asked, facts, 18, texts=False), order, "place").drop("ord").withColumnRenamed("place", "ord")
+    (cos, near), (lex, worded) = R.named(cos, _live(spark, d)), R.named(lex, facts)
+    return cos, lex, near.unionByName(worded)
+
+
+def _fuse(legs, **options):
+    cos, lex, texts = legs
+    return R.fuse(cos, lex, texts=texts, **options)
 
 
 def _fused(spark, d, **options):
-    return R.fuse(*_legs(spark, d), **options).select("query_id", "key", "cosine_rank", "lexical_rank", F.round("score", 9).alias("score"), "rank")
+    return _fuse(_legs(spark, d), **options).select("query_id", "key", "cosine_rank", "lexical_rank", F.round("score", 9).alias("score"), "rank")
 
 
 def fuse_floored_union(spark, d):
@@ -101,7 +106,7 @@ def fuse_lex_weight(spark, d):
 
 def fuse_links(spark, d):
     """Projections count for the facts that they are linked to, under whatever text."""
-    out = R.fuse(*_legs(spark, d, linked=True), least_lexical=0.1)
+    out = _fuse(_legs(spark, d, linked=True), least_lexical=0.1)
     return out.select("query_id", "key", "cosine_rank", "lexical_rank", F.round("score", 9).alias("score"), "rank")
 
 

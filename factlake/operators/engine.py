@@ -9,10 +9,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factlake.functions import text as T
 from factlake.operators import rerank
 from factlake.operators import retrieval as R
-from factlake.sources.folders import kept
 
 
 @dataclass(frozen=True)
@@ -50,26 +48,27 @@ def last_change(rows: DataFrame) -> Column:
     return F.coalesce(*[c for c in ("updated_at", "created_at") if c in rows.columns])
 
 
-def search(queries: DataFrame, facts: DataFrame, vectors: DataFrame, now: str, options: SearchOptions = SearchOptions()) -> DataFrame:
+def search(queries: DataFrame, facts: DataFrame, vectors: DataFrame, now: str, options: SearchOptions = SearchOptions(), texts: bool = True) -> DataFrame:
     """query_id, id, ord (place by score times recency), data, score: the nearest facts of all scopes of a query (query_id, vector, scopes).
+    Without texts there is scope, and no data.
 
     The floor's ratio is to the query's best score over all scopes, and the score returned isn't weighted by recency, which goes by
     updated_at where the facts have one, else by created_at.
     """
-    pulled = R.vector_leg(queries, R.readable(facts, options.validity(now)), vectors, options.limit or 8)
+    pulled = R.vector_leg(queries, R.readable(facts, options.validity(now)), vectors, options.limit or 8, texts)
     kept = R.floor(R.merge_scopes(pulled), options.least_score, options.least_ratio)
     weighted = kept.withColumn("w", F.round(F.col("score") * R.recency(last_change(kept), now), 12))
-    out = R.ranked(weighted.drop("ord"), [F.desc_nulls_last("w"), F.col("id")], "ord").select("query_id", "id", "ord", "data", "score")
+    out = R.ranked(weighted.drop("ord"), [F.desc_nulls_last("w"), F.col("id")], "ord").select("query_id", "id", "ord", "data" if texts else "scope", "score")
     if options.diversity >= 1:
         return out
     shape = out.select("query_id", F.col("id").alias("key"), "data", "score", F.col("ord").alias("rank"))
     return rerank.diverse(shape, options.diversity).select("query_id", F.col("key").alias("id"), F.col("rank").alias("ord"), "data", "score")
 
 
-def lexical_search(queries: DataFrame, facts: DataFrame, now: str, limit: int = 18, validity: Column | None = None) -> DataFrame:
+def lexical_search(queries: DataFrame, facts: DataFrame, now: str, limit: int = 18, validity: Column | None = None, texts: bool = True) -> DataFrame:
     """The same by tokens of query, without floor and recency; link_id, too, if the facts have it."""
-    hits = R.merge_scopes(R.lexical_leg(queries, R.readable(facts, R.current(now) if validity is None else validity), limit))
-    return R.ranked(hits.drop("ord"), [F.desc("score"), F.desc("created_at"), F.col("id")], "ord").select("query_id", "id", "ord", "data", "score", *[c for c in facts.columns if c == "link_id"])
+    hits = R.merge_scopes(R.lexical_leg(queries, R.readable(facts, R.current(now) if validity is None else validity), limit, texts))
+    return R.ranked(hits.drop("ord"), [F.desc("score"), F.desc("created_at"), F.col("id")], "ord").select("query_id", "id", "ord", "data" if texts else "scope", "score", *[c for c in facts.columns if c == "link_id"])
 
 
 def hybrid(queries: DataFrame, facts: DataFrame, vectors: DataFrame, now: str, options: SearchOptions = SearchOptions()) -> DataFrame:
@@ -78,11 +77,12 @@ def hybrid(queries: DataFrame, facts: DataFrame, vectors: DataFrame, now: str, o
     A fact's link_id, if there is one, names the fact that it is a projection of: both are one hit. The lexical leg asks for lexical_query where that isn't blank; unless forward_temporal is set it sees the current facts, whatever
     time the options name. Diversity re-ranks the first three times `limit` hits; the rest follows in order.
     """
-    cos, lex = _legs(queries, facts, vectors, now, options)
-    fused = R.fuse(cos, lex, least_lexical=options.least_lexical, weight=options.lexical_weight, gated=options.fusion_mode == "cosine-gated")
+    (cos, near), (lex, worded) = _legs(queries, facts, vectors, now, options, raw=options.diversity < 1)
+    fused = R.fuse(cos, lex, least_lexical=options.least_lexical, weight=options.lexical_weight, gated=options.fusion_mode == "cosine-gated", texts=near.unionByName(worded))
     if options.diversity < 1:
         head = 3 * options.limit if options.limit else None
-        texts = cos.select("query_id", F.col("id").alias("key"), "data").unionByName(lex.select("query_id", F.coalesce("link_id", "id").alias("key"), "data")).groupBy("query_id", "key").agg(F.min("data").alias("data"))
+        with_data = lambda leg, own, key: leg.join(own.select("scope", "id", "data"), ["scope", "id"]).select("query_id", key.alias("key"), "data")
+        texts = with_data(cos, near, F.col("id")).unionByName(with_data(lex, worded, F.coalesce("link_id", "id"))).groupBy("query_id", "key").agg(F.min("data").alias("data"))
         rows = fused.join(texts, ["query_id", "key"], "left")
         first = rows if head is None else rows.filter(F.col("rank") <= head)
         fused = rerank.diverse(first, options.diversity).select(fused.columns)
@@ -91,11 +91,11 @@ def hybrid(queries: DataFrame, facts: DataFrame, vectors: DataFrame, now: str, o
     return fused if options.limit is None else fused.filter(F.col("rank") <= options.limit)
 
 
-def hit_ids(fused: DataFrame, cos: DataFrame, lex: DataFrame) -> DataFrame:
-    """fused hits (see retrieval.fuse) with the id of the fact that stands for each: the cosine leg's, else the lexical leg's first of that key."""
-    key = F.coalesce(F.when(F.col("link_id") != "", F.col("link_id")), T.squeeze(F.col("data")))
+def hit_ids(fused: DataFrame, lex: DataFrame) -> DataFrame:
+    """fused hits of named legs (see retrieval.fuse_names) with lexical_id, the lexical leg's first fact of that key."""
+    key = F.coalesce(F.when(F.col("link_id") != "", R.name_of(F.col("link_id"))), F.col("name"))
     first = lex.select("query_id", key.alias("key"), "id", "ord").groupBy("query_id", "key").agg(F.min_by("id", "ord").alias("lexical_id"))
-    return fused.join(first, ["query_id", "key"], "left").withColumn("id", F.when(F.col("cosine_rank").isNotNull(), F.col("key")).otherwise(F.col("lexical_id"))).drop("lexical_id")
+    return fused.join(first, ["query_id", "key"], "left")
 
 
 def at_floors(queries: DataFrame, facts: DataFrame, vectors: DataFrame, now: str, floors: list[float], options: SearchOptions = SearchOptions()) -> DataFrame:
@@ -107,16 +107,19 @@ def at_floors(queries: DataFrame, facts: DataFrame, vectors: DataFrame, now: str
     if options.diversity < 1:
         raise ValueError("floors are swept without diversity")
     none = F.lit(None).cast("string")
-    pulled = R.vector_leg(queries.filter("vector is not null"), R.readable(facts, options.validity(now)), vectors, options.limit or 8)
+    readable = R.readable(facts, options.validity(now))
+    pulled = R.vector_leg(queries.filter("vector is not null"), readable, vectors, options.limit or 8, texts=False)
     over = R.floor(R.merge_scopes(pulled), None, options.least_ratio)
     weighted = over.withColumn("w", F.round(F.col("score") * R.recency(last_change(over), now), 12)).drop("ord")
     reached = F.filter(F.array(*map(F.lit, floors)), lambda f: (f <= 0) | F.col("score").isNull() | (F.col("score") >= f))
     each = lambda df, f: df.withColumn("floor", F.explode(f)).withColumn("query_id", F.struct("query_id", "floor")).drop("floor")
-    cos = R.ranked(each(weighted, reached), [F.desc_nulls_last("w"), F.col("id")], "ord").select("query_id", "id", "ord", "data", "score").withColumn("link_id", none)
-    cos = kept(cos, "cosine")
-    lex = each(kept(_lexical(queries, facts, now, options), "lexical"), F.array(*map(F.lit, floors)))
-    fused = hit_ids(R.fuse(cos, lex, least_lexical=options.least_lexical, weight=options.lexical_weight, gated=options.fusion_mode == "cosine-gated"), cos, lex)
+    cos = R.ranked(each(weighted, reached), [F.desc_nulls_last("w"), F.col("id")], "ord").select("query_id", "scope", "id", "ord", "score").withColumn("link_id", none)
+    cos, near = R.named(cos, readable)
+    lex, worded = R.named(*_lexical(queries, facts, now, options))
+    lex = each(lex, F.array(*map(F.lit, floors)))
+    fused = hit_ids(R.fuse_names(cos, lex, least_lexical=options.least_lexical, weight=options.lexical_weight, gated=options.fusion_mode == "cosine-gated"), lex)
     out = fused if options.limit is None else fused.filter(F.col("rank") <= options.limit)
+    out = R.with_keys(out, cos, lex, near.unionByName(worded)).withColumn("id", F.when(F.col("cosine_rank").isNotNull(), F.col("key")).otherwise(F.col("lexical_id"))).drop("lexical_id")
     return out.select("query_id.query_id", "query_id.floor", *[c for c in out.columns if c != "query_id"])
 
 
@@ -145,25 +148,27 @@ def first_that_answers(queries: DataFrame, legs: dict[str, Callable[[DataFrame],
 
 def leg_stats(queries: DataFrame, facts: DataFrame, vectors: DataFrame, now: str, options: SearchOptions = SearchOptions()) -> DataFrame:
     """query_id, cosine and lexical candidates, lexical ones that reach the bar, and fused hits before the limit."""
-    cos, lex = _legs(queries, facts, vectors, now, options)
-    fused = R.fuse(cos, lex, least_lexical=options.least_lexical, weight=options.lexical_weight, gated=options.fusion_mode == "cosine-gated")
+    (cos, _), (lex, _) = _legs(queries, facts, vectors, now, options)
+    fused = R.fuse_names(cos, lex, least_lexical=options.least_lexical, weight=options.lexical_weight, gated=options.fusion_mode == "cosine-gated")
     count = lambda df, name, cond="true": df.groupBy("query_id").agg(F.count_if(F.expr(cond)).alias(name))
     out = queries.select("query_id").join(count(cos, "cosine"), "query_id", "left").join(count(lex, "lexical"), "query_id", "left")
     out = out.join(count(lex, "qualifying", f"score is null or score >= {options.least_lexical}"), "query_id", "left").join(count(fused, "fused"), "query_id", "left")
     return out.fillna(0)
 
 
-def _legs(queries, facts, vectors, now, options):
+def _legs(queries, facts, vectors, now, options, raw=False):
+    """Each leg with names for texts, and its texts (see retrieval.named)."""
     none = F.lit(None).cast("string")
     cosine_options = replace(options, diversity=1.0)
-    cos = search(queries.filter("vector is not null"), facts, vectors, now, cosine_options).withColumn("link_id", none)
-    return kept(cos, "cosine"), kept(_lexical(queries, facts, now, options), "lexical")  # fusion reads either several times
+    cos = search(queries.filter("vector is not null"), facts, vectors, now, cosine_options, texts=False).withColumn("link_id", none)
+    return R.named(cos, R.readable(facts, options.validity(now)), raw), R.named(*_lexical(queries, facts, now, options), raw)
 
 
 def _lexical(queries, facts, now, options):
+    """The lexical leg without texts, and the facts that it sees."""
     words = queries.withColumn("query", F.when(F.trim("lexical_query") != "", F.col("lexical_query")).otherwise(F.col("query")))
     when = options.validity(now) if options.forward_temporal else None
     if options.forward_temporal and when is None:
         when = F.lit(True)
     linked = facts if "link_id" in facts.columns else facts.withColumn("link_id", F.lit(None).cast("string"))
-    return lexical_search(words, linked, now, options.depth or 3 * (options.limit or 6), when)
+    return lexical_search(words, linked, now, options.depth or 3 * (options.limit or 6), when, texts=False), R.readable(linked, R.current(now) if when is None else when)

@@ -5,8 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from factlake.operators import engine as N
 from factlake.operators import retrieval as R
 from factlake.plans import catalogue as C
+from factlake.plans import engine as G
+from factlake.sources import facts as S
 
 LEG = "query_id long, scope string, id string, ord long, link_id string, score double"
 LONG = "word " * 40
@@ -61,3 +64,14 @@ def test_legs_fetch_each_text_once(spark):
     assert cos.count() + lex.count() > texts.count() == cos.select("scope", "id").distinct().count() + lex.select("scope", "id").distinct().count()
     for leg in (cos, lex):
         assert "data" not in leg.columns and leg.agg(F.max(F.length("name"))).first()[0] <= R.SHORT + 1
+
+
+def test_floors_and_counts_carry_no_texts(spark, monkeypatch):
+    """A hit is taken to all floors by its name, and ids come from names."""
+    sf, met, fuse = "/root/testdata/sf0.001", [], R.fuse_names
+    monkeypatch.setattr(R, "fuse_names", lambda cos, lex, *a, **k: met.append(cos.columns + lex.columns) or fuse(cos, lex, *a, **k))
+    asked, options = G._query_table(spark, sf).filter("query_id < 8"), N.SearchOptions(limit=5, least_lexical=0.1)
+    got = N.at_floors(asked, S.facts(spark, sf), S.vectors(spark, sf), S.NOW, [0.0, 0.2], options).collect()
+    facts = {r.id: " ".join((r.data or "").split()) for r in S.facts(spark, sf).collect()}
+    assert len(met) == 1 and "data" not in met[0] and {r.floor for r in got} == {0.0, 0.2}
+    assert all(r.key == r.id if r.cosine_rank is not None else r.key == facts[r.id] for r in got) and any(r.cosine_rank is None for r in got)

@@ -71,6 +71,17 @@ def test_chains_of_forms_short_and_null_words(spark):
     assert got == {w: "aaaaaaaaaa" for w in counts if w and len(w) > 7}
 
 
+def test_no_table_that_grows_with_the_words_is_broadcast(spark, monkeypatch):
+    # A file of words compressed below Spark's threshold explodes to many more rows, which a broadcast would send through the driver.
+    kept, plans = spelling.Workspace.keep, []
+    told = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(spelling.Workspace, "keep", lambda self, df: (told(df), kept(self, df))[1])
+    out = spelling.variants(spark.createDataFrame(list(made(1, 100, "ab", [7, 8]).items()), "word string, n long"))
+    told(out)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1" and len(plans) > 4
+    assert [p for p in plans if "Broadcast" in p] == []
+
+
 def test_op11(spark, tmp_path):
     rnd = random.Random(4)
     words = ["Example", "exampLe", "examplé", "ÀÉÎÕÜßÿ", "àéîõüßÿ", "short", "longerword", "longerwords", "x" * 900, "a×b÷cdefgh", "中文example", "under_scores", "abcdefg1hijklmno"]

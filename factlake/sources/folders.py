@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,9 +37,30 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return keep(df, scratch(df.sparkSession, name))
 
 
+def local_folder(spark: SparkSession, path: str) -> str | None:
+    """The place of a folder on a local or mounted disk, else None."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    place = files.makeQualified(at).toUri()
+    return place.getPath() if place.getScheme() == "file" and os.path.isdir(place.getPath()) else None
+
+
+def _unlink(at: str) -> None:
+    """Delete a local folder's files one by one, as a list of them all may not fit the driver."""
+    with suppress(OSError), os.scandir(at) as found:
+        for e in found:
+            if e.is_dir(follow_symlinks=False):
+                _unlink(e.path)
+            else:
+                with suppress(OSError):
+                    os.unlink(e.path)
+
+
 def _clear() -> None:
     for path, spark in _MADE.items():
         if spark.sparkContext._jsc is not None:  # stopped: its folder goes with the cluster's own clean-up
+            if (local := local_folder(spark, path)) is not None:
+                _unlink(local)
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     _MADE.clear()

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import time
+import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,14 +18,64 @@ from factlake.functions import text as T
 from factlake.functions import topics as P
 from factlake.operators import index as X
 from factlake.operators.ranking import numbered, running
-from factlake.sources.folders import kept
+from factlake.sources.folders import kept, local_folder
+
+#: Names, and bytes of files, that a task sends at once.
+NAMES, SENT_BYTES = 1 << 14, 4 << 20
+
 
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
-    """file, id, modified and the parsed fields of every topic file right in a folder; index files and sub-folders are left out."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(path)
-    file = F.regexp_extract("path", "([^/]+)$", 1)
-    rows = raw.select(file.alias("file"), F.col("modificationTime").alias("modified"), P.parse(F.col("content").cast("string")).alias("t"))
-    return rows.filter(~F.col("file").isin(P.INDEX_FILES)).select("file", F.regexp_replace("file", "\\.md$", "").alias("id"), "modified", "t.*")
+    """file, id, modified and the parsed fields of every topic file right in a folder; index files and sub-folders are left out.
+
+    The files are those there at the call. A local or mounted folder is listed and read in the tasks; others (and patterns) by Spark's reader, whose driver holds
+    an entry a file. Joins go by sorting, as the size of what is read isn't known beforehand.
+    """
+    at = local_folder(spark, path)
+    if at is None:
+        raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(path)
+        raw = raw.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.col("modificationTime").alias("modified"), "content")
+    else:
+        raw = _contents(_names(spark, at), at)
+    rows = raw.select("file", "modified", P.parse(F.col("content").cast("string")).alias("t"))
+    return rows.filter(~F.col("file").isin(P.INDEX_FILES)).select("file", F.regexp_replace("file", "\\.md$", "").alias("id"), "modified", "t.*").hint("merge")
+
+
+def _names(spark: SparkSession, at: str) -> DataFrame:
+    """name of each topic file right in a local folder, kept as a table. Each task goes through the folder and keeps its share, so nothing holds all names.
+    As Spark's reader does, it leaves out hidden files (those that begin with a dot or an underscore)."""
+    shares = spark.sparkContext.defaultParallelism
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for share in (i for batch in batches for i in batch.column(0).to_pylist()):
+            with os.scandir(os.fsencode(at)) as found:
+                mine = (e.name for e in found if e.name.endswith(b".md") and e.name[:1] not in (b".", b"_") and zlib.crc32(e.name) % shares == share and e.is_file())
+                while some := list(islice(mine, NAMES)):
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary())], names=["name"])
+
+    return kept(spark.range(0, shares, 1, shares).mapInArrow(run, "name binary"), "topic-names")
+
+
+def _contents(names: DataFrame, at: str) -> DataFrame:
+    """file, modified, content of the files of a local folder that are named."""
+
+    def batch(rows: list[tuple[bytes, int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int64(), pa.binary()))], names=["name", "ms", "content"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for named in batches:
+            held, size = [], 0
+            for name in named.column(0).to_pylist():
+                with open(os.path.join(os.fsencode(at), name), "rb") as file:
+                    held.append((name, os.fstat(file.fileno()).st_mtime_ns // 1_000_000, file.read()))
+                size += len(held[-1][2])
+                if size >= SENT_BYTES:
+                    yield batch(held)
+                    held, size = [], 0
+            if held:
+                yield batch(held)
+
+    rows = names.mapInArrow(run, "name binary, ms long, content binary")
+    return rows.select(F.col("name").cast("string").alias("file"), F.timestamp_millis("ms").alias("modified"), "content")
 
 
 def new_topics(facts: DataFrame, taken: DataFrame) -> DataFrame:

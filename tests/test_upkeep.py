@@ -17,7 +17,7 @@ from factlake.operators import writing as W
 from factlake.operators.ranking import previous
 from factlake.plans import upkeep
 from factlake.sources import log as G
-from factlake.sources import topics
+from factlake.sources import folders, topics
 
 SF = "/root/testdata/sf0.01"
 QUERIES, SQL = upkeep.queries(), upkeep.oracle_sql()
@@ -94,6 +94,47 @@ def test_archiving_many_files(spark, tmp_path):
         assert sorted(p.read_text() for p in (at / "archive").glob("*.md")) == ["older", "one", "two"]
 
 
+def test_folder_is_listed_and_read_in_the_tasks(spark, tmp_path):
+    at = tmp_path / "some topics"
+    (at / "archive").mkdir(parents=True)
+    (at / "folder.md").mkdir()
+    want = {"a b.md": "one", "é.md": "two", "empty.md": "", "long.md": "x" * (5 << 20)} | {f"n{i}.md": f"body {i}" for i in range(40)}
+    for n, t in (want | {"MEMORY.md": "index", ".hidden.md": "h", "_hidden.md": "h", "other.txt": "o", "archive/old.md": "old"}).items():
+        (at / n).write_text(t)
+    os.utime(at / "empty.md", ns=(0, 1_700_000_000_123_456_789))
+    for path in (str(at), f"file:{at}"):
+        df = topics.read_folder(spark, path)
+        assert [f for f in df.inputFiles() if f.endswith(".md")] == []  # no entry a file in the driver
+        rows = df.selectExpr("file", "id", "cast(unix_millis(modified) as long) ms", "body").collect()
+        assert len(rows) == len(want) and {r.file: r.body for r in rows} == want and all(r.id + ".md" == r.file for r in rows)
+        assert [r.ms for r in rows if r.file == "empty.md"] == [1_700_000_000_123]
+    (at / "later.md").write_text("not there at the call")
+    assert df.count() == len(want) and topics.read_folder(spark, str(at)).count() == len(want) + 1
+    assert topics.read_folder(spark, str(at / "archive")).select("body").first()[0] == "old" and topics.read_folder(spark, str(at / "folder.md")).count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        topics.read_folder(spark, str(at / "none"))
+
+
+def test_contents_of_a_folder_are_not_broadcast(spark, tmp_path):
+    (tmp_path / "a.md").write_text("a")
+    patches = spark.range(100_000).selectExpr("cast(id as string) id", "'t' text", "'d' description", "'k' kind", "'s' scope", "cast(null as string) extra")
+    plan = topics.changed(topics.read_folder(spark, str(tmp_path)), patches)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_cleared_folders_leave_nothing(spark, tmp_path, monkeypatch):
+    at = tmp_path / "made"
+    (at / "sub" / "deep").mkdir(parents=True)
+    for n in ("a", ".b", "sub/c", "sub/deep/d"):
+        (at / n).write_text(n)
+    (tmp_path / "kept").mkdir()
+    (tmp_path / "kept" / "e").write_text("e")
+    (at / "link").symlink_to(tmp_path / "kept")
+    monkeypatch.setattr(folders, "_MADE", {f"file:{at}": spark, f"{tmp_path}/never-made": spark})
+    folders._clear()
+    assert not at.exists() and (tmp_path / "kept" / "e").exists() and not folders._MADE
+
+
 def test_safe_names(spark):
     cases = {"a": True, "a.b-c_d": True, "a\n": False, "..": False, "a..b": False, ".a": False, "a/b": False, "": False, "é": False}
     rows = spark.createDataFrame(list(cases.items()), "n string, want boolean").select("n", "want", P.safe_id(F.col("n")).alias("got")).collect()
